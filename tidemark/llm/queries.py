@@ -6,12 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files, tokens
+from . import exact_dedup, packing, token_files, tokens, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
+
+
+OP1 = r"""
+with n as (
+  select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
+)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
+from n window w as (partition by text_sha256)
+"""
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+OP5 = r"""
+with r(rhost, rpath, rverdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as h from a),
+c as (select row_number() over () as k, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from b),
+d as (
+  select c.*, rhost || rpath as rule, rverdict, row_number() over (partition by k order by length(rhost) desc, length(rpath) desc) as n
+  from c left join r on (host = rhost or host like '%.' || rhost) and starts_with(path, rpath)
+)
+select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from d where n = 1
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=0)
 
@@ -20,5 +50,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=2, size=1024)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_token_files, op8_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op5_url_rules, op6_token_files, op8_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op5_url_rules": OP5}
