@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files, tokens, url_rules
+from . import decontam, exact_dedup, near_dup, packing, token_files, tokens, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,36 @@ from n window w as (partition by text_sha256)
 """
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4 = r"""
+with w as (
+  select doc_id, row_number() over () as r, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') as words from documents
+), b as (
+  select item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') as words from benchmark
+), bw as (
+  select distinct item_id, least(10, len(words)) as n, list_slice(words, i, i + least(10, len(words)) - 1) as window_words
+  from b, unnest(range(1, len(words) - least(10, len(words)) + 2)) t(i) where len(words) > 0
+), sizes as (select distinct n from bw), dw as (
+  select r, i, n, list_slice(words, i, i + n - 1) as window_words from w, sizes, unnest(range(1, len(words) - n + 2)) t(i) where len(words) >= n
+), hit as (
+  select r, i, dw.n, item_id from dw join bw on dw.n = bw.n and dw.window_words = bw.window_words
+), covered as (
+  select r, count(distinct p) as n_hit from hit, unnest(range(i, i + n)) t(p) group by r
+), items as (
+  select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from hit group by r
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join covered using (r) left join items using (r)
+"""
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
@@ -50,5 +80,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=2, size=1024)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op5_url_rules, op6_token_files, op8_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op5_url_rules": OP5}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op8_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_decontam": OP4, "op5_url_rules": OP5}
