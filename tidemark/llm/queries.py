@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, lang_id, near_dup, packing, quality, token_files, tokens, url_rules
+from . import decontam, exact_dedup, html_text, lang_id, near_dup, packing, pii, quality, token_files, tokens, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,13 +80,25 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=0)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=2, size=1024)
 
 
+# Who runs this on private data passes a key of their own.
+PII_KEY = b"tidemark public test key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lang_id, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op8_packing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lang_id, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op7_html_text, op8_packing, op9_pii, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_decontam": OP4, "op5_url_rules": OP5}
