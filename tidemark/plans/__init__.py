@@ -1 +1,14 @@
+"""Queries over the driver's tables, by the operators' names."""
 
+from __future__ import annotations
+
+from . import window_queries  # noqa: F401  registers
+from .registry import QUERIES, SQL, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
