@@ -26,7 +26,9 @@ def rolling_moments(df: DataFrame, keys: list[str], order: str, value: str, half
     for name in parts:
         out = out.withColumn(name + "w", F.coalesce(F.lead(name, half).over(w), F.col(name + "t")) - F.coalesce(F.lag(name, half + 1).over(w), F.lit(0)))
     n, mean = F.nullif(F.col("_nw"), F.lit(0)), F.col("_sw") / F.nullif(F.col("_nw"), F.lit(0))
-    var = F.when(F.col("_nw") > 0, F.greatest(F.col("_qw") / n - mean * mean, F.lit(0.0)))
+    var = F.col("_qw") / n - mean * mean
+    # What is left of equal values by cancellation counts as 0: under 1e-10 of the partition's variance.
+    var = F.when(F.col("_nw") > 0, F.when(var > 1e-10 * F.col("_qt") / F.col("_nt"), var).otherwise(0.0))
     out = out.withColumn("n", F.col("_nw")).withColumn("mean", mean + F.col("_m")).withColumn("std", F.sqrt(var))
     return out.drop("_m", "_x", *(name + end for name in parts for end in ("", "t", "w")))
 
