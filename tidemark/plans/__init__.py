@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import predicate_queries, relational_queries, window_queries  # noqa: F401  registers
+from . import predicate_queries, relational_queries, signal_queries, window_queries  # noqa: F401  registers
 from .registry import QUERIES, SQL, Query
 
 
