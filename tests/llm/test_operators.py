@@ -1,0 +1,313 @@
+"""The corpus operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns, against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import decontam, exact_dedup, html_text, huffman, lang_id, packing, pii, quality, token_files, tokens, url_rules
+from tidemark.llm.dom import parse
+
+PATH = tokens.default_path()
+TEXTS = [(5, "a  b\tc"), (3, "a b c"), (3, "a b c"), (None, "a b\n\nc"), (9, None), (8, ""), (7, "x" * 40_000), (11, "x" * 40_000 + "y"), (12, " it's  _odd_ ²½ 你好\x1c z\n\n "), (13, "\u00a0<|endoftext|>"), (14, "only one")]
+
+
+def docs_of(spark, rows=TEXTS):
+    return spark.createDataFrame([(i, t, 1, "s", "k") for i, t in rows], "doc_id long, text string, n_tokens int, sha string, kept string")
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+@pytest.mark.parametrize("digest_all,bound", [(True, 1000), (False, 1000), (False, 0)])
+def test_exact_dedup(spark, digest_all, bound):
+    got = exact_dedup.exact_dedup(docs_of(spark), digest_all=digest_all, max_broadcast_rows=bound).collect()
+    groups = {}
+    for i, t in TEXTS:
+        groups.setdefault(norm(t), []).append(i)
+    want = []
+    for i, t in TEXTS:
+        ids = groups[norm(t)]
+        least = min((x for x in ids if x is not None), default=None)
+        want.append((i, least if len(ids) > 1 else i, len(ids), i == least or len(ids) == 1))
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted(want, key=str)
+    if digest_all:
+        assert {r.text_sha256 for r in got} == {hashlib.sha256(norm(t).encode()).hexdigest() for _, t in TEXTS}
+    assert exact_dedup.exact_dedup(docs_of(spark).limit(0)).count() == 0
+
+
+def test_drop_copies_keeps_columns(spark):
+    d = docs_of(spark)
+    out = exact_dedup.drop_copies(d)
+    assert out.columns == d.columns and {r.doc_id for r in out.collect()} == {3, 8, 7, 11, 12, 13, 14}
+
+
+def library_ids(t, tokenizer):
+    return tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab Zé_'s1\n\t!?²你\u00a0\x1c|<>")), max_size=40), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_encoder_is_the_library(texts):
+    e = tokens.encoder(PATH)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.ids(texts)] == [library_ids(t, e.tokenizer) for t in texts]
+
+
+def test_token_files(spark):
+    tok = tokens.encoder(PATH).tokenizer
+    got = {(r.doc_id, r.start): r for r in token_files.round_trip(docs_of(spark), PATH).collect()}
+    assert len(got) == len(TEXTS)
+    at = 0
+    for (i, start), r in sorted(got.items(), key=lambda x: x[0][1]):
+        assert start == at
+        at += r.n_tokens
+        ok = [zlib.crc32(np.array([*library_ids(t, tok), 0], "<u4").tobytes()) for j, t in TEXTS if j == i]
+        assert r.ids_crc32 in ok
+    ids = [k[0] for k in sorted(got, key=lambda x: x[1])]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    assert token_files.round_trip(docs_of(spark).limit(0), PATH).count() == 0
+
+
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=200), st.integers(8, 16))
+@settings(max_examples=100, deadline=None)
+def test_code_lengths(counts, most):
+    bits = huffman.code_lengths(np.array(counts), most)
+    assert bits.max() <= most and (2.0**-bits).sum() <= 1
+    if most == 16 and len(counts) > 1:
+        import heapq
+
+        heap, cost = list(counts), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += a
+            heapq.heappush(heap, a)
+        assert (bits * counts).sum() >= cost and (bits.max() == most or (bits * counts).sum() == cost)
+
+
+@given(st.lists(st.integers(0, 300), max_size=400), st.integers(9, 16))
+@settings(max_examples=100, deadline=None)
+def test_coder_round_trip(ids, most):
+    ids = np.array(ids, np.int64)
+    symbols, n = np.unique(ids, return_counts=True)
+    coder = huffman.Coder(symbols, huffman.code_lengths(n, most)) if len(ids) else huffman.Coder(np.array([0]), np.array([1]))
+    payload, spans = coder.encode(ids)
+    assert coder.decode(payload, spans, len(ids)).tolist() == ids.tolist()
+
+
+def test_packing(spark):
+    tok = tokens.encoder(PATH).tokenizer
+    got = packing.pack(docs_of(spark), PATH, end_id=2, size=64).collect()
+    by_doc, seqs = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        seqs.setdefault(r.sequence_id, []).append(r)
+    for s in seqs.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 64
+    for i, t in TEXTS:
+        ids = [*library_ids(t, tok), 2]
+        cuts = [0, *range((len(ids) - 1) % 64 + 1, len(ids) + 1, 64)]
+        want = {(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+        assert want <= {(r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[i]}
+    assert packing.pack(docs_of(spark).limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_holds_every_capacity(rule):
+    rnd = np.random.default_rng(3)
+    lengths = rnd.integers(1, 64, 500)
+    bins, offsets = packing.best_fit(lengths, 64, 4, 2500, (1.0, 0.2, 0.5), rule)
+    for b in np.unique(bins):
+        at = bins == b
+        assert lengths[at].sum() <= 64 and at.sum() <= 4 and (at.sum() == 1 or (lengths[at] ** 2).sum() <= 2500)
+    loose, _ = packing.best_fit(lengths, 64, 64, 64 * 64, (1.0, 0.0, 0.0), rule)
+    assert len(np.unique(loose)) <= -(-lengths.sum() // 64) * 1.03 + 1
+
+
+def test_url_rules(spark):
+    urls = ["http://a.example.com/en/x?q", "https://www.Example.COM/en/", "http://x.www.example.com/en/y", "ftp://site.net/es/", "http://net/fr/#a", "http://com", "http://xcom/", "nothing", None, "://", "http://.com/", "http://example.com?/en/", "a://b.net/es", "http://com.", "http://Ünet.net/es/1"]
+    rows = [(i, u, "x", "y") for i, u in enumerate(urls)] + [(None, "http://com/", "x", "y"), (0, urls[0], "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string")
+    rules = url_rules.RULES
+    want = []
+    for i, u, *_ in rows:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fit = [(len(h), len(p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=None)
+        want.append((i, host, path, best[2] if best else None, best[3] if best else "allow"))
+    got = [tuple(r) for r in url_rules.judge(pages, url_rules.rule_table(spark)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert url_rules.judge(pages.limit(0), url_rules.rule_table(spark)).count() == 0
+    none = url_rules.judge(pages, spark.createDataFrame([], "host string, path string, verdict string"), default="block").collect()
+    assert len(none) == len(rows) and {r.verdict for r in none} == {"block"}
+
+
+def brute_hits(text, items, span=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, inside, found = words(text), set(), set()
+    for i, t in items:
+        v = words(t)
+        n = min(span, len(v))
+        grams = {tuple(v[a : a + n]) for a in range(len(v) - n + 1)} if v else set()
+        for a in range(len(w) - n + 1) if n else ():
+            if tuple(w[a : a + n]) in grams:
+                inside |= set(range(a, a + n))
+                found.add(str(i))
+    return len(w), len(inside), sorted(found)
+
+
+@pytest.mark.parametrize("block", [10**6, 20])
+def test_contamination(spark, block):
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["un", "deux", "Trois", "vier", "fünf", "six7", "x"])
+    items = [(i, " ".join(word() for _ in range(rnd.choice((3, 9, 10, 11, 25))))) for i in range(12)] + [(50, None), (51, "--- ..."), (None, "no id here at all")]
+    texts = [(i, ", ".join([word() for _ in range(rnd.randrange(30))] + (items[i % 12][1].split() if i % 3 else []) + [word() for _ in range(20)])) for i in range(30)] + [(100, None), (101, ""), (0, "x"), (None, items[3][1])]
+    docs = spark.createDataFrame([(i, t, "q") for i, t in texts], "doc_id long, text string, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(docs, bench, block=block).collect()
+    want = [(i, *brute_hits(t, [x for x in items if x[0] is not None])) for i, t in texts]
+    assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in got), key=str) == sorted(want, key=str)
+    assert decontam.contamination(docs, bench.limit(0), block=block).where("size(spans) > 0").count() == 0
+
+
+def test_winnow_keeps_one_in_every_window():
+    h = np.array([5, 3, 3, 9, 1, 7, 7, 7, 2, 8], np.uint64)
+    kept = decontam.winnow(h, 4)
+    assert all(any(a <= k < a + 4 for k in kept) for a in range(len(h) - 3))
+    assert decontam.winnow(np.array([4, 4, 4, 4], np.uint64), 4).tolist() == [3]
+
+
+def test_languages(spark):
+    rnd = random.Random(2)
+    make = {"aa": "abcdea", "bb": "vwxyzv"}
+    rows = [(i, " ".join("".join(rnd.choice(make[n]) for _ in range(rnd.randint(2, 7))) for _ in range(rnd.randint(1, 60))), n) for i, n in enumerate(["aa", "bb"] * 60)]
+    odd = [(900, None, "aa"), (901, "", "bb"), (902, "123 !!", "aa"), (None, "abca", None), (903, "abc abd" * 9000, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lang_id.report(docs).collect()}
+    assert sum(got[i].lang_pred == n for i, _, n in rows) >= 118
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].lang_pred == "aa"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert got[7].held_out == (zlib.crc32(b"7") % 4 == 2)
+    assert {r.lang_pred for r in lang_id.identify(docs, docs.limit(0)).collect()} == {"und"}
+
+
+def test_rank_order_distance():
+    class R:
+        def __init__(self, lang, place, code):
+            self.lang, self.place, self.code = lang, place, code
+
+    grams = lambda t: lang_id.ranked(*np.unique(lang_id.grams(t), return_counts=True), 5).tolist()
+    rows = [R(n, k + 1, c) for n, t in (("aa", "abab abc"), ("bb", "xyxy xyz")) for k, c in enumerate(grams(t))]
+    m = lang_id.Ranks(rows, 5)
+    mine = grams("abab x")
+    far = {n: sum(abs(k - [r.code for r in rows if r.lang == n].index(c)) if c in [r.code for r in rows if r.lang == n] else 5 for k, c in enumerate(mine)) for n in ("aa", "bb")}
+    assert m.nearest("abab x") == (min(far, key=far.get), pytest.approx(1 - min(far.values()) / 25))
+
+
+def test_line_field(spark):
+    rnd = random.Random(4)
+    good = lambda: "\n".join("".join(rnd.choice("etaoin") for _ in range(5)).capitalize() + " " + " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(12)) + "." for _ in range(rnd.randint(1, 6)))
+    bad = lambda: "\n".join(" | ".join(["BUY!!"] * rnd.randint(3, 20)) for _ in range(rnd.randint(1, 6)))
+    rows = [(i, good() if i % 3 else bad()) for i in range(150)]
+    docs = spark.createDataFrame(rows + [(500, None), (501, ""), (None, good())], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), None) for i, _ in rows if i % 2 == 0] + [(None, 1, None), (499, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.report(docs, labels).collect()}
+    assert len(got) == 153 and sum(got[i].predicted == int(i % 3 > 0) for i, _ in rows) >= 147
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert got[1].held_out == (zlib.crc32(b"1") % 3 == 1)
+    none = quality.report(docs, labels.limit(0)).collect()
+    assert {round(r.score, 6) for r in none} == {0.5}
+
+
+def test_marginals_sum_over_all_labelings():
+    rnd = np.random.default_rng(1)
+    scores, pair = rnd.normal(size=(2, 4, 2)), rnd.normal(size=(2, 2))
+    n = np.array([4, 3])
+    good, pairs, total = quality.marginals(scores, pair, n)
+    want_pairs = np.zeros((2, 2))
+    for c in range(2):
+        z, m = 0.0, np.zeros(n[c])
+        own = np.zeros((2, 2))
+        for code in range(2 ** n[c]):
+            y = [(code >> k) & 1 for k in range(n[c])]
+            w = np.exp(sum(scores[c, k, y[k]] for k in range(n[c])) + sum(pair[a, b] for a, b in zip(y, y[1:])))
+            z += w
+            m += w * np.array(y)
+            for a, b in zip(y, y[1:]):
+                own[a, b] += w
+        assert total[c] == pytest.approx(np.log(z)) and good[c, : n[c]] == pytest.approx(m / z)
+        want_pairs += own / z
+    assert pairs == pytest.approx(want_pairs)
+
+
+def test_pages(spark):
+    page = '<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>A &amp; B</h1><p>First   para\n<b>bold</b>face, with quite some words in it.<br>More of it here, and then some.<p>Second para: 1 &lt; 2 &copy; and a few more words to read.</article><div class="comments"><p>I like this page very much, thank you.</p></div><footer>&copy; all rights</footer></body></html>'
+    rows = [(1, "u", page, "t"), (2, None, None, "t"), (3, "v", "", "t"), (None, "w", "plain < text & more", "t"), (1, "u", page, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(pages).collect()
+    one = "A & B First para boldface, with quite some words in it. More of it here, and then some. Second para: 1 < 2 © and a few more words to read."
+    assert [r.text for r in got if r.page_id == 1] == [one, one]
+    assert all(r.n_chars == len(r.text) for r in got) and len(got) == 5
+    assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_held_out_pages_and_consistent_labels():
+    rnd, trees, right, all_ = random.Random(123), html_text.model(), 0, 0
+    for _ in range(60):
+        html, main = html_text.sample_page(rnd)
+        nodes = parse(html)
+        keep = html_text.decode(nodes, trees.score(html_text.features(nodes)))
+        assert all(keep[x.parent] or not k for x, k in zip(nodes[1:], keep[1:]))
+        runs = [k for x, k in zip(nodes, keep) if not x.tag]
+        right += sum((i in main) == k for i, k in enumerate(runs))
+        all_ += len(runs)
+    assert right / all_ > 0.96
+
+
+KEY = b"k"
+
+
+@given(st.integers(2, 10**12), st.data())
+@settings(max_examples=100, deadline=None)
+def test_permutation_inverts(size, data):
+    x = data.draw(st.integers(0, size - 1))
+    y = pii.permute(x, size, KEY, "t")
+    assert 0 <= y < size and pii.permute(y, size, KEY, "t", back=True) == x
+
+
+def test_permutation_is_one_to_one():
+    assert sorted(pii.permute(x, 100, KEY, "t") for x in range(100)) == list(range(100))
+
+
+def test_pseudonyms(spark):
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    a = f"Mail été.12@mail.example.com or +1 (551) 555-0826, card {card}, ip 10.20.30.40, born 1984-02-29; token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\""
+    b = f"Again (551) 555-0826 and 4111111111111111 and {iban}."
+    clean = "Order 4111111111111112 of 2021-02-30, version 1.2.3, 300.1.1.1, page 3817, call 12-34."
+    rows = [(1, a, 1), (2, b, 1), (3, clean, 1), (4, None, 1), (5, "", 1), (None, a, 1), (6, "z" * 100_000 + " x@y.example.org", 1)]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string, n_found int"), KEY).collect()}
+    assert [f.kind for f in got[1].found] == ["mail", "phone", "card", "address", "date", "secret"]
+    for secret in ("été.12@", "555-0826", card, "10.20.30.40", "1984-02-29", "b44e15"):
+        assert secret not in got[1].text
+    assert len(got[2].found) == 3 and got[3].text == clean and got[3].n_found == 0
+    assert got[4].text is None and got[5].text == "" and got[None].text == got[1].text and got[6].n_found == 1
+    digits = lambda t: re.sub(r"\D", "", t)
+    new = re.search(r"card ([\d ]+),", got[1].text)[1]
+    assert new[4] == " " and digits(new) in digits(got[2].text) and pii.luhn(digits(new)[:-1]) == int(digits(new)[-1])
+    assert pii.iban_ok(re.search(r"GB[A-Z0-9 ]+", got[2].text)[0].strip().replace(" ", ""))
+    for make, v in ((pii.card, card), (pii.iban, iban), (pii.phone, "551-555-0826"), (pii.social, "123-45-6789"), (pii.address, "1.2.3.4"), (pii.calendar, "02/13/1999"), (pii.calendar, "2000-02-29"), (pii.mail, "a.b9@x.org"), (pii.foreign_phone, "+49 30 1234567")):
+        assert make(make(v, KEY), KEY, True) == v and make(v, KEY) != v
