@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import predicate_queries, relational_queries, selection_queries, signal_queries, streaming_queries, window_queries  # noqa: F401  registers
+from . import predicate_queries, relational_queries, selection_queries, signal_queries, small_queries, streaming_queries, window_queries  # noqa: F401  registers
 from .registry import QUERIES, SQL, Query
 
 
