@@ -82,8 +82,14 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, doc_id: str, text
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNATURE)
 
 
+TRIED = "x long, y long, y_a long, y_n long, linked boolean, beyond array<long>, lacks array<long>"
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: str, text: str, max_broadcast_rows: int) -> DataFrame:
-    """Of pairs (x, x_a, y, y_a), where _a tells a document's set: those with 100 * intersection >= percent * union.
+    """Tries pairs (x, x_a, y, y_a) on their full sets; _a tells a document's set.
+
+    linked: 100 * intersection >= percent * union. `beyond` has the shingles of y that x hasn't, `lacks` those of x that
+    y hasn't.
 
     Pairs are grouped by x in chunks of about CHUNK; a chunk's task gets the text of x once and then
     those of its ys, so however often x occurs no task gathers all of its partners.
@@ -104,14 +110,16 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
                 if role == 0:
                     at, first = (x, chunk), items
                 elif at == (x, chunk):
-                    both = len(np.intersect1d(first, items, assume_unique=True))
-                    if 100 * both >= percent * (len(first) + len(items) - both):
-                        found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["x", "y"])
+                    beyond, n = np.setdiff1d(items, first, assume_unique=True), len(items)
+                    both = n - len(beyond)
+                    linked = 100 * both >= percent * (len(first) + len(beyond))
+                    lacks = np.setdiff1d(first, items, assume_unique=True)
+                    found.append((x, y, set_a, n, linked, beyond.view(np.int64).tolist(), lacks.view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 7, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())])], ["x", "y", "y_a", "y_n", "linked", "beyond", "lacks"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = texts.join(small(wanted, max_broadcast_rows), "id").select("x", "chunk", "role", "id", "set_a", "text")
-    out = materialize(rows.repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role").mapInArrow(run, "x long, y long").distinct(), "links")
+    out = materialize(rows.repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role").mapInArrow(run, TRIED), "tried")
     for df in (counts, dealt, wanted):
         discard(df)
     return out
@@ -139,10 +147,12 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     1. Documents with the same set form a class, known by its least doc_id; only classes are compared.
-    2. In each bucket (band and key) every member is paired with the least one; pairs whose sizes
-       allow the threshold are confirmed, and links make components.
-    3. Where a bucket still holds several components, its pairs across components that were not tried
-       yet are confirmed as well. Pairs within one component can change nothing.
+    2. In each bucket (band and key) every member is tried on its full set with its leader, the member whose buckets are
+       the largest and so most likely the text that the others come from. Links make components.
+    3. What tells a member from its leader (shingles beyond it and lacking of it) gives the exact intersection of any two
+       members: the leader's size, less those that either lacks, plus those beyond it that both have. In buckets that
+       still hold several components a join on the bucket tests its pairs across components by that and makes rows for
+       links only; pairs within one component can change nothing and aren't tested.
 
     Texts that are null or have no word have no shingle, are linked with nothing and stay. A row without
     doc_id takes part only through an equal set: it gets that class's component, or null, and stays if null.
@@ -151,31 +161,39 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """
     sig = materialize(signatures(docs, k, bands, rows, doc_id, text), "signatures")
     classes = materialize(sig.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    member = classes.where("id is not null").select("id", "a", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    least = F.min(F.struct("id", "a", "n"))
-    leaders = materialize(member.groupBy("key").agg(least.alias("l"), F.count("*").alias("m")).where("m > 1").select("key", F.col("l.id").alias("x"), F.col("l.a").alias("x_a"), F.col("l.n").alias("x_n")), "leaders")
-    bucket = materialize(member.join(leaders, "key"), "buckets")
-    sized = F.least("n", "x_n") * 100 >= F.greatest("n", "x_n") * percent
-    tried = materialize(bucket.where((F.col("id") != F.col("x")) & sized).select("x", "x_a", F.col("id").alias("y"), F.col("a").alias("y_a")).distinct(), "stars")
-    links = confirmed(docs, tried, k, percent, doc_id, text, max_broadcast_rows)
+    buckets = classes.where("id is not null").select(F.explode("bands").alias("key"), "id", "a", F.col("n_shingles").alias("n"))
+    sizes = materialize(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    live = materialize(buckets.join(sizes, "key"), "buckets")
+    weights = materialize(live.groupBy("id").agg(F.sum("m").alias("w")), "weights")
+    heads = live.join(small(weights, max_broadcast_rows), "id").groupBy("key").agg(F.max_by(F.struct("id", "a", "n"), F.struct("w", -F.col("id"))).alias("l"))
+    heads = materialize(heads.select("key", F.col("l.id").alias("x"), F.col("l.a").alias("x_a"), F.col("l.n").alias("x_n")), "heads")
+    live = materialize(live.select("key", "id", "a", "n").join(heads, "key"), "members")
+    pairs = materialize(live.where(F.col("id") != F.col("x")).select("x", "x_a", F.col("id").alias("y"), F.col("a").alias("y_a")).distinct(), "stars")
+    tried = confirmed(docs, pairs, k, percent, doc_id, text, max_broadcast_rows)
+    links = tried.where("linked").select("x", "y")
     comp = components(links)
 
-    placed = bucket.select("key", "id", "a", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = materialize(placed, "placed")
-    mixed_keys = materialize(placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key"), "open")
-    open_ = materialize(placed.join(mixed_keys, "key", "left_semi"), "open-members")
-    left = open_.select("key", F.col("id").alias("x"), F.col("a").alias("x_a"), F.col("n").alias("x_n"), F.col("component").alias("cx"))
-    rest = left.join(open_, "key").where((F.col("x") < F.col("id")) & (F.col("cx") != F.col("component")) & sized)
-    rest = rest.select("x", "x_a", F.col("id").alias("y"), F.col("a").alias("y_a")).distinct().join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    rest = materialize(rest, "rest")
-    if rest.limit(1).count():
-        more = confirmed(docs, rest, k, percent, doc_id, text, max_broadcast_rows)
-        if more.limit(1).count():
-            comp = components(links.unionByName(more))
+    placed = materialize(live.select("key", "x", "x_n", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    open_ = materialize(placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component").alias("main")).where("c1 != c2").select("key", "main"), "open")
+    none = F.array().cast("array<long>")
+    told = tried.select("x", F.col("y").alias("id"), "beyond", "lacks")
+    member = placed.join(open_, "key").join(told, ["x", "id"], "left").where(F.col("beyond").isNotNull() | (F.col("id") == F.col("x")))
+    member = materialize(member.select("key", "id", "n", "x_n", "component", "main", F.coalesce("beyond", none).alias("beyond"), F.coalesce("lacks", none).alias("lacks")), "open-members")
+    c = {name: F.col(f"c.{name}") for name in member.columns}
+    y = {name: F.col(f"y.{name}") for name in member.columns}
+    need = F.lit(percent) * (c["n"] + y["n"])
+    most = F.least(y["n"] - F.size(y["beyond"]), c["n"] - F.size(c["beyond"])) + F.least(F.size(y["beyond"]), F.size(c["beyond"]))
+    both = y["x_n"] - F.size(y["lacks"]) - F.size(c["lacks"]) + F.size(F.array_intersect(y["lacks"], c["lacks"])) + F.size(F.array_intersect(y["beyond"], c["beyond"]))
+    enough = F.when(most * (100 + percent) >= need, both * (100 + percent) >= need).otherwise(False)
+    across = (c["component"] != y["component"]) & ((c["component"] == y["main"]) | (y["id"] < c["id"]))
+    more = member.where("component != main").alias("y").join(member.alias("c"), (y["key"] == c["key"]) & across & enough).select(y["id"].alias("x"), c["id"].alias("y")).distinct()
+    more = materialize(more, "more-links")
+    if more.limit(1).count():
+        comp = components(links.unionByName(more))
+    for df in (sizes, live, heads, weights, pairs, placed, open_, member):
+        discard(df)
 
     labels = materialize(classes.join(comp, "id", "left").select("a", "b", "n_shingles", F.coalesce("component", "id").alias("component_id"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("linked")).where("linked").drop("linked"), "classes-labels")
-    for df in (leaders, bucket, tried, placed, mixed_keys, open_, rest):
-        discard(df)
     return sig.select("doc_id", "n_shingles", "a", "b").join(labels, ["a", "b", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
     )
