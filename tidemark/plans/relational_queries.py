@@ -130,7 +130,7 @@ def j4_points_in(spark: Spark, d: str) -> DataFrame:
     return w.select("stream_id", "id").join(hits.groupBy("stream_id", "id").agg(F.count("*").alias("n_in")), ["stream_id", "id"], "left").select("stream_id", "id", F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
-@query(T.SQL + ", q as (select distinct stream_id, w.id from windows w semi join segments s on false) select w.stream_id, w.id from windows w where exists (select 1 from points p where p.stream_id = w.stream_id and p.kind = 'error' and p.t between w.t_start and w.t_end)")
+@query(T.SQL + " select w.stream_id, w.id from windows w where exists (select 1 from points p where p.stream_id = w.stream_id and p.kind = 'error' and p.t between w.t_start and w.t_end)")
 def p3_inside(spark: Spark, d: str) -> DataFrame:
     hits = J.points_in(T.points(spark, d).where("kind = 'error'").select("stream_id", "t"), T.windows(spark, d).select("stream_id", "id", "t_start", "t_end"), "stream_id", "t", "t_start", "t_end", 3600.0)
     return hits.select("stream_id", "id").distinct()
