@@ -174,7 +174,8 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     comp = components(links)
 
     placed = materialize(live.select("key", "x", "x_n", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    open_ = materialize(placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component").alias("main")).where("c1 != c2").select("key", "main"), "open")
+    held = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    open_ = materialize(held.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main")).where("components > 1").select("key", "main"), "open")
     none = F.array().cast("array<long>")
     told = tried.select("x", F.col("y").alias("id"), "beyond", "lacks")
     member = placed.join(open_, "key").join(told, ["x", "id"], "left").where(F.col("beyond").isNotNull() | (F.col("id") == F.col("x")))
