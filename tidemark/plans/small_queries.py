@@ -50,7 +50,7 @@ RECT = "with r as (select p_partkey as id, p_brand as g, (p_partkey * 37 % 90)::
 def f24_overlapping_crops(spark: Spark, d: str) -> DataFrame:
     """Pairs of rectangles of one group that overlap, and by how much."""
     n = F.col("p_partkey")
-    r = T.table(spark, d, "part").where("p_partkey < 400").select(n.alias("id"), F.col("p_brand").alias("g"), (n * 37 % 90).cast("int").alias("x"), (n * 53 % 90).cast("int").alias("y"), (10 + F.col("p_size") % 20).alias("w"), (10 + F.col("p_size") * 7 % 20).alias("h"))
+    r = T.table(spark, d, "part").select(n.alias("id"), F.col("p_brand").alias("g"), (n * 37 % 90).cast("int").alias("x"), (n * 53 % 90).cast("int").alias("y"), (10 + F.col("p_size") % 20).alias("w"), (10 + F.col("p_size") * 7 % 20).alias("h"))
     a = r.select("g", "id", "y", "h", F.col("x").cast("double").alias("a0"), (F.col("x") + F.col("w")).cast("double").alias("a1"))
     b = r.select("g", F.col("id").alias("other"), F.col("y").alias("yb"), F.col("h").alias("hb"), F.col("x").cast("double").alias("b0"), (F.col("x") + F.col("w")).cast("double").alias("b1"))
     both = J.overlapping(a, b, "g", "a0", "a1", "b0", "b1", 20.0).where("id < other and a0 < b1 and b0 < a1 and y < yb + hb and yb < y + h")
@@ -80,7 +80,7 @@ select w.id, arg_min(f.dir, (f.dir, f.size)) filter (f.size % 100 = w.size) as d
 def m10_located(spark: Spark, d: str) -> DataFrame:
     """Files found by name in the first directory where the size is right too, and how many had the name only."""
     f = T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("dir"), (F.col("s_suppkey") % 50).alias("name"), F.col("s_suppkey").alias("size"))
-    w = T.table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("name"), (F.col("c_custkey") % 100).alias("want"))
+    w = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("name"), (F.col("c_custkey") % 100).alias("want"))
     right = F.col("size") % 100 == F.col("want")
     both = w.join(f, "name", "left")
     return both.groupBy("id").agg(F.min_by("dir", F.when(right, F.struct("dir", "size"))).alias("dir"), F.count_if(F.col("dir").isNotNull() & ~right).alias("mismatches"))
