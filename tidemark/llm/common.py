@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows were counted and found to be at most this many.
@@ -57,5 +57,16 @@ def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def text_key(text: str) -> Column:
+    """What tells a row's text from others under the same id."""
+    return F.xxhash64(F.col(text)).alias("text_key")
+
+
+def without(docs: DataFrame, gone: DataFrame, tag: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose id and text both are those of a row (doc_id, text_key) of gone; ids may be null or repeat."""
+    gone = materialize(gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct(), tag)
+    return docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text]) == F.col("__key")), "left_anti")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, without
 from .words import run_hashes, word_hashes
 
 SPAN, K = 10, 5
@@ -152,22 +152,23 @@ def _merged(spans: list) -> list:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block: int = BLOCK_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block: int = BLOCK_WINDOWS, keyed: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, spans (merged ranges of hit words), items (sorted, as strings).
 
     The benchmark's hashes are looked up from memory in blocks of whole items with at most about `block`
     windows, one pass over the documents each (one, while the benchmark is as small as benchmarks are);
     what several passes find of a document is joined. Null texts have no words, items without words or
     id no windows. Rows that repeat a doc_id each keep a row; a null doc_id stays null. Empty tables give no rows
-    or no hits; other columns aren't read.
+    or no hits; other columns aren't read. With keyed each row also has its text_key.
     """
+    own = [F.col("row_key").alias("text_key")] if keyed else []
     rows = materialize(windows(benchmark, span, k, item_id, item_text), "windows")
     blocks = max(1, -(-rows.count() // block))
     todo = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("text"))
     dealt = rows.distinct().withColumn("at", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     of = lambda i: Index(dealt.where(F.col("at") == i).drop("at").toArrow())  # noqa: E731  a block is bounded
     if blocks == 1:
-        return scan(todo, of(0), span, k, False).drop("row_key")
+        return scan(todo, of(0), span, k, False).select("doc_id", "n_words", "spans", "items", *own)
     passes = [materialize(scan(todo, of(i), span, k, True), "hits") for i in range(blocks)]
     found = passes[0]
     for p in passes[1:]:
@@ -176,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     found = found.groupBy("row_key").agg(merge(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     empty = Index(rows.limit(0).toArrow())
     base = scan(todo, empty, span, k, False).select("doc_id", "row_key", "n_words")
-    return base.join(small(materialize(found, "hits")), "row_key", "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return base.join(small(materialize(found, "hits")), "row_key", "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *own)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -188,5 +189,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that have a window of any benchmark item; all columns stay."""
-    gone = materialize(contamination(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, contamination(docs, benchmark, keyed=True).where(F.size("spans") > 0), "contaminated")

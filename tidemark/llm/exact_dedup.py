@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, materialize, small
+from .common import MAX_BROADCAST_ROWS, materialize, small, text_key, without
 
 PREFIX = 128
 
@@ -15,7 +15,7 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False, max_broadcast_rows: int = MAX_BROADCAST_ROWS, keyed: bool = False) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after normalized(). Of equal texts the row with the
@@ -29,11 +29,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     text_sha256 is null for texts that were never hashed. Rows with a null doc_id are grouped like
     others; they stay only if their whole group has none. Rows that repeat a doc_id with the same text
     get the same decision. An empty table gives no rows; other columns of docs aren't read.
+    With keyed each row also has its text_key.
     """
     norm = normalized(F.col(text))
     sha = F.sha2(norm, 256)
     key = [F.octet_length(norm).alias("bytes"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix")]
-    cols = [F.col(doc_id).alias("doc_id"), *key]
+    own = ["text_key"] if keyed else []
+    cols = [F.col(doc_id).alias("doc_id"), *([text_key(text)] if keyed else []), *key]
     seen = materialize(docs.select(*cols, *([sha.alias("sha")] if digest_all else [])), "sketch")
 
     lengths = materialize(seen.groupBy("bytes").count().where("count > 1").select("bytes"), "lengths")
@@ -46,8 +48,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
         rows = seen
         hashed = seen.join(side, ["bytes", "prefix"], "left_semi")
     elif few:
-        hashed = materialize(docs.select(*cols, norm.alias("norm")).join(side, ["bytes", "prefix"], "left_semi").select("doc_id", F.sha2("norm", 256).alias("sha")), "digests")
-        rows = seen.join(side, ["bytes", "prefix"], "left_anti").select("doc_id", F.lit(None).cast("string").alias("sha")).unionByName(hashed)
+        hashed = materialize(docs.select(*cols, norm.alias("norm")).join(side, ["bytes", "prefix"], "left_semi").select("doc_id", *own, F.sha2("norm", 256).alias("sha")), "digests")
+        rows = seen.join(side, ["bytes", "prefix"], "left_anti").select("doc_id", *own, F.lit(None).cast("string").alias("sha")).unionByName(hashed)
     else:
         rows = materialize(docs.select(*cols, sha.alias("sha")), "digests")
         hashed = rows.join(side, ["bytes", "prefix"], "left_semi")
@@ -60,11 +62,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | F.col("first_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *own,
     )
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay."""
-    gone = exact_dedup(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone"))
-    gone = materialize(gone, "copies-gone")
-    return docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, exact_dedup(docs, doc_id, text, keyed=True).where("not kept"), "copies-gone", doc_id, text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, discard, materialize, small
+from .common import MAX_BROADCAST_ROWS, discard, materialize, small, text_key, without
 from .words import mixed, run_hashes, word_hashes
 
 BANDS, ROWS = 21, 6
@@ -67,7 +67,7 @@ def band_keys(items: np.ndarray, bands: int, rows: int) -> list[int]:
     return mixed((mixed(s) * weight).sum(1, dtype=_U) + np.arange(bands, dtype=_U)).view(np.int64).tolist()
 
 
-SIGNATURE = "doc_id long, n_shingles long, a long, b long, bands array<long>"
+SIGNATURE = "doc_id long, text_key long, n_shingles long, a long, b long, bands array<long>"
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
@@ -77,16 +77,16 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, doc_id: str, text
                 sets = [shingles(t, k) for t in batch.column(1)[at : at + 512].to_pylist()]
                 ab = [prints(s) for s in sets]
                 keys = [band_keys(s, bands, rows) if len(s) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ab], pa.int64()), pa.array([x[1] for x in ab], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "a", "b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512].cast(pa.int64()), batch.column(2)[at : at + 512], pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ab], pa.int64()), pa.array([x[1] for x in ab], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "a", "b", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text)).mapInArrow(run, SIGNATURE)
 
 
 TRIED = "x long, y long, y_a long, y_n long, linked boolean, beyond array<long>, lacks array<long>"
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: str, text: str, max_broadcast_rows: int) -> DataFrame:
-    """Tries pairs (x, x_a, y, y_a) on their full sets; _a tells a document's set.
+    """Tries pairs (x, x_id, x_a, y, y_id, y_a) of classes on their full sets; _id and _a find a document with the set.
 
     linked: 100 * intersection >= percent * union. `beyond` has the shingles of y that x hasn't, `lacks` those of x that
     y hasn't.
@@ -96,7 +96,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
     """
     counts = materialize(pairs.groupBy("x").count().where(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).select("x", "chunks"), "hot")
     dealt = materialize(pairs.join(small(counts, max_broadcast_rows), "x", "left").withColumn("chunk", F.pmod(F.xxhash64("y"), F.coalesce("chunks", F.lit(1))).cast("int")).drop("chunks"), "pairs")
-    wanted = dealt.select("x", "chunk", F.lit(0).alias("role"), F.col("x").alias("id"), F.col("x_a").alias("set_a")).distinct().unionByName(dealt.select("x", "chunk", F.lit(1).alias("role"), F.col("y").alias("id"), F.col("y_a").alias("set_a")))
+    wanted = dealt.select("x", "chunk", F.lit(0).alias("role"), F.col("x").alias("node"), F.col("x_id").alias("id"), F.col("x_a").alias("set_a")).distinct().unionByName(dealt.select("x", "chunk", F.lit(1).alias("role"), F.col("y").alias("node"), F.col("y_id").alias("id"), F.col("y_a").alias("set_a")))
     wanted = materialize(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 7, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())])], ["x", "y", "y_a", "y_n", "linked", "beyond", "lacks"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = texts.join(small(wanted, max_broadcast_rows), "id").select("x", "chunk", "role", "id", "set_a", "text")
+    rows = texts.join(small(wanted, max_broadcast_rows), "id").select("x", "chunk", "role", "node", "set_a", "text")
     out = materialize(rows.repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role").mapInArrow(run, TRIED), "tried")
     for df in (counts, dealt, wanted):
         discard(df)
@@ -143,10 +143,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
+def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS, keyed: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept, with keyed its text_key.
 
-    1. Documents with the same set form a class, known by its least doc_id; only classes are compared.
+    1. Documents with the same set form a class, found by its least doc_id; only classes are compared. Each has a number
+       (node) of its own, since several sets may have the same least doc_id.
     2. In each bucket (band and key) every member is tried on its full set with its leader, the member whose buckets are
        the largest and so most likely the text that the others come from. Links make components.
     3. What tells a member from its leader (shingles beyond it and lacking of it) gives the exact intersection of any two
@@ -160,43 +161,46 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     aren't read.
     """
     sig = materialize(signatures(docs, k, bands, rows, doc_id, text), "signatures")
-    classes = materialize(sig.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.where("id is not null").select(F.explode("bands").alias("key"), "id", "a", F.col("n_shingles").alias("n"))
+    classes = materialize(sig.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = classes.where("id is not null").select(F.explode("bands").alias("key"), "node", "id", "a", F.col("n_shingles").alias("n"))
     sizes = materialize(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     live = materialize(buckets.join(sizes, "key"), "buckets")
-    weights = materialize(live.groupBy("id").agg(F.sum("m").alias("w")), "weights")
-    heads = live.join(small(weights, max_broadcast_rows), "id").groupBy("key").agg(F.max_by(F.struct("id", "a", "n"), F.struct("w", -F.col("id"))).alias("l"))
-    heads = materialize(heads.select("key", F.col("l.id").alias("x"), F.col("l.a").alias("x_a"), F.col("l.n").alias("x_n")), "heads")
-    live = materialize(live.select("key", "id", "a", "n").join(heads, "key"), "members")
-    pairs = materialize(live.where(F.col("id") != F.col("x")).select("x", "x_a", F.col("id").alias("y"), F.col("a").alias("y_a")).distinct(), "stars")
+    weights = materialize(live.groupBy("node").agg(F.sum("m").alias("w")), "weights")
+    heads = live.join(small(weights, max_broadcast_rows), "node").groupBy("key").agg(F.max_by(F.struct("node", "id", "a", "n"), F.struct("w", -F.col("id"), "a")).alias("l"))
+    heads = materialize(heads.select("key", F.col("l.node").alias("x"), F.col("l.id").alias("x_id"), F.col("l.a").alias("x_a"), F.col("l.n").alias("x_n")), "heads")
+    live = materialize(live.select("key", "node", "id", "a", "n").join(heads, "key"), "members")
+    pairs = materialize(live.where(F.col("node") != F.col("x")).select("x", "x_id", "x_a", F.col("node").alias("y"), F.col("id").alias("y_id"), F.col("a").alias("y_a")).distinct(), "stars")
     tried = confirmed(docs, pairs, k, percent, doc_id, text, max_broadcast_rows)
     links = tried.where("linked").select("x", "y")
-    comp = components(links)
+    comp = components(links).withColumnRenamed("id", "node")
 
-    placed = materialize(live.select("key", "x", "x_n", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    placed = materialize(live.select("key", "x", "x_n", "node", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     held = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     open_ = materialize(held.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main")).where("components > 1").select("key", "main"), "open")
     none = F.array().cast("array<long>")
-    told = tried.select("x", F.col("y").alias("id"), "beyond", "lacks")
-    member = placed.join(open_, "key").join(told, ["x", "id"], "left").where(F.col("beyond").isNotNull() | (F.col("id") == F.col("x")))
-    member = materialize(member.select("key", "id", "n", "x_n", "component", "main", F.coalesce("beyond", none).alias("beyond"), F.coalesce("lacks", none).alias("lacks")), "open-members")
+    told = tried.select("x", F.col("y").alias("node"), "beyond", "lacks")
+    member = placed.join(open_, "key").join(told, ["x", "node"], "left").where(F.col("beyond").isNotNull() | (F.col("node") == F.col("x")))
+    member = materialize(member.select("key", "node", "n", "x_n", "component", "main", F.coalesce("beyond", none).alias("beyond"), F.coalesce("lacks", none).alias("lacks")), "open-members")
     c = {name: F.col(f"c.{name}") for name in member.columns}
     y = {name: F.col(f"y.{name}") for name in member.columns}
     need = F.lit(percent) * (c["n"] + y["n"])
     most = F.least(y["n"] - F.size(y["beyond"]), c["n"] - F.size(c["beyond"])) + F.least(F.size(y["beyond"]), F.size(c["beyond"]))
     both = y["x_n"] - F.size(y["lacks"]) - F.size(c["lacks"]) + F.size(F.array_intersect(y["lacks"], c["lacks"])) + F.size(F.array_intersect(y["beyond"], c["beyond"]))
     enough = F.when(most * (100 + percent) >= need, both * (100 + percent) >= need).otherwise(False)
-    across = (c["component"] != y["component"]) & ((c["component"] == y["main"]) | (y["id"] < c["id"]))
-    more = member.where("component != main").alias("y").join(member.alias("c"), (y["key"] == c["key"]) & across & enough).select(y["id"].alias("x"), c["id"].alias("y")).distinct()
+    across = (c["component"] != y["component"]) & ((c["component"] == y["main"]) | (y["node"] < c["node"]))
+    more = member.where("component != main").alias("y").join(member.alias("c"), (y["key"] == c["key"]) & across & enough).select(y["node"].alias("x"), c["node"].alias("y")).distinct()
     more = materialize(more, "more-links")
     if more.limit(1).count():
-        comp = components(links.unionByName(more))
+        comp = components(links.unionByName(more)).withColumnRenamed("id", "node")
     for df in (sizes, live, heads, weights, pairs, placed, open_, member):
         discard(df)
 
-    labels = materialize(classes.join(comp, "id", "left").select("a", "b", "n_shingles", F.coalesce("component", "id").alias("component_id"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("linked")).where("linked").drop("linked"), "classes-labels")
-    return sig.select("doc_id", "n_shingles", "a", "b").join(labels, ["a", "b", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
+    linked = materialize(classes.drop("bands").join(comp, "node", "left").where("copies > 1 or component is not null"), "linked")
+    least = linked.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    labels = materialize(linked.join(least, "component", "left").select("a", "b", "n_shingles", F.coalesce("least", "id").alias("component_id")), "classes-labels")
+    own = ["text_key"] if keyed else []
+    return sig.select("doc_id", *own, "n_shingles", "a", "b").join(labels, ["a", "b", "n_shingles"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), *own
     )
 
 
@@ -205,5 +209,4 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     At similarity 0.8, 25 bands of 5 miss a pair with probability (1 - 0.8^5)^25 = 5e-5.
     """
-    gone = materialize(near_dup(docs, doc_id, text, percent=percent, bands=bands, rows=rows).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, near_dup(docs, doc_id, text, percent=percent, bands=bands, rows=rows, keyed=True).where("not kept"), "near-gone", doc_id, text)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_key, without
 from .lang_id import held_out
 
 # Labelled documents that a fit uses at most (chosen by a hash of the id where there are more).
@@ -193,29 +194,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     return fit(made, np.array([r.y for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, score (0 to 1). Null texts count as empty; ids may be null or repeat; other columns aren't read."""
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """One row a document: doc_id, score (0 to 1), with keyed its text_key. Null texts count as empty; ids may be null or repeat; other columns aren't read."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 texts = batch.column(1)[at : at + 512].to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512].cast(pa.int64()), pa.array(held.value.score([features(t) for t in texts]), pa.float64())], ["doc_id", "score"])
+                own = [c[at : at + 512] for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512].cast(pa.int64()), pa.array(held.value.score([features(t) for t in texts]), pa.float64()), *own], ["doc_id", "score", "text_key"][: 2 + len(own)])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    own = [text_key(text)] if keyed else []
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *own).mapInArrow(run, "doc_id long, score double" + ", text_key long" * keyed)
 
 
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame:
     """score() learned from labels of documents that aren't held out (crc32 of the id mod 3 is not 1), for all."""
     out = held_out(F.col("doc_id"), 3, 1)
     model = train(docs, labels.where(~out))
-    return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model, keyed=keyed).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["text_key"] * keyed)
 
 
 def drop_bad(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that the classifier rejects (score under 0.5); all columns stay."""
-    from .common import materialize, small
-
-    gone = materialize(report(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct(), "rejected")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, report(docs, labels, keyed=True).where("predicted = 0"), "rejected")
