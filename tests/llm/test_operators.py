@@ -311,3 +311,34 @@ def test_pseudonyms(spark):
     assert pii.iban_ok(re.search(r"GB[A-Z0-9 ]+", got[2].text)[0].strip().replace(" ", ""))
     for make, v in ((pii.card, card), (pii.iban, iban), (pii.phone, "551-555-0826"), (pii.social, "123-45-6789"), (pii.address, "1.2.3.4"), (pii.calendar, "02/13/1999"), (pii.calendar, "2000-02-29"), (pii.mail, "a.b9@x.org"), (pii.foreign_phone, "+49 30 1234567")):
         assert make(make(v, KEY), KEY, True) == v and make(v, KEY) != v
+
+
+@pytest.mark.parametrize(
+    "text,kind,value",
+    [
+        ("call +15551234567 now", "phone", "+15551234567"),
+        ("call +1 5515550826.", "phone", "+1 5515550826"),
+        ("call +4915123456789 now", "phone", "+4915123456789"),
+        ("call +7 916 123-45-67 now", "phone", "+7 916 123-45-67"),
+        ("call +79161234567 now", "phone", "+79161234567"),
+        ("at 2024-01-05T10:00:00Z", "date", "2024-01-05"),
+        ("on 3/4/2020,", "date", "3/4/2020"),
+        ("on 3/14/2020,", "date", "3/14/2020"),
+        ("on 14.3.2020", "date", "14.3.2020"),
+        ("access_token = abcdef123456", "secret", "abcdef123456"),
+        ("client_secret: abcdef123456", "secret", "abcdef123456"),
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "secret", "wJalrXUtnFEMI/K7MDENG"),
+    ],
+)
+def test_forms_of_personal_data(text, kind, value):
+    ((a, b, k, new),) = pii.find(text, KEY)
+    assert (k, text[a:b]) == (kind, value) and new != value and len(new) == len(value)
+    changed = text[:a] + new + text[b:]
+    ((c, d, _, _),) = pii.find(changed, KEY)
+    make = {"date": pii.calendar, "secret": pii.secret, "phone": pii.phone if value.startswith("+1") else pii.foreign_phone}[kind]
+    assert changed[c:d] == new and make(new, KEY, True) == value
+
+
+@pytest.mark.parametrize("text", ["mytoken = abcdef123456", "on 31/4/2020", "2024-01-05Tuesday", "+5 1 2 3", "13/13/2020"])
+def test_forms_that_are_none(text):
+    assert pii.find(text, KEY) == []

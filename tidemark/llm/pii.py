@@ -99,13 +99,13 @@ def card(text: str, key: bytes, back: bool = False) -> str | None:
 def phone(text: str, key: bytes, back: bool = False) -> str | None:
     """Ten digits of the North American plan, with or without +1: neither area nor exchange begins with 0 or 1.
 
-    Written out as +1 (...) any ten digits are taken, and become others that the plan doesn't have either.
+    After +1 any ten digits are taken, and become others that the plan doesn't have either.
     """
     d = _digits(text)
     lead = "1" if len(d) == 11 and d[0] == "1" else ""
     d = d[len(lead) :]
     planned = lambda n: n // 10**9 >= 2 and n // 10**6 % 10 >= 2
-    if len(d) != 10 or not planned(int(d)) and not text.startswith("+1 ("):
+    if len(d) != 10 or not planned(int(d)) and not text.startswith("+1"):
         return None
     ok = lambda n: planned(n) == planned(int(d))
     return refill(text, lead + f"{until(ok, int(d), 10**10, key, 'phone', back):010d}")
@@ -138,7 +138,7 @@ DAYS = (LAST - FIRST).days + 1
 
 
 def calendar(text: str, key: bytes, back: bool = False) -> str | None:
-    """Days of 1900 to 2099 as year-month-day, or day and month in either order before the year (day first if both could be)."""
+    """Days of 1900 to 2099 as year-month-day, or day and month in either order before the year (day first if both could be). One-digit days and months stay so."""
     parts = re.split(r"([-/.])", text)
     a, b, c = (int(p) for p in parts[::2])
     forms = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
@@ -150,10 +150,15 @@ def calendar(text: str, key: bytes, back: bool = False) -> str | None:
             continue
         if not FIRST <= day <= LAST:
             return None
-        # A month-first day can only become one that reads month first too.
-        ok = (lambda n: (FIRST + timedelta(n)).day > 12) if form == "mdy" else (lambda n: True)
+        width = dict(zip(form, map(len, parts[::2])))
+
+        def ok(n: int, width=width, form=form) -> bool:
+            """A month-first day can only become one that reads month first too, and a one-digit part another of one digit."""
+            new = FIRST + timedelta(n)
+            return (form != "mdy" or new.day > 12) and (width["m"] > 1 or new.month < 10) and (width["d"] > 1 or new.day < 10)
+
         new = FIRST + timedelta(until(ok, (day - FIRST).days, DAYS, key, "day-" + form, back))
-        values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        values = {"y": f"{new.year:04d}", "m": f"{new.month:0{width['m']}d}", "d": f"{new.day:0{width['d']}d}"}
         return parts[1].join(values[f] for f in form)
     return None
 
@@ -187,14 +192,14 @@ def secret(text: str, key: bytes, back: bool = False) -> str | None:
 
 # Patterns of each kind. In a match, group "v" is the value where there is one.
 MAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<v>[A-Za-z0-9+/_.~-]{8,})|\b(?P<w>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})\b")
+SECRET = re.compile(r"(?i)(?<![^\W_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<v>[A-Za-z0-9+/_.~-]{8,})|\b(?P<w>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})\b")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 CARD = re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
-PHONE = re.compile(r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
-FOREIGN = re.compile(r"(?<![\w.+-])\+[2-9][0-9](?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w-])")
+PHONE = re.compile(r"(?<![\w.+-])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+1[ .-]?[0-9]{10})(?![\w-])")
+FOREIGN = re.compile(r"(?<![\w.+-])\+(?:7|[2-9][0-9])(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w-])")
 SOCIAL = re.compile(r"(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 ADDRESS = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
-DAY = re.compile(r"(?<![\w.+/-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-])")
+DAY = re.compile(r"(?<![\w.+/-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?:(?=T[0-9]{2})|(?![\w/-]))")
 # In the order in which they claim their places.
 KINDS = (("mail", MAIL, mail, "@"), ("secret", SECRET, secret, ""), ("iban", IBAN, iban, "0"), ("card", CARD, card, "0"), ("phone", PHONE, phone, "0"), ("phone", FOREIGN, foreign_phone, "+"), ("social", SOCIAL, social, "0"), ("address", ADDRESS, address, "0"), ("date", DAY, calendar, "0"))
 DIGIT = re.compile("[0-9]")
