@@ -177,9 +177,12 @@ def x1_peaks(spark: Spark, d: str) -> DataFrame:
     return s.groupBy("stream_id").applyInPandas(run, "stream_id long, i long, value double, prominence double")
 
 
+def smoothed(spark: Spark, d: str) -> DataFrame:
+    return S.composite(zscores(spark, d), weights(spark)).withColumn("composite", W.gaussian(F.round("composite", 6), ["profile", "stream_id"], "i", 2.0))
+
+
 def windows(spark: Spark, d: str) -> DataFrame:
-    comp = S.composite(zscores(spark, d), weights(spark)).withColumn("composite", W.gaussian(F.round("composite", 6), ["profile", "stream_id"], "i", 2.0))
-    return X.candidates(comp, STEP, 3, 12, 2 * STEP, 8 * STEP, 3 * STEP)
+    return X.candidates(smoothed(spark, d), STEP, 3, 12, 2 * STEP, 8 * STEP, 3 * STEP)
 
 
 @query()
@@ -189,7 +192,7 @@ def x3_calibrated_windows(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def j12_merged_profiles(spark: Spark, d: str) -> DataFrame:
-    return X.merge_profiles(windows(spark, d))
+    return X.merge_profiles(windows(spark, d), smoothed(spark, d).select("stream_id", "profile", "i", "composite"), STEP, 2 * STEP, 8 * STEP)
 
 
 @query(T.SQL + """, s as (select stream_id, i, max(value) filter (kind = 'view') as e, max(value) filter (kind = 'click') as g from series group by 1, 2), m as (select stream_id, i, greatest(coalesce(e, 0), 0) / nullif(max(greatest(coalesce(e, 0), 0)) over w, 0) as en, greatest(coalesce(g, 0), 0) / nullif(max(greatest(coalesce(g, 0), 0)) over w, 0) as gn from s window w as (partition by stream_id))
