@@ -30,7 +30,7 @@ class Boosted:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, ridge: float = 1.0) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, ridge: float = 1.0) -> Boosted:
     n, width = x.shape
     model = Boosted(depth)
     model.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(width)]

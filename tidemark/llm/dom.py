@@ -1,23 +1,27 @@
-"""A small tolerant HTML reader: elements and runs of text as a flat list of nodes."""
+"""A small tolerant HTML reader: elements and runs of text as a flat list of nodes, in time linear in the page."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
 # Element groups of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-NO_TEXT = RAW | frozenset("head template svg math select option datalist object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-CLOSED_BY = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tr td th", "table"), "thead": ("tr td th", "table"), "tfoot": ("tbody tr td th", "table"), "option": ("option", "select"), "body": ("head title", "html")}
-CLOSED_BY = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSED_BY.items()}
+HIDDEN = frozenset("head template svg math select datalist object canvas audio video".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+BLOCK = CLOSES_P | frozenset("html body button caption dd dt legend li listing tbody td tfoot th thead tr".split())
+CLOSED_BY = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tr td th", "table"), "thead": ("tr td th", "table"), "tfoot": ("tbody tr td th", "table")}
+CLOSED_BY = {k: (a.split(), b.split()) for k, (a, b) in CLOSED_BY.items()}
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+# A quote only opens a value right after =; one that nothing closes is a plain character.
+_ATTR = r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+"
+_TAG = r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _ATTR.replace("([^", "(?:[^") + r")*+)(>|\Z)"
+MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|" + _TAG, re.S)
+ATTR = re.compile(_ATTR)
+WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(slots=True)
@@ -33,11 +37,27 @@ class Node:
     linked: int = 0
 
 
+def attribute_words(attributes: str) -> tuple[str, ...]:
+    """The words of class, id and role, lower-cased."""
+    found = ATTR.findall(attributes)
+    return tuple(w for name, a, b, c in found if name.lower() in ("class", "id", "role") for w in WORD.findall((a or b or c).lower()))
+
+
 def parse(html: str | None) -> list[Node]:
-    """Nodes in document order, the root first. Inline elements belong to their run; line breaks are spaces in it."""
+    """Nodes in document order, the root first.
+
+    Only block elements become nodes that hold others. Inline, void and unknown elements belong to the run of text
+    they are in and don't part it (a line break is a space); form fields are nodes without text. Scripts, styles and the like, and elements
+    that show no text of their own, are passed over with all in them, if they are closed anywhere. A tag that the page's end cuts off is dropped.
+    """
     nodes = [Node("#root", -1, 0)]
-    stack, inline, parts, linked = [0], [], [], 0
-    skip = 0  # open elements whose text isn't shown
+    stack = [0]
+    depths: dict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of each tag
+    inline: Counter[str] = Counter()
+    parts: list[str] = []
+    linked = 0
+    last_close: dict[str, int] = {}
+    closers: dict[str, re.Pattern] = {}
 
     def end_run() -> None:
         nonlocal linked
@@ -49,76 +69,97 @@ def parse(html: str | None) -> list[Node]:
             nodes.append(Node("", top, nodes[top].depth + 1, text=text, linked=min(linked, len(text))))
         linked = 0
 
-    def pop() -> None:
-        nonlocal skip
+    def close_down_to(size: int) -> None:
         end_run()
-        if nodes[stack.pop()].tag in NO_TEXT:
-            skip -= 1
+        while len(stack) > size:
+            depths[nodes[stack.pop()].tag].pop()
+        inline.clear()
+
+    def last(tag: str) -> int:
+        return depths[tag][-1] if depths[tag] else 0
+
+    def add(tag: str, attributes: str) -> None:
+        nodes[stack[-1]].kids.append(len(nodes))
+        nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, attribute_words(attributes) if attributes else ()))
 
-    source, at, size = html or "", 0, len(html or "")
+    source, at = html or "", 0
+    low = source.lower() if len(source.lower()) == len(source) else source
+    size = len(source)
     while at < size:
         m = MARKUP.search(source, at)
         stop = m.start() if m else size
-        if stop > at and not skip:
+        if stop > at:
             text = unescape(source[at:stop])
             parts.append(text)
-            if "a" in inline:
+            if inline["a"]:
                 linked += len(text.strip())
         if not m:
             break
         at = m.end()
-        if m[2] is None or not m[0].endswith(">"):
+        if m[2] is None or not m[4]:
             continue  # a comment, a declaration or a cut-off tag
         tag = m[2].lower()
         if m[1]:
-            if tag in INLINE:
-                if tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
+            if tag in BLOCK:
+                if depths[tag]:
+                    close_down_to(depths[tag][-1])
+                else:
+                    end_run()
             elif tag == "br":
                 parts.append(" ")
-            elif any(nodes[i].tag == tag for i in stack):
-                while nodes[stack[-1]].tag != tag:
-                    pop()
-                pop()
-                inline.clear()
+            elif inline[tag]:
+                inline[tag] -= 1
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in INLINE:
-            inline.append(tag)
+        if tag in RAW:
+            if tag == "textarea":
+                add(tag, m[3])
+            if tag not in closers:
+                closers[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+            close = closers[tag].search(source, at)
+            at = close.end() if close else size
+            continue
+        if tag in HIDDEN:
+            if tag == "select":
+                add(tag, m[3])
+            if tag not in last_close:
+                last_close[tag] = low.rfind(f"</{tag}")
+            if last_close[tag] >= at and not (tag in ("svg", "math") and m[3].endswith("/")):
+                at = _end_of(source, at, tag)
+            continue
+        if tag == "input":
+            add(tag, m[3])
             continue
-        if tag in CLOSES_P and (p := next((i for i in reversed(stack) if nodes[i].tag in ("p", "table", "td", "button")), None)) is not None and nodes[p].tag == "p":
-            while stack[-1] != p:
-                pop()
-            pop()
-            inline.clear()
+        if tag not in BLOCK:
+            inline[tag] += 1
+            continue
+        if tag in CLOSES_P and (p := last("p")) > max(last("table"), last("td"), last("button")):
+            close_down_to(p)
         if tag in CLOSED_BY:
             closed, within = CLOSED_BY[tag]
-            found = None
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag in within:
-                    break
-                if nodes[stack[depth]].tag in closed:
-                    found = depth
-            while found is not None and len(stack) > found:
-                pop()
+            limit = max(map(last, within))
+            firsts = [of[k] for of in map(depths.__getitem__, closed) if (k := bisect_right(of, limit)) < len(of)]
+            if firsts:
+                close_down_to(min(firsts))
         end_run()
-        found = ATTR.findall(m[3]) if m[3] else ()
-        tokens = tuple(w for a in found for w in WORD.findall((a[1] or a[2] or a[3]).lower()))
-        nodes[stack[-1]].kids.append(len(nodes))
-        nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, tokens))
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-            at = close.end() if close else size
-            continue
-        stack.append(len(nodes) - 1)
-        skip += tag in NO_TEXT
-    while len(stack) > 1:
-        pop()
+        add(tag, m[3])
+        if tag != "hr":
+            depths[tag].append(len(stack))
+            stack.append(len(nodes) - 1)
     end_run()
     return nodes
+
+
+def _end_of(source: str, at: int, tag: str) -> int:
+    """Behind the end tag that closes the element opened before `at`, counting elements of the same tag inside; the last end tag if there are too few."""
+    open_, end = 1, at
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
+        if m[1]:
+            open_, end = open_ - 1, m.end()
+            if not open_:
+                break
+        elif not m[0].endswith("/>"):
+            open_ += 1
+    return end

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, boost
 from .dom import Node, parse
 
-PAGES, SEED = 700, 11
+PAGES, SEED = 800, 11
 
 # Words of class, id and role attributes, and elements, by what they usually mark.
 WORDS = {
@@ -43,6 +43,9 @@ TAG_GROUP = {t: GROUPS.index(g) for t, g in TAG_GROUP.items()}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol li dl dt dd menu".split())
 STOPS = str.maketrans("", "", ".,;:!?")
+WIDTH = 26 + 2 * len(GROUPS)
+# Nodes that are scored at once (one page, if it has more).
+NODES = 50_000
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -74,7 +77,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     groups = len(GROUPS)
     own: list[list[int]] = [[0] * groups for _ in range(n)]
     up: list[list[int]] = [[0] * groups for _ in range(n)]
-    rows = []
+    rows, made = np.empty((n, WIDTH), np.float32), []
     place = [0] * n
     for x in nodes:
         for k, kid in enumerate(x.kids):
@@ -98,12 +101,15 @@ def features(nodes: list[Node]) -> np.ndarray:
             k = before = after = 0
             many = share = 1
         c = chars[i]
-        rows.append([
+        made.append([
             x.depth, log1p(c), linked[i] / max(1, c), log1p(c / max(1, runs[i])), log1p(c / max(1, elements[i])), stops[i] / max(1, c), len(x.kids), k / max(1, many), many, share, c / max(1, total), begin[i] / max(1, total),
             log1p(before), log1p(after), inputs[i], has_h1[i], has_main[i], x.tag in HEADINGS, x.tag == "p", x.tag in LISTS, not x.tag, x.tag in ("body", "html", "#root"), x.tag in ("div", "section"),
             nodes[x.parent].tag in HEADINGS if i else 0, nodes[x.parent].tag == "p" if i else 0, nodes[x.parent].tag in LISTS if i else 0, *mine, *up[i],
         ])
-    return np.array(rows, np.float64)
+        if len(made) == 4096 or i == n - 1:
+            rows[i + 1 - len(made) : i + 1] = made
+            made = []
+    return rows
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
@@ -125,6 +131,7 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
     """A page, and the places of its runs of main text among all of its runs."""
     out: list[str] = []
     runs: list[bool] = []
+    bare, vague = rnd.choice(((0.0, 0.0), (0.1, 0.1), (0.1, 0.9), (0.3, 0.3), (1.0, 0.0)))
 
     def words(a: int, b: int, links: float = 0.0, stop: bool = True) -> str:
         got, count = [], rnd.randint(a, b)
@@ -140,8 +147,11 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
         out.append(f"<{tag}{attr}>{text}</{tag}>" if tag else text)
         runs.append(main)
 
-    def box(mark: str, tag: str = "div") -> str:
-        word = rnd.choice(WORDS[mark].split())
+    def box(mark: str) -> str:
+        """Its attribute: a word that marks it, one that says nothing, or none, as the page's style has it."""
+        if rnd.random() < bare:
+            return ""
+        word = rnd.choice(WORDS[mark].split()) if rnd.random() >= vague else "".join(rnd.choice("bcdgklmprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4)))
         return f' {rnd.choice(("class", "id", "class"))}="{rnd.choice(("", "site-", "page-", "x-", "c1 "))}{word}{rnd.choice(("", "", "-wrap", " box", "-1"))}"'
 
     def menu() -> None:
@@ -211,7 +221,7 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
         out.append("</header>" if head else "")
         inner = rnd.random() < 0.25
         out.append(f"<div{box('main')}>" if inner else "")
-        for _ in range(rnd.choice((1, 1, 2, 3, 4, 6, 9, 14))):
+        for _ in range(rnd.choice((1, 1, 2, 3, 4, 6, 9, 14, 25, 50))):
             kind = rnd.random()
             if kind < 0.1:
                 run(words(1, 8, stop=False), rnd.choice(("h2", "h3")), True)
@@ -280,21 +290,35 @@ def model(pages: int = PAGES, seed: int = SEED) -> Boosted:
 
 
 def main_text(pages: list[str | None], trees: Boosted) -> list[str]:
-    parsed = [parse(p) for p in pages]
-    rows = [features(p) for p in parsed]
-    odds, at, out = trees.score(np.vstack(rows)) if rows else np.zeros(0), 0, []
-    for nodes in parsed:
-        keep = decode(nodes, odds[at : at + len(nodes)])
-        at += len(nodes)
-        out.append(" ".join(x.text for x, k in zip(nodes, keep) if k and not x.tag))
+    """Of each page; pages are scored together as long as they have no more than NODES nodes."""
+    out: list[str] = []
+    parsed: list[list[Node]] = []
+
+    def flush() -> None:
+        odds, at = trees.score(np.vstack([features(p) for p in parsed])), 0
+        for nodes in parsed:
+            keep = decode(nodes, odds[at : at + len(nodes)])
+            at += len(nodes)
+            out.append(" ".join(x.text for x, k in zip(nodes, keep) if k and not x.tag))
+        parsed.clear()
+
+    held = 0
+    for p in pages:
+        parsed.append(parse(p))
+        held += len(parsed[-1])
+        if held > NODES:
+            flush()
+            held = 0
+    if parsed:
+        flush()
     return out
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", pages_fitted: int = PAGES) -> DataFrame:
     """One row a page: page_id, url, text, n_chars (code points).
 
-    Null or empty html, and pages without main text, give an empty text. Page ids and urls may be null or repeat;
-    each row stays one. An empty table gives no rows; other columns aren't read.
+    Null or empty html, and pages without main text, give an empty text; pages of any length and depth take linear time. Page ids
+    and urls may be null or repeat; each row stays one. An empty table gives no rows; other columns aren't read.
     """
     trees = pages.sparkSession.sparkContext.broadcast(model(pages_fitted))
 
