@@ -2,17 +2,20 @@
 
 What matches a pattern and passes its check (Luhn, mod 97, calendar, numbering plans, octets) becomes an
 integer within its format, is permuted there by a keyed Feistel network, and is written back in the place's own
-punctuation. Equal values get equal pseudonyms in all documents, a pseudonym passes the same check, and who has the
-key can invert it.
+punctuation. Equal values get equal pseudonyms in all documents and in all forms of writing them, a pseudonym passes the
+same check, and who has the key can invert it.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,25 +90,37 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+# First digits of card numbers by network, and how long its numbers are.
+NETWORKS = ((("4",), (13, 16, 19)), (tuple(map(str, range(51, 56))), (16,)), (tuple(map(str, range(2221, 2721))), (16,)), (("34", "37"), (15,)), (("6011", "644", "645", "646", "647", "648", "649", "65"), (16, 17, 18, 19)), (tuple(map(str, range(3528, 3590))), (16, 17, 18, 19)), (("300", "301", "302", "303", "304", "305", "36", "38", "39"), (14, 16)), (("62",), (16, 17, 18, 19)), (("50", "56", "57", "58", "6304", "6759", "676"), (13, 14, 15, 16, 17, 18, 19)))
+
+
+def network(digits: str) -> str | None:
+    """The leading digits by which a network issues numbers of this length."""
+    return next((lead for leads, sizes in NETWORKS if len(digits) in sizes for lead in leads if digits.startswith(lead)), None)
+
+
 def card(text: str, key: bytes, back: bool = False) -> str | None:
-    """13 to 19 digits by Luhn; the first digit (the network) stays."""
+    """Numbers of a network and a length that it issues, by Luhn; the network's digits stay."""
     d = _digits(text)
-    if not 13 <= len(d) <= 19 or d[0] == "0" or luhn(d[:-1]) != int(d[-1]):
+    lead = network(d)
+    if lead is None or luhn(d[:-1]) != int(d[-1]):
         return None
-    body = f"{permute(int(d[1:-1]), 10 ** (len(d) - 2), key, 'card' + d[0], back):0{len(d) - 2}d}"
-    return refill(text, d[0] + body + str(luhn(d[0] + body)))
+    size = len(d) - 1 - len(lead)
+    body = f"{permute(int(d[len(lead):-1]), 10**size, key, 'card' + lead, back):0{size}d}"
+    return refill(text, lead + body + str(luhn(lead + body)))
 
 
 def phone(text: str, key: bytes, back: bool = False) -> str | None:
-    """Ten digits of the North American plan, with or without +1: neither area nor exchange begins with 0 or 1.
+    """Ten digits, with or without +1, in any punctuation one value.
 
-    After +1 any ten digits are taken, and become others that the plan doesn't have either.
+    Where only spaces part them they must be of the North American plan (neither area nor exchange begins with 0 or 1). Numbers of
+    the plan become others of the plan, and others become others that aren't of it either.
     """
     d = _digits(text)
     lead = "1" if len(d) == 11 and d[0] == "1" else ""
     d = d[len(lead) :]
     planned = lambda n: n // 10**9 >= 2 and n // 10**6 % 10 >= 2
-    if len(d) != 10 or not planned(int(d)) and not text.startswith("+1"):
+    if len(d) != 10 or not planned(int(d)) and not (text[0] in "+(" or text[3] in ".-"):
         return None
     ok = lambda n: planned(n) == planned(int(d))
     return refill(text, lead + f"{until(ok, int(d), 10**10, key, 'phone', back):010d}")
@@ -134,15 +149,34 @@ def address(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 FIRST, LAST = date(1900, 1, 1), date(2099, 12, 31)
-DAYS = (LAST - FIRST).days + 1
+
+
+def _like(day: date) -> tuple[bool, bool, bool]:
+    """Days that are alike in this can be written in the same forms: one-digit month, one-digit day, a day that can't be a month."""
+    return day.month < 10, day.day < 10, day.day > 12
+
+
+@lru_cache(maxsize=1)
+def _calendar() -> tuple[dict[tuple, list[date]], dict[date, int]]:
+    """All days by what they are alike in, and each day's place among those."""
+    groups: dict[tuple, list[date]] = {}
+    place: dict[date, int] = {}
+    for n in range((LAST - FIRST).days + 1):
+        day = FIRST + timedelta(n)
+        of = groups.setdefault(_like(day), [])
+        place[day] = len(of)
+        of.append(day)
+    return groups, place
 
 
 def calendar(text: str, key: bytes, back: bool = False) -> str | None:
-    """Days of 1900 to 2099 as year-month-day, or day and month in either order before the year (day first if both could be). One-digit days and months stay so."""
+    """Days of 1900 to 2099 as year-month-day, or day and month in either order before the year (day first if both could be).
+
+    A day becomes the same other day in every form, one of as many digits, above the twelfth if it is.
+    """
     parts = re.split(r"([-/.])", text)
     a, b, c = (int(p) for p in parts[::2])
-    forms = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
-    for form in forms:
+    for form in ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy"):
         y, m, d = {"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[form]
         try:
             day = date(y, m, d)
@@ -150,14 +184,10 @@ def calendar(text: str, key: bytes, back: bool = False) -> str | None:
             continue
         if not FIRST <= day <= LAST:
             return None
+        groups, place = _calendar()
+        of = groups[_like(day)]
+        new = of[permute(place[day], len(of), key, "day" + "".join(map(str, map(int, _like(day)))), back)]
         width = dict(zip(form, map(len, parts[::2])))
-
-        def ok(n: int, width=width, form=form) -> bool:
-            """A month-first day can only become one that reads month first too, and a one-digit part another of one digit."""
-            new = FIRST + timedelta(n)
-            return (form != "mdy" or new.day > 12) and (width["m"] > 1 or new.month < 10) and (width["d"] > 1 or new.day < 10)
-
-        new = FIRST + timedelta(until(ok, (day - FIRST).days, DAYS, key, "day-" + form, back))
         values = {"y": f"{new.year:04d}", "m": f"{new.month:0{width['m']}d}", "d": f"{new.day:0{width['d']}d}"}
         return parts[1].join(values[f] for f in form)
     return None
@@ -177,16 +207,45 @@ def iban(text: str, key: bytes, back: bool = False) -> str | None:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+# Hosts that are shared by so many that they name nobody.
+PROVIDERS = frozenset("aol.com fastmail.com gmail.com gmx.de gmx.net googlemail.com hotmail.com icloud.com laposte.net live.com mail.com msn.com orange.fr outlook.com proton.me protonmail.com t-online.de web.de yahoo.com yandex.ru".split())
+
+
 def mail(text: str, key: bytes, back: bool = False) -> str | None:
+    """Name and host, in any case one value; the host's last label stays, and so do hosts of common providers."""
     name, _, host = text.rpartition("@")
-    return f"{free_form(name, key, 'mail@' + host.lower(), back)}@{host}"
+    known = host.lower()
+    if known not in PROVIDERS:
+        own, _, top = known.rpartition(".")
+        other = free_form(own, key, "host." + top, back) + "." + top
+        if other in PROVIDERS:  # walked past, so that a host stays a host of its own
+            other = free_form(other.rpartition(".")[0], key, "host." + top, back) + "." + top
+    else:
+        other = known
+    new = free_form(name.lower(), key, "mail@" + (other if back else known), back)
+    return f"{_cased(new, name)}@{_cased(other, host)}"
+
+
+def _cased(text: str, like: str) -> str:
+    """text in capitals where `like`, of the same length, has them."""
+    return "".join(c.upper() if k.isupper() and len(c.upper()) == 1 else c for c, k in zip(text, like, strict=True)) if len(text) == len(like) else text
 
 
 HEX = {c: a for a in ("0123456789abcdef", "0123456789ABCDEF") for c in a}
 HEX |= {c: "0123456789abcdef" for c in "0123456789abcdef"}
 
 
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return sum(-n / len(text) * log2(n / len(text)) for n in Counter(text).values())
+
+
 def secret(text: str, key: bytes, back: bool = False) -> str | None:
+    """Values that no word of a sentence looks like: digits besides letters, or letters of both cases mixed, at 2.3 bits a character or more."""
+    letters, digits = sum(map(str.isalpha, text)), sum(map(str.isdigit, text))
+    mixed = bool(re.search("[a-z]", text[1:]) and re.search("[A-Z]", text[1:]))
+    if not (digits and letters or digits >= 8 or mixed) or entropy(text) < 2.3:
+        return None
     return free_form(text, key, "secret", back, HEX if re.fullmatch("[0-9a-f]+", text) else ALPHABET_OF)
 
 
@@ -203,6 +262,10 @@ DAY = re.compile(r"(?<![\w.+/-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1
 # In the order in which they claim their places.
 KINDS = (("mail", MAIL, mail, "@"), ("secret", SECRET, secret, ""), ("iban", IBAN, iban, "0"), ("card", CARD, card, "0"), ("phone", PHONE, phone, "0"), ("phone", FOREIGN, foreign_phone, "+"), ("social", SOCIAL, social, "0"), ("address", ADDRESS, address, "0"), ("date", DAY, calendar, "0"))
 DIGIT = re.compile("[0-9]")
+# Words right before an address or a date that make it none of a person.
+NUMBERED = re.compile(r"(?i)(?:\b(?:version|versión|ver|v|release|build|firmware|chapter|section|rfc)\.?[\s:#]*)$")
+PUBLIC = re.compile(r"(?i)(?:\b(?:version|release|released|published|updated|modified|posted|retrieved|accessed|copyright|©)(?: (?:on|at))?[\s:,]*)$")
+NOT_AFTER = {"address": NUMBERED, "date": PUBLIC}
 KEYWORD = re.compile(r"(?i)token|secret|pass|pwd|key|AKIA|gh[pousr]_|xox|sk-")
 
 
@@ -221,12 +284,20 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             group = next((g for g in ("v", "w") if g in pattern.groupindex and m[g] is not None), 0)
             a, b = m.span(group)
-            if any(a < y and x < b for x, y, _, _ in found):
+            if kind in NOT_AFTER and NOT_AFTER[kind].search(text, max(0, a - 24), a):
+                continue
+            if _taken(found, a, b):
                 continue
             new = _pseudonym(make, text[a:b], key)
             if new is not None:
-                found.append((a, b, kind, new))
-    return sorted(found)
+                insort(found, (a, b, kind, new))
+    return found
+
+
+def _taken(found: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
+    """Whether any of these places, which don't overlap and are in order, overlaps [a, b)."""
+    at = bisect_left(found, (b,))
+    return at > 0 and found[at - 1][1] > a
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
