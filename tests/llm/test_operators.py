@@ -169,18 +169,20 @@ def brute_hits(text, items, span=10):
     return len(w), len(inside), sorted(found)
 
 
-@pytest.mark.parametrize("block", [10**6, 20])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("bits,bound", [(28, 10**6), (1, 0)])
+def test_contamination(spark, bits, bound):
+    """Also with a map so small that it tells nothing, and with all joins shuffled."""
     rnd = random.Random(8)
     word = lambda: rnd.choice(["un", "deux", "Trois", "vier", "fünf", "six7", "x"])
-    items = [(i, " ".join(word() for _ in range(rnd.choice((3, 9, 10, 11, 25))))) for i in range(12)] + [(50, None), (51, "--- ..."), (None, "no id here at all")]
-    texts = [(i, ", ".join([word() for _ in range(rnd.randrange(30))] + (items[i % 12][1].split() if i % 3 else []) + [word() for _ in range(20)])) for i in range(30)] + [(100, None), (101, ""), (0, "x"), (None, items[3][1])]
+    items = [(i, " ".join(word() for _ in range(rnd.choice((3, 9, 10, 11, 25))))) for i in range(12)] + [(50, None), (51, "--- ..."), (None, "no id here at all"), (None, "nor here")]
+    texts = [(i, ", ".join([word() for _ in range(rnd.randrange(30))] + (items[i % 12][1].split() if i % 3 else []) + [word() for _ in range(20)])) for i in range(30)] + [(100, None), (101, ""), (0, "x"), (None, items[3][1]), (200, "Nor, here!"), (7, items[4][1]), (7, items[4][1])]
     docs = spark.createDataFrame([(i, t, "q") for i, t in texts], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(docs, bench, block=block).collect()
-    want = [(i, *brute_hits(t, [x for x in items if x[0] is not None])) for i, t in texts]
+    got = decontam.contamination(docs, bench, map_bits=bits, max_broadcast_rows=bound).collect()
+    want = [(i, *brute_hits(t, items)[:2], brute_hits(t, [x for x in items if x[0] is not None])[2]) for i, t in texts]
     assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in got), key=str) == sorted(want, key=str)
-    assert decontam.contamination(docs, bench.limit(0), block=block).where("size(spans) > 0").count() == 0
+    assert decontam.contamination(docs.limit(0), bench).count() == 0
+    assert decontam.contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
 def test_winnow_keeps_one_in_every_window():

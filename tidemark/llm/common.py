@@ -31,13 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A folder for one run's use in the shared folder; it is deleted when the application ends, if it wasn't before."""
+    name = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage at files that survive a lost executor.
+    This cuts the lineage at files that survive a lost executor, and that live until discard() or the end of the application.
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)

@@ -3,8 +3,12 @@
 Both sides are words (digits, ASCII letters in lower case, all characters beyond ASCII). Of the hashes of
 K consecutive words, each window of SPAN - K + 1 hashes keeps its least, the last of equals. Two texts that
 share SPAN words share the kept hash of that window, so a join of kept hashes finds every shared span; each
-hit is then extended to the spans of SPAN words around it and looked up among the items' own windows.
-Items of fewer than SPAN words are one window of their length and are looked up whole.
+hit is then extended to the spans of SPAN words around it, which are joined with the items' own windows by their words.
+Items of fewer than SPAN words are one window of their length; its hash is joined with those of all runs of that length.
+
+One pass reads the documents. Its tasks look each fingerprint up in a bit map of the benchmark's before they pass it on
+with the words around it, so that little but hits is shuffled; the map has a fixed largest size, and where the benchmark
+outgrows it more fingerprints are passed on, to the same result.
 """
 
 from __future__ import annotations
@@ -13,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, without
+from .common import MAX_BROADCAST_ROWS, discard, materialize, small, text_key, without
 from .words import run_hashes, word_hashes
 
 SPAN, K = 10, 5
-# Windows of the benchmark that one pass over the documents looks up: 50 MB of hashes on each worker.
-BLOCK_WINDOWS = 1_000_000
+# The bit map has 32 bits for each fingerprint, up to 2 ** MAP_BITS of them (32 MB).
+MAP_BITS = 28
 _U = np.uint64
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -39,145 +43,133 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
 
 
-def windows(items: DataFrame, span: int, k: int, item_id: str, text: str) -> DataFrame:
-    """(item_id, n, hash, kept) of each item: its windows of n words; kept marks winnowed K-word hashes instead."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(t)
-                if not words or item is None:
-                    continue
-                h = word_hashes(words)
-                n = min(span, len(words))
-                out += [(item, n, x, False) for x in np.unique(run_hashes(h, n)).view(np.int64).tolist()]
-                if n == span:
-                    runs = run_hashes(h, k)
-                    out += [(item, k, x, True) for x in np.unique(runs[winnow(runs, span - k + 1)]).view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, [pa.string(), pa.int32(), pa.int64(), pa.bool_()])], ["item_id", "n", "hash", "kept"])
-
-    return items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "item_id string, n int, hash long, kept boolean")
-
-
-class Index:
-    """Sorted hashes of a block of items, and which items have each window."""
-
-    def __init__(self, rows: pa.Table):
-        item, n, h, kept = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("item_id", "n", "hash", "kept"))
-        h, kept = h.astype(np.int64).view(_U), kept.astype(bool)
-        self.kept = np.unique(h[kept])
-        self.whole: dict[int, tuple] = {}
-        for size in np.unique(n[~kept]).tolist():
-            of = np.flatnonzero(~kept & (n == size))
-            of = of[np.argsort(h[of], kind="stable")]
-            hashes, at = np.unique(h[of], return_index=True)
-            self.whole[int(size)] = (hashes, np.append(at, len(of)), item[of])
-
-
-def _found(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x of values that sorted_ has, and their places there."""
-    if not len(sorted_) or not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    hit = np.flatnonzero(sorted_[at] == x)
-    return hit, at[hit]
-
-
-def hits(words: list[bytes], index: Index, span: int, k: int) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged ranges [start, end) of the words inside any window, and the items that have one here."""
+def fingerprints(words: list[bytes], span: int, k: int, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, hashes): for n = span the winnowed k-word hashes, for each shorter n in sizes those of all runs of n words."""
     h = word_hashes(words)
-    starts: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    items: set[str] = set()
-    for size, (hashes, cut, names) in index.whole.items():
-        if size > len(h):
+    for n in sizes:
+        if n > len(h):
             continue
-        if size == span:
-            runs = run_hashes(h, k)
-            kept = winnow(runs, span - k + 1)
-            at = kept[_found(index.kept, runs[kept])[0]]
-            if not len(at):
-                continue
-            at = np.unique((at[:, None] - np.arange(span - k + 1)).ravel())
-            at = at[(at >= 0) & (at <= len(h) - span)]
-            tried = run_hashes(h, span)[at]
+        if n < span:
+            yield n, np.arange(len(h) - n + 1), run_hashes(h, n) ^ _U(n)
         else:
-            at, tried = np.arange(len(h) - size + 1), run_hashes(h, size)
-        hit, where = _found(hashes, tried)
-        if len(hit):
-            starts.append(at[hit])
-            sizes.append(np.full(len(hit), size))
-            for w in np.unique(where).tolist():
-                items.update(names[cut[w] : cut[w + 1]])
-    if not starts:
-        return [], items
-    change = np.zeros(len(h) + 1, np.int64)
-    begin = np.concatenate(starts)
-    np.add.at(change, begin, 1)
-    np.add.at(change, begin + np.concatenate(sizes), -1)
-    inside = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]])
-    edge = np.diff(inside)
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())), items
-
-
-HITS = "doc_id long, row_key long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-
-def scan(docs: DataFrame, index: Index, span: int, k: int, only_hits: bool) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
+            runs = run_hashes(h, k)
+            at = winnow(runs, span - k + 1)
+            yield n, at, runs[at]
+
+
+def joined(words: list[bytes], a: int, b: int) -> str:
+    return b" ".join(words[max(0, a) : b]).decode()
+
+
+_STRINGS = pa.list_(pa.string())
+ITEMS = "row long, n int, prints array<long>, runs array<string>"
+
+
+def item_windows(items: DataFrame, span: int, k: int, text: str) -> DataFrame:
+    """Of every item with words: the length n of its windows, its different fingerprints, and its different windows as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
         for batch in batches:
-            out = []
-            for doc, key, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(t)
-                spans, items = hits(words, index, span, k) if words else ([], set())
-                if spans or not only_hits:
-                    out.append((doc, key, len(words), [{"start": a, "end": b} for a, b in spans], sorted(items)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, [pa.int64(), pa.int64(), pa.int64(), _SPAN, pa.list_(pa.string())])], ["doc_id", "row_key", "n_words", "spans", "items"])
+                if words:
+                    n = min(span, len(words))
+                    ((_, _, prints),) = fingerprints(words, span, k, [n])
+                    runs = sorted({joined(words, i, i + n) for i in range(len(words) - n + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([n], pa.int32()), pa.array([np.unique(prints).view(np.int64)], pa.list_(pa.int64())), pa.array([runs], _STRINGS)], ["row", "n", "prints", "runs"])
 
-    return docs.mapInArrow(run, HITS)
+    return items.select("row", F.col(text).alias("text")).mapInArrow(run, ITEMS)
 
 
-def _merged(spans: list) -> list:
-    out: list = []
-    for s in sorted(spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s[1]))
-        else:
-            out.append((s[0], s[1]))
-    return out
+def bit_map(prints: DataFrame, bits: int) -> np.ndarray:
+    """Which low `bits` of hashes occur, as 64-bit words. Spark makes the words; their number is bounded by 2 ** (bits - 6)."""
+    words = prints.select(F.expr(f"shiftright(hash & {(1 << bits) - 1}L, 6)").alias("at"), F.expr("shiftleft(1L, cast(hash & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(_U)
+
 
+def in_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & _U(64 * len(words) - 1)
+    return (words[(low >> _U(6)).astype(np.int64)] >> (low & _U(63)) & _U(1)).astype(bool)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block: int = BLOCK_WINDOWS, keyed: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, spans (merged ranges of hit words), items (sorted, as strings).
 
-    The benchmark's hashes are looked up from memory in blocks of whole items with at most about `block`
-    windows, one pass over the documents each (one, while the benchmark is as small as benchmarks are);
-    what several passes find of a document is joined. Null texts have no words, items without words or
-    id no windows. Rows that repeat a doc_id each keep a row; a null doc_id stays null. Empty tables give no rows
+FOUND = "doc_id long, text_key long, n_words long, found array<struct<n:int,hash:long,at:int,place:int,words:string>>"
+_FOUND = pa.list_(pa.struct([("n", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("place", pa.int32()), ("words", pa.string())]))
+
+
+def scan(docs: DataFrame, held: np.ndarray, sizes: list[int], span: int, k: int) -> DataFrame:
+    """Of every document its number of words and the fingerprints that the map has: n, hash, and the words from `at` on that any window with it can have, itself at `place`."""
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                some = batch.slice(a, 256)
+                n_words, found = [], []
+                for t in some.column(2).to_pylist():
+                    words = words_of(t)
+                    n_words.append(len(words))
+                    hits: list[dict] = []
+                    for n, places, hashes in fingerprints(words, span, k, sizes):
+                        for i in np.flatnonzero(in_map(held, hashes)).tolist():
+                            p = int(places[i])
+                            left, right = (p - (span - k), p + span) if n == span else (p, p + n)
+                            hits.append({"n": n, "hash": int(hashes[i].view(np.int64)), "at": max(0, left), "place": p, "words": joined(words, left, right)})
+                    found.append(hits)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], ["doc_id", "text_key", "n_words", "found"])
+
+    return docs.mapInArrow(run, FOUND)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, map_bits: int = MAP_BITS, max_broadcast_rows: int = MAX_BROADCAST_ROWS, keyed: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_words, spans (merged ranges of hit words), items (different, sorted, as strings).
+
+    Null and empty texts have no words, items without words no windows. The windows of items without an id count
+    for spans, but name no item. Rows that repeat a doc_id each keep a row; a null doc_id stays null. Documents and items of any length
+    are read whole; one very long document's hits are rows of their own until they are merged. Empty tables give no rows
     or no hits; other columns aren't read. With keyed each row also has its text_key.
     """
-    own = [F.col("row_key").alias("text_key")] if keyed else []
-    rows = materialize(windows(benchmark, span, k, item_id, item_text), "windows")
-    blocks = max(1, -(-rows.count() // block))
-    todo = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("text"))
-    dealt = rows.distinct().withColumn("at", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    of = lambda i: Index(dealt.where(F.col("at") == i).drop("at").toArrow())  # noqa: E731  a block is bounded
-    if blocks == 1:
-        return scan(todo, of(0), span, k, False).select("doc_id", "n_words", "spans", "items", *own)
-    passes = [materialize(scan(todo, of(i), span, k, True), "hits") for i in range(blocks)]
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
-    merge = F.udf(_merged, "array<struct<start:int,end:int>>")
-    found = found.groupBy("row_key").agg(merge(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    empty = Index(rows.limit(0).toArrow())
-    base = scan(todo, empty, span, k, False).select("doc_id", "row_key", "n_words")
-    return base.join(small(materialize(found, "hits")), "row_key", "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *own)
+    rows = materialize(benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"), F.monotonically_increasing_id().alias("row")), "items")
+    made = materialize(item_windows(rows, span, k, "text"), "item-windows")
+    prints = materialize(made.select("n", F.explode("prints").alias("hash")).distinct(), "prints")
+    sizes = sorted(r.n for r in made.select("n").distinct().collect())  # span of them at most
+    many = prints.count()
+    held = bit_map(prints, max(6, min(map_bits, (32 * many).bit_length())))
+
+    todo = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text), F.col(text).alias("text"))
+    seen = materialize(scan(todo, held, sizes, span, k), "scanned")
+    # Equal texts under one id have equal hits, which are found once.
+    hits = seen.where(F.size("found") > 0).select("doc_id", "text_key", F.explode("found").alias("f")).select("doc_id", "text_key", "f.*").distinct()
+    hits = materialize(hits.join(small(prints, max_broadcast_rows), ["n", "hash"], "left_semi"), "hits")
+
+    # Extension: every window of n words that holds the place, by its words among the items' windows.
+    words = F.split("words", " ")
+    tried = hits.select("doc_id", "text_key", "n", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - F.col("n") + 1), lambda i: F.array_join(F.slice(words, i, F.col("n")), " "))).alias("i", "run"))
+    tried = tried.select("doc_id", "text_key", "n", (F.col("at") + F.col("i")).alias("start"), "run").distinct()
+    item_runs = made.select("row", "n", F.explode("runs").alias("run"))
+    known = materialize(item_runs.select("n", "run").distinct(), "runs")
+    exact = materialize(tried.join(small(known, max_broadcast_rows), ["n", "run"], "left_semi"), "exact")
+
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = exact.select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("end")).distinct().withColumn("fresh", F.when(before >= F.col("start"), 0).otherwise(1))
+    spans = spans.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+    # Which items: first those that have a window that was hit at all, then by document, each once.
+    used = exact.select("n", "run").distinct()
+    named = item_runs.join(used, ["n", "run"], "left_semi").join(rows.select("row", "item_id").where("item_id is not null"), "row").select("n", "run", "item_id").distinct()
+    named = materialize(named, "named")
+    items = exact.select("doc_id", "text_key", "n", "run").distinct().join(small(named, max_broadcast_rows), ["n", "run"]).select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+
+    same = lambda side: F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & F.col("d.text_key").eqNullSafe(F.col(f"{side}.text_key"))
+    both = materialize(spans.alias("d").join(items.alias("i"), same("i"), "left").select("d.doc_id", "d.text_key", "spans", "items"), "contaminated-documents")
+    out = seen.select("doc_id", "text_key", "n_words").alias("d").join(small(both, max_broadcast_rows).alias("b"), same("b"), "left")
+    for df in (made, rows, prints, hits, known, exact, named):
+        discard(df)
+    return out.select("d.doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *([F.col("d.text_key").alias("text_key")] if keyed else []))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
