@@ -344,3 +344,35 @@ def test_forms_of_personal_data(text, kind, value):
 @pytest.mark.parametrize("text", ["mytoken = abcdef123456", "on 31/4/2020", "2024-01-05Tuesday", "+5 1 2 3", "13/13/2020"])
 def test_forms_that_are_none(text):
     assert pii.find(text, KEY) == []
+
+
+def best_rule(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = [(len(h), len(p), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit, default=(0, 0, "allow", None))[:1:-1]
+
+
+def test_nested_rules_and_hot_hosts(spark):
+    """Rules nested and side by side under one host, many pages of it in several sweeps, nothing broadcast."""
+    rnd = random.Random(6)
+    path = lambda n: "/" + "".join(rnd.choice("ab/é") for _ in range(rnd.randrange(n)))
+    rules = sorted({(h, path(5)): (h, path(5), rnd.choice(("allow", "block"))) for h in ("com", "a.com", "b.a.com", "net") for _ in range(12)}.values())
+    rules = [*rules, *((h, p, v) for (h, p), v in {("a.com", "/a"): "block", ("a.com", "/ab"): "allow", ("a.com", "/abb"): "block"}.items())]
+    once = {(h, p): max(v for a, b, v in rules if (a, b) == (h, p)) for h, p, _ in rules}
+    rules = [(h, p, v) for (h, p), v in once.items()]
+    urls = [f"http://{rnd.choice(('com', 'a.com', 'x.a.com', 'b.a.com', 'y.b.a.com', 'net', 'org', 'aa.com'))}{path(9)}" for _ in range(400)] + ["http://a.com/ab" + "b" * 50_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [best_rule(u, rules) for u in urls]
+    for bound in (10**6, 0):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, url_rules.rule_table(spark, rules), share=20, max_broadcast_rows=bound).collect()}
+        assert [got[i] for i in range(len(urls))] == want
+
+
+def test_many_rules_of_one_host(spark):
+    rules = spark.range(100_000).selectExpr("'example.com' as host", "concat('/', lpad(cast(id as string), 6, '0'), '/') as path", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://www.example.com/', lpad(cast(id * 333 as string), 6, '0'), '/x') as url")
+    got = url_rules.judge(pages, rules, default="none").collect()
+    assert len(got) == 300 and all(r.rule == f"example.com/{r.page_id * 333:06d}/" and r.verdict == ("block" if r.page_id * 333 % 2 == 0 else "allow") for r in got)
