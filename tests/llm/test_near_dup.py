@@ -78,3 +78,17 @@ def test_odd_rows(spark):
     kept = near_dup.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 7, 7]
+
+
+def test_one_bucket_of_many_unlinked_texts(spark):
+    """Texts alike in half of their shingles share buckets but no link; among them a few pairs that are linked with one another, not with the leader."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(60)]
+    texts = [common + [word() for _ in range(45)] for _ in range(150)]
+    texts += [t[:-1] + [word()] for t in texts[100:120]] + [t[:-3] + [word()] for t in texts[110:125]]
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    # Bands of one coordinate put nearly all texts into common buckets.
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_dup(docs, bands=40, rows=1).collect()}
+    assert got == brute(data, 85)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, discard, materialize, small, text_key, without
@@ -143,6 +143,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def beyond_leaders(tried: DataFrame, placed: DataFrame, comp: DataFrame, links: DataFrame, percent: int, max_broadcast_rows: int) -> DataFrame:
+    """Components with the links between members of one bucket that its leader doesn't show.
+
+    D(y), the shingles that just one of y and the leader L has, tells two members apart as their sets do: y and c differ in |D(y) ^ D(c)|
+    shingles, and are linked if those are at most s * (|y| + |c|), s = (100 - percent) / (100 + percent). At least one of two members of
+    different components isn't linked with L; call it y, so |D(y)| > s * (|y| + |L|). A linked c then shares some of D(y), and
+
+        |D(y) - D(c)| <= p(y) = min(h(y), (|D(y)| + s * (|y| + |L|)) / 2)
+        |D(c) - D(y)| <= p(c) = min(h(c), (|D(c)| + s * (|c| - |L|)) / 2),    h(x) = |x| * (100 - percent) / percent
+
+    so that in any one order of all shingles the first p + 1 of both have one in common. Rarest first, so that what many
+    members share comes last, this makes a join on (leader, shingle) with few pairs that aren't linked; each is tried on the whole of both D.
+    Shingles that only members of one component have are passed over. Nothing here grows with the square of a bucket but pairs that share a rare difference.
+    """
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    member = placed.join(open_, "key", "left_semi").where(F.col("node") != F.col("x")).select("x", "x_n", "node", "n", "component").distinct()
+    lead = placed.where(F.col("node") == F.col("x")).select("x", F.col("component").alias("x_component")).distinct()
+    none = F.array().cast("array<long>")
+    told = tried.select("x", F.col("y").alias("node"), F.concat(F.coalesce("beyond", none), F.coalesce("lacks", none)).alias("d"), "linked")
+    member = materialize(member.join(lead, "x").join(told, ["x", "node"]).withColumn("m", F.size("d")), "open-members")
+    s = F.lit((100 - percent) / (100 + percent))
+    # As whole numbers may come out a little low in floating point, a bit is added; longer prefixes are as exact.
+    cap = F.col("n") * ((100 - percent) / percent)
+    as_c = F.floor(F.least(cap, (F.col("m") + s * (F.col("n") - F.col("x_n"))) / 2) + 1e-6).cast("int") + 1
+    as_y = F.floor(F.least(cap, (F.col("m") + s * (F.col("n") + F.col("x_n"))) / 2) + 1e-6).cast("int") + 1
+
+    items = member.select("x", "node", "component", "linked", as_c.alias("as_c"), as_y.alias("as_y"), F.explode("d").alias("item"))
+    often = items.groupBy("x", "item").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    often = materialize(often.where("often > 1"), "often")
+    # What one member alone has comes first and finds nobody, but takes its places.
+    places = items.join(often, ["x", "item"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    places = places.withColumn("place", F.row_number().over(Window.partitionBy("x", "node").orderBy("often", "item")))
+    places = materialize(places.where((F.col("place") <= F.greatest("as_c", "as_y")) & (F.col("low") != F.col("high"))).select("x", "item", "node", "component", "linked", F.col("place") <= F.col("as_c"), F.col("place") <= F.col("as_y")).toDF("x", "item", "node", "component", "linked", "c", "y"), "places")
+    y = places.where("y and not linked").select("x", "item", F.col("node").alias("y"), F.col("component").alias("y_component"))
+    c = places.where("c").select("x", "item", F.col("node").alias("c"), F.col("component").alias("c_component"))
+    near = materialize(y.join(c, ["x", "item"]).where("y != c and y_component != c_component").select("x", "y", "c").distinct(), "near")
+    d = member.select("x", "node", "n", "m", "d")
+    both = near.join(d.toDF("x", "y", "y_n", "y_m", "y_d"), ["x", "y"]).join(d.toDF("x", "c", "c_n", "c_m", "c_d"), ["x", "c"])
+    apart = F.col("y_m") + F.col("c_m") - 2 * F.size(F.array_intersect("y_d", "c_d"))
+    more = materialize(both.where((100 + percent) * apart <= (100 - percent) * (F.col("y_n") + F.col("c_n"))).select(F.col("y").alias("x"), F.col("c").alias("y")).distinct(), "more-links")
+    if more.limit(1).count():
+        comp = components(links.unionByName(more)).withColumnRenamed("id", "node")
+    for df in (member, often, places, near):
+        discard(df)
+    return comp
+
+
 def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS, keyed: bool = False) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, with keyed its text_key.
 
@@ -150,10 +197,8 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
        (node) of its own, since several sets may have the same least doc_id.
     2. In each bucket (band and key) every member is tried on its full set with its leader, the member whose buckets are
        the largest and so most likely the text that the others come from. Links make components.
-    3. What tells a member from its leader (shingles beyond it and lacking of it) gives the exact intersection of any two
-       members: the leader's size, less those that either lacks, plus those beyond it that both have. In buckets that
-       still hold several components a join on the bucket tests its pairs across components by that and makes rows for
-       links only; pairs within one component can change nothing and aren't tested.
+    3. Members of buckets that still hold several components are joined by what tells them from their leader, see
+       beyond_leaders(); pairs within one component can change nothing and aren't tested.
 
     Texts that are null or have no word have no shingle, are linked with nothing and stay. A row without
     doc_id takes part only through an equal set: it gets that class's component, or null, and stays if null.
@@ -175,24 +220,8 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     comp = components(links).withColumnRenamed("id", "node")
 
     placed = materialize(live.select("key", "x", "x_n", "node", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    held = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    open_ = materialize(held.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main")).where("components > 1").select("key", "main"), "open")
-    none = F.array().cast("array<long>")
-    told = tried.select("x", F.col("y").alias("node"), "beyond", "lacks")
-    member = placed.join(open_, "key").join(told, ["x", "node"], "left").where(F.col("beyond").isNotNull() | (F.col("node") == F.col("x")))
-    member = materialize(member.select("key", "node", "n", "x_n", "component", "main", F.coalesce("beyond", none).alias("beyond"), F.coalesce("lacks", none).alias("lacks")), "open-members")
-    c = {name: F.col(f"c.{name}") for name in member.columns}
-    y = {name: F.col(f"y.{name}") for name in member.columns}
-    need = F.lit(percent) * (c["n"] + y["n"])
-    most = F.least(y["n"] - F.size(y["beyond"]), c["n"] - F.size(c["beyond"])) + F.least(F.size(y["beyond"]), F.size(c["beyond"]))
-    both = y["x_n"] - F.size(y["lacks"]) - F.size(c["lacks"]) + F.size(F.array_intersect(y["lacks"], c["lacks"])) + F.size(F.array_intersect(y["beyond"], c["beyond"]))
-    enough = F.when(most * (100 + percent) >= need, both * (100 + percent) >= need).otherwise(False)
-    across = (c["component"] != y["component"]) & ((c["component"] == y["main"]) | (y["node"] < c["node"]))
-    more = member.where("component != main").alias("y").join(member.alias("c"), (y["key"] == c["key"]) & across & enough).select(y["node"].alias("x"), c["node"].alias("y")).distinct()
-    more = materialize(more, "more-links")
-    if more.limit(1).count():
-        comp = components(links.unionByName(more)).withColumnRenamed("id", "node")
-    for df in (sizes, live, heads, weights, pairs, placed, open_, member):
+    comp = beyond_leaders(tried, placed, comp, links, percent, max_broadcast_rows)
+    for df in (sizes, live, heads, weights, pairs, placed):
         discard(df)
 
     linked = materialize(classes.drop("bands").join(comp, "node", "left").where("copies > 1 or component is not null"), "linked")
