@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import decontam, exact_dedup, html_text, huffman, lang_id, packing, pii, quality, token_files, tokens, url_rules
+from tidemark.llm import common, decontam, exact_dedup, html_text, huffman, lang_id, packing, pii, quality, token_files, tokens, url_rules
 from tidemark.llm.dom import parse
 
 PATH = tokens.default_path()
@@ -74,6 +74,19 @@ def test_token_files(spark):
     assert token_files.round_trip(docs_of(spark).limit(0), PATH).count() == 0
 
 
+def test_token_files_in_many_parts(spark):
+    """One id in a third of all rows, several parts: file names ascend with the ids, starts have no gaps."""
+    rows = [(7 if i % 3 == 0 else i, f"text {i % 5} of it " * (i % 40)) for i in range(300)]
+    path = common.new_path(spark, "corpus")
+    token_files.write(docs_of(spark, rows), path, PATH, part_bytes=2000)
+    got = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    parts = sorted((r.file, r.doc_id[0], r.doc_id[-1]) for r in spark.read.parquet(f"{path}/blocks").selectExpr("_metadata.file_name as file", "doc_id").collect())
+    assert len(parts) > 3 and all(a[2] <= b[1] for a, b in zip(parts, parts[1:]))
+    want = sorted((i, np.array([*library_ids(t, tokens.encoder(PATH).tokenizer), 0], "<u4").tobytes()) for i, t in rows)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
+
+
 @given(st.lists(st.integers(1, 10**6), min_size=1, max_size=200), st.integers(8, 16))
 @settings(max_examples=100, deadline=None)
 def test_code_lengths(counts, most):
@@ -134,6 +147,19 @@ def test_best_fit_holds_every_capacity(rule):
     assert len(np.unique(loose)) <= -(-lengths.sum() // 64) * 1.03 + 1
 
 
+def test_the_vector_decides():
+    """After 40 | 20 20 the piece of 10 fits both bins to the last token: by cost the fuller one is that of 40, by documents that of two pieces."""
+    place = lambda w: packing.best_fit(np.array([40, 20, 20, 10]), 50, 50, 2500, w)[0].tolist()
+    assert place((1.0, 0.0, 1.0)) == [0, 1, 1, 0] and place((1.0, 1.0, 0.0)) == [0, 1, 1, 1]
+
+
+def test_packing_is_no_worse_than_by_tokens_alone():
+    rnd = np.random.default_rng(5)
+    lengths = np.concatenate([np.minimum(rnd.lognormal(5.5, 1.2, 3000).astype(int) + 1, 1024), rnd.integers(1, 1025, 1000)])
+    count = lambda w, rule: packing.best_fit(lengths, 1024, 1024, 1024**2, w, rule)[0].max()
+    assert min(count(w, r) for w, r in packing.CHOICES) <= count((1.0, 0.0, 0.0), "norm")
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/x?q", "https://www.Example.COM/en/", "http://x.www.example.com/en/y", "ftp://site.net/es/", "http://net/fr/#a", "http://com", "http://xcom/", "nothing", None, "://", "http://.com/", "http://example.com?/en/", "a://b.net/es", "http://com.", "http://Ünet.net/es/1"]
     rows = [(i, u, "x", "y") for i, u in enumerate(urls)] + [(None, "http://com/", "x", "y"), (0, urls[0], "x", "y")]

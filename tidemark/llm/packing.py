@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import materialize
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,16 +37,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, doc_id: str
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
+# How a bin's fit is weighed: tokens, documents, attention cost, and the rule. A group is packed by each, and the fewest sequences are kept.
+CHOICES = (((1.0, 0.002, 0.02), "norm"), ((1.0, 0.05, 0.2), "norm"), ((1.0, 0.01, 0.05), "dot"))
+
+
 def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_cost: int, weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece, longest first.
 
     A piece needs its tokens, one document and its attention cost (length squared). Among the open
     bins that hold all three, the one is taken whose residual after it has the least weighted norm
-    (rule "norm"), or whose residual has the largest weighted dot product with the piece ("dot").
+    (rule "norm"), or whose residual before it is nearest to the piece in direction, by weighted dot product as a share of its norm ("dot").
     Ties go to the oldest bin.
     """
     cap = np.array([size, max_docs, max_cost], np.float64)
-    weight = np.array(weights, np.float64)
+    weight = np.array(weights, np.float64)[:, None]
     order = np.argsort(-lengths, kind="stable")
     least = int(lengths.min(initial=size))
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -57,9 +61,11 @@ def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_cost: int, weigh
         open_ = left[:, :n]
         fits = np.flatnonzero((open_[0] >= item[0]) & (open_[1] >= 1) & (open_[2] >= item[2])) if n else ()
         if len(fits):
-            rest = open_[:, fits] / cap[:, None]
-            share = (item / cap)[:, None]
-            at = fits[int(np.argmin(weight @ (rest - share) ** 2)) if rule == "norm" else int(np.argmax(weight @ (rest * share)))]
+            rest, share = open_[:, fits] / cap[:, None], (item / cap)[:, None]
+            if rule == "norm":
+                at = fits[int((weight * (rest - share) ** 2).sum(0).argmin())]
+            else:
+                at = fits[int(((weight * rest * share).sum(0) / (weight * rest**2).sum(0)).argmax())]
         else:
             if n == len(names):
                 left, names = np.concatenate([left, np.empty_like(left)], 1), np.concatenate([names, np.empty_like(names)])
@@ -73,23 +79,24 @@ def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_cost: int, weigh
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm", group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, max_docs: int | None = None, max_cost: int | None = None, choices: tuple = CHOICES, group: int = GROUP) -> DataFrame:
     """Every piece of every document, with the sequence that it goes to and its offset there.
 
-    Bins hold `size` tokens, max_docs pieces and max_cost attention cost; by default the last two
-    never bind. Pieces are dealt by hash into groups of about `group`, each packed by itself; every
-    group fills its bins nearly to the end, so the groups cost next to nothing. Null text counts as
-    empty (the end id alone), a null doc_id is kept, repeated rows are packed each for itself, an
-    empty table gives no rows, other columns aren't read.
+    Bins hold `size` tokens, max_docs pieces (by default as many as there are tokens) and max_cost attention cost (by
+    default that of one piece of `size`); a piece takes its share of all three. Pieces are dealt by row into groups of about `group`, each packed by
+    itself under every choice of weights and rule, of which the first with the fewest sequences is kept; every group fills its
+    bins nearly to the end, so the groups cost next to nothing. Null text counts as empty (the end id alone), null and repeated
+    ids and repeated rows are packed each for itself, documents of any length are cut into pieces, an empty table gives no rows, other columns aren't read.
     """
-    cut = materialize(pieces(docs, tokenizer, end_id, size), "pieces")
+    cut = materialize(pieces(docs, tokenizer, end_id, size).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group))
     docs_cap, cost_cap = max_docs or size, max_cost or size * size
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = best_fit(rows["length"].to_numpy(), size, docs_cap, cost_cap, weights, rule)
+        rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
+        tried = (best_fit(rows["length"].to_numpy(), size, docs_cap, cost_cap, weights, rule) for weights, rule in choices)
+        bins, offsets = min(tried, key=lambda t: t[0].max(initial=-1))
         return rows[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
-    dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return dealt.groupBy("bin_group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
