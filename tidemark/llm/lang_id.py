@@ -55,7 +55,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def profiles(docs: DataFrame, top: int = PROFILE, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, place, code): the ranked profile of each non-null lang, counted over all docs."""
+    """(lang, place, code): the ranked profile of each non-null lang, counted over all docs. Texts are counted whole, whatever their length; null ones have nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -73,7 +73,7 @@ def profiles(docs: DataFrame, top: int = PROFILE, text: str = "text", lang: str
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
             waiting: dict[str, list[np.ndarray]] = {}
             size = 0
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -126,9 +126,9 @@ def identify(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text:
     model = docs.sparkSession.sparkContext.broadcast(Ranks(profiles(training, top).collect(), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.value.nearest(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for some in (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256)):
+            got = [model.value.nearest(t) for t in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 

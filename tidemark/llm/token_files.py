@@ -1,10 +1,11 @@
 """Token ids of whole corpora in Huffman-coded files, written in ascending document order.
 
-The files of a corpus are two Parquet folders: `codebook` (id, bits), the lengths of a canonical
-code made from the global counts of the ids, and `blocks`, one row for each run of whole documents:
+The files of a corpus are three Parquet folders: `codebook` (id, bits), the lengths of a canonical code made from the
+global counts of the ids; `parts` (part, base), how many ids lie before each part; and `blocks`, whose files
+are the parts in ascending order, one row for each run of whole documents:
 
-    part, seq     place of its first document (a range of ids, and the rank within it)
-    start         ids of all documents before the block
+    part, seq     the part, and the rank of the block's first document within it
+    before        ids of the part's documents before the block
     doc_id        array of the documents, ascending
     n_tokens      array of their numbers of ids
     payload       the codes of all ids, one after another
@@ -21,36 +22,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, new_path, shuffle_partitions
+from .common import discard, materialize, new_path, text_key
 from .huffman import Coder, code_lengths
 from .tokens import encoder
 
-TOKENS = "part int, seq long, doc_id long, before long, n_tokens int, ids binary"
-BLOCK = "part int, seq long, start long, doc_id array<long>, n_tokens array<int>, payload binary, spans binary"
+TOKENS = "doc_id long, text_key long, n_tokens int, ids binary"
+BLOCK = "part int, seq long, before long, doc_id array<long>, n_tokens array<int>, payload binary, spans binary"
 MAX_BITS = 16
 BLOCK_IDS = 1 << 18
+# Bytes of ids in a part.
+PART_BYTES = 32 << 20
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """Ids by document over ranges of doc_id; `before` counts the ids before it within its range."""
-    parts = shuffle_partitions(docs.sparkSession)
+    """Ids by document, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq, before = encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1)
-            for k in range(0, len(texts), 256):
-                ids = [x + end for x in enc.ids([t or "" for t in texts[k : k + 256].to_pylist()])]
-                n = np.array([len(x) for x in ids], np.int64) // enc.dtype.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(range(seq, seq + len(ids)), pa.int64()), batch.column(0)[k : k + 256].cast(pa.int64()), pa.array(before + np.cumsum(n) - n), pa.array(n, pa.int32()), pa.array(ids, pa.binary())],
-                    ["part", "seq", "doc_id", "before", "n_tokens", "ids"],
-                )
-                seq, before = seq + len(ids), before + int(n.sum())
+            for k in range(0, len(batch), 256):
+                ids = [x + end for x in enc.ids([t or "" for t in batch.column(2)[k : k + 256].to_pylist()])]
+                n = [len(x) // enc.dtype.itemsize for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], batch.column(1)[k : k + 256], pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_key", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, TOKENS)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text), F.col(text).alias("text")).mapInArrow(run, TOKENS)
 
 
 def counts(tokens: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +55,8 @@ def counts(tokens: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, dtype = np.zeros(1 << 16, np.int64), encoder(path).dtype
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(ids, dtype))
+            for ids in batch.column(0):
+                got = np.bincount(np.frombuffer(ids.as_buffer(), dtype))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -71,63 +67,68 @@ def counts(tokens: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.id for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> None:
     """Write the ids of all docs to `path`.
 
-    Null text counts as empty, null doc_id comes first; rows that repeat a doc_id stay next to one
-    another, ordered by a hash of the text. An empty table gives an empty corpus. Other columns of
-    docs, whatever their names, aren't read.
+    Texts are tokenized where they are read; their ids are then sorted by ranges of (doc_id, hash of the text, row), as many as
+    `part_bytes` of ids ask for, so that no id, however often it occurs, makes a part of its own. Null text counts as empty, null
+    doc_id comes first; rows that repeat a doc_id stay next to one another. A document of any length is in one block. An
+    empty table gives an empty corpus. Other columns of docs, whatever their names, aren't read.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer, end_id, doc_id, text), "ids")
+    tokens = materialize(tokenize(docs, tokenizer, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "ids")
     symbols, n = counts(tokens, tokenizer)
     bits = code_lengths(n, max(MAX_BITS, int(len(n)).bit_length()))
     spark.createDataFrame(list(zip(symbols.tolist(), bits.tolist())), "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    ends = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a partition
-    base, total = {}, 0
-    for part in sorted(ends):
-        base[part], total = total, total + ends[part]
+    parts = max(1, -(-int(n.sum()) * encoder(tokenizer).dtype.itemsize // part_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, dtype = Coder(symbols, bits), encoder(tokenizer).dtype
+        coder, dtype, part = Coder(symbols, bits), encoder(tokenizer).dtype, TaskContext.get().partitionId()
         held: list[tuple] = []
+        size = before = seq = 0
 
         def block() -> pa.RecordBatch:
-            payload, spans = coder.encode(np.frombuffer(b"".join(r[5] for r in held), dtype))
-            part, seq, _, before, _, _ = held[0]
-            row = [[part], [seq], [base[part] + before], [[r[2] for r in held]], [[r[4] for r in held]], [payload], [spans]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()])], ["part", "seq", "start", "doc_id", "n_tokens", "payload", "spans"])
+            payload, spans = coder.encode(np.frombuffer(b"".join(r[2] for r in held), dtype))
+            row = [[part], [seq], [before], [[r[0] for r in held]], [[r[1] for r in held]], [payload], [spans]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()])], ["part", "seq", "before", "doc_id", "n_tokens", "payload", "spans"])
 
-        size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (row[0] != held[0][0] or row[1] != held[-1][1] + 1 or size >= BLOCK_IDS):
-                    yield block()
-                    held, size = [], 0
-                held.append(row)
-                size += row[4]
+            for k in range(0, len(batch), 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns)):
+                    held.append(row)
+                    size += row[1]
+                    if size >= BLOCK_IDS:
+                        yield block()
+                        before, seq = before + size, seq + len(held)
+                        held, size = [], 0
         if held:
             yield block()
 
-    tokens.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+    order = ["doc_id", "text_key", "row"]
+    tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids").mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+    sizes = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row a part
+    bases = np.cumsum([0, *(r.n for r in sizes)])[:-1].tolist()
+    spark.createDataFrame([(r.part, b) for r, b in zip(sizes, bases)], "part int, base long").coalesce(1).write.parquet(f"{path}/parts")
     discard(tokens)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document's doc_id, start and ids (little-endian 32-bit bytes), decoded block by block."""
     book = spark.read.parquet(f"{path}/codebook").orderBy("id").collect()  # as many rows as the vocabulary at most
+    base = {r.part: r.base for r in spark.read.schema("part int, base long").parquet(f"{path}/parts").collect()}  # one row a part
     symbols, bits = np.array([r.id for r in book], np.int64), np.array([r.bits for r in book], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(symbols, bits)
         for batch in batches:
-            for start, doc_id, n, payload, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                ends = np.cumsum(n)
+            for k in range(len(batch)):
+                part, before, doc_id, n, payload, spans = (c[k].as_py() for c in batch.columns)
+                ends = np.cumsum(n, dtype=np.int64)
                 ids = coder.decode(payload, spans, int(ends[-1])).astype("<u4").tobytes()
                 cut = (ends - n) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array([ids[a : a + 4 * m] for a, m in zip(cut.tolist(), n)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(base[part] + before + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array([ids[a : a + 4 * m] for a, m in zip(cut.tolist(), n)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("start", "doc_id", "n_tokens", "payload", "spans").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", "before", "doc_id", "n_tokens", "payload", "spans").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
