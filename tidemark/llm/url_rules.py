@@ -11,7 +11,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 # Behind every path that goes on: no path has this code point, which is none of a character.
 HIGHEST = "\U0010ffff"
 # Pages of one sweep.
-SHARE = 200_000
+SHARE = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,7 +52,7 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     A page has one canonical key under its host and one under every host above it; those under hosts without rules fall away. Of each host,
     pages and the bounds of its rules' intervals are sorted by key, and one sweep keeps the stack of open rules: its depth is the sum of bounds passed,
     and its top at a depth is the last rule that opened there. The top under the longest host wins. A host that more than `share` pages are looked
-    for under is dealt into several sweeps, each with all of the host's bounds. `default` is the verdict where no rule fits; rule is
+    for under is dealt into sweeps of about as many, or as many as the host has bounds, of which each sweep has all. `default` is the verdict where no rule fits; rule is
     null there. Null urls and such without :// have an empty host and path. Repeated rows and null ids each keep a row of their own; urls
     of any length are taken whole; an empty table gives no rows; other columns aren't read.
     """
@@ -65,7 +65,9 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     probes = rows.select("row", "path", F.explode(above).alias("site")).join(small(sites, max_broadcast_rows), "site", "left_semi")
     probes = materialize(probes, "probes")
-    hot = materialize(probes.groupBy("site").count().where(F.col("count") > share).select("site", F.ceil(F.col("count") / share).cast("int").alias("parts")), "hot-sites")
+    most = F.greatest(F.lit(share), F.col("n_bounds"))
+    hot = probes.groupBy("site").count().where(F.col("count") > share).join(bounds.groupBy("site").agg(F.count("*").alias("n_bounds")), "site")
+    hot = materialize(hot.select("site", F.ceil(F.col("count") / most).cast("int").alias("parts")).where("parts > 1"), "hot-sites")
     dealt = lambda df, part: df.join(small(hot, max_broadcast_rows), "site", "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
 
     swept = dealt(probes, lambda n: F.pmod(F.xxhash64("row"), n).cast("int")).select("site", "part", canonical(F.col("site"), F.col("path")).alias("key"), F.lit(2).alias("kind"), "row", F.lit(None).cast(bounds.schema["rule"].dataType).alias("rule")).unionByName(
