@@ -11,36 +11,36 @@ from tidemark.streaming import capture
 
 def test_unknown_stays_unknown(spark):
     rows = [(1, i, None if i in (0, 3, 4, 9) else float(i)) for i in range(10)]
-    df = spark.createDataFrame(rows, "stream_id long, i long, v double")
-    out = {r.i: r for r in W.rolling_zscore(df, ["stream_id"], "i", "v", 2, 0.5).collect()}
+    df = spark.createDataFrame(rows, "recording_id long, i long, v double")
+    out = {r.i: r for r in W.rolling_zscore(df, ["recording_id"], "i", "v", 2, 0.5).collect()}
     assert out[0].z is None and out[0].mean == 1.0
     assert out[3].z is None and out[3].mean == 2.0
     assert out[1].mean == pytest.approx(1.5)
-    empty = W.rolling_zscore(df.withColumn("v", F.lit(None).cast("double")), ["stream_id"], "i", "v", 2, 0.5).collect()
+    empty = W.rolling_zscore(df.withColumn("v", F.lit(None).cast("double")), ["recording_id"], "i", "v", 2, 0.5).collect()
     assert all(r.z is None and r.mean is None for r in empty)
 
 
 def test_absent_signal_is_not_zero(spark):
-    df = spark.createDataFrame([(1, 0, 1.0)], "stream_id long, i long, a double")
+    df = spark.createDataFrame([(1, 0, 1.0)], "recording_id long, i long, a double")
     out, absent = G.derive(df, [G.Derivation("b", ("missing",), lambda d: d.withColumn("b", F.lit(0.0))), G.Derivation("c", ("a",), lambda d: d.withColumn("c", F.col("a") + 1)), G.Derivation("e", ("c",), lambda d: d.withColumn("e", F.col("c")))])
     assert "b" not in out.columns and absent == {"b": ["missing"]} and "e" in out.columns
 
 
 def test_touching_windows_cluster(spark):
-    df = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 5.0, 8.0), (1, 3, 8.1, 9.0), (1, 4, 1.0, 20.0)], "stream_id long, id long, t_start double, t_end double")
-    got = {r.id: r.cluster for r in W.overlap_clusters(df, ["stream_id"], "t_start", "t_end", "id").collect()}
+    df = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 5.0, 8.0), (1, 3, 8.1, 9.0), (1, 4, 1.0, 20.0)], "recording_id long, id long, t_start double, t_end double")
+    got = {r.id: r.cluster for r in W.overlap_clusters(df, ["recording_id"], "t_start", "t_end", "id").collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 0}
 
 
 def test_clusters_are_anchored_not_chained(spark):
-    df = spark.createDataFrame([(1, t) for t in (0.0, 100.0, 130.0, 260.0)], "stream_id long, t double")
+    df = spark.createDataFrame([(1, t) for t in (0.0, 100.0, 130.0, 260.0)], "recording_id long, t double")
     assert sorted(r.t for r in S.anchored_clusters(df, 120.0).collect()) == [0.0, 130.0, 260.0]
 
 
 def test_tiling_covers(spark):
-    b = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 0.0), (1, 12.0)], "stream_id long, t double")
-    d = spark.createDataFrame([(1, 10.0), (2, 4.0)], "stream_id long, duration double")
-    got = sorted((r.stream_id, r.t_start, r.t_end) for r in S.tiling(b, d).collect())
+    b = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 0.0), (1, 12.0)], "recording_id long, t double")
+    d = spark.createDataFrame([(1, 10.0), (2, 4.0)], "recording_id long, duration double")
+    got = sorted((r.recording_id, r.t_start, r.t_end) for r in S.tiling(b, d).collect())
     assert got == [(1, 0.0, 5.0), (1, 5.0, 10.0), (2, 0.0, 4.0)]
 
 

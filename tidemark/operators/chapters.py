@@ -1,11 +1,11 @@
-"""Chapters brought into a range of lengths. One stream at a time, since each step depends on the last."""
+"""Chapters brought into a range of lengths. One recording at a time, since each step depends on the last."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-CHAPTER = "stream_id long, chapter int, t_start double, t_end double"
+CHAPTER = "recording_id long, chapter int, t_start double, t_end double"
 
 
 def ranged(opens: list[tuple[float, float]], spare: list[tuple[float, float]], duration: float, least: float, most: float, rounds: int = 64) -> list[float]:
@@ -32,12 +32,12 @@ def ranged(opens: list[tuple[float, float]], spare: list[tuple[float, float]], d
 
 
 def chapters(bounds: DataFrame, least: float, most: float) -> DataFrame:
-    """bounds: stream_id, duration, t, strength, spare (those only used to split). A stream without boundaries has a row with t null."""
+    """bounds: recording_id, duration, t, strength, spare (those only used to split). A recording without boundaries has a row with t null."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         duration, known = float(rows["duration"].iloc[0]), rows[rows["t"].notna()]
         pick = lambda flag: list(known[known["spare"] == flag][["t", "strength"]].itertuples(index=False, name=None))
         starts = ranged(pick(False), pick(True), duration, least, most)
-        return pd.DataFrame([(rows["stream_id"].iloc[0], k, a, b) for k, (a, b) in enumerate(zip(starts, [*starts[1:], duration]))], columns=["stream_id", "chapter", "t_start", "t_end"])
+        return pd.DataFrame([(rows["recording_id"].iloc[0], k, a, b) for k, (a, b) in enumerate(zip(starts, [*starts[1:], duration]))], columns=["recording_id", "chapter", "t_start", "t_end"])
 
-    return bounds.groupBy("stream_id").applyInPandas(run, CHAPTER)
+    return bounds.groupBy("recording_id").applyInPandas(run, CHAPTER)

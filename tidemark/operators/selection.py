@@ -30,12 +30,12 @@ def default_model(models: DataFrame, configured: str) -> DataFrame:
 
 
 def sections(df: DataFrame, top: int) -> DataFrame:
-    """Four disjoint sections of each stream: the `top` by combined score, then those a marker anchors, then by which score is larger; with the order within."""
-    rank = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("score"), "t_peak", "id"))
+    """Four disjoint sections of each recording: the `top` by combined score, then those a marker anchors, then by which score is larger; with the order within."""
+    rank = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("score"), "t_peak", "id"))
     part = F.when(F.col("_r") <= top, "combined").when(F.col("anchored"), "markers").when(F.col("e") >= F.col("g"), "entertainment").otherwise("gameplay")
     key = F.when(F.col("section") == "markers", F.col("t_peak")).when(F.col("section") == "entertainment", -F.col("e")).when(F.col("section") == "gameplay", -F.col("g")).otherwise(-F.col("score"))
     out = df.withColumn("_r", rank).withColumn("section", part).withColumn("_k", key)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("stream_id", "section").orderBy("_k", "id"))).drop("_r", "_k")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("recording_id", "section").orderBy("_k", "id"))).drop("_r", "_k")
 
 
 def approved(rated: DataFrame, least: int) -> DataFrame:
@@ -43,10 +43,10 @@ def approved(rated: DataFrame, least: int) -> DataFrame:
 
     Its bounds are those of the rows rated that well, adjusted ones alone if there are any; rescued: none of them is current.
     """
-    c = W.overlap_clusters(rated, ["stream_id"], "t_start", "t_end", "id")
+    c = W.overlap_clusters(rated, ["recording_id"], "t_start", "t_end", "id")
     good = F.col("rating") >= least
     fit = lambda f, x: F.coalesce(f(F.when(good & F.col("adjusted"), x)), f(F.when(good, x)))
-    out = c.groupBy("stream_id", "cluster").agg(
+    out = c.groupBy("recording_id", "cluster").agg(
         F.max_by("rating", F.struct("rated_at", "id")).alias("verdict"), fit(F.min, F.col("t_start")).alias("t_start"), fit(F.max, F.col("t_end")).alias("t_end"), (~F.coalesce(F.bool_or(F.when(good, F.col("is_current"))), F.lit(False))).alias("rescued")
     )
     return out.where(F.col("verdict") >= least)
@@ -58,21 +58,21 @@ def first_seen(df: DataFrame, name: str, place: str, limit: int) -> DataFrame:
 
 
 def tiling(bounds: DataFrame, duration: DataFrame) -> DataFrame:
-    """Chapters [t_start, t_end) that cover each stream from 0 to its duration, opened by 0 and every boundary inside."""
-    inner = bounds.join(duration, "stream_id").where((F.col("t") > 0) & (F.col("t") < F.col("duration"))).select("stream_id", "t")
-    opens = inner.unionByName(duration.select("stream_id", F.lit(0.0).alias("t"))).distinct()
-    w = Window.partitionBy("stream_id").orderBy("t")
-    out = opens.join(duration, "stream_id").withColumn("t_end", F.coalesce(F.lead("t").over(w), F.col("duration")))
-    return out.select("stream_id", (F.row_number().over(w) - 1).alias("chapter"), F.col("t").alias("t_start"), "t_end")
+    """Chapters [t_start, t_end) that cover each recording from 0 to its duration, opened by 0 and every boundary inside."""
+    inner = bounds.join(duration, "recording_id").where((F.col("t") > 0) & (F.col("t") < F.col("duration"))).select("recording_id", "t")
+    opens = inner.unionByName(duration.select("recording_id", F.lit(0.0).alias("t"))).distinct()
+    w = Window.partitionBy("recording_id").orderBy("t")
+    out = opens.join(duration, "recording_id").withColumn("t_end", F.coalesce(F.lead("t").over(w), F.col("duration")))
+    return out.select("recording_id", (F.row_number().over(w) - 1).alias("chapter"), F.col("t").alias("t_start"), "t_end")
 
 
 def anchored_clusters(df: DataFrame, within: float) -> DataFrame:
-    """Boundaries (stream_id, t) that lie within `within` of the first of their cluster, not of one another, become one at that first time."""
+    """Boundaries (recording_id, t) that lie within `within` of the first of their cluster, not of one another, become one at that first time."""
     fold = F.aggregate(
         F.array_sort(F.collect_list("t")), F.array().cast("array<double>"),
         lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) > within), F.concat(acc, F.array(t))).otherwise(acc),
     )
-    return df.groupBy("stream_id").agg(fold.alias("a")).select("stream_id", F.explode("a").alias("t"))
+    return df.groupBy("recording_id").agg(fold.alias("a")).select("recording_id", F.explode("a").alias("t"))
 
 
 def embedding_shift(vectors: DataFrame, key: str, order: str, vec: str, side: int) -> DataFrame:

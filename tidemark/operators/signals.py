@@ -1,6 +1,6 @@
 """Derived signals, event kernels, penalties and weighted composites on a common grid.
 
-Inputs are wide frames, one row a grid point i of a stream with a column for each signal. A signal whose inputs
+Inputs are wide frames, one row a grid point i of a recording with a column for each signal. A signal whose inputs
 aren't there is absent; it is never filled with zeros.
 """
 
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from . import joins as J
 from . import windows as W
 
-KEY = ["stream_id"]
+KEY = ["recording_id"]
 
 
 def wide(series: DataFrame, kinds: list[str]) -> DataFrame:
-    """Columns of the given kinds by stream and grid point, in one pass."""
-    return series.where(F.col("kind").isin(kinds)).groupBy("stream_id", "i", "t").agg(*(F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in kinds))
+    """Columns of the given kinds by recording and grid point, in one pass."""
+    return series.where(F.col("kind").isin(kinds)).groupBy("recording_id", "i", "t").agg(*(F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in kinds))
 
 
 def speech_gate(df: DataFrame, level: str, name: str, window: int, margin: float = 6.0, hang: int = 4, least: int = 3) -> DataFrame:
@@ -57,12 +57,12 @@ def stillness(df: DataFrame, rate: str, name: str, calm: float, busy: float, bac
 def reaction_onsets(df: DataFrame, overlap: str, silence: str, z: str, back: int) -> DataFrame:
     """Grid points where overlapping speech sets in while z is 1 or more, after a silence of 0.5 or more within `back` samples."""
     out = df.withColumn("_edge", W.rising_edge(F.col(overlap), KEY, "i")).withColumn("_was", W.rolling_max(F.col(silence), KEY, "i", back))
-    return out.where("_edge").where((F.col("_was") >= 0.5) & (F.round(z, 9) >= 1)).select("stream_id", "i")
+    return out.where("_edge").where((F.col("_was") >= 0.5) & (F.round(z, 9) >= 1)).select("recording_id", "i")
 
 
 def long_runs(df: DataFrame, flag: str, least: int) -> DataFrame:
     """One event at the start of each run of `least` samples or more."""
-    return W.runs(df, KEY, "i", flag).where(F.col("end") - F.col("start") >= least).select("stream_id", F.col("start").alias("i"), (F.col("end") - F.col("start")).alias("size"))
+    return W.runs(df, KEY, "i", flag).where(F.col("end") - F.col("start") >= least).select("recording_id", F.col("start").alias("i"), (F.col("end") - F.col("start")).alias("size"))
 
 
 def plateau(gap: Column, before: float, after: float, shoulder: float) -> Column:
@@ -74,19 +74,19 @@ def plateau(gap: Column, before: float, after: float, shoulder: float) -> Column
 
 def plateau_kernel(grid: DataFrame, events: DataFrame, before: float, after: float, shoulder: float, name: str) -> DataFrame:
     """Largest plateau over the events of each grid point; 0 without any."""
-    spans = events.select("stream_id", F.col("t").alias("_e"), (F.col("t") - before - shoulder).alias("_from"), (F.col("t") + after + shoulder).alias("_to"))
-    near = J.points_in(grid.select("stream_id", "i", "t"), spans, "stream_id", "t", "_from", "_to", before + after + 2 * shoulder)
-    level = near.groupBy("stream_id", "i").agg(F.max(plateau(F.col("t") - F.col("_e"), before, after, shoulder)).alias(name))
-    return grid.join(level, ["stream_id", "i"], "left").na.fill(0.0, [name])
+    spans = events.select("recording_id", F.col("t").alias("_e"), (F.col("t") - before - shoulder).alias("_from"), (F.col("t") + after + shoulder).alias("_to"))
+    near = J.points_in(grid.select("recording_id", "i", "t"), spans, "recording_id", "t", "_from", "_to", before + after + 2 * shoulder)
+    level = near.groupBy("recording_id", "i").agg(F.max(plateau(F.col("t") - F.col("_e"), before, after, shoulder)).alias(name))
+    return grid.join(level, ["recording_id", "i"], "left").na.fill(0.0, [name])
 
 
 def gaussian_kernel(grid: DataFrame, events: DataFrame, sigma: float, name: str, reach: float = 9.0) -> DataFrame:
     """Sum of unit bells over the events of each grid point, cut at reach * sigma (under 1e-17 each)."""
-    spans = events.select("stream_id", F.col("t").alias("_e"), (F.col("t") - reach * sigma).alias("_from"), (F.col("t") + reach * sigma).alias("_to"))
-    near = J.points_in(grid.select("stream_id", "i", "t"), spans, "stream_id", "t", "_from", "_to", 2 * reach * sigma)
+    spans = events.select("recording_id", F.col("t").alias("_e"), (F.col("t") - reach * sigma).alias("_from"), (F.col("t") + reach * sigma).alias("_to"))
+    near = J.points_in(grid.select("recording_id", "i", "t"), spans, "recording_id", "t", "_from", "_to", 2 * reach * sigma)
     gap = (F.col("t") - F.col("_e")) / sigma
-    level = near.groupBy("stream_id", "i").agg(F.sum(F.exp(-0.5 * gap * gap)).alias(name))
-    return grid.join(level, ["stream_id", "i"], "left").na.fill(0.0, [name])
+    level = near.groupBy("recording_id", "i").agg(F.sum(F.exp(-0.5 * gap * gap)).alias(name))
+    return grid.join(level, ["recording_id", "i"], "left").na.fill(0.0, [name])
 
 
 def menu_penalty(df: DataFrame, menu: str, speech: str, levels: dict[str, str], sustain: int, ramp: int, name: str = "menu") -> DataFrame:
@@ -110,12 +110,12 @@ def penalized(score: Column, penalties: list[Column], weight: float = 2.0) -> Co
 
 
 def composite(signals: DataFrame, weights: DataFrame) -> DataFrame:
-    """Sum of weight * z by profile, stream and grid point; signals of weight 0 take no part and unknown values add nothing.
+    """Sum of weight * z by profile, recording and grid point; signals of weight 0 take no part and unknown values add nothing.
 
-    signals: stream_id, i, signal, z. weights: profile, signal, weight (few rows; broadcast by the optimizer if small).
+    signals: recording_id, i, signal, z. weights: profile, signal, weight (few rows; broadcast by the optimizer if small).
     """
     live = weights.where("weight != 0")
-    return signals.join(live, "signal").groupBy("profile", "stream_id", "i").agg(F.sum(F.col("weight") * F.coalesce("z", F.lit(0.0))).alias("composite"))
+    return signals.join(live, "signal").groupBy("profile", "recording_id", "i").agg(F.sum(F.col("weight") * F.coalesce("z", F.lit(0.0))).alias("composite"))
 
 
 def missing(weights: DataFrame, signals: DataFrame) -> DataFrame:

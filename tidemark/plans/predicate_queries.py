@@ -14,15 +14,15 @@ from .registry import query
 Spark = SparkSession
 
 
-@query(T.SQL + "select stream_id, event_id, round((1700000000000 + us // 1000 - 1700000000000) / 1000.0::double, 3) as t from points")
+@query(T.SQL + "select recording_id, event_id, round((1700000000000 + us // 1000 - 1700000000000) / 1000.0::double, 3) as t from points")
 def p1_relative_seconds(spark: Spark, d: str) -> DataFrame:
     ms = F.lit(1_700_000_000_000) + F.expr("us div 1000")
-    return T.points(spark, d).select("stream_id", "event_id", F.round(logs.relative_seconds(ms, F.lit(1_700_000_000_000)), 3).alias("t"))
+    return T.points(spark, d).select("recording_id", "event_id", F.round(logs.relative_seconds(ms, F.lit(1_700_000_000_000)), 3).alias("t"))
 
 
-@query(T.SQL + "select stream_id, seq from segments where t_end >= 15 and t_start <= 30")
+@query(T.SQL + "select recording_id, seq from segments where t_end >= 15 and t_start <= 30")
 def p2_lines_in(spark: Spark, d: str) -> DataFrame:
-    return T.segments(spark, d).where("t_end >= 15 and t_start <= 30").select("stream_id", "seq")
+    return T.segments(spark, d).where("t_end >= 15 and t_start <= 30").select("recording_id", "seq")
 
 
 @query("select vec_id from embeddings where label = 3 and len(embedding) = 64")
@@ -32,17 +32,17 @@ def p4_one_model(spark: Spark, d: str) -> DataFrame:
     return e.where(F.when(F.size("embedding") == 64, True).otherwise(F.raise_error(F.lit("vectors of one model differ in size")).cast("boolean"))).select("vec_id")
 
 
-@query(T.SQL + "select stream_id, id, coalesce(case when id % 4 = 0 then t_start + 60 end, t_start) as t_start, coalesce(case when id % 4 = 1 then t_end - 60 end, t_end) as t_end from windows")
+@query(T.SQL + "select recording_id, id, coalesce(case when id % 4 = 0 then t_start + 60 end, t_start) as t_start, coalesce(case when id % 4 = 1 then t_end - 60 end, t_end) as t_end from windows")
 def p5_adjusted_bounds(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d).withColumn("adjusted_start", F.when(F.col("id") % 4 == 0, F.col("t_start") + 60)).withColumn("adjusted_end", F.when(F.col("id") % 4 == 1, F.col("t_end") - 60))
-    return w.select("stream_id", "id", F.coalesce("adjusted_start", "t_start").alias("t_start"), F.coalesce("adjusted_end", "t_end").alias("t_end"))
+    return w.select("recording_id", "id", F.coalesce("adjusted_start", "t_start").alias("t_start"), F.coalesce("adjusted_end", "t_end").alias("t_end"))
 
 
-@query(T.SQL + "select w.stream_id, w.id, t_end > t_start and t_start >= 0 and t_end <= duration + 0.001 and isfinite(t_start) and isfinite(t_end) as valid from windows w join streams using (stream_id)")
+@query(T.SQL + "select w.recording_id, w.id, t_end > t_start and t_start >= 0 and t_end <= duration + 0.001 and isfinite(t_start) and isfinite(t_end) as valid from windows w join recordings using (recording_id)")
 def p6_valid_window(spark: Spark, d: str) -> DataFrame:
     a, b = F.col("t_start"), F.col("t_end")
     finite = ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
-    return T.windows(spark, d).join(T.streams(spark, d), "stream_id").select("stream_id", "id", ((b > a) & (a >= 0) & (b <= F.col("duration") + 0.001) & finite).alias("valid"))
+    return T.windows(spark, d).join(T.recordings(spark, d), "recording_id").select("recording_id", "id", ((b > a) & (a >= 0) & (b <= F.col("duration") + 0.001) & finite).alias("valid"))
 
 
 @query("select o_orderkey, o_totalprice as total, o_custkey::double as context from orders")
@@ -59,12 +59,12 @@ def p8_fires(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("view", "click"), F.col("value") > 60).otherwise(F.col("value") > 0).alias("fires"))
 
 
-@query(T.SQL + """, a as (select w.stream_id, w.id, count(p.event_id) > 0 as inside, w.score > 50 as contributed from windows w left join points p on p.stream_id = w.stream_id and p.kind = 'signup' and p.t between w.t_start and w.t_end group by w.stream_id, w.id, w.score)
+@query(T.SQL + """, a as (select w.recording_id, w.id, count(p.event_id) > 0 as inside, w.score > 50 as contributed from windows w left join points p on p.recording_id = w.recording_id and p.kind = 'signup' and p.t between w.t_start and w.t_end group by w.recording_id, w.id, w.score)
 select *, inside or contributed as anchored from a""")
 def p9_anchored(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d)
-    hits = J.points_in(T.points(spark, d).where("kind = 'signup'").select("stream_id", "t"), w.select("stream_id", "id", "t_start", "t_end"), "stream_id", "t", "t_start", "t_end", 3600.0).select("stream_id", "id").distinct().withColumn("hit", F.lit(True))
-    out = w.join(hits, ["stream_id", "id"], "left").select("stream_id", "id", F.coalesce("hit", F.lit(False)).alias("inside"), (F.col("score") > 50).alias("contributed"))
+    hits = J.points_in(T.points(spark, d).where("kind = 'signup'").select("recording_id", "t"), w.select("recording_id", "id", "t_start", "t_end"), "recording_id", "t", "t_start", "t_end", 3600.0).select("recording_id", "id").distinct().withColumn("hit", F.lit(True))
+    out = w.join(hits, ["recording_id", "id"], "left").select("recording_id", "id", F.coalesce("hit", F.lit(False)).alias("inside"), (F.col("score") > 50).alias("contributed"))
     return out.withColumn("anchored", F.col("inside") | F.col("contributed"))
 
 
@@ -101,14 +101,14 @@ def p13_role(spark: Spark, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.coalesce(F.try_element_at(by_track, F.col("role")), F.try_element_at(by_speaker, speaker), F.lit("")).alias("role"))
 
 
-@query(T.SQL + "select w.stream_id, w.id, r.rating from windows w join ratings r on r.id = w.id where r.source = 'operator'")
+@query(T.SQL + "select w.recording_id, w.id, r.rating from windows w join ratings r on r.id = w.id where r.source = 'operator'")
 def j1_rated(spark: Spark, d: str) -> DataFrame:
-    return T.windows(spark, d).join(T.ratings(spark, d).where("source = 'operator'"), "id").select("stream_id", "id", "rating")
+    return T.windows(spark, d).join(T.ratings(spark, d).where("source = 'operator'"), "id").select("recording_id", "id", "rating")
 
 
-@query(T.SQL + "select w.stream_id, w.id, r.rating, r.source from windows w left join ratings r on r.id = w.id")
+@query(T.SQL + "select w.recording_id, w.id, r.rating, r.source from windows w left join ratings r on r.id = w.id")
 def j2_with_ratings(spark: Spark, d: str) -> DataFrame:
-    return T.windows(spark, d).join(T.ratings(spark, d), "id", "left").select("stream_id", "id", "rating", "source")
+    return T.windows(spark, d).join(T.ratings(spark, d), "id", "left").select("recording_id", "id", "rating", "source")
 
 
 @query("select e.vec_id, e.label, d.lang, d.source from embeddings e join documents d on d.doc_id = e.vec_id")
@@ -128,18 +128,18 @@ def j8_present(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select("doc_id").join(c, "doc_id", "left_semi")
 
 
-@query(T.SQL + "select stream_id, kind, i, value, least(greatest(round_even(t / 86400, 0), 0), 3)::bigint as day from series where t between 86400 and 259200")
+@query(T.SQL + "select recording_id, kind, i, value, least(greatest(round_even(t / 86400, 0), 0), 3)::bigint as day from series where t between 86400 and 259200")
 def j11_nearest_sample(spark: Spark, d: str) -> DataFrame:
     s = T.series(spark, d).where("t between 86400 and 259200")
-    return s.select("stream_id", "kind", "i", "value", F.least(F.greatest(F.bround(F.col("t") / 86400), F.lit(0.0)), F.lit(3.0)).cast("long").alias("day"))
+    return s.select("recording_id", "kind", "i", "value", F.least(F.greatest(F.bround(F.col("t") / 86400), F.lit(0.0)), F.lit(3.0)).cast("long").alias("day"))
 
 
-@query(T.SQL + """select a.stream_id, a.id, exists (select 1 from windows b where b.stream_id = a.stream_id and b.id <> a.id and b.t_start < a.t_end - 1e-9 and a.t_start < b.t_end - 1e-9) as overlaps from windows a""")
+@query(T.SQL + """select a.recording_id, a.id, exists (select 1 from windows b where b.recording_id = a.recording_id and b.id <> a.id and b.t_start < a.t_end - 1e-9 and a.t_start < b.t_end - 1e-9) as overlaps from windows a""")
 def j13_overlaps_other(spark: Spark, d: str) -> DataFrame:
-    w = T.windows(spark, d).select("stream_id", "id", "t_start", "t_end")
-    o = w.select("stream_id", F.col("id").alias("o_id"), F.col("t_start").alias("o_start"), F.col("t_end").alias("o_end"))
-    hit = J.overlapping(w, o, "stream_id", "t_start", "t_end", "o_start", "o_end", 3600.0).where((F.col("id") != F.col("o_id")) & (F.col("o_start") < F.col("t_end") - 1e-9) & (F.col("t_start") < F.col("o_end") - 1e-9))
-    return w.join(hit.select("stream_id", "id").distinct().withColumn("hit", F.lit(True)), ["stream_id", "id"], "left").select("stream_id", "id", F.coalesce("hit", F.lit(False)).alias("overlaps"))
+    w = T.windows(spark, d).select("recording_id", "id", "t_start", "t_end")
+    o = w.select("recording_id", F.col("id").alias("o_id"), F.col("t_start").alias("o_start"), F.col("t_end").alias("o_end"))
+    hit = J.overlapping(w, o, "recording_id", "t_start", "t_end", "o_start", "o_end", 3600.0).where((F.col("id") != F.col("o_id")) & (F.col("o_start") < F.col("t_end") - 1e-9) & (F.col("t_start") < F.col("o_end") - 1e-9))
+    return w.join(hit.select("recording_id", "id").distinct().withColumn("hit", F.lit(True)), ["recording_id", "id"], "left").select("recording_id", "id", F.coalesce("hit", F.lit(False)).alias("overlaps"))
 
 
 @query("select o_orderkey, l_linenumber, o_orderdate, l_quantity from orders join lineitem on l_orderkey = o_orderkey")
@@ -148,11 +148,11 @@ def j14_items(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "orders").select("o_orderkey", "o_orderdate").join(items, "o_orderkey")
 
 
-@query(T.SQL + "select w.stream_id, w.id, w.score from windows w join ratings r on r.id = w.id and r.rating >= 2 where exists (select 1 from points p where p.stream_id = w.stream_id and p.kind = 'click' and p.t between w.t_start and w.t_end) order by w.score desc, w.id limit 40")
+@query(T.SQL + "select w.recording_id, w.id, w.score from windows w join ratings r on r.id = w.id and r.rating >= 2 where exists (select 1 from points p where p.recording_id = w.recording_id and p.kind = 'click' and p.t between w.t_start and w.t_end) order by w.score desc, w.id limit 40")
 def j16_compilation(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d).join(T.ratings(spark, d).where("rating >= 2"), "id", "left_semi")
-    hit = J.points_in(T.points(spark, d).where("kind = 'click'").select("stream_id", "t"), w.select("stream_id", "id", "t_start", "t_end"), "stream_id", "t", "t_start", "t_end", 3600.0).select("stream_id", "id").distinct()
-    return w.join(hit, ["stream_id", "id"], "left_semi").select("stream_id", "id", "score").orderBy(F.desc("score"), "id").limit(40)
+    hit = J.points_in(T.points(spark, d).where("kind = 'click'").select("recording_id", "t"), w.select("recording_id", "id", "t_start", "t_end"), "recording_id", "t", "t_start", "t_end", 3600.0).select("recording_id", "id").distinct()
+    return w.join(hit, ["recording_id", "id"], "left_semi").select("recording_id", "id", "score").orderBy(F.desc("score"), "id").limit(40)
 
 
 @query(T.SQL + "select rating, source, count(*) as n from ratings group by grouping sets ((rating), (source))")
@@ -173,21 +173,21 @@ def a3_survey(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "documents").agg(F.count("*").alias("n"), F.count("lang").alias("n_lang"), F.countDistinct("source").alias("n_sources"), F.concat_ws(",", F.sort_array(F.collect_set("lang"))).alias("langs"))
 
 
-@query(T.SQL + ", b as (select stream_id, us // 43200000000 as i, avg(value) as value from points where kind = 'view' group by all) select stream_id, i, round(value, 9) as value, (value is not null)::int as covered from grid left join b using (stream_id, i)")
+@query(T.SQL + ", b as (select recording_id, us // 43200000000 as i, avg(value) as value from points where kind = 'view' group by all) select recording_id, i, round(value, 9) as value, (value is not null)::int as covered from grid left join b using (recording_id, i)")
 def a5_buckets(spark: Spark, d: str) -> DataFrame:
     s = T.series(spark, d).where("kind = 'view'")
-    return s.select("stream_id", "i", F.round("value", 9).alias("value"), F.col("value").isNotNull().cast("int").alias("covered"))
+    return s.select("recording_id", "i", F.round("value", 9).alias("value"), F.col("value").isNotNull().cast("int").alias("covered"))
 
 
-@query(T.SQL + "select stream_id, kind, round(avg((value is not null)::int), 9) as coverage, round(avg(case when value is not null then (value > 90)::int end), 9) as rail from series group by all")
+@query(T.SQL + "select recording_id, kind, round(avg((value is not null)::int), 9) as coverage, round(avg(case when value is not null then (value > 90)::int end), 9) as rail from series group by all")
 def a6_fractions(spark: Spark, d: str) -> DataFrame:
     v = F.col("value")
-    return T.series(spark, d).groupBy("stream_id", "kind").agg(F.round(F.avg(v.isNotNull().cast("int")), 9).alias("coverage"), F.round(F.avg((v > 90).cast("int")), 9).alias("rail"))
+    return T.series(spark, d).groupBy("recording_id", "kind").agg(F.round(F.avg(v.isNotNull().cast("int")), 9).alias("coverage"), F.round(F.avg((v > 90).cast("int")), 9).alias("rail"))
 
 
-@query(T.SQL + "select stream_id, kind, i // 4 as bucket, round(median(value), 9) as median from series group by all")
+@query(T.SQL + "select recording_id, kind, i // 4 as bucket, round(median(value), 9) as median from series group by all")
 def a7_bucket_median(spark: Spark, d: str) -> DataFrame:
-    return T.series(spark, d).groupBy("stream_id", "kind", F.floor(F.col("i") / 4).alias("bucket")).agg(F.round(F.median("value"), 9).alias("median"))
+    return T.series(spark, d).groupBy("recording_id", "kind", F.floor(F.col("i") / 4).alias("bucket")).agg(F.round(F.median("value"), 9).alias("median"))
 
 
 @query("""with f as (select vec_id, unnest(range(0, (64 - 16) // 8 + 1)) as frame, embedding from embeddings)
@@ -227,7 +227,7 @@ def a14_firing(spark: Spark, d: str) -> DataFrame:
     return x.groupBy("signal").agg(F.count_if(F.col("rating") == 2).alias("n_clip"), F.count_if(F.col("rating") == 0).alias("n_skip"), rate(2).alias("fired_clip"), rate(0).alias("fired_skip"))
 
 
-@query(T.SQL + """, a as (select w.id, r.rating = 2 as approved, exists (select 1 from points p where p.stream_id = w.stream_id and p.kind = 'signup' and p.t between w.t_start and w.t_end) as anchored from windows w join ratings r on r.id = w.id)
+@query(T.SQL + """, a as (select w.id, r.rating = 2 as approved, exists (select 1 from points p where p.recording_id = w.recording_id and p.kind = 'signup' and p.t between w.t_start and w.t_end) as anchored from windows w join ratings r on r.id = w.id)
 select round_even(count(*) filter (anchored and approved) / nullif(count(*) filter (anchored), 0)::double, 4) as precision, round_even(count(*) filter (approved and not anchored) / nullif(count(*) filter (approved), 0)::double, 4) as unmarked from a""")
 def a15_marker_value(spark: Spark, d: str) -> DataFrame:
     a = p9_anchored(spark, d).join(T.ratings(spark, d), "id").select((F.col("rating") == 2).alias("approved"), F.col("inside").alias("anchored"))
@@ -245,20 +245,20 @@ def a18_share(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg((F.col("value") > 50).cast("int")), 9).alias("share"))
 
 
-@query(T.SQL + """, p as (select stream_id, avg(power(10.0::double, value / 100)) filter (kind = 'view') as mic, avg(power(10.0::double, value / 100)) filter (kind = 'click') as party from points group by 1)
-select stream_id, case when mic is null and party is null then 'unknown' when party is null or mic >= 1.5 * party then 'mic' when mic is null or party >= 1.5 * mic then 'party' else 'both' end as speaker from p""")
+@query(T.SQL + """, p as (select recording_id, avg(power(10.0::double, value / 100)) filter (kind = 'view') as mic, avg(power(10.0::double, value / 100)) filter (kind = 'click') as party from points group by 1)
+select recording_id, case when mic is null and party is null then 'unknown' when party is null or mic >= 1.5 * party then 'mic' when mic is null or party >= 1.5 * mic then 'party' else 'both' end as speaker from p""")
 def a19_speaker(spark: Spark, d: str) -> DataFrame:
     """Louder by half in mean power wins; near ties are both."""
     power = lambda k: F.avg(F.when(F.col("kind") == k, F.pow(F.lit(10.0), F.col("value") / 100)))
-    p = T.points(spark, d).groupBy("stream_id").agg(power("view").alias("mic"), power("click").alias("party"))
+    p = T.points(spark, d).groupBy("recording_id").agg(power("view").alias("mic"), power("click").alias("party"))
     m, q = F.col("mic"), F.col("party")
-    return p.select("stream_id", F.when(m.isNull() & q.isNull(), "unknown").when(q.isNull() | (m >= 1.5 * q), "mic").when(m.isNull() | (q >= 1.5 * m), "party").otherwise("both").alias("speaker"))
+    return p.select("recording_id", F.when(m.isNull() & q.isNull(), "unknown").when(q.isNull() | (m >= 1.5 * q), "mic").when(m.isNull() | (q >= 1.5 * m), "party").otherwise("both").alias("speaker"))
 
 
-@query(T.SQL + "select stream_id, round(least(sum(greatest(t_end - t_start, 0)) / 100, 1), 9) as coverage from segments where length(text) > 20 group by 1")
+@query(T.SQL + "select recording_id, round(least(sum(greatest(t_end - t_start, 0)) / 100, 1), 9) as coverage from segments where length(text) > 20 group by 1")
 def a20_coverage(spark: Spark, d: str) -> DataFrame:
     s = T.segments(spark, d).where(F.length("text") > 20)
-    return s.groupBy("stream_id").agg(F.round(F.least(F.sum(F.greatest(F.col("t_end") - F.col("t_start"), F.lit(0.0))) / 100, F.lit(1.0)), 9).alias("coverage"))
+    return s.groupBy("recording_id").agg(F.round(F.least(F.sum(F.greatest(F.col("t_end") - F.col("t_start"), F.lit(0.0))) / 100, F.lit(1.0)), 9).alias("coverage"))
 
 
 @query("select vec_id, round(20 * log10(greatest(list_max(list_transform(embedding, lambda x: abs(x)::double)), 1e-6)), 6) as peak_db from embeddings")
@@ -267,11 +267,11 @@ def a21_peak(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "embeddings").select("vec_id", F.round(20 * F.log10(F.greatest(peak, F.lit(1e-6))), 6).alias("peak_db"))
 
 
-@query(T.SQL + """, s as (select stream_id, kind, t, coalesce(lead(t) over (partition by stream_id order by t, event_id), duration) as e from points join streams using (stream_id)) select kind, round(sum(e - t), 3) as seconds, count(*) as n from s group by 1""")
+@query(T.SQL + """, s as (select recording_id, kind, t, coalesce(lead(t) over (partition by recording_id order by t, event_id), duration) as e from points join recordings using (recording_id)) select kind, round(sum(e - t), 3) as seconds, count(*) as n from s group by 1""")
 def a22_held(spark: Spark, d: str) -> DataFrame:
     from ..operators import windows as W
 
-    sw = T.points(spark, d).join(T.streams(spark, d), "stream_id").withColumn("e", F.coalesce(F.lead("t").over(W.ordered(["stream_id"], ["t", "event_id"])), F.col("duration")))
+    sw = T.points(spark, d).join(T.recordings(spark, d), "recording_id").withColumn("e", F.coalesce(F.lead("t").over(W.ordered(["recording_id"], ["t", "event_id"])), F.col("duration")))
     return sw.groupBy("kind").agg(F.round(F.sum(F.col("e") - F.col("t")), 3).alias("seconds"), F.count("*").alias("n")).orderBy(F.desc("seconds"))
 
 

@@ -32,38 +32,38 @@ def s3_upsert(spark: Spark, d: str) -> DataFrame:
     return store.upsert(old, new, ["c_custkey"])
 
 
-LINES = T.SQL + """, ln as (select stream_id, event_id, duration, 1700000000000 as anchor, case event_id % 7 when 0 then '' when 1 then '{"epoch_ms": "x", "kind": "marker_maybe"}' when 2 then '{"epoch_ms": true, "kind": "marker_maybe"}'
+LINES = T.SQL + """, ln as (select recording_id, event_id, duration, 1700000000000 as anchor, case event_id % 7 when 0 then '' when 1 then '{"epoch_ms": "x", "kind": "marker_maybe"}' when 2 then '{"epoch_ms": true, "kind": "marker_maybe"}'
 else '{"epoch_ms": ' || (1700000000000 + us // 1000 - 86400000 * (event_id % 3))::varchar || ', "kind": "' || case kind when 'purchase' then 'marker_definite' when 'signup' then 'marker_maybe' else kind end || '"}' end as line,
-case when event_id % 7 > 2 then 1700000000000 + us // 1000 - 86400000 * (event_id % 3) end as ms, case kind when 'purchase' then 'marker_definite' when 'signup' then 'marker_maybe' else kind end as k from points join streams using (stream_id)),
-mk as (select stream_id, event_id, case when line = '' then 'blank' when ms is null then 'malformed' when not k like 'marker%' then 'unknown kind' when ms - anchor < 0 then 'before' when (ms - anchor) / 1000.0::double > duration then 'after' else 'kept' end as state, (ms - anchor) / 1000.0::double as t from ln)"""
+case when event_id % 7 > 2 then 1700000000000 + us // 1000 - 86400000 * (event_id % 3) end as ms, case kind when 'purchase' then 'marker_definite' when 'signup' then 'marker_maybe' else kind end as k from points join recordings using (recording_id)),
+mk as (select recording_id, event_id, case when line = '' then 'blank' when ms is null then 'malformed' when not k like 'marker%' then 'unknown kind' when ms - anchor < 0 then 'before' when (ms - anchor) / 1000.0::double > duration then 'after' else 'kept' end as state, (ms - anchor) / 1000.0::double as t from ln)"""
 
 
 def marker_lines(spark: Spark, d: str) -> DataFrame:
-    p = T.points(spark, d).join(T.streams(spark, d), "stream_id")
+    p = T.points(spark, d).join(T.recordings(spark, d), "recording_id")
     kind = F.when(F.col("kind") == "purchase", "marker_definite").when(F.col("kind") == "signup", "marker_maybe").otherwise(F.col("kind"))
     ms = F.lit(1_700_000_000_000) + F.expr("us div 1000") - F.lit(86_400_000) * (F.col("event_id") % 3)
     n = F.col("event_id") % 7
     line = F.when(n == 0, "").when(n == 1, '{"epoch_ms": "x", "kind": "marker_maybe"}').when(n == 2, '{"epoch_ms": true, "kind": "marker_maybe"}').otherwise(F.concat(F.lit('{"epoch_ms": '), ms.cast("string"), F.lit(', "kind": "'), kind, F.lit('"}')))
-    return p.select("stream_id", "event_id", "duration", F.lit(1_700_000_000_000).alias("anchor"), line.alias("line"))
+    return p.select("recording_id", "event_id", "duration", F.lit(1_700_000_000_000).alias("anchor"), line.alias("line"))
 
 
-@query(LINES + "select stream_id, event_id, round(t, 3) as t from mk where state = 'kept'")
+@query(LINES + "select recording_id, event_id, round(t, 3) as t from mk where state = 'kept'")
 def s4_markers(spark: Spark, d: str) -> DataFrame:
-    return logs.markers(marker_lines(spark, d), "line", "anchor", "duration").where("state = 'kept'").select("stream_id", "event_id", F.round("t", 3).alias("t"))
+    return logs.markers(marker_lines(spark, d), "line", "anchor", "duration").where("state = 'kept'").select("recording_id", "event_id", F.round("t", 3).alias("t"))
 
 
-@query(LINES + "select stream_id, state, count(*) as n from mk group by all")
+@query(LINES + "select recording_id, state, count(*) as n from mk group by all")
 def r3_drop_counters(spark: Spark, d: str) -> DataFrame:
-    return logs.markers(marker_lines(spark, d), "line", "anchor", "duration").groupBy("stream_id", "state").agg(F.count("*").alias("n"))
+    return logs.markers(marker_lines(spark, d), "line", "anchor", "duration").groupBy("recording_id", "state").agg(F.count("*").alias("n"))
 
 
-@query(T.SQL + """, x as (select stream_id, us // 43200000000 as i, cast(json_extract(props, '$.k') as double) as v from points), b as (select stream_id, i, avg(v) as value, count(*) as n from x group by all)
-select stream_id, i, value, case when n is null then 0 else 1 end as covered from grid left join b using (stream_id, i)""")
+@query(T.SQL + """, x as (select recording_id, us // 43200000000 as i, cast(json_extract(props, '$.k') as double) as v from points), b as (select recording_id, i, avg(v) as value, count(*) as n from x group by all)
+select recording_id, i, value, case when n is null then 0 else 1 end as covered from grid left join b using (recording_id, i)""")
 def s5_input_log(spark: Spark, d: str) -> DataFrame:
     """JSON samples averaged by bucket; a bucket without samples is null and not covered."""
     v = F.from_json("props", "k double")["k"]
-    b = T.points(spark, d).groupBy("stream_id", F.expr(f"us div {T.STEP}000000").alias("i")).agg(F.avg(v).alias("value"), F.lit(1).alias("covered"))
-    return T.grid(T.streams(spark, d)).join(b, ["stream_id", "i"], "left").select("stream_id", "i", "value", F.coalesce("covered", F.lit(0)).alias("covered"))
+    b = T.points(spark, d).groupBy("recording_id", F.expr(f"us div {T.STEP}000000").alias("i")).agg(F.avg(v).alias("value"), F.lit(1).alias("covered"))
+    return T.grid(T.recordings(spark, d)).join(b, ["recording_id", "i"], "left").select("recording_id", "i", "value", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
 TEXTLOG = """with l as (select conv_id, turn, '00:0' || (turn % 10)::varchar || ':05.500: ' || case turn % 4 when 0 then 'path /rec/' || role when 1 then 'start ' || role when 2 then 'scene ' || role else text end as line, turn % 4 as m, role from conversations)"""
@@ -79,10 +79,10 @@ def s6_text_log(spark: Spark, d: str) -> DataFrame:
     return out.select("conv_id", "turn", "what", "value", "clock", "path")
 
 
-@query(T.SQL + """, a as (select stream_id, t_start, t_end, speaker as track, text from segments), b as (select stream_id, t_start + 5, t_end + 5, 'party' as track, text from segments where seq % 2 = 0)
-select stream_id, t_start, t_end, track, text, row_number() over (partition by stream_id order by t_start, t_end, track, text) - 1 as seq from (select * from a union all select * from b)""")
+@query(T.SQL + """, a as (select recording_id, t_start, t_end, speaker as track, text from segments), b as (select recording_id, t_start + 5, t_end + 5, 'party' as track, text from segments where seq % 2 = 0)
+select recording_id, t_start, t_end, track, text, row_number() over (partition by recording_id order by t_start, t_end, track, text) - 1 as seq from (select * from a union all select * from b)""")
 def s10_merge_passes(spark: Spark, d: str) -> DataFrame:
-    s = T.segments(spark, d).select("stream_id", "seq", "t_start", "t_end", F.col("speaker").alias("track"), "text")
+    s = T.segments(spark, d).select("recording_id", "seq", "t_start", "t_end", F.col("speaker").alias("track"), "text")
     other = s.where("seq % 2 = 0").withColumn("t_start", F.col("t_start") + 5).withColumn("t_end", F.col("t_end") + 5).withColumn("track", F.lit("party"))
     return store.merged_passes([s.drop("seq"), other.drop("seq")])
 
@@ -99,15 +99,15 @@ def s12_refresh(spark: Spark, d: str) -> DataFrame:
     return store.refresh(e, new, ["user_id", "event_type"])
 
 
-CAND = T.SQL + ", cand as (select *, id % 3 as generation, id % 3 = 2 as is_current, case when stream_id % 2 = 0 then 'a' else 'b' end as config_version from windows)"
+CAND = T.SQL + ", cand as (select *, id % 3 as generation, id % 3 = 2 as is_current, case when recording_id % 2 = 0 then 'a' else 'b' end as config_version from windows)"
 
 
 def candidates(spark: Spark, d: str) -> DataFrame:
-    return T.windows(spark, d).withColumn("generation", F.col("id") % 3).withColumn("is_current", F.col("id") % 3 == 2).withColumn("config_version", F.when(F.col("stream_id") % 2 == 0, "a").otherwise("b"))
+    return T.windows(spark, d).withColumn("generation", F.col("id") % 3).withColumn("is_current", F.col("id") % 3 == 2).withColumn("config_version", F.when(F.col("recording_id") % 2 == 0, "a").otherwise("b"))
 
 
-@query(CAND + """, cur as (select stream_id, max(generation) as c, max(config_version) as cfg from cand where is_current group by 1), rat as (select distinct stream_id from cand where is_current and id in (select id from ratings where source = 'operator'))
-select stream_id, case when c is null or cfg <> 'a' or stream_id in (select stream_id from rat) then l + 1 else c end as generation, c is null or cfg <> 'a' or stream_id in (select stream_id from rat) as fresh from (select stream_id, max(generation) as l from cand group by 1) left join cur using (stream_id)""")
+@query(CAND + """, cur as (select recording_id, max(generation) as c, max(config_version) as cfg from cand where is_current group by 1), rat as (select distinct recording_id from cand where is_current and id in (select id from ratings where source = 'operator'))
+select recording_id, case when c is null or cfg <> 'a' or recording_id in (select recording_id from rat) then l + 1 else c end as generation, c is null or cfg <> 'a' or recording_id in (select recording_id from rat) as fresh from (select recording_id, max(generation) as l from cand group by 1) left join cur using (recording_id)""")
 def s13_generations(spark: Spark, d: str) -> DataFrame:
     return store.next_generation(candidates(spark, d), T.ratings(spark, d), "a")
 
@@ -123,82 +123,82 @@ def s17_retention(spark: Spark, d: str) -> DataFrame:
     return store.retained(T.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct(), "day", 7, 12).select(F.col("day").cast("string").alias("day"))
 
 
-@query(T.SQL + "select w.stream_id, w.id, count(p.event_id) as n_in from windows w left join points p on p.stream_id = w.stream_id and p.t between w.t_start and w.t_end group by all")
+@query(T.SQL + "select w.recording_id, w.id, count(p.event_id) as n_in from windows w left join points p on p.recording_id = w.recording_id and p.t between w.t_start and w.t_end group by all")
 def j4_points_in(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d)
-    hits = J.points_in(T.points(spark, d).select("stream_id", "t", "event_id"), w.select("stream_id", "id", "t_start", "t_end"), "stream_id", "t", "t_start", "t_end", 3600.0)
-    return w.select("stream_id", "id").join(hits.groupBy("stream_id", "id").agg(F.count("*").alias("n_in")), ["stream_id", "id"], "left").select("stream_id", "id", F.coalesce("n_in", F.lit(0)).alias("n_in"))
+    hits = J.points_in(T.points(spark, d).select("recording_id", "t", "event_id"), w.select("recording_id", "id", "t_start", "t_end"), "recording_id", "t", "t_start", "t_end", 3600.0)
+    return w.select("recording_id", "id").join(hits.groupBy("recording_id", "id").agg(F.count("*").alias("n_in")), ["recording_id", "id"], "left").select("recording_id", "id", F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
-@query(T.SQL + " select w.stream_id, w.id from windows w where exists (select 1 from points p where p.stream_id = w.stream_id and p.kind = 'error' and p.t between w.t_start and w.t_end)")
+@query(T.SQL + " select w.recording_id, w.id from windows w where exists (select 1 from points p where p.recording_id = w.recording_id and p.kind = 'error' and p.t between w.t_start and w.t_end)")
 def p3_inside(spark: Spark, d: str) -> DataFrame:
-    hits = J.points_in(T.points(spark, d).where("kind = 'error'").select("stream_id", "t"), T.windows(spark, d).select("stream_id", "id", "t_start", "t_end"), "stream_id", "t", "t_start", "t_end", 3600.0)
-    return hits.select("stream_id", "id").distinct()
+    hits = J.points_in(T.points(spark, d).where("kind = 'error'").select("recording_id", "t"), T.windows(spark, d).select("recording_id", "id", "t_start", "t_end"), "recording_id", "t", "t_start", "t_end", 3600.0)
+    return hits.select("recording_id", "id").distinct()
 
 
-OLD = T.SQL + ", old as (select stream_id, id as old_id, t_start + 600 * (id % 5) as old_start, t_end + 600 * (id % 5) as old_end from windows)"
+OLD = T.SQL + ", old as (select recording_id, id as old_id, t_start + 600 * (id % 5) as old_start, t_end + 600 * (id % 5) as old_end from windows)"
 
 
-@query(OLD + """, b as (select w.stream_id, w.id, old_id, greatest(least(t_end, old_end) - greatest(t_start, old_start), 0) / (greatest(t_end, old_end) - least(t_start, old_start)) as iou from windows w join old o on o.stream_id = w.stream_id and t_start <= old_end and old_start <= t_end)
-select stream_id, id, old_id, round(iou, 6) as iou from (select *, row_number() over (partition by stream_id, id order by iou desc, old_id) as n from b) where n = 1 and iou >= 0.5""")
+@query(OLD + """, b as (select w.recording_id, w.id, old_id, greatest(least(t_end, old_end) - greatest(t_start, old_start), 0) / (greatest(t_end, old_end) - least(t_start, old_start)) as iou from windows w join old o on o.recording_id = w.recording_id and t_start <= old_end and old_start <= t_end)
+select recording_id, id, old_id, round(iou, 6) as iou from (select *, row_number() over (partition by recording_id, id order by iou desc, old_id) as n from b) where n = 1 and iou >= 0.5""")
 def j5_best_overlap(spark: Spark, d: str) -> DataFrame:
-    w = T.windows(spark, d).select("stream_id", "id", "t_start", "t_end")
+    w = T.windows(spark, d).select("recording_id", "id", "t_start", "t_end")
     shift = 600 * (F.col("id") % 5)
-    old = T.windows(spark, d).select("stream_id", F.col("id").alias("old_id"), (F.col("t_start") + shift).alias("old_start"), (F.col("t_end") + shift).alias("old_end"))
-    return J.best_overlap(w, old, "stream_id", 3600.0).select("stream_id", "id", "old_id", F.round("iou", 6).alias("iou"))
+    old = T.windows(spark, d).select("recording_id", F.col("id").alias("old_id"), (F.col("t_start") + shift).alias("old_start"), (F.col("t_end") + shift).alias("old_end"))
+    return J.best_overlap(w, old, "recording_id", 3600.0).select("recording_id", "id", "old_id", F.round("iou", 6).alias("iou"))
 
 
-@query(T.SQL + """select p.stream_id, p.event_id, (select w.id from windows w where w.stream_id = p.stream_id and p.t between w.t_start and w.t_end order by w.score desc, w.id limit 1) as id from points p where kind = 'view'""")
+@query(T.SQL + """select p.recording_id, p.event_id, (select w.id from windows w where w.recording_id = p.recording_id and p.t between w.t_start and w.t_end order by w.score desc, w.id limit 1) as id from points p where kind = 'view'""")
 def j6_covering(spark: Spark, d: str) -> DataFrame:
-    p = T.points(spark, d).where("kind = 'view'").select("stream_id", "event_id", "t")
-    hits = J.points_in(p, T.windows(spark, d).select("stream_id", "id", "t_start", "t_end", "score"), "stream_id", "t", "t_start", "t_end", 3600.0)
-    best = hits.groupBy("stream_id", "event_id").agg(F.max_by("id", F.struct(F.col("score"), (-F.col("id")).alias("r"))).alias("id"))
-    return p.select("stream_id", "event_id").join(best, ["stream_id", "event_id"], "left")
+    p = T.points(spark, d).where("kind = 'view'").select("recording_id", "event_id", "t")
+    hits = J.points_in(p, T.windows(spark, d).select("recording_id", "id", "t_start", "t_end", "score"), "recording_id", "t", "t_start", "t_end", 3600.0)
+    best = hits.groupBy("recording_id", "event_id").agg(F.max_by("id", F.struct(F.col("score"), (-F.col("id")).alias("r"))).alias("id"))
+    return p.select("recording_id", "event_id").join(best, ["recording_id", "event_id"], "left")
 
 
-SNAP = T.SQL + """, m as (select stream_id, t from points where kind = 'view'), p as (select stream_id, event_id, t from points where kind = 'purchase'),
-s as (select *, (select max(m.t) from m where m.stream_id = p.stream_id and m.t <= p.t) as b, (select min(m.t) from m where m.stream_id = p.stream_id and m.t >= p.t) as a from p)"""
+SNAP = T.SQL + """, m as (select recording_id, t from points where kind = 'view'), p as (select recording_id, event_id, t from points where kind = 'purchase'),
+s as (select *, (select max(m.t) from m where m.recording_id = p.recording_id and m.t <= p.t) as b, (select min(m.t) from m where m.recording_id = p.recording_id and m.t >= p.t) as a from p)"""
 
 
-@query(SNAP + "select stream_id, event_id, round(case when t - b <= 7200 then b when a - t <= 7200 then a else t end, 6) as back, round(case when a - t <= 7200 then a when t - b <= 7200 then b else t end, 6) as ahead from s")
+@query(SNAP + "select recording_id, event_id, round(case when t - b <= 7200 then b when a - t <= 7200 then a else t end, 6) as back, round(case when a - t <= 7200 then a when t - b <= 7200 then b else t end, 6) as ahead from s")
 def j9_nearest(spark: Spark, d: str) -> DataFrame:
     p = T.points(spark, d)
-    out = J.nearest(p.where("kind = 'purchase'").select("stream_id", "event_id", "t"), p.where("kind = 'view'").select("stream_id", F.col("t").alias("m")), "stream_id", "t", "m", "event_id")
+    out = J.nearest(p.where("kind = 'purchase'").select("recording_id", "event_id", "t"), p.where("kind = 'view'").select("recording_id", F.col("t").alias("m")), "recording_id", "t", "m", "event_id")
     t, b, a = F.col("t"), F.col("before"), F.col("after")
-    return out.select("stream_id", "event_id", F.round(J.snapped(t, b, a, 7200, True), 6).alias("back"), F.round(J.snapped(t, b, a, 7200, False), 6).alias("ahead"))
+    return out.select("recording_id", "event_id", F.round(J.snapped(t, b, a, 7200, True), 6).alias("back"), F.round(J.snapped(t, b, a, 7200, False), 6).alias("ahead"))
 
 
-@query(T.SQL + """, smp as (select stream_id, i, value from series where kind = 'click'), kn as (select * from smp where value is not null), last as (select stream_id, max(i) as l from smp group by 1),
-g as (select stream_id, unnest(range(0, l * 2 + 3)) as g, l from last), x as (select stream_id, g, least(greatest(g * 0.5::double, 0), l) as x from g),
-n as (select x.*, s.value as nv from x join smp s on s.stream_id = x.stream_id and s.i = round_even(x, 0)),
-ab as (select n.*, (select max(i) from kn where kn.stream_id = n.stream_id and i <= x) as ia, (select min(i) from kn where kn.stream_id = n.stream_id and i >= x) as ic from n)
-select ab.stream_id, ab.g, round(case when nv is null then null when ia is null then c.value when ic is null or ia = ic then a.value else a.value + (c.value - a.value) * (x - ia) / (ic - ia) end, 9) as value
-from ab left join kn a on a.stream_id = ab.stream_id and a.i = ia left join kn c on c.stream_id = ab.stream_id and c.i = ic""")
+@query(T.SQL + """, smp as (select recording_id, i, value from series where kind = 'click'), kn as (select * from smp where value is not null), last as (select recording_id, max(i) as l from smp group by 1),
+g as (select recording_id, unnest(range(0, l * 2 + 3)) as g, l from last), x as (select recording_id, g, least(greatest(g * 0.5::double, 0), l) as x from g),
+n as (select x.*, s.value as nv from x join smp s on s.recording_id = x.recording_id and s.i = round_even(x, 0)),
+ab as (select n.*, (select max(i) from kn where kn.recording_id = n.recording_id and i <= x) as ia, (select min(i) from kn where kn.recording_id = n.recording_id and i >= x) as ic from n)
+select ab.recording_id, ab.g, round(case when nv is null then null when ia is null then c.value when ic is null or ia = ic then a.value else a.value + (c.value - a.value) * (x - ia) / (ic - ia) end, 9) as value
+from ab left join kn a on a.recording_id = ab.recording_id and a.i = ia left join kn c on c.recording_id = ab.recording_id and c.i = ic""")
 def j10_resample(spark: Spark, d: str) -> DataFrame:
-    s = T.series(spark, d).where("kind = 'click'").select("stream_id", "i", "value")
-    last = s.groupBy("stream_id").agg(F.max("i").alias("last"))
-    g = last.select("stream_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") * 2 + 2)).alias("g")).withColumn("t", F.col("g") * 0.5)
-    return J.resample(s, g, "stream_id", 1.0, "last").select("stream_id", "g", F.round("value", 9).alias("value"))
+    s = T.series(spark, d).where("kind = 'click'").select("recording_id", "i", "value")
+    last = s.groupBy("recording_id").agg(F.max("i").alias("last"))
+    g = last.select("recording_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") * 2 + 2)).alias("g")).withColumn("t", F.col("g") * 0.5)
+    return J.resample(s, g, "recording_id", 1.0, "last").select("recording_id", "g", F.round("value", 9).alias("value"))
 
 
-@query(T.SQL + """, m as (select w.stream_id, w.id, avg(power(10.0::double, p.value / 100)) as power from windows w join points p on p.stream_id = w.stream_id and p.kind = 'view' and p.t between w.t_start and w.t_end group by all)
-select w.stream_id, w.id, round(power, 9) as power from windows w left join m using (stream_id, id)""")
+@query(T.SQL + """, m as (select w.recording_id, w.id, avg(power(10.0::double, p.value / 100)) as power from windows w join points p on p.recording_id = w.recording_id and p.kind = 'view' and p.t between w.t_start and w.t_end group by all)
+select w.recording_id, w.id, round(power, 9) as power from windows w left join m using (recording_id, id)""")
 def j15_mean_power(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d)
-    p = T.points(spark, d).where("kind = 'view'").select("stream_id", "t", (F.col("value") / 10).alias("db"))
-    hits = J.points_in(p, w.select("stream_id", "id", "t_start", "t_end"), "stream_id", "t", "t_start", "t_end", 3600.0).groupBy("stream_id", "id").agg(F.round(A.mean_power(F.col("db")), 6).alias("power"))
-    return w.select("stream_id", "id").join(hits, ["stream_id", "id"], "left")
+    p = T.points(spark, d).where("kind = 'view'").select("recording_id", "t", (F.col("value") / 10).alias("db"))
+    hits = J.points_in(p, w.select("recording_id", "id", "t_start", "t_end"), "recording_id", "t", "t_start", "t_end", 3600.0).groupBy("recording_id", "id").agg(F.round(A.mean_power(F.col("db")), 6).alias("power"))
+    return w.select("recording_id", "id").join(hits, ["recording_id", "id"], "left")
 
 
-@query(T.SQL + """select stream_id, kind, count(*) as n, count(value) as observed, min(value) as min, round(quantile_cont(value, 0.05), 9) as p05, round(quantile_cont(value, 0.5), 9) as median, round(quantile_cont(value, 0.95), 9) as p95, max(value) as max, round(avg(value), 9) as mean from series group by all""")
+@query(T.SQL + """select recording_id, kind, count(*) as n, count(value) as observed, min(value) as min, round(quantile_cont(value, 0.05), 9) as p05, round(quantile_cont(value, 0.5), 9) as median, round(quantile_cont(value, 0.95), 9) as p95, max(value) as max, round(avg(value), 9) as mean from series group by all""")
 def a4_summary(spark: Spark, d: str) -> DataFrame:
-    out = A.summary(T.series(spark, d), ["stream_id", "kind"], "value")
-    return out.select("stream_id", "kind", "n", "observed", "min", *(F.round(c, 9).alias(c) for c in ("p05", "median", "p95")), "max", F.round("mean", 9).alias("mean"))
+    out = A.summary(T.series(spark, d), ["recording_id", "kind"], "value")
+    return out.select("recording_id", "kind", "n", "observed", "min", *(F.round(c, 9).alias(c) for c in ("p05", "median", "p95")), "max", F.round("mean", 9).alias("mean"))
 
 
-@query(T.SQL + """, c as (select *, count(*) over (partition by stream_id, kind) as n from series) select stream_id, kind, i // 4 as i, round(avg(value), 9) as value from c where i < n // 4 * 4 group by stream_id, kind, i // 4""")
+@query(T.SQL + """, c as (select *, count(*) over (partition by recording_id, kind) as n from series) select recording_id, kind, i // 4 as i, round(avg(value), 9) as value from c where i < n // 4 * 4 group by recording_id, kind, i // 4""")
 def a8_downsample(spark: Spark, d: str) -> DataFrame:
-    return A.downsample(T.series(spark, d), ["stream_id", "kind"], "i", "value", 4).select("stream_id", "kind", "i", F.round("value", 9).alias("value"))
+    return A.downsample(T.series(spark, d), ["recording_id", "kind"], "i", "value", 4).select("recording_id", "kind", "i", F.round("value", 9).alias("value"))
 
 
 @query("""with x as (select p_brand, p_retailprice as v, p_size > 25 as pos from part), r as (select *, rank() over (partition by p_brand order by v) - 1 + (count(*) over (partition by p_brand, v) - 1) / 2.0::double as r from x),

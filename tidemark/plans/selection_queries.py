@@ -28,31 +28,31 @@ def t2_default_model(spark: Spark, d: str) -> DataFrame:
     return S.default_model(T.table(spark, d, "documents").select(F.col("lang").alias("model")), "xx")
 
 
-@query(T.SQL + """, x as (select stream_id, id, t_peak, score, id % 7 = 0 as anchored, (id * 37 % 100)::double as e, (id * 53 % 100)::double as g from windows),
-r as (select *, row_number() over (partition by stream_id order by score desc, t_peak, id) as r from x), s as (select *, case when r <= 3 then 'combined' when anchored then 'markers' when e >= g then 'entertainment' else 'gameplay' end as section from r)
-select stream_id, id, section, row_number() over (partition by stream_id, section order by case section when 'markers' then t_peak when 'entertainment' then -e when 'gameplay' then -g else -score end, id) as place from s""")
+@query(T.SQL + """, x as (select recording_id, id, t_peak, score, id % 7 = 0 as anchored, (id * 37 % 100)::double as e, (id * 53 % 100)::double as g from windows),
+r as (select *, row_number() over (partition by recording_id order by score desc, t_peak, id) as r from x), s as (select *, case when r <= 3 then 'combined' when anchored then 'markers' when e >= g then 'entertainment' else 'gameplay' end as section from r)
+select recording_id, id, section, row_number() over (partition by recording_id, section order by case section when 'markers' then t_peak when 'entertainment' then -e when 'gameplay' then -g else -score end, id) as place from s""")
 def t3_sections(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d).withColumn("anchored", F.col("id") % 7 == 0).withColumn("e", (F.col("id") * 37 % 100).cast("double")).withColumn("g", (F.col("id") * 53 % 100).cast("double"))
-    return S.sections(w, 3).select("stream_id", "id", "section", "place")
+    return S.sections(w, 3).select("recording_id", "id", "section", "place")
 
 
-@query(T.SQL + "select stream_id, id, score, t_peak, row_number() over (order by score desc, t_peak, id) as place from windows")
+@query(T.SQL + "select recording_id, id, score, t_peak, row_number() over (order by score desc, t_peak, id) as place from windows")
 def t4_order(spark: Spark, d: str) -> DataFrame:
-    w = T.windows(spark, d).select("stream_id", "id", "score", "t_peak")
+    w = T.windows(spark, d).select("recording_id", "id", "score", "t_peak")
     # Places over all rows without one task for all: by score class first, then within.
     classed = w.withColumn("c", F.floor("score"))
     base = classed.groupBy("c").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "t_peak", "id")) + F.col("base")
-    return classed.join(base, "c").select("stream_id", "id", "score", "t_peak", place.alias("place"))
+    return classed.join(base, "c").select("recording_id", "id", "score", "t_peak", place.alias("place"))
 
 
-@query(T.SQL + """, rt as (select w.stream_id, w.id, t_start, t_end, rating, id % 4 = 0 as adjusted, id % 3 = 2 as is_current, t_peak as rated_at from windows w join ratings r using (id)),
-o as (select *, max(t_end) over (partition by stream_id order by t_start, t_end, id rows between unbounded preceding and 1 preceding) as b from rt), c as (select *, sum(case when b is null or t_start > b then 1 else 0 end) over (partition by stream_id order by t_start, t_end, id)::bigint - 1 as cluster from o),
-a as (select stream_id, cluster, arg_max(rating, (rated_at, id)) as verdict, coalesce(min(t_start) filter (rating >= 2 and adjusted), min(t_start) filter (rating >= 2)) as t_start, coalesce(max(t_end) filter (rating >= 2 and adjusted), max(t_end) filter (rating >= 2)) as t_end, not coalesce(bool_or(is_current) filter (rating >= 2), false) as rescued from c group by 1, 2)
-select stream_id, cluster, verdict, round(t_start, 6) as t_start, round(t_end, 6) as t_end, rescued from a where verdict >= 2""")
+@query(T.SQL + """, rt as (select w.recording_id, w.id, t_start, t_end, rating, id % 4 = 0 as adjusted, id % 3 = 2 as is_current, t_peak as rated_at from windows w join ratings r using (id)),
+o as (select *, max(t_end) over (partition by recording_id order by t_start, t_end, id rows between unbounded preceding and 1 preceding) as b from rt), c as (select *, sum(case when b is null or t_start > b then 1 else 0 end) over (partition by recording_id order by t_start, t_end, id)::bigint - 1 as cluster from o),
+a as (select recording_id, cluster, arg_max(rating, (rated_at, id)) as verdict, coalesce(min(t_start) filter (rating >= 2 and adjusted), min(t_start) filter (rating >= 2)) as t_start, coalesce(max(t_end) filter (rating >= 2 and adjusted), max(t_end) filter (rating >= 2)) as t_end, not coalesce(bool_or(is_current) filter (rating >= 2), false) as rescued from c group by 1, 2)
+select recording_id, cluster, verdict, round(t_start, 6) as t_start, round(t_end, 6) as t_end, rescued from a where verdict >= 2""")
 def t5_approved(spark: Spark, d: str) -> DataFrame:
     r = T.windows(spark, d).join(T.ratings(spark, d), "id").withColumn("adjusted", F.col("id") % 4 == 0).withColumn("is_current", F.col("id") % 3 == 2).withColumn("rated_at", F.col("t_peak"))
-    return S.approved(r, 2).select("stream_id", "cluster", "verdict", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), "rescued")
+    return S.approved(r, 2).select("recording_id", "cluster", "verdict", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), "rescued")
 
 
 @query("select p_type as name, min(p_partkey) as place from part group by 1 order by 2 limit 8")
@@ -71,18 +71,18 @@ def t8_latest_version(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("version"), F.max_by("o_orderstatus", "o_orderkey").alias("status"))
 
 
-@query(T.SQL + "select stream_id, count(*) as n, count(*) >= 12 as rankable from windows group by 1")
+@query(T.SQL + "select recording_id, count(*) as n, count(*) >= 12 as rankable from windows group by 1")
 def t9_rankable(spark: Spark, d: str) -> DataFrame:
-    return T.windows(spark, d).groupBy("stream_id").agg(F.count("*").alias("n"), (F.count("*") >= 12).alias("rankable"))
+    return T.windows(spark, d).groupBy("recording_id").agg(F.count("*").alias("n"), (F.count("*") >= 12).alias("rankable"))
 
 
-@query(T.SQL + """, q as (select stream_id, i, bool_and(value is null) as quiet from series group by 1, 2), g as (select *, i - row_number() over (partition by stream_id, quiet order by i) as g from q)
-select stream_id, (max(i) + 1) * 43200.0::double as t, count(*) * 43200.0::double as strength from g where quiet group by stream_id, g having count(*) >= 2""")
+@query(T.SQL + """, q as (select recording_id, i, bool_and(value is null) as quiet from series group by 1, 2), g as (select *, i - row_number() over (partition by recording_id, quiet order by i) as g from q)
+select recording_id, (max(i) + 1) * 43200.0::double as t, count(*) * 43200.0::double as strength from g where quiet group by recording_id, g having count(*) >= 2""")
 def h1_silence(spark: Spark, d: str) -> DataFrame:
     """Boundaries at the ends of silences of two buckets or more."""
-    q = T.series(spark, d).groupBy("stream_id", "i").agg(F.bool_and(F.col("value").isNull()).alias("quiet"))
-    r = W.runs(q, ["stream_id"], "i", "quiet").where("end - start >= 2")
-    return r.select("stream_id", (F.col("end") * 43200.0).alias("t"), ((F.col("end") - F.col("start")) * 43200.0).alias("strength"))
+    q = T.series(spark, d).groupBy("recording_id", "i").agg(F.bool_and(F.col("value").isNull()).alias("quiet"))
+    r = W.runs(q, ["recording_id"], "i", "quiet").where("end - start >= 2")
+    return r.select("recording_id", (F.col("end") * 43200.0).alias("t"), ((F.col("end") - F.col("start")) * 43200.0).alias("strength"))
 
 
 @query("""with e as (select label, vec_id, row_number() over (partition by label order by vec_id) as r, embedding from embeddings), u as (select label, r, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as k from e),
@@ -92,22 +92,22 @@ def h2_shift(spark: Spark, d: str) -> DataFrame:
     return S.embedding_shift(T.table(spark, d, "embeddings"), "label", "vec_id", "embedding", 3).select("label", "vec_id", F.round("depth", 6).alias("depth"))
 
 
-@query(T.SQL + "select stream_id, event_id, round(t, 6) as t from points where kind = 'signup' and t > 0")
+@query(T.SQL + "select recording_id, event_id, round(t, 6) as t from points where kind = 'signup' and t > 0")
 def h3_scene_boundaries(spark: Spark, d: str) -> DataFrame:
-    return T.points(spark, d).where("kind = 'signup' and t > 0").select("stream_id", "event_id", F.round("t", 6).alias("t"))
+    return T.points(spark, d).where("kind = 'signup' and t > 0").select("recording_id", "event_id", F.round("t", 6).alias("t"))
 
 
 @query()
 def h4_boundary_merge(spark: Spark, d: str) -> DataFrame:
     """Boundaries within a day of the first of their cluster are one."""
-    return S.anchored_clusters(T.points(spark, d).where("kind = 'signup' and t > 0").select("stream_id", "t"), 86_400.0)
+    return S.anchored_clusters(T.points(spark, d).where("kind = 'signup' and t > 0").select("recording_id", "t"), 86_400.0)
 
 
-@query(T.SQL + """, o as (select p.stream_id, t from points p join streams s using (stream_id) where kind = 'signup' and t > 0 and t < duration union select stream_id, 0.0 from streams)
-select stream_id, row_number() over (partition by stream_id order by t) - 1 as chapter, round(t, 6) as t_start, round(coalesce(lead(t) over (partition by stream_id order by t), duration), 6) as t_end from o join streams using (stream_id)""")
+@query(T.SQL + """, o as (select p.recording_id, t from points p join recordings s using (recording_id) where kind = 'signup' and t > 0 and t < duration union select recording_id, 0.0 from recordings)
+select recording_id, row_number() over (partition by recording_id order by t) - 1 as chapter, round(t, 6) as t_start, round(coalesce(lead(t) over (partition by recording_id order by t), duration), 6) as t_end from o join recordings using (recording_id)""")
 def h5_tiling(spark: Spark, d: str) -> DataFrame:
-    out = S.tiling(T.points(spark, d).where("kind = 'signup'").select("stream_id", "t"), T.streams(spark, d).select("stream_id", "duration"))
-    return out.select("stream_id", "chapter", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"))
+    out = S.tiling(T.points(spark, d).where("kind = 'signup'").select("recording_id", "t"), T.recordings(spark, d).select("recording_id", "duration"))
+    return out.select("recording_id", "chapter", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"))
 
 
 @query("select event_id, round(case when value > 0 then 12 * log2(value / 100) end, 6) as semitones, round(power(10.0::double, value / 100), 6) as power, round(0.5 * (1 - cos(pi() * least(greatest(value / 100, 0), 1))), 6) as cosine from events")
@@ -127,11 +127,11 @@ def f3_normal(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "conversations").select("conv_id", "turn", X.normal(F.col("text")).alias("words"))
 
 
-@query(f"with w as (select conv_id, string_split({NORMAL}, ' ') as w from conversations where {NORMAL} <> ''), g as (select conv_id, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram from w, range(2, 4) t(n), unnest(range(1, len(w) - n + 2)) u(i)) select gram, count(*) as n, count(distinct conv_id) as n_streams from g group by 1 having count(*) >= 5")
+@query(f"with w as (select conv_id, string_split({NORMAL}, ' ') as w from conversations where {NORMAL} <> ''), g as (select conv_id, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram from w, range(2, 4) t(n), unnest(range(1, len(w) - n + 2)) u(i)) select gram, count(*) as n, count(distinct conv_id) as n_recordings from g group by 1 having count(*) >= 5")
 def f6_ngrams(spark: Spark, d: str) -> DataFrame:
     c = T.table(spark, d, "conversations").select("conv_id", X.normal(F.col("text")).alias("t")).where("t != ''")
     g = c.select("conv_id", F.explode(X.ngrams(F.split("t", " "), 2, 3)).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_streams")).where("n >= 5")
+    return g.groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_recordings")).where("n >= 5")
 
 
 @query(f"select conv_id, turn, contains(' ' || {NORMAL} || ' ', ' of the ') as has from conversations")
@@ -172,10 +172,10 @@ def f13_color(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "part").select("p_partkey", C.subtitle_color(F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6))).alias("color"))
 
 
-@query(T.SQL + "select stream_id, id, floor(t_start * 30000 / 1001 + 1e-9)::bigint as first, ceil(t_end * 30000 / 1001 - 1e-9)::bigint as last from windows")
+@query(T.SQL + "select recording_id, id, floor(t_start * 30000 / 1001 + 1e-9)::bigint as first, ceil(t_end * 30000 / 1001 - 1e-9)::bigint as last from windows")
 def f14_frames(spark: Spark, d: str) -> DataFrame:
     w = T.windows(spark, d)
-    return w.select("stream_id", "id", C.frame_floor(F.col("t_start"), 30000, 1001).alias("first"), C.frame_ceil(F.col("t_end"), 30000, 1001).alias("last"))
+    return w.select("recording_id", "id", C.frame_floor(F.col("t_start"), 30000, 1001).alias("first"), C.frame_ceil(F.col("t_end"), 30000, 1001).alias("last"))
 
 
 @query("with r(n, d) as (values (24000, 1001), (24, 1), (25, 1), (30000, 1001), (30, 1), (50, 1), (60000, 1001), (60, 1), (120, 1)), x as (select p_partkey, p_size * 1.001::double as rate from part), b as (select p_partkey, arg_min(n || '/' || d, abs(rate - n / d::double)) as name, min(abs(rate - n / d::double)) as gap, arg_min(n / d::double, abs(rate - n / d::double)) as std from x, r group by 1) select p_partkey, case when gap <= 0.005 * std then name end as rate from b")
@@ -194,18 +194,18 @@ def f19_norm(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(S.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
-@query(T.SQL + """, c as (select stream_id, t as c_start, least(t + 600, coalesce(lead(t) over (partition by stream_id order by t, event_id), t + 600)) as c_end from points where kind = 'error'), p as (select stream_id, event_id, t from points where kind = 'view')
-select p.stream_id, p.event_id, round(p.t - coalesce(sum(least(c_end, p.t) - c_start), 0), 6) as mapped from p left join c on c.stream_id = p.stream_id and c_start <= p.t group by p.stream_id, p.event_id, p.t""")
+@query(T.SQL + """, c as (select recording_id, t as c_start, least(t + 600, coalesce(lead(t) over (partition by recording_id order by t, event_id), t + 600)) as c_end from points where kind = 'error'), p as (select recording_id, event_id, t from points where kind = 'view')
+select p.recording_id, p.event_id, round(p.t - coalesce(sum(least(c_end, p.t) - c_start), 0), 6) as mapped from p left join c on c.recording_id = p.recording_id and c_start <= p.t group by p.recording_id, p.event_id, p.t""")
 def f20_cut_time(spark: Spark, d: str) -> DataFrame:
     p = T.points(spark, d)
-    nxt = F.lead("t").over(Window.partitionBy("stream_id").orderBy("t", "event_id"))
-    cuts = p.where("kind = 'error'").select("stream_id", F.col("t").alias("c_start"), F.least(F.col("t") + 600, F.coalesce(nxt, F.col("t") + 600)).alias("c_end"))
-    return C.cut_time(p.where("kind = 'view'").select("stream_id", "event_id", "t"), cuts, "stream_id", "t").select("stream_id", "event_id", F.round("mapped", 6).alias("mapped"))
+    nxt = F.lead("t").over(Window.partitionBy("recording_id").orderBy("t", "event_id"))
+    cuts = p.where("kind = 'error'").select("recording_id", F.col("t").alias("c_start"), F.least(F.col("t") + 600, F.coalesce(nxt, F.col("t") + 600)).alias("c_end"))
+    return C.cut_time(p.where("kind = 'view'").select("recording_id", "event_id", "t"), cuts, "recording_id", "t").select("recording_id", "event_id", F.round("mapped", 6).alias("mapped"))
 
 
-@query(T.SQL + ", n as (select *, count(*) over (partition by stream_id, kind) as n from series) select stream_id, kind, ((i + 1) * 20 - 1) // n as bucket, max(value) as value from n group by all")
+@query(T.SQL + ", n as (select *, count(*) over (partition by recording_id, kind) as n from series) select recording_id, kind, ((i + 1) * 20 - 1) // n as bucket, max(value) as value from n group by all")
 def f21_sparkline(spark: Spark, d: str) -> DataFrame:
-    return C.sparkline(T.series(spark, d), ["stream_id", "kind"], "i", "value", 20)
+    return C.sparkline(T.series(spark, d), ["recording_id", "kind"], "i", "value", 20)
 
 
 @query("select event_id, case when -14 - (value - 40) > 20 then 'refuse' else printf('%.2f', -14 - (value - 40)) end as gain from events")
@@ -299,11 +299,11 @@ def z1_recency(spark: Spark, d: str) -> DataFrame:
     return x.groupBy("event_type").agg(F.round(F.sum(F.col("n") * F.exp(-age / F.lit(30.0))), 6).alias("recency"), F.sum("n").alias("n"))
 
 
-@query(T.SQL + ", x as (select stream_id, event_id, count(*) over (partition by stream_id order by us range between 86400000000 preceding and current row) as n from points where kind = 'click') select stream_id, event_id, n from x where n >= 3")
+@query(T.SQL + ", x as (select recording_id, event_id, count(*) over (partition by recording_id order by us range between 86400000000 preceding and current row) as n from points where kind = 'click') select recording_id, event_id, n from x where n >= 3")
 def z3_bursts(spark: Spark, d: str) -> DataFrame:
     """Events that end three or more within a day."""
-    w = Window.partitionBy("stream_id").orderBy("us").rangeBetween(-86_400_000_000, 0)
-    return T.points(spark, d).where("kind = 'click'").select("stream_id", "event_id", F.count("*").over(w).alias("n")).where("n >= 3")
+    w = Window.partitionBy("recording_id").orderBy("us").rangeBetween(-86_400_000_000, 0)
+    return T.points(spark, d).where("kind = 'click'").select("recording_id", "event_id", F.count("*").over(w).alias("n")).where("n >= 3")
 
 
 @query("with x as (select o_custkey, o_orderkey, o_totalprice, median(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 20 preceding and 1 preceding) as m from orders) select o_custkey, o_orderkey, round(o_totalprice / m, 6) as ratio from x")

@@ -14,7 +14,7 @@ from .registry import query
 Spark = SparkSession
 KIND_LIST = list(T.KINDS)
 STEP = float(T.STEP)
-WIDE = T.SQL + ", wide as (select stream_id, i, t, max(value) filter (kind = 'click') as click, max(value) filter (kind = 'error') as error, max(value) filter (kind = 'purchase') as purchase, max(value) filter (kind = 'signup') as signup, max(value) filter (kind = 'view') as view from series group by all)"
+WIDE = T.SQL + ", wide as (select recording_id, i, t, max(value) filter (kind = 'click') as click, max(value) filter (kind = 'error') as error, max(value) filter (kind = 'purchase') as purchase, max(value) filter (kind = 'signup') as signup, max(value) filter (kind = 'view') as view from series group by all)"
 
 
 def wide(spark: Spark, d: str) -> DataFrame:
@@ -23,10 +23,10 @@ def wide(spark: Spark, d: str) -> DataFrame:
 
 def gate_sql(level: str, src: str, out: str, margin: int = 6) -> str:
     """CTEs of the speech gate over 11 samples, held for 2, runs of 2 or more."""
-    return f""", {out}_a as (select stream_id, i, coalesce({level} > avg({level}) over (partition by stream_id order by i rows between 5 preceding and 5 following) + {margin}, false) as x from {src}),
-{out}_b as (select stream_id, i, bool_or(x) over (partition by stream_id order by i rows between 2 preceding and current row) as x from {out}_a),
-{out}_c as (select *, i - row_number() over (partition by stream_id, x order by i) as g from {out}_b),
-{out} as (select stream_id, i, x and count(*) over (partition by stream_id, x, g) >= 2 as gate from {out}_c)"""
+    return f""", {out}_a as (select recording_id, i, coalesce({level} > avg({level}) over (partition by recording_id order by i rows between 5 preceding and 5 following) + {margin}, false) as x from {src}),
+{out}_b as (select recording_id, i, bool_or(x) over (partition by recording_id order by i rows between 2 preceding and current row) as x from {out}_a),
+{out}_c as (select *, i - row_number() over (partition by recording_id, x order by i) as g from {out}_b),
+{out} as (select recording_id, i, x and count(*) over (partition by recording_id, x, g) >= 2 as gate from {out}_c)"""
 
 
 def gated(df: DataFrame, level: str, name: str) -> DataFrame:
@@ -35,49 +35,49 @@ def gated(df: DataFrame, level: str, name: str) -> DataFrame:
 
 @query(T.SQL + "select * from grid")
 def g1_grid(spark: Spark, d: str) -> DataFrame:
-    return T.grid(T.streams(spark, d))
+    return T.grid(T.recordings(spark, d))
 
 
-@query(WIDE + gate_sql("view", "wide", "gv") + "select stream_id, i, gate from gv")
+@query(WIDE + gate_sql("view", "wide", "gv") + "select recording_id, i, gate from gv")
 def g2_speech_gate(spark: Spark, d: str) -> DataFrame:
-    return gated(wide(spark, d), "view", "gate").select("stream_id", "i", "gate")
+    return gated(wide(spark, d), "view", "gate").select("recording_id", "i", "gate")
 
 
-@query(WIDE + ", st as (select stream_id, i, case when view > 0 then 12 * log2(view / 100) end as s from wide) select stream_id, i, case when count(s) over w >= 3 then round(stddev_pop(s) over w, 6) end as variation from st window w as (partition by stream_id order by i rows between 5 preceding and 5 following)")
+@query(WIDE + ", st as (select recording_id, i, case when view > 0 then 12 * log2(view / 100) end as s from wide) select recording_id, i, case when count(s) over w >= 3 then round(stddev_pop(s) over w, 6) end as variation from st window w as (partition by recording_id order by i rows between 5 preceding and 5 following)")
 def g3_pitch_variation(spark: Spark, d: str) -> DataFrame:
-    return S.pitch_variation(wide(spark, d), "view", "variation", 10, 3).select("stream_id", "i", F.round("variation", 6).alias("variation"))
+    return S.pitch_variation(wide(spark, d), "view", "variation", 10, 3).select("recording_id", "i", F.round("variation", 6).alias("variation"))
 
 
-Z_VIEW = ", zv as (select stream_id, i, round((view - avg(view) over w) / greatest(coalesce(stddev_pop(view) over w, 0), 0.5), 9) as z from wide window w as (partition by stream_id order by i rows between 5 preceding and 5 following))"
-QUIET = Z_VIEW + """, pk as (select *, max(z) over (partition by stream_id order by i rows between 5 preceding and current row) as p from zv), qu as (select stream_id, i, z, coalesce(p >= 1 and p - z >= 1.5 and z <= 0.5, false) as q from pk),
-qg as (select *, i - row_number() over (partition by stream_id, q order by i) as g from qu), silence as (select stream_id, i, z, case when q then least(row_number() over (partition by stream_id, q, g order by i) / 2.0::double, 1) else 0.0::double end as level from qg)"""
+Z_VIEW = ", zv as (select recording_id, i, round((view - avg(view) over w) / greatest(coalesce(stddev_pop(view) over w, 0), 0.5), 9) as z from wide window w as (partition by recording_id order by i rows between 5 preceding and 5 following))"
+QUIET = Z_VIEW + """, pk as (select *, max(z) over (partition by recording_id order by i rows between 5 preceding and current row) as p from zv), qu as (select recording_id, i, z, coalesce(p >= 1 and p - z >= 1.5 and z <= 0.5, false) as q from pk),
+qg as (select *, i - row_number() over (partition by recording_id, q order by i) as g from qu), silence as (select recording_id, i, z, case when q then least(row_number() over (partition by recording_id, q, g order by i) / 2.0::double, 1) else 0.0::double end as level from qg)"""
 
 
-@query(WIDE + QUIET + "select stream_id, i, level from silence")
+@query(WIDE + QUIET + "select recording_id, i, level from silence")
 def g4_sudden_silence(spark: Spark, d: str) -> DataFrame:
-    return S.sudden_silence(wide(spark, d), "view", "level", 10, 0.5, 6, 2).select("stream_id", "i", "level")
+    return S.sudden_silence(wide(spark, d), "view", "level", 10, 0.5, 6, 2).select("recording_id", "i", "level")
 
 
-@query(WIDE + gate_sql("view", "wide", "gv") + gate_sql("click", "wide", "gc") + "select stream_id, i, gv.gate and gc.gate as both from gv join gc using (stream_id, i)")
+@query(WIDE + gate_sql("view", "wide", "gv") + gate_sql("click", "wide", "gc") + "select recording_id, i, gv.gate and gc.gate as both from gv join gc using (recording_id, i)")
 def g5_overlap(spark: Spark, d: str) -> DataFrame:
-    return gated(gated(wide(spark, d), "view", "a"), "click", "b").select("stream_id", "i", (F.col("a") & F.col("b")).alias("both"))
+    return gated(gated(wide(spark, d), "view", "a"), "click", "b").select("recording_id", "i", (F.col("a") & F.col("b")).alias("both"))
 
 
-@query(WIDE + """, s as (select stream_id, i, coalesce(click <= 20 and max(click) over (partition by stream_id order by i rows between 5 preceding and current row) >= 60, false) as q from wide), g as (select *, i - row_number() over (partition by stream_id, q order by i) as g from s)
-select stream_id, i, case when q then least(row_number() over (partition by stream_id, q, g order by i) / 2.0::double, 1) else 0.0::double end as still from g""")
+@query(WIDE + """, s as (select recording_id, i, coalesce(click <= 20 and max(click) over (partition by recording_id order by i rows between 5 preceding and current row) >= 60, false) as q from wide), g as (select *, i - row_number() over (partition by recording_id, q order by i) as g from s)
+select recording_id, i, case when q then least(row_number() over (partition by recording_id, q, g order by i) / 2.0::double, 1) else 0.0::double end as still from g""")
 def g6_stillness(spark: Spark, d: str) -> DataFrame:
-    return S.stillness(wide(spark, d), "click", "still", 20, 60, 6, 2).select("stream_id", "i", "still")
+    return S.stillness(wide(spark, d), "click", "still", 20, 60, 6, 2).select("recording_id", "i", "still")
 
 
-@query(WIDE + QUIET + gate_sql("view", "wide", "gv") + """, e as (select gv.stream_id, gv.i, gate and not lag(gate, 1, false) over (partition by gv.stream_id order by gv.i) as edge, max(level) over (partition by gv.stream_id order by gv.i rows between 9 preceding and current row) as was, z from gv join silence using (stream_id, i))
-select stream_id, i from e where edge and was >= 0.5 and z >= 1""")
+@query(WIDE + QUIET + gate_sql("view", "wide", "gv") + """, e as (select gv.recording_id, gv.i, gate and not lag(gate, 1, false) over (partition by gv.recording_id order by gv.i) as edge, max(level) over (partition by gv.recording_id order by gv.i rows between 9 preceding and current row) as was, z from gv join silence using (recording_id, i))
+select recording_id, i from e where edge and was >= 0.5 and z >= 1""")
 def g7_reactions(spark: Spark, d: str) -> DataFrame:
     df = S.sudden_silence(gated(wide(spark, d), "view", "gate"), "view", "level", 10, 0.5, 6, 2)
-    df = W.rolling_zscore(df, ["stream_id"], "i", "view", 10, 0.5)
+    df = W.rolling_zscore(df, ["recording_id"], "i", "view", 10, 0.5)
     return S.reaction_onsets(df, "gate", "level", "z", 10)
 
 
-@query(WIDE + ", f as (select stream_id, i, coalesce(view > 40, false) as x from wide), g as (select *, i - row_number() over (partition by stream_id, x order by i) as g from f) select stream_id, min(i) as i, count(*) as size from g where x group by stream_id, g having count(*) >= 2")
+@query(WIDE + ", f as (select recording_id, i, coalesce(view > 40, false) as x from wide), g as (select *, i - row_number() over (partition by recording_id, x order by i) as g from f) select recording_id, min(i) as i, count(*) as size from g where x group by recording_id, g having count(*) >= 2")
 def g8_long_runs(spark: Spark, d: str) -> DataFrame:
     return S.long_runs(wide(spark, d).withColumn("x", F.coalesce(F.col("view") > 40, F.lit(False))), "x", 2)
 
@@ -85,16 +85,16 @@ def g8_long_runs(spark: Spark, d: str) -> DataFrame:
 PLATEAU = "0.5 * (1 - cos(pi() * least(greatest(1 - greatest(-86400.0::double - (g.i * 43200 - p.t), (g.i * 43200 - p.t) - 43200.0::double, 0) / 43200.0::double, 0), 1)))"
 
 
-@query(T.SQL + f", k as (select g.stream_id, g.i, max({PLATEAU}) as level from grid g join points p on p.stream_id = g.stream_id and p.kind = 'purchase' and g.i * 43200 between p.t - 129600 and p.t + 86400 group by all) select stream_id, i, round(coalesce(level, 0), 6) as level from grid left join k using (stream_id, i)")
+@query(T.SQL + f", k as (select g.recording_id, g.i, max({PLATEAU}) as level from grid g join points p on p.recording_id = g.recording_id and p.kind = 'purchase' and g.i * 43200 between p.t - 129600 and p.t + 86400 group by all) select recording_id, i, round(coalesce(level, 0), 6) as level from grid left join k using (recording_id, i)")
 def k1_plateau(spark: Spark, d: str) -> DataFrame:
-    g = T.grid(T.streams(spark, d)).withColumn("t", F.col("i") * STEP)
-    return S.plateau_kernel(g, T.points(spark, d).where("kind = 'purchase'"), 2 * STEP, STEP, STEP, "level").select("stream_id", "i", F.round("level", 6).alias("level"))
+    g = T.grid(T.recordings(spark, d)).withColumn("t", F.col("i") * STEP)
+    return S.plateau_kernel(g, T.points(spark, d).where("kind = 'purchase'"), 2 * STEP, STEP, STEP, "level").select("recording_id", "i", F.round("level", 6).alias("level"))
 
 
-@query(T.SQL + ", k as (select g.stream_id, g.i, sum(exp(-0.5 * ((g.i * 43200 - p.t) / 43200) * ((g.i * 43200 - p.t) / 43200))) as level from grid g join points p on p.stream_id = g.stream_id and p.kind = 'signup' group by all) select stream_id, i, round(coalesce(level, 0), 6) as level from grid left join k using (stream_id, i)")
+@query(T.SQL + ", k as (select g.recording_id, g.i, sum(exp(-0.5 * ((g.i * 43200 - p.t) / 43200) * ((g.i * 43200 - p.t) / 43200))) as level from grid g join points p on p.recording_id = g.recording_id and p.kind = 'signup' group by all) select recording_id, i, round(coalesce(level, 0), 6) as level from grid left join k using (recording_id, i)")
 def k2_gaussian(spark: Spark, d: str) -> DataFrame:
-    g = T.grid(T.streams(spark, d)).withColumn("t", F.col("i") * STEP)
-    return S.gaussian_kernel(g, T.points(spark, d).where("kind = 'signup'"), STEP, "level").select("stream_id", "i", F.round("level", 6).alias("level"))
+    g = T.grid(T.recordings(spark, d)).withColumn("t", F.col("i") * STEP)
+    return S.gaussian_kernel(g, T.points(spark, d).where("kind = 'signup'"), STEP, "level").select("recording_id", "i", F.round("level", 6).alias("level"))
 
 
 @query("select event_id, case when event_type in ('purchase', 'signup') then 'plateau' else 'gaussian' end as kernel from events")
@@ -102,39 +102,39 @@ def k3_dispatch(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("purchase", "signup"), "plateau").otherwise("gaussian").alias("kernel"))
 
 
-MENU = WIDE + gate_sql("view", "wide", "gv") + """, b as (select w.stream_id, w.i, w.click, w.purchase, w.error, gate, avg(view) over (partition by w.stream_id order by w.i rows between 5 preceding and 5 following) as base, view from wide w join gv using (stream_id, i)),
+MENU = WIDE + gate_sql("view", "wide", "gv") + """, b as (select w.recording_id, w.i, w.click, w.purchase, w.error, gate, avg(view) over (partition by w.recording_id order by w.i rows between 5 preceding and 5 following) as base, view from wide w join gv using (recording_id, i)),
 m as (select *, coalesce(error is null and not gate and coalesce(view <= base + 1e-9, true), false) as x, coalesce(coalesce(click, 0) <= 0 and coalesce(purchase, 0) <= 0 and not gate, false) as y from b),
-mg as (select *, i - row_number() over (partition by stream_id, x order by i) as g, i - row_number() over (partition by stream_id, y order by i) as h from m),
-mr as (select *, case when x then row_number() over (partition by stream_id, x, g order by i) else 0 end as r, case when y then row_number() over (partition by stream_id, y, h order by i) else 0 end as s from mg),
-pen as (select stream_id, i, view, case when r >= 3 then least((r - 2) / 2.0::double, 1) else 0.0::double end as menu, case when s >= 4 then least((s - 3) / 2.0::double, 1) else 0.0::double end as afk from mr)"""
+mg as (select *, i - row_number() over (partition by recording_id, x order by i) as g, i - row_number() over (partition by recording_id, y order by i) as h from m),
+mr as (select *, case when x then row_number() over (partition by recording_id, x, g order by i) else 0 end as r, case when y then row_number() over (partition by recording_id, y, h order by i) else 0 end as s from mg),
+pen as (select recording_id, i, view, case when r >= 3 then least((r - 2) / 2.0::double, 1) else 0.0::double end as menu, case when s >= 4 then least((s - 3) / 2.0::double, 1) else 0.0::double end as afk from mr)"""
 
 
 def with_penalties(spark: Spark, d: str) -> DataFrame:
     df = gated(wide(spark, d), "view", "gate")
-    df = W.rolling_moments(df, ["stream_id"], "i", "view", 5).withColumnRenamed("mean", "base").drop("n", "std")
+    df = W.rolling_moments(df, ["recording_id"], "i", "view", 5).withColumnRenamed("mean", "base").drop("n", "std")
     df = df.withColumn("in_menu", F.col("error").isNull()).withColumn("rate", F.coalesce("click", F.lit(0.0))).withColumn("speed", F.coalesce("purchase", F.lit(0.0)))
     return S.afk_penalty(S.menu_penalty(df, "in_menu", "gate", {"view": "base"}, 3, 2), "rate", "speed", "gate", 4, 2)
 
 
-@query(MENU + "select stream_id, i, menu from pen")
+@query(MENU + "select recording_id, i, menu from pen")
 def n1_menu(spark: Spark, d: str) -> DataFrame:
-    return with_penalties(spark, d).select("stream_id", "i", "menu")
+    return with_penalties(spark, d).select("recording_id", "i", "menu")
 
 
-@query(MENU + "select stream_id, i, afk from pen")
+@query(MENU + "select recording_id, i, afk from pen")
 def n2_afk(spark: Spark, d: str) -> DataFrame:
-    return with_penalties(spark, d).select("stream_id", "i", "afk")
+    return with_penalties(spark, d).select("recording_id", "i", "afk")
 
 
-@query(MENU + "select stream_id, i, round(coalesce(view, 0) - 2.0 * menu - 2.0 * afk, 6) as score from pen")
+@query(MENU + "select recording_id, i, round(coalesce(view, 0) - 2.0 * menu - 2.0 * afk, 6) as score from pen")
 def n3_penalized(spark: Spark, d: str) -> DataFrame:
-    return with_penalties(spark, d).select("stream_id", "i", F.round(S.penalized(F.coalesce("view", F.lit(0.0)), [F.col("menu"), F.col("afk")]), 6).alias("score"))
+    return with_penalties(spark, d).select("recording_id", "i", F.round(S.penalized(F.coalesce("view", F.lit(0.0)), [F.col("menu"), F.col("afk")]), 6).alias("score"))
 
 
 WEIGHTS = [("fun", "view", 1.0), ("fun", "purchase", 0.8), ("fun", "error", 0.0), ("play", "click", 1.0), ("play", "error", 0.5), ("play", "lag", 0.7)]
 COMP = T.SQL + f""", wt(profile, signal, weight) as (values {', '.join(f"('{p}', '{s}', {w}::double)" for p, s, w in WEIGHTS)}),
-zs as (select stream_id, kind as signal, i, (value - avg(value) over w) / greatest(coalesce(stddev_pop(value) over w, 0), 0.5) as z from series window w as (partition by stream_id, kind order by i rows between 5 preceding and 5 following)),
-comp as (select profile, stream_id, i, round(sum(weight * coalesce(z, 0)), 6) + 0.0 as composite from zs join wt using (signal) where weight <> 0 group by all)"""
+zs as (select recording_id, kind as signal, i, (value - avg(value) over w) / greatest(coalesce(stddev_pop(value) over w, 0), 0.5) as z from series window w as (partition by recording_id, kind order by i rows between 5 preceding and 5 following)),
+comp as (select profile, recording_id, i, round(sum(weight * coalesce(z, 0)), 6) + 0.0 as composite from zs join wt using (signal) where weight <> 0 group by all)"""
 
 
 def weights(spark: Spark) -> DataFrame:
@@ -142,13 +142,13 @@ def weights(spark: Spark) -> DataFrame:
 
 
 def zscores(spark: Spark, d: str) -> DataFrame:
-    return W.rolling_zscore(T.series(spark, d), ["stream_id", "kind"], "i", "value", 10, 0.5).select("stream_id", F.col("kind").alias("signal"), "i", "z")
+    return W.rolling_zscore(T.series(spark, d), ["recording_id", "kind"], "i", "value", 10, 0.5).select("recording_id", F.col("kind").alias("signal"), "i", "z")
 
 
-@query(COMP + "select profile, stream_id, i, round(composite, 4) as composite from comp")
+@query(COMP + "select profile, recording_id, i, round(composite, 4) as composite from comp")
 def c1_composite(spark: Spark, d: str) -> DataFrame:
     out = S.composite(zscores(spark, d), weights(spark))
-    return out.select("profile", "stream_id", "i", F.round(F.round("composite", 6) + 0.0, 4).alias("composite"))
+    return out.select("profile", "recording_id", "i", F.round(F.round("composite", 6) + 0.0, 4).alias("composite"))
 
 
 @query(COMP + "select profile, signal, weight from wt where weight <> 0 and signal not in (select signal from zs)")
@@ -156,29 +156,29 @@ def c2_missing(spark: Spark, d: str) -> DataFrame:
     return S.missing(weights(spark), T.series(spark, d).select(F.col("kind").alias("signal")))
 
 
-RAW = T.SQL + ", v as (select stream_id, i, round(coalesce(value, 0), 6) as x from series where kind = 'view')"
-PEAKS = RAW + """, ch as (select *, case when x is distinct from lag(x) over (partition by stream_id order by i) then 1 else 0 end as c from v), rn as (select *, sum(c) over (partition by stream_id order by i) as r from ch),
-isl as (select stream_id, r, min(i) as a, max(i) as b, max(x) as x from rn group by 1, 2), nb as (select *, lag(x) over (partition by stream_id order by r) as px, lead(x) over (partition by stream_id order by r) as nx from isl),
-pk as (select stream_id, (a + b) // 2 as i, x from nb where px < x and nx < x),
-lh as (select p.*, (select max(i) from v where v.stream_id = p.stream_id and v.i < p.i and v.x > p.x) as l, (select min(i) from v where v.stream_id = p.stream_id and v.i > p.i and v.x > p.x) as h from pk p),
-pr as (select stream_id, i, x, greatest((select min(x) from v where v.stream_id = lh.stream_id and v.i <= lh.i and v.i > coalesce(l, -1)), (select min(x) from v where v.stream_id = lh.stream_id and v.i >= lh.i and v.i < coalesce(h, 1000000000))) as base from lh)"""
+RAW = T.SQL + ", v as (select recording_id, i, round(coalesce(value, 0), 6) as x from series where kind = 'view')"
+PEAKS = RAW + """, ch as (select *, case when x is distinct from lag(x) over (partition by recording_id order by i) then 1 else 0 end as c from v), rn as (select *, sum(c) over (partition by recording_id order by i) as r from ch),
+isl as (select recording_id, r, min(i) as a, max(i) as b, max(x) as x from rn group by 1, 2), nb as (select *, lag(x) over (partition by recording_id order by r) as px, lead(x) over (partition by recording_id order by r) as nx from isl),
+pk as (select recording_id, (a + b) // 2 as i, x from nb where px < x and nx < x),
+lh as (select p.*, (select max(i) from v where v.recording_id = p.recording_id and v.i < p.i and v.x > p.x) as l, (select min(i) from v where v.recording_id = p.recording_id and v.i > p.i and v.x > p.x) as h from pk p),
+pr as (select recording_id, i, x, greatest((select min(x) from v where v.recording_id = lh.recording_id and v.i <= lh.i and v.i > coalesce(l, -1)), (select min(x) from v where v.recording_id = lh.recording_id and v.i >= lh.i and v.i < coalesce(h, 1000000000))) as base from lh)"""
 
 
-@query(PEAKS + "select stream_id, i, round(x, 6) as value, round(x - base, 6) as prominence from pr where x - base >= 20 and x > 30")
+@query(PEAKS + "select recording_id, i, round(x, 6) as value, round(x - base, 6) as prominence from pr where x - base >= 20 and x > 30")
 def x1_peaks(spark: Spark, d: str) -> DataFrame:
     """Peaks of a series with prominence 20 or more and a value above 30."""
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
-        return pd.DataFrame([(rows["stream_id"].iloc[0], p.i, round(p.value, 6), round(p.value - p.base, 6)) for p in X.find(rows["x"].to_numpy(), 20, 30)], columns=["stream_id", "i", "value", "prominence"])
+        return pd.DataFrame([(rows["recording_id"].iloc[0], p.i, round(p.value, 6), round(p.value - p.base, 6)) for p in X.find(rows["x"].to_numpy(), 20, 30)], columns=["recording_id", "i", "value", "prominence"])
 
-    s = T.series(spark, d).where("kind = 'view'").select("stream_id", "i", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("x"))
-    return s.groupBy("stream_id").applyInPandas(run, "stream_id long, i long, value double, prominence double")
+    s = T.series(spark, d).where("kind = 'view'").select("recording_id", "i", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("x"))
+    return s.groupBy("recording_id").applyInPandas(run, "recording_id long, i long, value double, prominence double")
 
 
 def smoothed(spark: Spark, d: str) -> DataFrame:
-    return S.composite(zscores(spark, d), weights(spark)).withColumn("composite", W.gaussian(F.round("composite", 6), ["profile", "stream_id"], "i", 2.0))
+    return S.composite(zscores(spark, d), weights(spark)).withColumn("composite", W.gaussian(F.round("composite", 6), ["profile", "recording_id"], "i", 2.0))
 
 
 def windows(spark: Spark, d: str) -> DataFrame:
@@ -192,42 +192,42 @@ def x3_calibrated_windows(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def j12_merged_profiles(spark: Spark, d: str) -> DataFrame:
-    return X.merge_profiles(windows(spark, d), smoothed(spark, d).select("stream_id", "profile", "i", "composite"), STEP, 2 * STEP, 8 * STEP)
+    return X.merge_profiles(windows(spark, d), smoothed(spark, d).select("recording_id", "profile", "i", "composite"), STEP, 2 * STEP, 8 * STEP)
 
 
-@query(T.SQL + """, s as (select stream_id, i, max(value) filter (kind = 'view') as e, max(value) filter (kind = 'click') as g from series group by 1, 2), m as (select stream_id, i, greatest(coalesce(e, 0), 0) / nullif(max(greatest(coalesce(e, 0), 0)) over w, 0) as en, greatest(coalesce(g, 0), 0) / nullif(max(greatest(coalesce(g, 0), 0)) over w, 0) as gn from s window w as (partition by stream_id))
-select stream_id, i, round(sqrt(coalesce(en, 0)) * sqrt(coalesce(gn, 0)) * (coalesce(en, 0) + coalesce(gn, 0)), 6) as score from m""")
+@query(T.SQL + """, s as (select recording_id, i, max(value) filter (kind = 'view') as e, max(value) filter (kind = 'click') as g from series group by 1, 2), m as (select recording_id, i, greatest(coalesce(e, 0), 0) / nullif(max(greatest(coalesce(e, 0), 0)) over w, 0) as en, greatest(coalesce(g, 0), 0) / nullif(max(greatest(coalesce(g, 0), 0)) over w, 0) as gn from s window w as (partition by recording_id))
+select recording_id, i, round(sqrt(coalesce(en, 0)) * sqrt(coalesce(gn, 0)) * (coalesce(en, 0) + coalesce(gn, 0)), 6) as score from m""")
 def x7_combined(spark: Spark, d: str) -> DataFrame:
-    """Two scores, each by its stream's largest, high only where both are."""
-    w = Window.partitionBy("stream_id")
+    """Two scores, each by its recording's largest, high only where both are."""
+    w = Window.partitionBy("recording_id")
 
     def norm(c: str):
         x = F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
         return F.when(F.max(x).over(w) > 1e-12, x / F.max(x).over(w)).otherwise(0.0)
 
     s = wide(spark, d).withColumn("e", norm("view")).withColumn("g", norm("click"))
-    return s.select("stream_id", "i", F.round(F.pow("e", F.lit(0.5)) * F.pow("g", F.lit(0.5)) * (F.col("e") + F.col("g")), 6).alias("score"))
+    return s.select("recording_id", "i", F.round(F.pow("e", F.lit(0.5)) * F.pow("g", F.lit(0.5)) * (F.col("e") + F.col("g")), 6).alias("score"))
 
 
-@query(COMP + """, c as (select stream_id, i, signal, round_even(weight * coalesce(z, 0), 4) as part from zs join wt using (signal) where profile = 'fun' and weight <> 0), r as (select *, row_number() over (partition by stream_id, i order by abs(part) desc, signal) as n from c)
-select stream_id, i, string_agg(signal, ',' order by n) as signals, round(sum(part), 4) as total from r group by 1, 2""")
+@query(COMP + """, c as (select recording_id, i, signal, round_even(weight * coalesce(z, 0), 4) as part from zs join wt using (signal) where profile = 'fun' and weight <> 0), r as (select *, row_number() over (partition by recording_id, i order by abs(part) desc, signal) as n from c)
+select recording_id, i, string_agg(signal, ',' order by n) as signals, round(sum(part), 4) as total from r group by 1, 2""")
 def x10_breakdown(spark: Spark, d: str) -> DataFrame:
     """What each weighted signal adds, largest first."""
     live = weights(spark).where("profile = 'fun' and weight != 0")
     part = F.bround(F.col("weight") * F.coalesce("z", F.lit(0.0)), 4)
     c = zscores(spark, d).join(F.broadcast(live), "signal").withColumn("part", part)
     by = F.array_sort(F.collect_list(F.struct((-F.abs("part")).alias("k"), "signal", "part")))
-    return c.groupBy("stream_id", "i").agg(by.alias("p")).select("stream_id", "i", F.array_join("p.signal", ",").alias("signals"), F.round(F.aggregate("p.part", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return c.groupBy("recording_id", "i").agg(by.alias("p")).select("recording_id", "i", F.array_join("p.signal", ",").alias("signals"), F.round(F.aggregate("p.part", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query(T.SQL + """, h as (select stream_id, i, max(value) filter (kind = 'view') as v, max(value) filter (kind = 'purchase') as p from series group by 1, 2), c as (select stream_id, i, 0.7::double * coalesce(v, 0) + 0.3::double * coalesce(p, 0) as score from h),
-m as (select *, lag(score) over w as l, lead(score) over w as r from c window w as (partition by stream_id order by i))
-select stream_id, i, greatest((i - 1) * 43200, 0)::double as t_start, (i + 1) * 43200.0::double as t_end, round(score, 6) as score, rank from (select *, row_number() over (partition by stream_id order by score desc, i) as rank from m where score > l and score > r) where rank <= 10""")
+@query(T.SQL + """, h as (select recording_id, i, max(value) filter (kind = 'view') as v, max(value) filter (kind = 'purchase') as p from series group by 1, 2), c as (select recording_id, i, 0.7::double * coalesce(v, 0) + 0.3::double * coalesce(p, 0) as score from h),
+m as (select *, lag(score) over w as l, lead(score) over w as r from c window w as (partition by recording_id order by i))
+select recording_id, i, greatest((i - 1) * 43200, 0)::double as t_start, (i + 1) * 43200.0::double as t_end, round(score, 6) as score, rank from (select *, row_number() over (partition by recording_id order by score desc, i) as rank from m where score > l and score > r) where rank <= 10""")
 def flagship(spark: Spark, d: str) -> DataFrame:
-    """Ten strongest moments of each stream: events on a grid, weighted, local maxima, windows, rank."""
+    """Ten strongest moments of each recording: events on a grid, weighted, local maxima, windows, rank."""
     s = wide(spark, d).withColumn("score", F.lit(0.7) * F.coalesce("view", F.lit(0.0)) + F.lit(0.3) * F.coalesce("purchase", F.lit(0.0)))
-    w = W.ordered(["stream_id"], "i")
+    w = W.ordered(["recording_id"], "i")
     m = s.withColumn("l", F.lag("score").over(w)).withColumn("r", F.lead("score").over(w)).where("score > l and score > r")
-    rank = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("score"), "i"))
+    rank = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("score"), "i"))
     m = m.withColumn("rank", rank).where("rank <= 10")
-    return m.select("stream_id", "i", F.greatest((F.col("i") - 1) * STEP, F.lit(0.0)).alias("t_start"), ((F.col("i") + 1) * STEP).alias("t_end"), F.round("score", 6).alias("score"), "rank")
+    return m.select("recording_id", "i", F.greatest((F.col("i") - 1) * STEP, F.lit(0.0)).alias("t_start"), ((F.col("i") + 1) * STEP).alias("t_end"), F.round("score", 6).alias("score"), "rank")

@@ -16,16 +16,16 @@ Spark = SparkSession
 @query()
 def h6_ranged_chapters(spark: Spark, d: str) -> DataFrame:
     """Chapters opened by purchases, split at sign-ups when over eight days, at least two days long."""
-    p = T.points(spark, d).where("kind in ('purchase', 'signup')").select("stream_id", "t", F.col("value").alias("strength"), (F.col("kind") == "signup").alias("spare"))
-    return Ch.chapters(T.streams(spark, d).select("stream_id", "duration").join(p, "stream_id", "left"), 172_800.0, 691_200.0)
+    p = T.points(spark, d).where("kind in ('purchase', 'signup')").select("recording_id", "t", F.col("value").alias("strength"), (F.col("kind") == "signup").alias("spare"))
+    return Ch.chapters(T.recordings(spark, d).select("recording_id", "duration").join(p, "recording_id", "left"), 172_800.0, 691_200.0)
 
 
-@query(T.SQL + "select w.stream_id, w.id, round(greatest(least(t_peak - 300, duration - 600), 0), 6) as p_start, round(least(greatest(least(t_peak - 300, duration - 600), 0) + 600, duration), 6) as p_end from windows w join streams using (stream_id)")
+@query(T.SQL + "select w.recording_id, w.id, round(greatest(least(t_peak - 300, duration - 600), 0), 6) as p_start, round(least(greatest(least(t_peak - 300, duration - 600), 0) + 600, duration), 6) as p_end from windows w join recordings using (recording_id)")
 def f22_preview(spark: Spark, d: str) -> DataFrame:
-    """Ten minutes about each peak, slid inside the stream rather than cut short."""
-    w = T.windows(spark, d).join(T.streams(spark, d), "stream_id")
+    """Ten minutes about each peak, slid inside the recording rather than cut short."""
+    w = T.windows(spark, d).join(T.recordings(spark, d), "recording_id")
     start = F.greatest(F.least(F.col("t_peak") - 300, F.col("duration") - 600), F.lit(0.0))
-    return w.select("stream_id", "id", F.round(start, 6).alias("p_start"), F.round(F.least(start + 600, F.col("duration")), 6).alias("p_end"))
+    return w.select("recording_id", "id", F.round(start, 6).alias("p_start"), F.round(F.least(start + 600, F.col("duration")), 6).alias("p_end"))
 
 
 @query()
@@ -93,15 +93,15 @@ def m15_only_one(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "events").groupBy("user_id").agg(F.when(F.countDistinct(good) == 1, F.max(good)).when(F.countDistinct("event_type") == 1, F.max("event_type")).otherwise("ambiguous").alias("pick"))
 
 
-@query(T.SQL + "select stream_id, event_id, 1700000000000 + round_even((t + 0.25) * 1000, 0)::bigint as epoch_ms from points where kind = 'purchase'")
+@query(T.SQL + "select recording_id, event_id, 1700000000000 + round_even((t + 0.25) * 1000, 0)::bigint as epoch_ms from points where kind = 'purchase'")
 def m17_synthetic_presses(spark: Spark, d: str) -> DataFrame:
-    return T.points(spark, d).where("kind = 'purchase'").select("stream_id", "event_id", (F.lit(1_700_000_000_000) + F.bround((F.col("t") + 0.25) * 1000).cast("long")).alias("epoch_ms"))
+    return T.points(spark, d).where("kind = 'purchase'").select("recording_id", "event_id", (F.lit(1_700_000_000_000) + F.bround((F.col("t") + 0.25) * 1000).cast("long")).alias("epoch_ms"))
 
 
-@query(T.SQL + "select stream_id, kind, min(value) as low, round(median(value), 9) as median, max(value) as high, count(value) as n from series where t between 86400 and 432000 group by all")
+@query(T.SQL + "select recording_id, kind, min(value) as low, round(median(value), 9) as median, max(value) as high, count(value) as n from series where t between 86400 and 432000 group by all")
 def m18_inspect(spark: Spark, d: str) -> DataFrame:
     s = T.series(spark, d).where("t between 86400 and 432000")
-    return s.groupBy("stream_id", "kind").agg(F.min("value").alias("low"), F.round(F.median("value"), 9).alias("median"), F.max("value").alias("high"), F.count("value").alias("n"))
+    return s.groupBy("recording_id", "kind").agg(F.min("value").alias("low"), F.round(F.median("value"), 9).alias("median"), F.max("value").alias("high"), F.count("value").alias("n"))
 
 
 @query("select o_orderkey, date_diff('second', o_orderdate, timestamp '2001-01-01') as age_s, date_diff('second', o_orderdate, timestamp '2001-01-01') between 0 and 8640000 and o_custkey % 7 <> 3 as live_elsewhere from orders")

@@ -14,7 +14,7 @@ from .registry import query
 
 @query()
 def r1_debounce(spark: SparkSession, d: str) -> DataFrame:
-    e = T.points(spark, d).select(F.concat_ws("-", F.col("stream_id").cast("string"), "kind").alias("key"), F.expr("us div 1000").alias("ms"))
+    e = T.points(spark, d).select(F.concat_ws("-", F.col("recording_id").cast("string"), "kind").alias("key"), F.expr("us div 1000").alias("ms"))
     return capture.debounced_batch(e, 86_400_000)
 
 

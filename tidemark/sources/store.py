@@ -19,16 +19,16 @@ def refresh(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_generation(candidates: DataFrame, ratings: DataFrame, config: str) -> DataFrame:
-    """By stream: the generation that a scoring under `config` writes.
+    """By recording: the generation that a scoring under `config` writes.
 
     A new one if the current one was made under another config or an operator rated any of it, else the same again.
     """
-    now = candidates.where("is_current").groupBy("stream_id").agg(F.max("generation").alias("current"), F.max("config_version").alias("config"))
-    rated = candidates.where("is_current").join(ratings.where("source = 'operator'"), "id", "left_semi").select("stream_id").distinct().withColumn("rated", F.lit(True))
-    last = candidates.groupBy("stream_id").agg(F.max("generation").alias("last"))
-    out = last.join(now, "stream_id", "left").join(rated, "stream_id", "left")
+    now = candidates.where("is_current").groupBy("recording_id").agg(F.max("generation").alias("current"), F.max("config_version").alias("config"))
+    rated = candidates.where("is_current").join(ratings.where("source = 'operator'"), "id", "left_semi").select("recording_id").distinct().withColumn("rated", F.lit(True))
+    last = candidates.groupBy("recording_id").agg(F.max("generation").alias("last"))
+    out = last.join(now, "recording_id", "left").join(rated, "recording_id", "left")
     fresh = F.col("current").isNull() | (F.col("config") != config) | F.coalesce("rated", F.lit(False))
-    return out.select("stream_id", F.when(fresh, F.col("last") + 1).otherwise(F.col("current")).alias("generation"), fresh.alias("fresh"))
+    return out.select("recording_id", F.when(fresh, F.col("last") + 1).otherwise(F.col("current")).alias("generation"), fresh.alias("fresh"))
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
@@ -46,7 +46,7 @@ def retained(backups: DataFrame, day: str, daily: int, months: int) -> DataFrame
 
 
 def merged_passes(passes: list[DataFrame]) -> DataFrame:
-    """Segments of all passes (repeats stay), numbered by stream from 0 in order of start, end and track."""
+    """Segments of all passes (repeats stay), numbered by recording from 0 in order of start, end and track."""
     all_ = reduce(DataFrame.unionByName, passes)
-    w = Window.partitionBy("stream_id").orderBy("t_start", "t_end", "track", "text")
+    w = Window.partitionBy("recording_id").orderBy("t_start", "t_end", "track", "text")
     return all_.withColumn("seq", F.row_number().over(w) - 1)

@@ -48,7 +48,7 @@ def debounced(presses: DataFrame, gap_ms: int, forget_ms: int) -> DataFrame:
 
 
 def tumbling(events: DataFrame, width: str, late: str, key: str = "user_id", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Count and sum by key and window; rows later than the watermark are dropped by Spark. Works on batches and streams."""
+    """Count and sum by key and window; rows later than the watermark are dropped by Spark. Works on batches and recordings."""
     out = events.withWatermark(ts, late) if events.isStreaming else events
     return out.groupBy(key, F.window(ts, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
