@@ -56,13 +56,10 @@ def test_runs(spark, name):
     assert got.columns and len(got.collect()) > 0
 
 
-@pytest.mark.parametrize("name,table,only", [("f24_overlapping_crops", "part", " where p_partkey < 400"), ("m10_located", "customer", " where c_custkey < 200")])
-def test_all_ids_are_read(spark, duck, name, table, only):
-    """The registered SQL of these two reads a part of the ids only; the query is held against it without that filter, on ids beyond it."""
-    more = SF.replace("0.001", "0.01")
-    sql = plans.oracle_sql()[name]
-    assert sql.count(only) == 1
-    sql = sql.replace(only, "")
+@pytest.mark.parametrize("name,table", [("f24_overlapping_crops", "part"), ("m10_located", "customer")])
+def test_all_ids_are_read(spark, duck, name, table):
+    """Once these read a part of the ids only; here they are held against their SQL on more of them."""
+    more, sql = SF.replace("0.001", "0.01"), plans.oracle_sql()[name]
     for t in (table, "supplier"):
         sql = sql.replace(f"from {t}", f"from '{more}/{t}.parquet'")
     want = duck.execute(sql)

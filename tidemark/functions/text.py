@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,39 @@ def phrase_pattern(phrase: str) -> str:
     return r"(?iU)\b" + r"\W+".join(words) + r"\b"
 
 
+def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Those of the phrases that the text has, each once."""
+    return F.array_compact(F.array(*(F.when(F.regexp_like(text, F.lit(phrase_pattern(p))), F.lit(p)) for p in phrases)))
+
+
+def aligned_words(words: Column) -> Column:
+    """Of JSON words with start and end: the centres of those that have both, ascending, how many those are, and how many there are in all."""
+    known = F.coalesce(F.from_json(words, "array<struct<start:double,end:double>>"), F.array().cast("array<struct<start:double,end:double>>"))
+    centres = F.array_sort(F.transform(F.filter(known, lambda w: w["start"].isNotNull() & w["end"].isNotNull()), lambda w: (w["start"] + w["end"]) / 2))
+    return F.struct(centres.alias("centres"), F.size(centres).cast("long").alias("aligned"), F.size(known).cast("long").alias("total"))
+
+
+def _tail_json(text: str | None) -> str | None:
+    found, at = None, (text or "").find("{")
+    while at >= 0:
+        try:
+            _, end = json.JSONDecoder().raw_decode(text, at)
+            found = text[at:end]
+        except (ValueError, RecursionError):
+            end = at + 1
+        at = text.find("{", end)
+    return found
+
+
+def tail_json(text: Column) -> Column:
+    """The last JSON object in a text that talks around it, with whatever is nested in it; null without any."""
+
+    def last(texts: pd.Series) -> pd.Series:
+        return texts.map(_tail_json)
+
+    return F.pandas_udf(last, "string")(text)
+
+
 def slug(text: Column, limit: int = 40) -> Column:
     whole = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_")
     return F.regexp_replace(F.substring(F.regexp_replace(whole, "^_+|_+$", ""), 1, limit), "_+$", "")
@@ -50,7 +85,7 @@ def slug(text: Column, limit: int = 40) -> Column:
 
 def relinked(path: Column, old: str, new: str) -> Column:
     """Paths that begin with old begin with new; others stay."""
-    return F.when(F.startswith(path, F.lit(old)), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1_000_000))).otherwise(path)
+    return F.when(F.startswith(path, F.lit(old)), F.concat(F.lit(new), F.substring(path, F.lit(len(old) + 1), F.length(path)))).otherwise(path)
 
 
 def validated(claims: DataFrame, known: DataFrame, raw_id: str, quote: str) -> DataFrame:

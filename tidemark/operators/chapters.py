@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 CHAPTER = "recording_id long, chapter int, t_start double, t_end double"
 
 
-def ranged(opens: list[tuple[float, float]], spare: list[tuple[float, float]], duration: float, least: float, most: float, rounds: int = 64) -> list[float]:
+def ranged(opens: list[tuple[float, float]], spare: list[tuple[float, float]], duration: float, least: float, most: float) -> list[float]:
     """Start times of chapters. opens and spare: (t, strength).
 
-    A chapter over `most` is split at its strongest spare boundary that leaves both parts `least`, again and again. Then every
-    opener of a chapter under `least` goes, all at once; the first chapter has none, so a short first one stays.
+    A chapter over `most` is split at its strongest spare boundary (of equals the earliest), whatever the parts, and so are its parts, until none is over
+    `most` or none has a boundary inside. Then every opener of a chapter under `least` goes, all at once; the first chapter has none, so a
+    short first one stays.
     """
-    starts = sorted({0.0, *(t for t, _ in opens if 0 < t < duration)})
-    left = sorted((t, s) for t, s in spare if 0 < t < duration and t not in starts)
-    for _ in range(rounds):
-        ends = [*starts[1:], duration]
-        best = None
-        for a, b in zip(starts, ends):
-            if b - a > most and best is None:
-                inside = [(s, -t) for t, s in left if t - a >= least and b - t >= least]
-                best = max(inside, default=None)
-        if best is None:
-            break
-        starts = sorted([*starts, -best[1]])
-        left = [x for x in left if x[0] != -best[1]]
+    opened = sorted({0.0, *(t for t, _ in opens if 0 < t < duration)})
+    left = sorted((t, s) for t, s in {t: s for t, s in spare if 0 < t < duration}.items() if t not in opened)
+    times = [t for t, _ in left]
+    starts, todo = [], [(a, b) for a, b in zip(opened, [*opened[1:], duration])]
+    while todo:
+        a, b = todo.pop()
+        inside = range(bisect_right(times, a), bisect_left(times, b)) if b - a > most else ()
+        if not inside:
+            starts.append(a)
+            continue
+        at = times[max(inside, key=lambda k: (left[k][1], -k))]
+        todo += [(a, at), (at, b)]
+    starts.sort()
     ends = [*starts[1:], duration]
     return [a for k, (a, b) in enumerate(zip(starts, ends)) if k == 0 or b - a >= least]
 

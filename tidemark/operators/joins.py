@@ -18,7 +18,8 @@ def points_in(points: DataFrame, spans: DataFrame, key: str, t: str, start: str,
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str, sa: str, ea: str, sb: str, eb: str, width: float) -> DataFrame:
-    """Pairs of spans of the same key that overlap or touch. A pair is formed in the first bucket that both touch, once."""
+    """Pairs of spans of the same key that overlap or touch; spans that end before they start overlap nothing. A pair is formed in the first bucket that both touch, once."""
+    a, b = a.where(F.col(ea) >= F.col(sa)), b.where(F.col(eb) >= F.col(sb))
     x = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col(sa) / width), F.floor(F.col(ea) / width))))
     y = b.withColumn("_b", F.explode(F.sequence(F.floor(F.col(sb) / width), F.floor(F.col(eb) / width))))
     first = F.col("_b") == F.greatest(F.floor(F.col(sa) / width), F.floor(F.col(sb) / width))
@@ -54,6 +55,28 @@ def snapped(t: Column, before: Column, after: Column, leash: float, backward: bo
     return F.coalesce(*((back, ahead) if backward else (ahead, back)), t)
 
 
+def snapped_spans(spans: DataFrame, starts: DataFrame, ends: DataFrame, key: str, leash: float, least: float, most: float, duration: str) -> DataFrame:
+    """Adds s_start and s_end: spans (key, id, t_start, t_end, duration) opened at a mark of starts (key, m) and closed at one of ends.
+
+    Opening prefers the last mark at or before, closing the first at or after, each within the leash, else the nearest on the other side. A span that would leave
+    [0, duration] or [least, most] stays as it was.
+    """
+    out = nearest(spans, starts, key, "t_start", "m", "id").withColumn("s_start", snapped(F.col("t_start"), F.col("before"), F.col("after"), leash, True)).drop("before", "after")
+    out = nearest(out, ends, key, "t_end", "m", "id").withColumn("s_end", snapped(F.col("t_end"), F.col("before"), F.col("after"), leash, False)).drop("before", "after")
+    fits = (F.col("s_start") >= 0) & (F.col("s_end") <= F.col(duration)) & (F.col("s_end") - F.col("s_start")).between(least, most)
+    return out.withColumns({"s_start": F.when(fits, F.col("s_start")).otherwise(F.col("t_start")), "s_end": F.when(fits, F.col("s_end")).otherwise(F.col("t_end"))})
+
+
+def clamped(start: Column, end: Column, peak: Column, least: float, most: float, duration: Column) -> tuple[Column, Column]:
+    """Windows under `least` grown about their middle, those over `most` cut to `most` about the peak, both slid inside [0, duration] and holding the peak."""
+    size, zero = end - start, F.lit(0.0)
+    lack = F.greatest(F.lit(least) - size, zero) / 2
+    a, b = F.when(size > most, peak - most / 2).otherwise(start - lack), F.when(size > most, peak + most / 2).otherwise(end + lack)
+    a, b = F.greatest(a, zero), b + F.greatest(-a, zero)
+    a, b = F.greatest(a - F.greatest(b - duration, zero), zero), F.least(b, duration)
+    return F.least(a, peak), F.greatest(b, peak)
+
+
 def resample(samples: DataFrame, grid: DataFrame, key: str, rate: float, last_index: str) -> DataFrame:
     """Linear values of samples (key, i, value; sample i at i / rate) at grid points (key, g, t), ends held.
 

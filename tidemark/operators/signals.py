@@ -72,6 +72,14 @@ def plateau(gap: Column, before: float, after: float, shoulder: float) -> Column
     return 0.5 * (1 - F.cos(math.pi * x))
 
 
+def dispatched(kind: Column, gap: Column, marked: tuple[str, ...], before: float, after: float, shoulder: float, sigma: float) -> Column:
+    """The plateau for kinds that begin with one of `marked`, the bell for all others."""
+    starts = F.lit(False)
+    for prefix in marked:
+        starts = starts | F.startswith(kind, F.lit(prefix))
+    return F.when(starts, plateau(gap, before, after, shoulder)).otherwise(F.exp(-0.5 * (gap / sigma) * (gap / sigma)))
+
+
 def plateau_kernel(grid: DataFrame, events: DataFrame, before: float, after: float, shoulder: float, name: str) -> DataFrame:
     """Largest plateau over the events of each grid point; 0 without any."""
     spans = events.select("recording_id", F.col("t").alias("_e"), (F.col("t") - before - shoulder).alias("_from"), (F.col("t") + after + shoulder).alias("_to"))

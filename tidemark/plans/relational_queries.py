@@ -19,9 +19,23 @@ def s1_scan(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "events").where("event_type = 'error' and value > 50").select("event_id", "user_id", "value").orderBy("user_id", "event_id")
 
 
-@query("select vec_id, len(embedding) as n_samples, len(embedding) = 64 as ok from embeddings")
+@query("select vec_id, case when vec_id % 50 = 0 then 253 else len(embedding) * 4 end::bigint as n_bytes, vec_id % 50 <> 0 as ok, case when vec_id % 50 <> 0 then round(list_sum(list_transform(embedding, lambda x: x::double)), 4) end as total from embeddings")
 def s2_decode(spark: Spark, d: str) -> DataFrame:
-    return T.table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n_samples"), (F.size("embedding") == 64).alias("ok"))
+    """Vectors stored as blobs and read again; blobs of another size, as every fiftieth here, are refused."""
+    b = T.table(spark, d, "embeddings").select("vec_id", store.blob(F.col("embedding").cast("array<float>")).alias("b")).withColumn("b", F.when(F.col("vec_id") % 50 == 0, F.expr("substring(b, 1, 253)")).otherwise(F.col("b")))
+    v = b.withColumn("v", store.decoded(F.col("b"), 64))
+    return v.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), F.col("v").isNotNull().alias("ok"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+ANCHORS = """case doc_id % 6 when 0 then '{"schema": 1, "record_start_epoch_ms": ' || (1700000000000 + doc_id)::varchar || '}' when 1 then '{"schema": 2, "record_start_epoch_ms": 1700000000000}' when 2 then '{"record_start_epoch_ms": ' || (1700000000 + doc_id)::varchar || ', "schema": 1}' when 3 then 'no json' when 4 then '{"schema": 1}' end"""
+
+
+@query(f"with a as (select doc_id, {ANCHORS} as a from documents), j as (select doc_id, case when a is not null and json_valid(a) then try_cast(json_extract_string(a, '$.record_start_epoch_ms') as bigint) end as ms, case when a is not null and json_valid(a) then try_cast(json_extract_string(a, '$.schema') as int) end as v from a) select doc_id, case when ms is null then 'malformed' when coalesce(v, -1) <> 1 then 'unknown schema' when ms < 1577836800000 then 'seconds, not milliseconds' else 'ok' end as state from j")
+def s7_anchor(spark: Spark, d: str) -> DataFrame:
+    """What is wrong with an anchor, or that it can be used."""
+    n, text = F.col("doc_id"), lambda x: x.cast("string")
+    a = F.when(n % 6 == 0, F.concat(F.lit('{"schema": 1, "record_start_epoch_ms": '), text(n + 1_700_000_000_000), F.lit("}"))).when(n % 6 == 1, '{"schema": 2, "record_start_epoch_ms": 1700000000000}').when(n % 6 == 2, F.concat(F.lit('{"record_start_epoch_ms": '), text(n + 1_700_000_000), F.lit(', "schema": 1}'))).when(n % 6 == 3, "no json").when(n % 6 == 4, '{"schema": 1}')
+    return T.table(spark, d, "documents").select("doc_id", logs.anchor_state(a).alias("state"))
 
 
 @query("select c_custkey, case when c_custkey % 3 = 0 then 'new' else 'old' end as made, case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as v from customer")
@@ -117,6 +131,13 @@ def s17_manifest(spark: Spark, d: str) -> DataFrame:
     return store.manifest({n: T.table(spark, d, n) for n in ("customer", "events", "orders")})
 
 
+@query("select 'customer' as name, count(*) as expected, count(*) filter (c_custkey % 9 <> 0) as found, count(*) = count(*) filter (c_custkey % 9 <> 0) as ok from customer union all select 'orders', count(*), count(*), true from orders union all select 'part', null, count(*), false from part union all select 'events', count(*), null, false from events")
+def s17_verified(spark: Spark, d: str) -> DataFrame:
+    """A manifest against tables of which one lost rows, one is gone and one is new."""
+    t = lambda n: T.table(spark, d, n)
+    return store.verified(store.manifest({n: t(n) for n in ("customer", "events", "orders")}), {"customer": t("customer").where("c_custkey % 9 != 0"), "orders": t("orders"), "part": t("part")})
+
+
 @query("""with b as (select distinct cast(o_orderdate as date) as day from orders), r as (select day, row_number() over (order by day desc) as n, row_number() over (partition by strftime(day, '%Y-%m') order by day desc) as m, dense_rank() over (order by strftime(day, '%Y-%m') desc) as k from b)
 select day::varchar as day from r where n <= 7 or (m = 1 and k <= 12)""")
 def s17_retention(spark: Spark, d: str) -> DataFrame:
@@ -148,6 +169,18 @@ def j5_best_overlap(spark: Spark, d: str) -> DataFrame:
     return J.best_overlap(w, old, "recording_id", 3600.0).select("recording_id", "id", "old_id", F.round("iou", 6).alias("iou"))
 
 
+@query(OLD + """, o as (select old.*, r.rating as old_rating from old join ratings r on r.id = old.old_id), b as (select w.recording_id, w.id, old_id, old_rating, greatest(least(t_end, old_end) - greatest(t_start, old_start), 0) / (greatest(t_end, old_end) - least(t_start, old_start)) as iou from windows w join o on o.recording_id = w.recording_id and t_start <= old_end and old_start <= t_end),
+k as (select * from (select *, row_number() over (partition by recording_id, id order by iou desc, old_id) as n from b) where n = 1 and iou >= 0.5)
+select w.recording_id, w.id, coalesce(r.rating, k.old_rating) as rating, case when r.rating is not null then r.source when k.old_rating is not null then 'inherited' end as source, case when r.rating is null then k.old_id end as from_id from windows w left join ratings r on r.id = w.id and w.id % 3 = 0 left join k on k.recording_id = w.recording_id and k.id = w.id""")
+def x12_carried(spark: Spark, d: str) -> DataFrame:
+    """Ratings that a new generation of windows takes over from the old one."""
+    w, r = T.windows(spark, d), T.ratings(spark, d)
+    new = w.select("recording_id", "id", "t_start", "t_end").join(r.where("id % 3 = 0"), "id", "left")
+    shift = 600 * (F.col("id") % 5)
+    old = w.select("recording_id", "id", (F.col("t_start") + shift).alias("old_start"), (F.col("t_end") + shift).alias("old_end")).join(r.select("id", F.col("rating").alias("old_rating")), "id").withColumnRenamed("id", "old_id")
+    return store.carried(new, old, 3600.0)
+
+
 @query(T.SQL + """select p.recording_id, p.event_id, (select w.id from windows w where w.recording_id = p.recording_id and p.t between w.t_start and w.t_end order by w.score desc, w.id limit 1) as id from points p where kind = 'view'""")
 def j6_covering(spark: Spark, d: str) -> DataFrame:
     p = T.points(spark, d).where("kind = 'view'").select("recording_id", "event_id", "t")

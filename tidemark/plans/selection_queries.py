@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as C
 from ..functions import text as X
+from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import windows as W
+from ..sources import store
 from ..sources import tables as T
 from .registry import query
 
@@ -92,15 +96,35 @@ def h2_shift(spark: Spark, d: str) -> DataFrame:
     return S.embedding_shift(T.table(spark, d, "embeddings"), "label", "vec_id", "embedding", 3).select("label", "vec_id", F.round("depth", 6).alias("depth"))
 
 
-@query(T.SQL + "select recording_id, event_id, round(t, 6) as t from points where kind = 'signup' and t > 0")
+@query(T.SQL + ", s as (select *, lag(kind) over w as was, t - lag(t) over w as held from points window w as (partition by recording_id order by t, event_id)) select recording_id, event_id, round(t, 6) as t from s where kind <> was and held >= 21600")
 def h3_scene_boundaries(spark: Spark, d: str) -> DataFrame:
-    return T.points(spark, d).where("kind = 'signup' and t > 0").select("recording_id", "event_id", F.round("t", 6).alias("t"))
+    """Where the scene becomes another after it was held for six hours or more."""
+    w = Window.partitionBy("recording_id").orderBy("t", "event_id")
+    s = T.points(spark, d).withColumn("was", F.lag("kind").over(w)).withColumn("held", F.col("t") - F.lag("t").over(w))
+    return s.where("kind != was and held >= 21600").select("recording_id", "event_id", F.round("t", 6).alias("t"))
 
 
-@query()
+@query("with recursive " + T.SQL.strip()[5:] + """, b as (select distinct recording_id, t from points where kind = 'signup' and t > 0), c(recording_id, t) as (select recording_id, min(t) from b group by 1 union all select n.recording_id, n.t from (select c.recording_id, (select min(b.t) from b where b.recording_id = c.recording_id and b.t - c.t > 86400) as t from c) n where n.t is not null)
+select recording_id, round(t, 6) as t from c""")
 def h4_boundary_merge(spark: Spark, d: str) -> DataFrame:
     """Boundaries within a day of the first of their cluster are one."""
-    return S.anchored_clusters(T.points(spark, d).where("kind = 'signup' and t > 0").select("recording_id", "t"), 86_400.0)
+    out = S.anchored_clusters(T.points(spark, d).where("kind = 'signup' and t > 0").select("recording_id", "t"), 86_400.0)
+    return out.select("recording_id", F.round("t", 6).alias("t"))
+
+
+@query(T.SQL + """, quiet as (select recording_id, i, bool_and(value is null) as q from series group by 1, 2), g as (select *, i - row_number() over (partition by recording_id, q order by i) as g from quiet), sil as (select recording_id, (max(i) + 1) * 43200.0::double as t from g where q group by recording_id, g having count(*) >= 2),
+found as (select recording_id, 'silence' as input, t from sil union all select recording_id, 'shift', t from points where kind = 'purchase' and value > 190 union all select recording_id, 'scene', t from points where kind = 'signup'),
+data as (select distinct recording_id, 'silence' as input from points union all select distinct recording_id, 'shift' from points where kind = 'purchase' union all select distinct recording_id, 'scene' from points where kind = 'signup'),
+n as (select f.recording_id, input, count(*) as n from found f join recordings r using (recording_id) where t > 0 and t < duration group by all)
+select r.recording_id, i.input, coalesce(n.n, 0) as n, case when i.input = 'game' then 'nothing produces it' when data.input is null then 'no data' when n.n is null then 'no boundary met the threshold' end as reason
+from recordings r cross join (values ('silence'), ('shift'), ('scene'), ('game')) i(input) left join n on n.recording_id = r.recording_id and n.input = i.input left join data on data.recording_id = r.recording_id and data.input = i.input""")
+def h7_inputs(spark: Spark, d: str) -> DataFrame:
+    """What each input of the segmentation gave, or why it gave nothing."""
+    p = T.points(spark, d)
+    q = T.series(spark, d).groupBy("recording_id", "i").agg(F.bool_and(F.col("value").isNull()).alias("quiet"))
+    silence = W.runs(q, ["recording_id"], "i", "quiet").where("end - start >= 2").select("recording_id", (F.col("end") * 43200.0).alias("t"))
+    bought, joined = p.where("kind = 'purchase'"), p.where("kind = 'signup'")
+    return S.input_reasons(T.recordings(spark, d), {"silence": (p, silence), "shift": (bought, bought.where("value > 190")), "scene": (joined, joined)}, ("game",))
 
 
 @query(T.SQL + """, o as (select p.recording_id, t from points p join recordings s using (recording_id) where kind = 'signup' and t > 0 and t < duration union select recording_id, 0.0 from recordings)
@@ -130,18 +154,39 @@ def f3_normal(spark: Spark, d: str) -> DataFrame:
 @query(f"with w as (select conv_id, string_split({NORMAL}, ' ') as w from conversations where {NORMAL} <> ''), g as (select conv_id, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram from w, range(2, 4) t(n), unnest(range(1, len(w) - n + 2)) u(i)) select gram, count(*) as n, count(distinct conv_id) as n_recordings from g group by 1 having count(*) >= 5")
 def f6_ngrams(spark: Spark, d: str) -> DataFrame:
     c = T.table(spark, d, "conversations").select("conv_id", X.normal(F.col("text")).alias("t")).where("t != ''")
-    g = c.select("conv_id", F.explode(X.ngrams(F.split("t", " "), 2, 3)).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_recordings")).where("n >= 5")
+    g = c.select("conv_id", F.explode(X.ngrams(F.split("t", " "), 2, 3)).alias("gram")).groupBy("gram", "conv_id").agg(F.count("*").alias("n"))
+    return g.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("n_recordings")).where("n >= 5")
 
 
-@query(f"select conv_id, turn, contains(' ' || {NORMAL} || ' ', ' of the ') as has from conversations")
+@query(f"select conv_id, turn, contains(' ' || {NORMAL} || ' ', ' of the ') as has, len(list_filter(string_split({NORMAL}, ' '), lambda x: not list_contains([{', '.join(repr(w) for w in X.FILLER)}], x))) = 0 as filler from conversations union all select -1, 0, false, true union all select -1, 1, true, false")
 def f7_contains_words(spark: Spark, d: str) -> DataFrame:
-    return T.table(spark, d, "conversations").select("conv_id", "turn", X.contains_words(X.normal(F.col("text")), F.lit("of the")).alias("has"))
+    """Which turns have a phrase as whole words, and which are nothing but filler; two made ones among them."""
+    c = T.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    made = spark.createDataFrame([(-1, 0, "Oh, um... you and I!"), (-1, 1, "It was one of the")], "conv_id long, turn long, text string").select(F.col("conv_id").cast(dict(c.dtypes)["conv_id"]), F.col("turn").cast(dict(c.dtypes)["turn"]), "text")
+    t = X.normal(F.col("text"))
+    return c.unionByName(made).select("conv_id", "turn", X.contains_words(t, F.lit("of the")).alias("has"), X.is_filler(F.split(t, " ")).alias("filler"))
+
 
+PHRASES = ("of the", "to", "on the")
+APART = r"[^\p{L}\p{M}\p{N}_]"
+WANTED = " union all ".join(f"""select conv_id, turn, '{p}' as phrase from conversations where regexp_matches(text, '(?i)(^|{APART}){(APART + "+").join("".join(c + r"\s*''?\s*" for c in w[:-1]) + w[-1] for w in p.split())}($|{APART})')""" for p in PHRASES)
 
-@query(r"select conv_id, turn, regexp_matches(text, '(?i)\bof\W+the\b') as hit from conversations")
+
+@query(WANTED)
 def f8_phrase(spark: Spark, d: str) -> DataFrame:
-    return T.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_like("text", F.lit(r"(?i)\bof\W+the\b")).alias("hit"))
+    """One row for each listed phrase that a turn has."""
+    return T.table(spark, d, "conversations").select("conv_id", "turn", F.explode(X.phrases_in(F.col("text"), PHRASES)).alias("phrase"))
+
+
+SAID = "select conv_id, turn, '[' || list_aggregate(list_transform(range(1, 3 + turn % 9), lambda i: '{{\"start\": ' || case when i % 4 = 0 then 'null' else (i * 2)::varchar end || ', \"end\": ' || (i * 2 + 1)::varchar || '}}'), 'string_agg', ', ') || ']' as words from conversations".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""with s as ({SAID}), p as (select conv_id, turn, json_transform(words::json, '[{{"start": "DOUBLE", "end": "DOUBLE"}}]') as w from s), c as (select conv_id, turn, len(w) as total, list_transform(list_filter(w, lambda x: x.start is not null and x.end is not null), lambda x: (x.start + x.end) / 2) as c from p) select conv_id, turn, len(c)::bigint as aligned, total::bigint as total, list_sum(c) as centres from c""")
+def f10_aligned_words(spark: Spark, d: str) -> DataFrame:
+    """Centres of the words that have times, out of JSON; words without are counted only."""
+    i = F.transform(F.sequence(F.lit(1), F.lit(2) + F.col("turn") % 9), lambda i: F.concat(F.lit('{"start": '), F.when(i % 4 == 0, "null").otherwise((i * 2).cast("string")), F.lit(', "end": '), (i * 2 + 1).cast("string"), F.lit("}")))
+    a = T.table(spark, d, "conversations").select("conv_id", "turn", X.aligned_words(F.concat(F.lit("["), F.array_join(i, ", "), F.lit("]"))).alias("a"))
+    return a.select("conv_id", "turn", "a.aligned", "a.total", F.aggregate("a.centres", F.lit(0.0), lambda s, x: s + x).alias("centres"))
 
 
 @query("with w as (select conv_id, turn, unnest(string_split_regex(trim(text), '\\s+')) as w, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) as k from conversations) select conv_id, turn, k, round(turn * 10.0::double + k * 0.1, 3) as t from w where regexp_full_match(regexp_replace(lower(w), '[^a-z]', '', 'g'), 'the|of')")
@@ -213,12 +258,12 @@ def f25_gain(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", C.gain(F.col("value") - 40, -14.0).alias("gain"))
 
 
-@query("select doc_id, case when doc_id % 4 = 0 then (doc_id % 50)::bigint when doc_id % 4 = 1 then greatest(100 - doc_id % 150, 0)::bigint when doc_id % 4 = 2 and doc_id % 200 < 100 then (doc_id % 200)::bigint end as first, case when doc_id % 4 = 0 then least(doc_id % 50 + 10, 99)::bigint when doc_id % 4 = 1 and doc_id % 150 > 0 then 99 when doc_id % 4 = 2 and doc_id % 200 < 100 then 99 end as last from (select doc_id from documents where not (doc_id % 4 = 1 and doc_id % 150 = 0))")
+@query("select doc_id, case when doc_id % 4 = 0 then (doc_id % 50)::bigint when doc_id % 4 = 1 and doc_id % 150 > 0 then greatest(100 - doc_id % 150, 0)::bigint when doc_id % 4 = 2 and doc_id % 200 < 100 then (doc_id % 200)::bigint end as first, case when doc_id % 4 = 0 then least(doc_id % 50 + 10, 99)::bigint when doc_id % 4 = 1 and doc_id % 150 > 0 then 99 when doc_id % 4 = 2 and doc_id % 200 < 100 then 99 end as last from documents")
 def m11_byte_range(spark: Spark, d: str) -> DataFrame:
     n = F.col("doc_id")
     form = F.when(n % 4 == 0, F.format_string("bytes=%d-%d", n % 50, n % 50 + 10)).when(n % 4 == 1, F.format_string("bytes=-%d", n % 150)).when(n % 4 == 2, F.format_string("bytes=%d-", n % 200)).otherwise("chars=1-2")
     r = C.byte_range(form, F.lit(100).cast("long"))
-    return T.table(spark, d, "documents").where(~((n % 4 == 1) & (n % 150 == 0))).select("doc_id", r["first"].alias("first"), r["last"].alias("last"))
+    return T.table(spark, d, "documents").select("doc_id", r["first"].alias("first"), r["last"].alias("last"))
 
 
 @query("select doc_id from documents where doc_id not in (select vec_id from embeddings) and doc_id not in (select conv_id from conversations)")
@@ -238,25 +283,60 @@ def m2_ancestors(spark: Spark, d: str) -> DataFrame:
     return spark.sql(f"with recursive e(stage, need) as (values {EDGES}), r(stage, need) as (select stage, need from e union all select r.stage, e.need from r join e on r.need = e.stage) select distinct stage, need from r")
 
 
-@query("with x as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq, max(o_orderkey) over (partition by o_custkey) as newest from orders) select o_custkey, o_orderkey, case when o_orderstatus = 'P' then 'never run' when o_orderstatus = 'F' and seq = 1 then 'params changed' when newest > o_orderkey then 'stale input' else 'skip' end as decision from x")
+def number_sql(v: str) -> str:
+    return f"regexp_replace(regexp_replace(try_cast({v} as decimal(38, 9))::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+def hash_sql(j: str) -> str:
+    return f"sha256(list_aggregate(list_transform(list_sort(json_keys({j}::json)), lambda k: k || '=' || coalesce({number_sql(f'json_extract_string({j}::json, k)')}, json_extract_string({j}::json, k), 'null')), 'string_agg', ';'))"
+
+
+RUNS = """with p as (select o_custkey, o_orderkey, o_orderstatus, '{"priority": "' || o_orderpriority || '", "n": ' || o_custkey::varchar || '}' as then_, '{"n": ' || (o_custkey + case when o_custkey % 11 = 0 then 1 else 0 end)::varchar || '.0, "priority": "' || o_orderpriority || '"}' as now_,
+row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as seq, min(o_orderkey) over (partition by o_custkey) as needs from orders)"""
+
+
+@query(RUNS + f", h as (select *, max(case when o_orderkey = needs then seq end) over (partition by o_custkey) as needs_seq, {hash_sql('then_')} <> {hash_sql('now_')} as changed from p) select o_custkey, o_orderkey, case when o_orderstatus = 'P' then 'never run' when changed then 'parameters changed' when needs_seq > seq then 'stale input' else 'skip' end as decision from h")
 def m3_staleness(spark: Spark, d: str) -> DataFrame:
-    by = Window.partitionBy("o_custkey")
-    x = T.table(spark, d, "orders").withColumn("seq", F.row_number().over(by.orderBy("o_orderdate", "o_orderkey"))).withColumn("newest", F.max("o_orderkey").over(by))
-    why = F.when(F.col("o_orderstatus") == "P", "never run").when((F.col("o_orderstatus") == "F") & (F.col("seq") == 1), "params changed").when(F.col("newest") > F.col("o_orderkey"), "stale input").otherwise("skip")
+    """Whether a run has to be made again: it never was, its parameters hash to something else, or what it needs was completed after it."""
+    by, n = Window.partitionBy("o_custkey"), F.col("o_custkey")
+    x = T.table(spark, d, "orders").withColumn("seq", F.row_number().over(by.orderBy("o_totalprice", "o_orderkey"))).withColumn("needs", F.min("o_orderkey").over(by))
+    x = x.withColumn("needs_seq", F.max(F.when(F.col("o_orderkey") == F.col("needs"), F.col("seq"))).over(by))
+    then = F.concat(F.lit('{"priority": "'), "o_orderpriority", F.lit('", "n": '), n.cast("string"), F.lit("}"))
+    now = F.concat(F.lit('{"n": '), (n + F.when(n % 11 == 0, 1).otherwise(0)).cast("string"), F.lit('.0, "priority": "'), "o_orderpriority", F.lit('"}'))
+    why = F.when(F.col("o_orderstatus") == "P", "never run").when(store.params_hash(then) != store.params_hash(now), "parameters changed").when(F.col("needs_seq") > F.col("seq"), "stale input").otherwise("skip")
     return x.select("o_custkey", "o_orderkey", why.alias("decision"))
 
 
+CONFIG = """case event_id % 3 when 0 then '{"k": ' || value::decimal(18, 4)::varchar || ', "b": "x", "a": true}' when 1 then '{"a": true, "b": "x", "k": ' || value::decimal(18, 2)::varchar || '}' else props end"""
+
+
+@query(f"with c as (select event_id, {CONFIG} as j from events) select event_id, {hash_sql('j')} as hash from c")
+def f18_params_hash(spark: Spark, d: str) -> DataFrame:
+    """One hash of settings however their keys are ordered and their numbers written."""
+    n, v = F.col("event_id") % 3, lambda scale: F.col("value").cast(f"decimal(18,{scale})").cast("string")
+    j = F.when(n == 0, F.concat(F.lit('{"k": '), v(4), F.lit(', "b": "x", "a": true}'))).when(n == 1, F.concat(F.lit('{"a": true, "b": "x", "k": '), v(2), F.lit("}"))).otherwise(F.col("props"))
+    return T.table(spark, d, "events").select("event_id", store.params_hash(j).alias("hash"))
+
+
 @query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as completed_seq from orders where o_orderstatus <> 'P'")
 def m4_completed_seq(spark: Spark, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return T.table(spark, d, "orders").where("o_orderstatus != 'P'").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("completed_seq"))
 
 
-@query("with l(k, layer, v) as (values ('a.x', 0, '1'), ('a.y', 0, '2'), ('b', 0, '3'), ('a.x', 1, '9'), ('c', 2, '4'), ('b', 2, '5')) select k, arg_max(v, layer) as v, max(layer) as layer from l group by 1")
+LEAVES = """with l as (select n_name as name, 'ui.region' as leaf, 0 as layer, 'r' || n_regionkey as value from nation union all select n_name, 'ui.contact', 0, null from nation
+union all select n_name, 'ui.contact', 1, 's' || max(s_suppkey) from supplier join nation on n_nationkey = s_nationkey where s_acctbal > 0 group by 1 union all select n_name, 'ui.region', 2, 'c' || min(c_custkey) from customer join nation on n_nationkey = c_nationkey where n_nationkey % 3 = 0 group by 1)"""
+
+
+@query(LEAVES + " select name, leaf, arg_max(value, layer) as value, max(layer) as layer from l where value is not null group by all")
 def m7_layers(spark: Spark, d: str) -> DataFrame:
     """Settings by leaf: the last layer that has one wins, and its layer is kept."""
-    leaves = spark.createDataFrame([("a.x", 0, "1"), ("a.y", 0, "2"), ("b", 0, "3"), ("a.x", 1, "9"), ("c", 2, "4"), ("b", 2, "5")], "k string, layer int, v string")
-    return leaves.groupBy("k").agg(F.max_by("v", "layer").alias("v"), F.max("layer").alias("layer"))
+    n = T.table(spark, d, "nation")
+    leaf = lambda df, name, layer, value: df.select(F.col("n_name").alias("name"), F.lit(name).alias("leaf"), F.lit(layer).alias("layer"), value.alias("value"))
+    by = lambda table, key, what: T.table(spark, d, table).groupBy(F.col(key).alias("n_nationkey")).agg(what.cast("string").alias("v")).join(n, "n_nationkey")
+    sold, bought = by("supplier", "s_nationkey", F.max(F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")))), by("customer", "c_nationkey", F.min("c_custkey")).where("n_nationkey % 3 = 0")
+    layers = [leaf(n, "ui.region", 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))), leaf(n, "ui.contact", 0, F.lit(None).cast("string")), leaf(sold, "ui.contact", 1, F.concat(F.lit("s"), "v")), leaf(bought, "ui.region", 2, F.concat(F.lit("c"), "v"))]
+    return store.layered(reduce(DataFrame.unionByName, layers), ["name", "leaf"])
 
 
 @query("select p_partkey, p_name, row_number() over (order by case when p_size < 10 then 0 when p_size < 30 then 1 else 2 end, lower(p_name), p_partkey) as place from part order by place limit 500")
@@ -312,3 +392,35 @@ def z4_against_median(spark: Spark, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-20, -1)
     m = F.expr("percentile(o_totalprice, 0.5)").over(w)
     return T.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / m, 6).alias("ratio"))
+
+
+@query(f"with o as (select conv_id, dense_rank() over (order by conv_id) as place from (select distinct conv_id from conversations)), c as (select place, string_split({NORMAL}, ' ') as w from conversations join o using (conv_id) where {NORMAL} <> ''), g as (select distinct place, array_to_string(list_slice(w, i, i + 1), ' ') as gram from c, unnest(range(1, len(w))) u(i)), s as (select gram, count(*) filter (place <= 20) as n_early, count(*) filter (place > (select count(*) from o) - 15) as n_late from g group by 1) select gram, n_late, n_early = 0 and n_late >= 2 as emerging from s where n_late > 0")
+def z1_emerging(spark: Spark, d: str) -> DataFrame:
+    """Pairs of words that two or more of the last fifteen conversations have and none of the first twenty."""
+    c = T.table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), X.normal(F.col("text")).alias("t"))
+    grams = c.where("t != ''").select("recording_id", F.explode(X.ngrams(F.split("t", " "), 2, 2)).alias("gram"))
+    return S.emerging(grams, c.select("recording_id").distinct(), 20, 15, 2)
+
+
+@query(T.SQL + """, c as (select recording_id, event_id, t, count(*) over (partition by recording_id order by us range between 86400000000 preceding and current row) as n from points where kind = 'click')
+select recording_id, event_id, n >= 3 as burst, exists (select 1 from points p where p.recording_id = c.recording_id and p.kind = 'error' and p.t between c.t - 1800 and c.t + 1800) as flick, n >= 3 and exists (select 1 from points p where p.recording_id = c.recording_id and p.kind = 'signup' and p.t between c.t - 43200 and c.t) as after_signup from c""")
+def z3_signatures(spark: Spark, d: str) -> DataFrame:
+    """Clicks that end three or more within a day, those with an error within half an hour on either side, and bursts that a sign-up precedes by half a day at most."""
+    p = T.points(spark, d)
+    n = F.count("*").over(Window.partitionBy("recording_id").orderBy("us").rangeBetween(-86_400_000_000, 0))
+    c = p.where("kind = 'click'").select("recording_id", "event_id", F.col("t").alias("at"), n.alias("n"))
+
+    def near(kind: str, before: float, after: float, name: str) -> DataFrame:
+        spans = c.select("recording_id", "event_id", (F.col("at") - before).alias("a"), (F.col("at") + after).alias("b"))
+        return J.points_in(p.where(F.col("kind") == kind).select("recording_id", "t"), spans, "recording_id", "t", "a", "b", before + after).select("recording_id", "event_id").distinct().withColumn(name, F.lit(True))
+
+    out = c.join(near("error", 1800.0, 1800.0, "flick"), ["recording_id", "event_id"], "left").join(near("signup", 43_200.0, 0.0, "signup"), ["recording_id", "event_id"], "left")
+    yes = lambda x: F.coalesce(F.col(x), F.lit(False))
+    return out.select("recording_id", "event_id", (F.col("n") >= 3).alias("burst"), yes("flick").alias("flick"), ((F.col("n") >= 3) & yes("signup")).alias("after_signup"))
+
+
+@query(f"with c as (select conv_id, turn // 2 as chapter, bool_or(contains(' ' || {NORMAL} || ' ', ' the ')) as has from conversations group by all) select conv_id, count(*) as chapters, round(100.0 * count(*) filter (has) / count(*), 4) as coverage_pct from c group by 1")
+def z5_coverage(spark: Spark, d: str) -> DataFrame:
+    """In what share of a conversation's chapters an idea comes up."""
+    c = T.table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("chapter")).agg(F.bool_or(X.contains_words(X.normal(F.col("text")), F.lit("the"))).alias("has"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("chapters"), F.round(F.lit(100.0) * F.count_if("has") / F.count("*"), 4).alias("coverage_pct"))

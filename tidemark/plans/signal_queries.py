@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import joins as J
 from ..operators import peaks as X
+from ..operators import selection as Sel
 from ..operators import signals as S
 from ..operators import windows as W
 from ..sources import tables as T
@@ -97,9 +99,20 @@ def k2_gaussian(spark: Spark, d: str) -> DataFrame:
     return S.gaussian_kernel(g, T.points(spark, d).where("kind = 'signup'"), STEP, "level").select("recording_id", "i", F.round("level", 6).alias("level"))
 
 
-@query("select event_id, case when event_type in ('purchase', 'signup') then 'plateau' else 'gaussian' end as kernel from events")
+@query(T.SQL + """, g as (select kind, event_id, us / 1e6 - round_even(us / 43200000000.0::double, 0) * 43200 as gap from points)
+select event_id, round(case when kind like 'purch%' or kind like 'sign%' then 0.5 * (1 - cos(pi() * least(greatest(1 - greatest(-7200.0::double - gap, gap - 3600.0::double, 0) / 3600.0::double, 0), 1))) else exp(-0.5 * (gap / 10800) * (gap / 10800)) end, 6) as level from g""")
 def k3_dispatch(spark: Spark, d: str) -> DataFrame:
-    return T.table(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("purchase", "signup"), "plateau").otherwise("gaussian").alias("kernel"))
+    """What each event gives to the grid point next to it, by the kernel of its kind."""
+    gap = F.col("t") - F.bround(F.col("us") / F.lit(43_200_000_000.0)) * STEP
+    return T.points(spark, d).select("event_id", F.round(S.dispatched(F.col("kind"), gap, ("purch", "sign"), 7200.0, 3600.0, 3600.0, 10_800.0), 6).alias("level"))
+
+
+@query(WIDE + "select recording_id, i, round(coalesce(view, 0) + coalesce(click, 0), 6) as traffic, round((coalesce(view, 0) + coalesce(click, 0)) / 2, 6) as half, 'cold: heat' as lacking from wide")
+def g9_derived(spark: Spark, d: str) -> DataFrame:
+    """Derived signals in order; a later one may need an earlier one, and one whose input nothing makes is absent and named."""
+    both = F.coalesce("view", F.lit(0.0)) + F.coalesce("click", F.lit(0.0))
+    made, absent = S.derive(wide(spark, d), [S.Derivation("traffic", ("view", "click"), lambda x: x.withColumn("traffic", F.round(both, 6))), S.Derivation("cold", ("heat",), lambda x: x), S.Derivation("half", ("traffic",), lambda x: x.withColumn("half", F.round(both / 2, 6)))])
+    return made.select("recording_id", "i", "traffic", "half", F.lit("; ".join(f"{name}: {', '.join(lack)}" for name, lack in absent.items())).alias("lacking"))
 
 
 MENU = WIDE + gate_sql("view", "wide", "gv") + """, b as (select w.recording_id, w.i, w.click, w.purchase, w.error, gate, avg(view) over (partition by w.recording_id order by w.i rows between 5 preceding and 5 following) as base, view from wide w join gv using (recording_id, i)),
@@ -190,6 +203,78 @@ def x3_calibrated_windows(spark: Spark, d: str) -> DataFrame:
     return windows(spark, d)
 
 
+CLAMP = """case when t_end - t_start > {most} then t_peak - {most} / 2 else t_start - greatest({least} - (t_end - t_start), 0) / 2 end as a0, case when t_end - t_start > {most} then t_peak + {most} / 2 else t_end + greatest({least} - (t_end - t_start), 0) / 2 end as b0"""
+CLAMPED = "least(greatest(greatest(a0, 0) - greatest(b0 + greatest(-a0, 0) - duration, 0), 0), t_peak) as c_start, greatest(least(b0 + greatest(-a0, 0), duration), t_peak) as c_end"
+
+
+@query(T.SQL + f", c as (select w.recording_id, id, t_peak, duration, {CLAMP.format(least='7200.0::double', most='14400.0::double')} from (select * replace (t_start - 60 * (id % 97) as t_start, t_end + 60 * (id % 89) as t_end) from windows) w join recordings using (recording_id)), k as (select *, {CLAMPED} from c) select recording_id, id, round(c_start, 6) as c_start, round(c_end, 6) as c_end from k")
+def x4_clamped(spark: Spark, d: str) -> DataFrame:
+    """Windows of many lengths brought between two and four hours."""
+    w = T.windows(spark, d).join(T.recordings(spark, d), "recording_id")
+    a, b = J.clamped(F.col("t_start") - 60 * (F.col("id") % 97), F.col("t_end") + 60 * (F.col("id") % 89), F.col("t_peak"), 7200.0, 14_400.0, F.col("duration"))
+    return w.select("recording_id", "id", F.round(a, 6).alias("c_start"), F.round(b, 6).alias("c_end"))
+
+
+@query(T.SQL + """, w as (select w.*, duration from windows w join recordings using (recording_id)), st as (select recording_id, t as m from points where kind = 'view'), en as (select recording_id, t as m from points where kind = 'click'),
+b as (select w.*, (select max(m) from st where st.recording_id = w.recording_id and m <= t_start) as sb, (select min(m) from st where st.recording_id = w.recording_id and m >= t_start) as sa, (select max(m) from en where en.recording_id = w.recording_id and m <= t_end) as eb, (select min(m) from en where en.recording_id = w.recording_id and m >= t_end) as ea from w),
+s as (select *, case when t_start - sb <= 3600 then sb when sa - t_start <= 3600 then sa else t_start end as x, case when ea - t_end <= 3600 then ea when t_end - eb <= 3600 then eb else t_end end as y from b)
+select recording_id, id, round(case when x >= 0 and y <= duration and y - x between 1800 and 7200 then x else t_start end, 6) as s_start, round(case when x >= 0 and y <= duration and y - x between 1800 and 7200 then y else t_end end, 6) as s_end from s""")
+def x5_snapped(spark: Spark, d: str) -> DataFrame:
+    """Windows opened and closed at marks nearby, unless they would leave their bounds."""
+    w, p = T.windows(spark, d).join(T.recordings(spark, d).select("recording_id", "duration"), "recording_id"), T.points(spark, d)
+    mark = lambda kind: p.where(F.col("kind") == kind).select("recording_id", F.col("t").alias("m"))
+    out = J.snapped_spans(w, mark("view"), mark("click"), "recording_id", 3600.0, 1800.0, 7200.0, "duration")
+    return out.select("recording_id", "id", F.round("s_start", 6).alias("s_start"), F.round("s_end", 6).alias("s_end"))
+
+
+@query("with recursive " + T.SQL.strip()[5:] + """, r as (select recording_id, id, t_peak, score, row_number() over (partition by recording_id order by score desc, t_peak, id) as k from windows),
+nms(recording_id, k, taken, near) as (select recording_id, 0::bigint, []::double[], null::double from (select distinct recording_id from r)
+union all select n.recording_id, n.k + 1, case when len(list_filter(taken, lambda x: abs(x - t_peak) <= 86400)) > 0 then taken else list_append(taken, t_peak) end, list_filter(taken, lambda x: abs(x - t_peak) <= 86400)[1] from nms n join r on r.recording_id = n.recording_id and r.k = n.k + 1)
+select r.recording_id, r.id, round(case when near is null then score else score * 0.5 end, 6) as score, round(near, 6) as suppressed_by from nms join r using (recording_id, k)""")
+def x6_spaced(spark: Spark, d: str) -> DataFrame:
+    """Windows within a day of a stronger accepted one count half."""
+    return X.spaced(T.windows(spark, d), 86_400.0).select("recording_id", "id", F.round("score", 6).alias("score"), F.round("suppressed_by", 6).alias("suppressed_by"))
+
+
+MOMENTS = T.SQL + """, m as (select recording_id, id, floor(t_peak / 43200)::bigint as i from windows), s as (select recording_id, i, max(value) filter (kind = 'view') as e, max(value) filter (kind = 'click') as g from series group by 1, 2),
+x as (select m.recording_id, id, e, g, greatest(coalesce(e, 0), 0) / nullif(max(greatest(coalesce(e, 0), 0)) over w, 0) as en, greatest(coalesce(g, 0), 0) / nullif(max(greatest(coalesce(g, 0), 0)) over w, 0) as gn from m left join s using (recording_id, i) window w as (partition by m.recording_id))
+"""
+
+
+@query(MOMENTS + "select recording_id, id, round(e, 6) as e, round(g, 6) as g, round(sqrt(coalesce(en, 0)) * sqrt(coalesce(gn, 0)) * (coalesce(en, 0) + coalesce(gn, 0)), 6) as score from x")
+def x8_scored_moments(spark: Spark, d: str) -> DataFrame:
+    """Every moment with both profiles' values at its peak, and the score of both as shares of their largest."""
+    m = T.windows(spark, d).select("recording_id", "id", F.floor(F.col("t_peak") / STEP).alias("i"))
+    out = Sel.scored_moments(m, wide(spark, d).select("recording_id", "i", F.col("view").alias("e"), F.col("click").alias("g")), "e", "g")
+    return out.select("recording_id", "id", *(F.round(c, 6).alias(c) for c in ("e", "g", "score")))
+
+
+@query(T.SQL + f""", o as (select *, max(t_end) over (partition by recording_id order by t_start, t_end, id rows between unbounded preceding and 1 preceding) as b from windows), n as (select *, sum(case when b is null or t_start > b then 1 else 0 end) over (partition by recording_id order by t_start, t_end, id)::bigint - 1 as cluster from o),
+h as (select recording_id, cluster, min(t_start) as t_start, max(t_end) as t_end, arg_max(t_peak, (score, -id)) as t_peak from n group by 1, 2), c as (select h.recording_id, cluster, t_peak, duration, {CLAMP.format(least='0.0::double', most='4500.0::double')} from h join recordings using (recording_id)), k as (select *, {CLAMPED} from c)
+select recording_id, cluster, round(c_start, 6) as c_start, round(c_end, 6) as c_end from k""")
+def x9_clamped_unions(spark: Spark, d: str) -> DataFrame:
+    """Overlapping windows as one, cut back about the strongest peak where the union is too long."""
+    n = W.overlap_clusters(T.windows(spark, d), ["recording_id"], "t_start", "t_end", "id")
+    h = n.groupBy("recording_id", "cluster").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max_by("t_peak", F.struct("score", -F.col("id"))).alias("t_peak")).join(T.recordings(spark, d), "recording_id")
+    a, b = J.clamped(F.col("t_start"), F.col("t_end"), F.col("t_peak"), 0.0, 4500.0, F.col("duration"))
+    return h.select("recording_id", "cluster", F.round(a, 6).alias("c_start"), F.round(b, 6).alias("c_end"))
+
+
+@query()
+def x11_counterfactual(spark: Spark, d: str) -> DataFrame:
+    """What the menu and rest penalties cost each recording, found on the score without them."""
+    p = with_penalties(spark, d)
+    return X.counterfactuals(p.select("recording_id", "i", F.coalesce("view", F.lit(0.0)).alias("score"), ((F.col("menu") > 0) | (F.col("afk") > 0)).alias("held")), 3, 6)
+
+
+@query()
+def w18_band_share(spark: Spark, d: str) -> DataFrame:
+    """How much of each recording's views swings at two to five days, and how deep."""
+    s = T.series(spark, d).where("kind = 'view'").select("recording_id", "i", F.coalesce("value", F.lit(0.0)).alias("x"))
+    out = W.band_share(s, "recording_id", "i", "x", 2.0, 0.2, 0.5, 2, 11)
+    return out.select("recording_id", "i", F.round("share", 6).alias("share"), F.round("depth", 6).alias("depth"))
+
+
 @query()
 def j12_merged_profiles(spark: Spark, d: str) -> DataFrame:
     return X.merge_profiles(windows(spark, d), smoothed(spark, d).select("recording_id", "profile", "i", "composite"), STEP, 2 * STEP, 8 * STEP)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import chapters as Ch
+from ..operators import edits as E
 from ..operators import joins as J
 from ..sources import tables as T
 from .registry import query
@@ -28,22 +30,55 @@ def f22_preview(spark: Spark, d: str) -> DataFrame:
     return w.select("recording_id", "id", F.round(start, 6).alias("p_start"), F.round(F.least(start + 600, F.col("duration")), 6).alias("p_end"))
 
 
-@query()
+WORDS = "w as (select conv_id, turn, string_split_regex(trim(text), '\\s+') as w from conversations)"
+
+
+@query(f"""with recursive {WORDS}, c(conv_id, turn, k, place, n, last) as (select conv_id, turn, 1::bigint, 0::bigint, 1::bigint, w[1] from w
+union all select c.conv_id, c.turn, c.k + 1, case when c.n >= 4 or regexp_matches(c.last, '[.!?]$') then c.place + 1 else c.place end, case when c.n >= 4 or regexp_matches(c.last, '[.!?]$') then 1 else c.n + 1 end, w.w[c.k + 1] from c join w using (conv_id, turn) where c.k < len(w.w))
+select conv_id, turn, place, string_agg(last, ' ' order by k) as caption from c group by all""")
 def f23_captions(spark: Spark, d: str) -> DataFrame:
     """Words in captions of up to four; a caption also ends with a sentence."""
-    c = T.table(spark, d, "conversations").select("conv_id", "turn", F.split(F.trim("text"), "\\s+").alias("w"))
-    none = F.array().cast("array<array<string>>")
+    c = T.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.trim("text"), "\\s+")).alias("k", "w"))
+    by = Window.partitionBy("conv_id", "turn").orderBy("k")
+    ended = F.regexp_like(F.lag("w").over(by), F.lit(r"[.!?]$"))
+    c = c.withColumn("sentence", F.sum(F.when(F.coalesce(ended, F.lit(False)), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    c = c.withColumn("four", F.floor((F.row_number().over(Window.partitionBy("conv_id", "turn", "sentence").orderBy("k")) - 1) / 4))
+    lines = c.groupBy("conv_id", "turn", "sentence", "four").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("words"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("sentence", "four")) - 1
+    return lines.select("conv_id", "turn", place.cast("long").alias("place"), F.array_join("words.w", " ").alias("caption"))
+
+
+SPOKEN = "w as (select conv_id, turn, role, unnest(string_split_regex(trim(text), '\\s+')) as w, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) as k from conversations), s as (select conv_id as key, turn * 1000 + k as id, role, w as text, turn * 3.0::double + k * 0.2::double as w_start, turn * 3.0::double + k * 0.2::double + 0.05::double * length(w) as w_end from w), l as (select *, regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_]', '', 'g') as said from s)"
+
+
+def spoken(spark: Spark, d: str) -> DataFrame:
+    """Words with made times: a turn begins three seconds after the last, whatever its length, so that turns talk over one another."""
+    w = T.table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.trim("text"), "\\s+")))
+    start = F.col("turn") * 3.0 + (F.col("pos") + 1) * F.lit(0.2)
+    return w.select(F.col("conv_id").alias("key"), (F.col("turn") * 1000 + F.col("pos") + 1).alias("id"), "role", F.col("col").alias("text"), start.alias("w_start"), (start + F.lit(0.05) * F.length("col")).alias("w_end"))
+
+
+@query(f"with {SPOKEN}, c as (select key, id, greatest(w_start - 0.08, 1.0) - 1.0 as a, least(w_end + 0.08, 13.0) - 1.0 as b from l where said in ('the', 'of', 'to') and w_end + 0.08 > 1.0 and w_start - 0.08 < 13.0), o as (select *, max(b) over (partition by key order by a, b, id rows between unbounded preceding and 1 preceding) as m from c), n as (select *, sum(case when m is null or a > m then 1 else 0 end) over (partition by key order by a, b, id) as g from o) select key, round(min(a), 6) as m_start, round(max(b), 6) as m_end from n group by key, g")
+def f26_mutes(spark: Spark, d: str) -> DataFrame:
+    """What to mute in the part from second 1 to second 13 of each conversation."""
+    w = spoken(spark, d)
+    plans = w.select("key").distinct().select("key", F.lit(1.0).alias("p_start"), F.lit(13.0).alias("p_end"))
+    return E.mutes(w, plans, ("the", "of", "to")).select("key", F.round("m_start", 6).alias("m_start"), F.round("m_end", 6).alias("m_end"))
 
-    def add(acc, w):
-        last = F.try_element_at(acc, F.lit(-1))
-        full = (F.size(acc) == 0) | (F.size(last) >= 4) | F.regexp_like(F.try_element_at(last, F.lit(-1)), F.lit(r"[.!?]$"))
-        return F.when(full, F.concat(acc, F.array(F.array(w)))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.array(w)))))
 
-    lines = c.withColumn("a", F.aggregate("w", none, add))
-    return lines.select("conv_id", "turn", F.posexplode(F.transform("a", lambda x: F.array_join(x, " "))).alias("place", "caption"))
+@query(f"""with {SPOKEN}, p as (select key, max(w_end) - min(w_start) as duration from s group by 1), f as (select * from l where said in ('the', 'of', 'to', 'and')),
+t as (select f.*, case when role <> 'user' then 'role' when round(w_end - w_start, 9) < 0.12 then 'short' when exists (select 1 from s o where o.key = f.key and o.role <> f.role and o.w_start < f.w_end - 1e-9 and f.w_start < o.w_end - 1e-9) then 'overlap' else 'cut' end as state from f),
+k as (select *, max(w_end) over (partition by key order by w_start, w_end, id rows between unbounded preceding and 1 preceding) as m from t where state = 'cut'),
+g as (select *, sum(case when m is null or w_start - m > 0.35 then 1 else 0 end) over (partition by key order by w_start, w_end, id) as g from k), h as (select key, max(w_end) - min(w_start) as n from g group by key, g), r as (select key, sum(n) as taken from h group by 1)
+select t.key, t.id, case when state = 'cut' and round(taken, 9) > round(duration * 0.02, 9) then 'share' else state end as state from t left join r using (key) left join p using (key)""")
+def f26_fillers(spark: Spark, d: str) -> DataFrame:
+    """Which filler words of the user can be cut, and why the others can't."""
+    w = spoken(spark, d)
+    plans = w.groupBy("key").agg((F.max("w_end") - F.min("w_start")).alias("duration"))
+    return E.filler_cuts(w, plans, ("the", "of", "to", "and"), ("user",), most_share=0.02).select("key", "id", "state")
 
 
-RECT = "with r as (select p_partkey as id, p_brand as g, (p_partkey * 37 % 90)::int as x, (p_partkey * 53 % 90)::int as y, 10 + p_size % 20 as w, 10 + (p_size * 7) % 20 as h from part where p_partkey < 400)"
+RECT = "with r as (select p_partkey as id, p_brand as g, (p_partkey * 37 % 90)::int as x, (p_partkey * 53 % 90)::int as y, 10 + p_size % 20 as w, 10 + (p_size * 7) % 20 as h from part)"
 
 
 @query(RECT + " select a.id, b.id as other, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as area from r a join r b on a.g = b.g and a.id < b.id and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h")
@@ -69,13 +104,16 @@ def f27_vocabulary(spark: Spark, d: str) -> DataFrame:
     return r.withColumn("stop", stop).where("place <= 160 and (stop is null or place < stop)").select("g", "name", "place")
 
 
-@query("select o_orderkey, coalesce(case when o_custkey % 3 = 0 then 'own-' || o_orderpriority end, o_orderpriority) as preset, case when o_totalprice > 200000 then 'over cap' else 'ok' end as state from orders")
+@query("with o(name, state) as (values ('1-URGENT', 'rush'), ('2-HIGH', 'fast'), ('default', 'plain')) select o_orderkey, coalesce(a.name, 'default') as preset, coalesce(a.state, b.state) as settings, case when o_totalprice > 200000 then 'over cap' else 'ok' end as state from orders left join o a on a.name = o_orderpriority cross join o b where b.name = 'default'")
 def m13_preset(spark: Spark, d: str) -> DataFrame:
-    own = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("own-"), "o_orderpriority"))
-    return T.table(spark, d, "orders").select("o_orderkey", F.coalesce(own, "o_orderpriority").alias("preset"), F.when(F.col("o_totalprice") > 200_000, "over cap").otherwise("ok").alias("state"))
+    """The preset by its name, else the default one, and a warning over the cap."""
+    presets = {"1-URGENT": "rush", "2-HIGH": "fast", "default": "plain"}
+    table = F.create_map(*(F.lit(x) for kv in presets.items() for x in kv))
+    name = F.when(F.map_contains_key(table, F.col("o_orderpriority")), F.col("o_orderpriority")).otherwise("default")
+    return T.table(spark, d, "orders").select("o_orderkey", name.alias("preset"), F.try_element_at(table, name).alias("settings"), F.when(F.col("o_totalprice") > 200_000, "over cap").otherwise("ok").alias("state"))
 
 
-@query("""with f as (select s_nationkey as dir, s_suppkey % 50 as name, s_suppkey as size from supplier), w as (select c_custkey as id, c_custkey % 50 as name, c_custkey % 100 as size from customer where c_custkey < 200)
+@query("""with f as (select s_nationkey as dir, s_suppkey % 50 as name, s_suppkey as size from supplier), w as (select c_custkey as id, c_custkey % 50 as name, c_custkey % 100 as size from customer)
 select w.id, arg_min(f.dir, (f.dir, f.size)) filter (f.size % 100 = w.size) as dir, count(f.name) filter (f.size % 100 <> w.size) as mismatches from w left join f using (name) group by 1""")
 def m10_located(spark: Spark, d: str) -> DataFrame:
     """Files found by name in the first directory where the size is right too, and how many had the name only."""
@@ -117,8 +155,7 @@ def m5_rebuilt(spark: Spark, d: str) -> DataFrame:
 
 @query("select doc_id, case doc_id % 3 when 0 then '{\"a\": ' || doc_id || '}' when 1 then '{\"b\": {\"c\": 2}}' end as reply from documents")
 def p11_tail_json(spark: Spark, d: str) -> DataFrame:
-    """The last balanced object in a text that talks around it."""
+    """The last JSON object in a text that talks around it."""
     n = F.col("doc_id")
     said = F.when(n % 3 == 0, F.concat(F.lit('so {x} then {"a": '), n.cast("string"), F.lit("} ok"))).when(n % 3 == 1, 'well {"b": {"c": 2}}').otherwise("no } object {")
-    found = F.regexp_extract_all(F.col("said"), F.lit(r"(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})"), 1)
-    return T.table(spark, d, "documents").select("doc_id", said.alias("said")).select("doc_id", F.try_element_at(found, F.lit(-1)).alias("reply"))
+    return T.table(spark, d, "documents").select("doc_id", X.tail_json(said).alias("reply"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,8 @@ from ..streaming import capture
 from .registry import query
 
 
-@query()
+@query("with recursive " + T.SQL.strip()[5:] + """, p as (select recording_id::varchar || '-' || kind as key, us // 1000 as ms from points), c(key, ms) as (select key, min(ms) from p group by 1 union all select n.key, n.ms from (select c.key, (select min(p.ms) from p where p.key = c.key and p.ms >= c.ms + 86400000) as ms from c) n where n.ms is not null)
+select key, ms from c""")
 def r1_debounce(spark: SparkSession, d: str) -> DataFrame:
     e = T.points(spark, d).select(F.concat_ws("-", F.col("recording_id").cast("string"), "kind").alias("key"), F.expr("us div 1000").alias("ms"))
     return capture.debounced_batch(e, 86_400_000)
@@ -26,11 +25,17 @@ def r4_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id, date_trunc('day', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by all")
 def r2_stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """The tumbling sum as a stream that reads the table once and ends."""
+    """The tumbling sum of a live read of the table: every batch writes the windows that it changed to files, and the last state of each counts."""
     schema = T.table(spark, d, "events").schema
-    name = f"tumbling_{uuid.uuid4().hex}"
     live = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(d if d.endswith("/") else d + "/events.parquet*")
-    out = capture.tumbling(live.withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "3650 days")
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = capture.tumbling(live.withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "31 days")
+    path = capture.work_folder(spark)
+
+    def keep(changed: DataFrame, batch_id: int) -> None:
+        changed.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    q = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    kinds = "user_id long, start timestamp, end timestamp, n long, total double, batch_id long"
+    last = capture.settled(spark.read.schema(kinds).parquet(f"{path}/out/*"), ["user_id", "start", "end"])
+    return last.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.selection import greedy
+from ..operators.windows import ordered
 
-def debounced_batch(presses: DataFrame, gap_ms: int) -> DataFrame:
-    """Presses (key, ms) of a batch at least gap_ms after the last one of their key that was accepted; suppressed ones don't reset the clock.
 
-    A key's presses are folded in order, so a key should be one device's stream.
-    """
-    fold = F.aggregate(
-        F.array_sort(F.collect_list("ms")), F.array().cast("array<long>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= gap_ms), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return presses.groupBy("key").agg(fold.alias("a")).select("key", F.explode("a").alias("ms"))
+def debounced_batch(presses: DataFrame, gap_ms: int) -> DataFrame:
+    """Presses (key, ms) of a batch at least gap_ms after the last one of their key that was accepted; suppressed ones don't reset the clock."""
+    before = F.lag("ms").over(ordered(["key"], "ms"))
+    return greedy(presses, "key", "ms", lambda t, last: t - last >= gap_ms, F.col("ms") - before >= gap_ms)
 
 
 def debounced(presses: DataFrame, gap_ms: int, forget_ms: int) -> DataFrame:
@@ -56,3 +54,17 @@ def tumbling(events: DataFrame, width: str, late: str, key: str = "user_id", ts:
 def sliding(events: DataFrame, width: str, step: str, late: str, key: str = "event_type", ts: str = "ts") -> DataFrame:
     out = events.withWatermark(ts, late) if events.isStreaming else events
     return out.groupBy(key, F.window(ts, width, step).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset; it is deleted when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/live-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def settled(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key of an update-mode sink whose rows carry their batch_id."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_last")).select(*keys, "_last.*")
