@@ -40,6 +40,6 @@ def filler_cuts(words: DataFrame, plans: DataFrame, terms: tuple[str, ...], role
     kept = out.where("state = 'cut'").withColumn("_before", F.max("w_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     # What a word adds: itself beyond those before it, and the pause before it if that goes too.
     added = F.greatest(F.col("w_end") - F.col("_before"), F.lit(0.0)) - F.when(F.col("w_start") - F.col("_before") > gap, F.col("w_start") - F.col("_before")).otherwise(0.0)
-    taken = kept.groupBy("key").agg(F.sum(F.coalesce(added, F.col("w_end") - F.col("w_start"))).alias("taken")).join(plans, "key")
+    taken = kept.groupBy("key").agg(F.sum(F.when(F.col("_before").isNull(), F.col("w_end") - F.col("w_start")).otherwise(added)).alias("taken")).join(plans, "key")
     over = taken.select("key", (F.round("taken", 9) > F.round(F.col("duration") * most_share, 9)).alias("over"))
     return out.join(over, "key", "left").select("key", "id", F.when((F.col("state") == "cut") & F.coalesce("over", F.lit(False)), "share").otherwise(F.col("state")).alias("state"))
