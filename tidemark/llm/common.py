@@ -38,13 +38,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return name
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage at files that survive a lost executor, and that live until discard() or the end of the application.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

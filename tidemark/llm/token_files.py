@@ -26,12 +26,25 @@ from .common import discard, materialize, new_path, text_key
 from .huffman import Coder, code_lengths
 from .tokens import encoder
 
-TOKENS = "doc_id long, text_key long, n_tokens int, ids binary"
+# Ids as the plane of their low bytes and that of the rest, which compress well apart.
+TOKENS = "doc_id long, text_key long, n_tokens int, low binary, high binary"
 BLOCK = "part int, seq long, before long, doc_id array<long>, n_tokens array<int>, payload binary, spans binary"
 MAX_BITS = 16
 BLOCK_IDS = 1 << 18
 # Bytes of ids in a part.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
+
+
+def planes(ids: bytes, dtype: np.dtype) -> tuple[bytes, bytes]:
+    parts = np.frombuffer(ids, np.uint8).reshape(-1, dtype.itemsize)
+    return parts[:, 0].tobytes(), parts[:, 1:].tobytes()
+
+
+def from_planes(low: bytes, high: bytes, dtype: np.dtype) -> np.ndarray:
+    parts = np.empty((len(low), dtype.itemsize), np.uint8)
+    parts[:, 0] = np.frombuffer(low, np.uint8)
+    parts[:, 1:] = np.frombuffer(high, np.uint8).reshape(len(low), -1)
+    return parts.reshape(-1).view(dtype)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
@@ -44,7 +57,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) ->
             for k in range(0, len(batch), 256):
                 ids = [x + end for x in enc.ids([t or "" for t in batch.column(2)[k : k + 256].to_pylist()])]
                 n = [len(x) // enc.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], batch.column(1)[k : k + 256], pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_key", "n_tokens", "ids"])
+                low, high = zip(*(planes(x, enc.dtype) for x in ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], batch.column(1)[k : k + 256], pa.array(n, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["doc_id", "text_key", "n_tokens", "low", "high"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text), F.col(text).alias("text")).mapInArrow(run, TOKENS)
 
@@ -55,15 +69,15 @@ def counts(tokens: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, dtype = np.zeros(1 << 16, np.int64), encoder(path).dtype
         for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), dtype))
+            for k in range(0, len(batch), 64):
+                got = np.bincount(np.concatenate([from_planes(*row, dtype) for row in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns))]))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    rows = tokens.select("low", "high").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     return np.array([r.id for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
 
 
@@ -76,7 +90,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
     empty table gives an empty corpus. Other columns of docs, whatever their names, aren't read.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "ids")
+    tokens = materialize(tokenize(docs, tokenizer, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "ids", "zstd")
     symbols, n = counts(tokens, tokenizer)
     bits = code_lengths(n, max(MAX_BITS, int(len(n)).bit_length()))
     spark.createDataFrame(list(zip(symbols.tolist(), bits.tolist())), "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -88,7 +102,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
         size = before = seq = 0
 
         def block() -> pa.RecordBatch:
-            payload, spans = coder.encode(np.frombuffer(b"".join(r[2] for r in held), dtype))
+            payload, spans = coder.encode(np.concatenate([from_planes(r[2], r[3], dtype) for r in held]))
             row = [[part], [seq], [before], [[r[0] for r in held]], [[r[1] for r in held]], [payload], [spans]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()])], ["part", "seq", "before", "doc_id", "n_tokens", "payload", "spans"])
 
@@ -105,7 +119,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
             yield block()
 
     order = ["doc_id", "text_key", "row"]
-    tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids").mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+    tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "low", "high").mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
     sizes = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row a part
     bases = np.cumsum([0, *(r.n for r in sizes)])[:-1].tolist()
     spark.createDataFrame([(r.part, b) for r, b in zip(sizes, bases)], "part int, base long").coalesce(1).write.parquet(f"{path}/parts")
