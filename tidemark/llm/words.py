@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MAX_WORDS = 500_000
+MAX_WORDS = 100_000
 _U = np.uint64
 
 
