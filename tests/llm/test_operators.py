@@ -402,3 +402,94 @@ def test_many_rules_of_one_host(spark):
     pages = spark.range(300).selectExpr("id as page_id", "concat('http://www.example.com/', lpad(cast(id * 333 as string), 6, '0'), '/x') as url")
     got = url_rules.judge(pages, rules, default="none").collect()
     assert len(got) == 300 and all(r.rule == f"example.com/{r.page_id * 333:06d}/" and r.verdict == ("block" if r.page_id * 333 % 2 == 0 else "allow") for r in got)
+
+
+def test_reader_keeps_words_whole():
+    runs = lambda s: [x.text for x in parse(s) if not x.tag]
+    for html, want in (
+        ("<p>super<wbr>cali</p>", ["supercali"]), ("<p>b<img src=x>c</p>", ["bc"]), ("<p>a<script>x<p>y</p></script>b <x-y>c</x-y>d</p>", ["ab cd"]), ("<p>one</p><a title=it's>two</a>", ["one", "two"]),
+        ('<div class="a>two</div>', ["two"]), ("<p>x<svg><text>no</text></svg>y</p>", ["xy"]), ("<head><title>t</title><body>hello", ["hello"]), ("<ul><li>a<li>b<ul><li>c</ul></ul>d", ["a", "b", "c", "d"]), ("<p>1 < 2 &amp; 3<br>x</p", ["1 < 2 & 3 x"]),
+    ):
+        assert runs(html) == want, html
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for unit, end in (("<div>", "</div>"), ("<p><div>", ""), ("<ul><li>", ""), ("<b><i>", ""), ("<td>", ""), ("<svg>", "")):
+        began = time.time()
+        assert parse(unit * 100_000 + "x" + end * 100_000)[-1].text == "x"
+        assert time.time() - began < 30
+
+
+def test_pages_without_telling_attributes():
+    """Pages of the composer without any attribute, and with words that WORDS doesn't have."""
+    trees = html_text.model()
+    for put in ("", ' class="qx zab"'):
+        rnd, right, all_ = random.Random(77), 0, 0
+        for _ in range(60):
+            html, main = html_text.sample_page(rnd)
+            nodes = parse(re.sub(r' (class|id)="?[^">]*"?', put, html))
+            keep = html_text.decode(nodes, trees.score(html_text.features(nodes)))
+            runs = [k for x, k in zip(nodes, keep) if not x.tag]
+            right, all_ = right + sum((i in main) == k for i, k in enumerate(runs)), all_ + len(runs)
+        assert right / all_ > 0.94
+
+
+def test_a_text_of_many_lines_is_one_chain():
+    model = quality.Model(np.random.default_rng(0).normal(size=quality.DIM) * 0.1, np.array([[0.5, -0.5], [-0.5, 0.5]]))
+    long = "\n".join(f"line {i} of it." for i in range(20_000))
+    together = model.score([long, *["a b\nc"] * 63, None, ""])
+    alone = np.concatenate([model.score([t]) for t in (long, "a b\nc", None, "")])
+    assert np.allclose(together[[0, 1, 64, 65]], alone) and together[64] == together[65]
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_languages_and_labels(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    got = [r.lang_pred == lang[r.doc_id] for r in lang_id.report(docs).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert len(got) > 200 and np.mean(got) >= 0.99
+    mark = {r.doc_id: r.quality for r in labels.collect()}
+    got = [r.predicted == mark[r.doc_id] for r in quality.report(docs, labels).collect() if r.held_out and r.doc_id in mark]
+    assert len(got) > 100 and np.mean(got) >= 0.98
+
+
+def plain_finds(text):
+    """What the documents' own forms of personal data look like, found word by word."""
+    words = re.split(r"(\s+)", text)
+    for i, w in enumerate(words):
+        bare = w.strip('.,;:"|')
+        if re.fullmatch(r"\S+@\S+\.[a-z]+", bare):
+            yield bare
+        elif re.fullmatch(r"\d{16}", bare) and bare[0] == "4" and pii.luhn(bare[:-1]) == int(bare[-1]):
+            yield bare
+        elif re.fullmatch(r"\d+(\.\d+){3}", bare) and all(int(p) < 256 and p == str(int(p)) for p in bare.split(".")):
+            yield bare
+        elif re.fullmatch(r"[0-9a-f]{40}", bare):
+            yield bare
+        elif w == "+1" and i + 4 < len(words):
+            yield "".join(words[i : i + 5]).rstrip('.,;:"|')
+
+
+def test_personal_data_of_the_documents(spark):
+    docs = common.table(spark, SF, "documents")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    hit = clean = 0
+    for r in pii.pseudonymize(docs, KEY).collect():
+        want = list(plain_finds(text[r.doc_id] or ""))
+        assert all(w not in r.text for w in want)
+        clean, hit = clean + (not want), hit + (not want and r.n_found > 0)
+    assert clean > 500 and hit / clean < 0.01
+
+
+def test_one_value_in_all_its_forms():
+    same = lambda make, forms, of: len({of(make(f, KEY)) for f in forms}) == 1
+    digits = lambda t: re.sub(r"\D", "", t)[-10:]
+    day = lambda t: tuple(sorted(map(int, re.split("[-/.]", t))))
+    assert same(pii.phone, ["(123) 456-7890", "+1 (123) 456-7890", "+11234567890", "123-456-7890"], digits)
+    assert same(pii.calendar, ["2001-05-13", "13.05.2001", "05/13/2001", "13/5/2001"], day) and same(pii.calendar, ["3/4/2020", "2020-04-03"], day)
+    assert same(pii.mail, ["A.b9@X.org", "a.B9@x.ORG"], str.lower)
+    assert pii.find("password: required, token: yesterday, Version 1.2.3.4, published 2020-01-02", KEY) == []
