@@ -92,3 +92,22 @@ def test_one_bucket_of_many_unlinked_texts(spark):
     # Bands of one coordinate put nearly all texts into common buckets.
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_dup(docs, bands=40, rows=1).collect()}
     assert got == brute(data, 85)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_one_bucket_of_near_copies_with_uneven_edits(spark, percent):
+    """Many copies of one text, edited too much or just not too much to be linked with it, at places that some of them share."""
+    rnd = random.Random(percent)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    first = [word() for _ in range(100)]
+    shared = [(rnd.randrange(100), word()) for _ in range(8)]
+    texts = [first]
+    for n in range(160):
+        t = list(first)
+        for at, w in rnd.sample(shared, rnd.randrange(5)) + [(rnd.randrange(100), word()) for _ in range(rnd.randrange(4))]:
+            t[at] = w
+        texts.append(t[: 100 - rnd.randrange(12)] if n % 5 == 0 else t + [word() for _ in range(rnd.randrange(8))] if n % 5 == 1 else t)
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_dup(docs, percent=percent, bands=40, rows=1).collect()}
+    assert got == brute(data, percent)

@@ -146,39 +146,55 @@ def components(links: DataFrame) -> DataFrame:
 def beyond_leaders(tried: DataFrame, placed: DataFrame, comp: DataFrame, links: DataFrame, percent: int, max_broadcast_rows: int) -> DataFrame:
     """Components with the links between members of one bucket that its leader doesn't show.
 
-    D(y), the shingles that just one of y and the leader L has, tells two members apart as their sets do: y and c differ in |D(y) ^ D(c)|
-    shingles, and are linked if those are at most s * (|y| + |c|), s = (100 - percent) / (100 + percent). At least one of two members of
-    different components isn't linked with L; call it y, so |D(y)| > s * (|y| + |L|). A linked c then shares some of D(y), and
-
-        |D(y) - D(c)| <= p(y) = min(h(y), (|D(y)| + s * (|y| + |L|)) / 2)
-        |D(c) - D(y)| <= p(c) = min(h(c), (|D(c)| + s * (|c| - |L|)) / 2),    h(x) = |x| * (100 - percent) / percent
-
-    so that in any one order of all shingles the first p + 1 of both have one in common. Rarest first, so that what many
-    members share comes last, this makes a join on (leader, shingle) with few pairs that aren't linked; each is tried on the whole of both D.
-    Shingles that only members of one component have are passed over. Nothing here grows with the square of a bucket but pairs that share a rare difference.
+    D(y), the shingles that just one of y and the leader L has, tells two members apart as their sets do: with t = percent / 100 and
+    s = (1 - t) / (1 + t), y and c are linked if |D(y) ^ D(c)| <= s * (|y| + |c|). At least one of two members of different components
+    isn't linked with L; call it y, so |D(y)| > s * (|y| + |L|). A linked c then shares some of D(y), and each of these holds:
+
+        |D(y) - D(c)| <= (|D(y)| + s * (|y| + |L|)) / 2,    |D(c) - D(y)| <= (|D(c)| + s * (|c| - |L|)) / 2
+        |y - c| + t * |c - y| <= (1 - t) * |y|,             and the same for c
+
+    What D(y) has and D(c) hasn't is in y - c if it is beyond L and in c - y if y lacks it, so it costs 1 or t of the budget (1 - t) * |y|.
+    In any one order of all shingles the first that both share lies where neither bound is used up before it, on either side.
+    First come those that only members of one component have: they tell from every member of another component. Then the rarest, so
+    that what many members share comes last. Of what y and c each have alone, e, nothing is shared, and of the rest, r, at most as much
+    as the one with less of it has, so |D(y) ^ D(c)| >= e(y) + e(c) + |r(y) - r(c)|. That makes two sums, over(y) + under(c) <= 0 and
+    under(y) + over(c) <= 0 with over(x) = e(x) + r(x) - s * |x| and under(x) = e(x) - r(x) - s * |x|. They are part of the join by
+    (leader, shingle), and a member that is past them with every partner under a shingle doesn't go into it. What meets is tried on
+    the whole of both D.
     """
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     member = placed.join(open_, "key", "left_semi").where(F.col("node") != F.col("x")).select("x", "x_n", "node", "n", "component").distinct()
     lead = placed.where(F.col("node") == F.col("x")).select("x", F.col("component").alias("x_component")).distinct()
     none = F.array().cast("array<long>")
-    told = tried.select("x", F.col("y").alias("node"), F.concat(F.coalesce("beyond", none), F.coalesce("lacks", none)).alias("d"), "linked")
+    told = tried.select("x", F.col("y").alias("node"), F.coalesce("beyond", none).alias("beyond"), F.concat(F.coalesce("beyond", none), F.coalesce("lacks", none)).alias("d"), "linked")
+    told = told.withColumn("n_beyond", F.size("beyond")).drop("beyond")
     member = materialize(member.join(lead, "x").join(told, ["x", "node"]).withColumn("m", F.size("d")), "open-members")
     s = F.lit((100 - percent) / (100 + percent))
     # As whole numbers may come out a little low in floating point, a bit is added; longer prefixes are as exact.
-    cap = F.col("n") * ((100 - percent) / percent)
-    as_c = F.floor(F.least(cap, (F.col("m") + s * (F.col("n") - F.col("x_n"))) / 2) + 1e-6).cast("int") + 1
-    as_y = F.floor(F.least(cap, (F.col("m") + s * (F.col("n") + F.col("x_n"))) / 2) + 1e-6).cast("int") + 1
+    as_c = F.floor((F.col("m") + s * (F.col("n") - F.col("x_n"))) / 2 + 1e-6).cast("int") + 1
+    as_y = F.floor((F.col("m") + s * (F.col("n") + F.col("x_n"))) / 2 + 1e-6).cast("int") + 1
 
-    items = member.select("x", "node", "component", "linked", as_c.alias("as_c"), as_y.alias("as_y"), F.explode("d").alias("item"))
+    items = member.select("x", "node", "n", "m", "component", "linked", "n_beyond", as_c.alias("as_c"), as_y.alias("as_y"), F.posexplode("d").alias("pos", "item"))
+    items = items.withColumn("cost", F.when(F.col("pos") < F.col("n_beyond"), 100).otherwise(percent))
     often = items.groupBy("x", "item").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    often = materialize(often.where("often > 1"), "often")
-    # What one member alone has comes first and finds nobody, but takes its places.
-    places = items.join(often, ["x", "item"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    places = places.withColumn("place", F.row_number().over(Window.partitionBy("x", "node").orderBy("often", "item")))
-    places = materialize(places.where((F.col("place") <= F.greatest("as_c", "as_y")) & (F.col("low") != F.col("high"))).select("x", "item", "node", "component", "linked", F.col("place") <= F.col("as_c"), F.col("place") <= F.col("as_y")).toDF("x", "item", "node", "component", "linked", "c", "y"), "places")
-    y = places.where("y and not linked").select("x", "item", F.col("node").alias("y"), F.col("component").alias("y_component"))
-    c = places.where("c").select("x", "item", F.col("node").alias("c"), F.col("component").alias("c_component"))
-    near = materialize(y.join(c, ["x", "item"]).where("y != c and y_component != c_component").select("x", "y", "c").distinct(), "near")
+    often = materialize(often.where("low != high").select("x", "item", "often"), "often")
+    # What one component alone has comes first and finds nobody, but takes its places and its cost.
+    by = Window.partitionBy("x", "node").orderBy(F.col("often").isNotNull(), "often", "item")
+    places = items.join(often, ["x", "item"], "left").withColumn("place", F.row_number().over(by))
+    places = places.withColumn("spent", F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cost"))
+    alone = F.count_if(F.col("often").isNull()).over(Window.partitionBy("x", "node"))
+    share = (100 - percent) * F.col("n")
+    places = places.withColumn("over", (100 + percent) * F.col("m") - share).withColumn("under", (100 + percent) * (2 * alone - F.col("m")) - share)
+    places = places.where(F.col("often").isNotNull() & (F.col("spent") <= share))
+    places = places.withColumn("c", F.col("place") <= F.col("as_c")).withColumn("y", (F.col("place") <= F.col("as_y")) & ~F.col("linked")).where("c or y")
+    places = materialize(places.select("x", "item", "node", "component", "over", "under", "c", "y"), "places")
+    sums = ("over", "under")
+    least = places.groupBy("x", "item").agg(*(F.min(F.when(F.col(side), F.col(k))).alias(f"{side}_{k}") for side in "cy" for k in sums))
+    fits = places.join(least, ["x", "item"])
+    y = fits.where("y and over + c_under <= 0 and under + c_over <= 0").select("x", "item", F.col("node").alias("y"), *(F.col(k).alias(f"y_{k}") for k in ("component", *sums)))
+    c = fits.where("c and over + y_under <= 0 and under + y_over <= 0").select("x", "item", F.col("node").alias("c"), *(F.col(k).alias(f"c_{k}") for k in ("component", *sums)))
+    near = y.join(c, ["x", "item"]).where("y != c and y_component != c_component and y_over + c_under <= 0 and y_under + c_over <= 0")
+    near = materialize(near.select("x", "y", "c").distinct(), "near")
     d = member.select("x", "node", "n", "m", "d")
     both = near.join(d.toDF("x", "y", "y_n", "y_m", "y_d"), ["x", "y"]).join(d.toDF("x", "c", "c_n", "c_m", "c_d"), ["x", "c"])
     apart = F.col("y_m") + F.col("c_m") - 2 * F.size(F.array_intersect("y_d", "c_d"))
