@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Batches that go to Python hold at most so many rows, and about so many bytes unless one row is longer.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches kept small, so that JVM and Python hold little of whole texts at a time. What the session sets itself stays."""
+    for key, value in BATCH.items():
+        if df.sparkSession.conf.get(key, None) is None:
+            df.sparkSession.conf.set(key, value)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, discard, materialize, small, text_key, without
+from .common import MAX_BROADCAST_ROWS, discard, materialize, small, small_batches, text_key, without
 from .words import run_hashes, word_hashes
 
 SPAN, K = 10, 5
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, held: np.ndarray, sizes: list[int], span: int, k: int)
                     found.append(hits)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], ["doc_id", "text_key", "n_words", "found"])
 
-    return docs.mapInArrow(run, FOUND)
+    return small_batches(docs).mapInArrow(run, FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, map_bits: int = MAP_BITS, max_broadcast_rows: int = MAX_BROADCAST_ROWS, keyed: bool = False) -> DataFrame:

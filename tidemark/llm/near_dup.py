@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, discard, materialize, small, text_key, without
+from .common import MAX_BROADCAST_ROWS, discard, materialize, small, small_batches, text_key, without
 from .words import mixed, run_hashes, word_hashes
 
 BANDS, ROWS = 21, 6
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, doc_id: str, text
                 keys = [band_keys(s, bands, rows) if len(s) else [] for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512].cast(pa.int64()), batch.column(2)[at : at + 512], pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ab], pa.int64()), pa.array([x[1] for x in ab], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "a", "b", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text)).mapInArrow(run, SIGNATURE)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text)).mapInArrow(run, SIGNATURE)
 
 
 TRIED = "x long, y long, y_a long, y_n long, linked boolean, beyond array<long>, lacks array<long>"

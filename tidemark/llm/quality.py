@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_key, without
+from .common import discard, materialize, small_batches, text_key, without
 from .lang_id import held_out
 
 # The sample that a fit uses: at most about so many labelled documents (by a hash where there are more), none of more
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256].cast(pa.int64()), pa.array(held.value.score(texts), pa.float64()), *own], ["doc_id", "score", "text_key"][: 2 + len(own)])
 
     own = [text_key(text)] if keyed else []
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *own).mapInArrow(run, "doc_id long, score double" + ", text_key long" * keyed)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *own).mapInArrow(run, "doc_id long, score double" + ", text_key long" * keyed)
 
 
 def report(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ PLAIN = re.compile(f"[\t\n\r\x20-\x7e{LETTERS}×÷¡§©«®°·»¿‐-‧‰-
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t\n\r0-9{LETTERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 WORD = re.compile(f" [{LETTERS}]+")
 
-MAX_WORDS = 450_000
+MAX_WORDS = 100_000
 
 
 class Encoder:
