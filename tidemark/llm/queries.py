@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_text, lang_id, near_dup, packing, pii, quality, token_files, tokens, url_rules, whitening
+from . import alignment, decontam, exact_dedup, html_text, lang_id, near_dup, packing, pii, quality, token_files, tokens, url_rules, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,9 +100,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokens.default_path(), alignment.piece_path())
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lang_id, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op7_html_text, op8_packing, op9_pii, op10_quality, op13_whitening)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lang_id, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op7_html_text, op8_packing, op9_pii, op10_quality, op12_alignment, op13_whitening)}
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_decontam": OP4, "op5_url_rules": OP5}
