@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, exact_dedup, html_text, lang_id, near_dup, packing, pii, quality, token_files, tokens, url_rules, whitening
-from .common import table
+from . import alignment, chat_format, decontam, exact_dedup, html_text, lang_id, near_dup, packing, pii, quality, token_files, tokens, url_rules, whitening
+from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_odd_turns(spark, table(spark, sf_dir, "conversations"))
+    return chat_format.digest(materialize(chat_format.format_windows(turns, budget=1024, history=256), "chat", "zstd"))
+
+
+# Windows by a walk from turn to turn, for conversations of one block.
+OP11 = r"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, i, case i when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(2) t(i)
+), body as (
+  select *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#') || ' ###' || chr(10)
+    || replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#') || '</turn>' || chr(10) as body from src
+), counted as (
+  select *, length(body) as chars, length(regexp_replace(body, ' ?\p{L}{1,6}| ?\p{N}{1,3}| ?[^\x09-\x0D \p{L}\p{N}]{1,3}|[\x09-\x0D ]+', 'x', 'g')) as n from body
+), placed as (
+  select *, row_number() over w as pos, sum(n) over (w rows unbounded preceding) - n as p, first_value(role) over w = 'system' as led, first_value(n) over w as n1, first_value(chars) over w as c1
+  from counted window w as (partition by conv_id order by turn nulls first, role, body)
+), kept as (select *, case when led and pos > 1 then n1 else 0 end as sys_n, case when led and pos > 1 then c1 else 0 end as sys_c from placed),
+back as (
+  select t.conv_id, t.pos, coalesce(sum(x.n), 0) as back_n, coalesce(sum(x.chars), 0) as back_c
+  from kept t left join placed x on t.conv_id is not distinct from x.conv_id and x.pos < t.pos and x.p >= t.p - least(256, greatest(0, 1024 - t.sys_n - t.n)) and not (x.led and x.pos = 1)
+  group by all
+), steps as (select k.*, back_n, back_c from kept k join back b on k.conv_id is not distinct from b.conv_id and k.pos = b.pos),
+walk as (
+  select conv_id, pos, n::hugeint as used, 0::hugeint as again from steps where pos = 1
+  union all
+  select s.conv_id, s.pos, case when used + n <= 1024 then used + n else sys_n + back_n + n end, case when used + n <= 1024 then 0 else sys_c + back_c end
+  from walk w join steps s on s.conv_id is not distinct from w.conv_id and s.pos = w.pos + 1
+)
+select s.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by s.pos)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by s.pos) filter (role = 'assistant'), '')) as loss_sha256, (sum(chars) + sum(again))::bigint as formatted_chars
+from steps s join walk w on s.conv_id is not distinct from w.conv_id and s.pos = w.pos group by s.conv_id
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokens.default_path(), alignment.piece_path())
 
@@ -108,5 +144,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lang_id, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op7_html_text, op8_packing, op9_pii, op10_quality, op12_alignment, op13_whitening)}
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_decontam": OP4, "op5_url_rules": OP5}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_lang_id, op3_near_dup, op4_decontam, op5_url_rules, op6_token_files, op7_html_text, op8_packing, op9_pii, op10_quality, op11_chat_format, op12_alignment, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_decontam": OP4, "op5_url_rules": OP5, "op11_chat_format": OP11}
