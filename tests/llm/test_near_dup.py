@@ -111,3 +111,24 @@ def test_one_bucket_of_near_copies_with_uneven_edits(spark, percent):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_dup(docs, percent=percent, bands=40, rows=1).collect()}
     assert got == brute(data, percent)
+
+
+@pytest.mark.parametrize("bands,rows", [(1, 1), (40, 1)])
+def test_repeated_rows_and_ids_change_no_component(spark, bands, rows):
+    """Every row three times over, and an id under two texts: a bucket's prefixes must not be used up by repeats."""
+    first, rnd = family(21, 1, 100)[0][1].split(), random.Random(4)
+    shared = [(rnd.randrange(100), w) for w in ("qqqq", "rrrr", "ssss", "tttt", "uuuu", "vvvv")]
+    data = []
+    for n in range(40):
+        t = list(first)
+        for at, w in rnd.sample(shared, rnd.randrange(1, 5)) + [(rnd.randrange(100), f"w{n}") for _ in range(rnd.randrange(3))]:
+            t[at] = w
+        data.append((n, " ".join(t)))
+    once = {r.doc_id: r.component_id for r in near_dup.near_dup(spark.createDataFrame(data, "doc_id long, text string"), bands=bands, rows=rows).collect()}
+    if bands > 1:
+        assert once == {i: c for i, (_, c) in brute(data, 85).items()}
+    thrice = near_dup.near_dup(spark.createDataFrame(data * 3, "doc_id long, text string"), bands=bands, rows=rows).collect()
+    assert len(thrice) == 120 and {r.doc_id: r.component_id for r in thrice} == once
+    other = [*data * 2, *((i, f"another text under the id {i} " + " ".join(f"x{i}y{k}" for k in range(30))) for i, _ in data)]
+    got = near_dup.near_dup(spark.createDataFrame(other, "doc_id long, text string"), bands=bands, rows=rows).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted([*once.items()] * 2 + [(i, i) for i in once])

@@ -92,7 +92,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
     y hasn't.
 
     Pairs are grouped by x in chunks of about CHUNK; a chunk's task gets the text of x once and then
-    those of its ys, so however often x occurs no task gathers all of its partners.
+    those of its ys, so however often x occurs no task gathers all of its partners. A node whose text several rows have
+    (repeated rows, or an id under which it stands twice) comes in as often, one after the other, and is tried once.
     """
     counts = materialize(pairs.groupBy("x").count().where(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).select("x", "chunks"), "hot")
     dealt = materialize(pairs.join(small(counts, max_broadcast_rows), "x", "left").withColumn("chunk", F.pmod(F.xxhash64("y"), F.coalesce("chunks", F.lit(1))).cast("int")).drop("chunks"), "pairs")
@@ -100,13 +101,16 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
     wanted = materialize(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first = None, None
+        at, first, done = None, None, None
         for batch in batches:
             found = []
             for x, chunk, role, y, set_a, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if done == (x, chunk, role, y):
+                    continue
                 items = shingles(t, k)
                 if prints(items)[0] != set_a:
                     continue  # another text under the same id
+                done = (x, chunk, role, y)
                 if role == 0:
                     at, first = (x, chunk), items
                 elif at == (x, chunk):
@@ -119,7 +123,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: s
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = texts.join(small(wanted, max_broadcast_rows), "id").select("x", "chunk", "role", "node", "set_a", "text")
-    out = materialize(rows.repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role").mapInArrow(run, TRIED), "tried")
+    out = materialize(rows.repartition("x", "chunk").sortWithinPartitions("x", "chunk", "role", "node").mapInArrow(run, TRIED), "tried")
     for df in (counts, dealt, wanted):
         discard(df)
     return out
