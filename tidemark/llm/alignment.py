@@ -13,6 +13,8 @@ a broadcast of one slice at a time.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches
-from .tokens import Encoder
 
 RUN = 4096
 STRETCH = 1 << 16
@@ -35,16 +36,39 @@ GATHER = 4_000_000
 _KEY = 1 << 40
 
 
-class ByteTokens(Encoder):
-    """A byte-level BPE whose special tokens' strings in a text are ordinary text. entries: each id's bytes."""
+# Fixed value: how the byte-level tokenizer parts a text before its merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class ByteTokens:
+    """A byte-level BPE whose special tokens' strings in a text are ordinary text. entries: each id's bytes.
+
+    Where every merge makes a token of its own and they come in order of their ids, as is usual, ids are ranks and texts are encoded by those; else by the file's own library.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.tokenizer.encode_special_tokens, self.special = True, []
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        special = set(self.tokenizer.get_added_tokens_decoder())
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-        spelled = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
-        self.entries = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in spelled]
+        spelled = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.entries = [bytes(of[c] for c in t) if i not in special and all(c in of for c in t) else t.encode() for i, t in enumerate(spelled)]
+        with open(path) as f:
+            whole = json.load(f)
+        merged = [whole["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in whole["model"]["merges"]]
+        plain = whole.get("normalizer") is None and whole["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        ranked = plain and all(x < y for x, y in zip(merged, merged[1:])) and len(merged) + 256 + len(special) == len(spelled)
+        self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks={e: i for i, e in enumerate(self.entries) if i not in special}, special_tokens={}) if ranked else None
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranks:
+            return [self.ranks.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -73,7 +97,7 @@ class PieceTokens:
     def ids(self, texts: list[str]) -> list[list[int]]:
         cut = [self._stretches(t) for t in texts]
         got = iter(self.model.encode([s for ss in cut for s in ss], num_threads=1))
-        return [[i for _ in ss for i in next(got)] for ss in cut]
+        return [next(got) if len(ss) == 1 else [i for _ in ss for i in next(got)] for ss in cut]
 
 
 @lru_cache(maxsize=2)
@@ -86,6 +110,10 @@ def piece_tokens(path: str) -> PieceTokens:
     return PieceTokens(path)
 
 
+def id_type(entries: int) -> str:
+    return "<u4" if entries > 1 << 16 else "<u2"
+
+
 EVENTS = "row long, doc_id long, first long, side tinyint, base long, ids binary"
 
 
@@ -94,27 +122,26 @@ def end_events(docs: DataFrame, a_path: str, b_path: str, doc_id: str, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_tokens(a_path), piece_tokens(b_path)
+        lengths, kinds = [np.array([len(e) for e in t.entries]) for t in (a, b)], [id_type(len(t.entries)) for t in (a, b)]
+        entry = b.entries.__getitem__
         for batch in batches:
             for k in range(0, len(batch), 128):
                 part = batch.slice(k, 128)
                 texts = [t or "" for t in part.column(2).to_pylist()]
-                full = [(" " + t).encode() for t in texts]
                 out: list[tuple] = []
-                for row, doc, t, whole, ia, ib in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, full, a.ids([" " + t for t in texts]), b.ids(texts)):
-                    ia, ib = np.frombuffer(ia, a.dtype), np.array(ib, np.int64)
-                    pa_, pb = [a.entries[i] for i in ia.tolist()], [b.entries[i] for i in ib.tolist()]
-                    if not t or b"".join(pa_) != whole or b"".join(pb) != whole:
+                for row, doc, t, *both in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, a.ids([" " + t for t in texts]), b.ids(texts)):
+                    whole = (" " + t).encode()
+                    ids = [np.array(x, kind) for x, kind in zip(both, kinds)]
+                    ends = [np.cumsum(n[x]) for n, x in zip(lengths, ids)]
+                    # Bytes are all that A knows, so that it gives back a text of the same length.
+                    if not t or any(e[-1:].sum() != len(whole) for e in ends) or b"".join(map(entry, both[1])) != whole:
                         out.append((row, doc, 0, 0, 0, b""))
                         continue
-                    for side, ids, parts in ((0, ia, pa_), (1, ib, pb)):
-                        base = 0
-                        for at in range(0, len(ids), RUN):
-                            size = sum(map(len, parts[at : at + RUN]))
-                            out.append((row, doc, base + len(parts[at]), side, base, ids[at : at + RUN].astype("<u4" if side_wide[side] else "<u2").tobytes()))
-                            base += size
+                    for side in range(2):
+                        for at in range(0, len(ids[side]), RUN):
+                            out.append((row, doc, int(ends[side][at]), side, int(ends[side][at - 1]) if at else 0, ids[side][at : at + RUN].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary()])], ["row", "doc_id", "first", "side", "base", "ids"])
 
-    side_wide = [len(byte_tokens(a_path).entries) > 1 << 16, len(piece_tokens(b_path).entries) > 1 << 16]
     return small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, EVENTS)
 
 
@@ -184,7 +211,7 @@ class Sweep:
         for row, doc, _, side, base, packed in runs:
             if not docs or docs[-1].row != row:
                 docs.append(_Document(row, doc))
-            x = np.frombuffer(packed, "<u4" if len(self.lengths[side]) > 1 << 16 else "<u2").astype(np.int64)
+            x = np.frombuffer(packed, id_type(len(self.lengths[side]))).astype(np.int64)
             ends[side].append((len(docs) - 1) * _KEY + base + np.cumsum(self.lengths[side][x]))
             ids[side].append(x)
         if not docs:
