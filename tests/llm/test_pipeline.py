@@ -1,7 +1,7 @@
 """Each stage of the pipeline against plain Python over the stage's own input."""
 
 from test_near_dup import brute, family
-from test_operators import brute_hits, norm
+from test_corpus_operators import brute_hits, norm
 
 import corpus_pipeline as P
 from tidemark.llm import decontam, exact_dedup, near_dup, quality
@@ -98,3 +98,19 @@ def test_contamination_drops_rows_not_ids(spark):
     items = spark.createDataFrame([("q", passage)], "item_id string, text string")
     docs, want = clean_and_bad(spark, "nothing of it", "nor of it", f"so {passage} then")
     assert left(decontam.drop_contaminated(docs, items)) == want
+
+
+def test_of_repeated_rows_one_stays(spark):
+    a, b = (family(seed, 1)[0][1] for seed in (11, 12))
+    data = [(1, a)] * 3 + [(2, a), (7, "x y"), (7, "x  y"), (7, "x y"), (8, b), (8, b), (9, ""), (9, ""), (None, "n o"), (None, "n o"), (None, b + " more")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = left(exact_dedup.drop_copies(docs))
+    assert len(got) == 6 and {(i, (t or "").replace("  ", " ")) for i, t in got} == {(1, a), (7, "x y"), (8, b), (9, ""), (None, "n o"), (None, b + " more")}
+    near = left(near_dup.drop_near_copies(docs))
+    assert [i for i, _ in near].count(1) == 1 and [i for i, _ in near].count(8) == 1 and (None, b + " more") not in near
+
+
+def test_stages_of_nothing(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

@@ -84,5 +84,14 @@ def without(docs: DataFrame, gone: DataFrame, tag: str, doc_id: str = "doc_id",
     return docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text]) == F.col("__key")), "left_anti")
 
 
+def once(docs: DataFrame, repeated: DataFrame, tag: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row, whichever, of those that share an id and a text named in repeated (doc_id, text_key); ids may be null."""
+    repeated = materialize(repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), tag)
+    if not repeated.limit(1).count():
+        return docs
+    on, keys = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__key")), small(repeated)
+    return docs.join(keys, on, "left_anti").unionByName(docs.join(keys, on, "left_semi").dropDuplicates([doc_id, text]))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

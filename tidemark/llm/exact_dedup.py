@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, materialize, small, text_key, without
+from .common import MAX_BROADCAST_ROWS, materialize, once, small, text_key, without
 
 PREFIX = 128
 
@@ -67,5 +67,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay."""
-    return without(docs, exact_dedup(docs, doc_id, text, keyed=True).where("not kept"), "copies-gone", doc_id, text)
+    """docs without the rows that exact_dedup drops; all columns stay. Of equal texts under one id, or under none where no copy has one, a single row stays too."""
+    told = materialize(exact_dedup(docs, doc_id, text, keyed=True).where("text_sha256 is not null").select("doc_id", "text_key", "text_sha256", "kept"), "copies-told")
+    again = told.where("kept").groupBy("doc_id", "text_sha256").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = materialize(again, "copies-again")
+    same = told["doc_id"].eqNullSafe(again["doc_id"]) & (told["text_sha256"] == again["text_sha256"]) & (told["text_key"] != again["first"])
+    gone = told.where("not kept").select("doc_id", "text_key").unionByName(told.where("kept").join(small(again), same, "left_semi").select("doc_id", "text_key"))
+    return once(without(docs, gone, "copies-gone", doc_id, text), again.select("doc_id", F.col("first").alias("text_key")), "copies-once", doc_id, text)

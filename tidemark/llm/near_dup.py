@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, discard, materialize, small, small_batches, text_key, without
+from .common import MAX_BROADCAST_ROWS, discard, materialize, once, small, small_batches, text_key, without
 from .words import mixed, run_hashes, word_hashes
 
 BANDS, ROWS = 21, 6
@@ -254,8 +254,10 @@ def near_dup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; all columns stay.
+    """docs with one document of each component, the one with the least doc_id; all columns stay. Of rows that repeat an id with the same text (of at least a word) one stays.
 
     At similarity 0.8, 25 bands of 5 miss a pair with probability (1 - 0.8^5)^25 = 5e-5.
     """
-    return without(docs, near_dup(docs, doc_id, text, percent=percent, bands=bands, rows=rows, keyed=True).where("not kept"), "near-gone", doc_id, text)
+    told = materialize(near_dup(docs, doc_id, text, percent=percent, bands=bands, rows=rows, keyed=True), "near-told")
+    again = told.where("kept and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    return once(without(docs, told.where("not kept"), "near-gone", doc_id, text), again, "near-once", doc_id, text)
