@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import recursive
 from tidemark.operators import selection as S
 from tidemark.operators import signals as G
 from tidemark.operators import windows as W
@@ -78,7 +79,7 @@ def test_band_share_tells_rates_apart(spark):
     t = np.arange(2000) / 50
     made = {1: 1 + 0.5 * np.sin(2 * np.pi * 5.5 * t), 2: 1 + 0.5 * np.sin(2 * np.pi * 1.0 * t), 3: np.ones(2000), 4: np.ones(20)}
     df = spark.createDataFrame([(k, i, float(v)) for k, x in made.items() for i, v in enumerate(x)], "k long, i long, x double")
-    got = W.band_share(df, "k", "i", "x", 50.0, 4.0, 7.0, 6, 25).toPandas().sort_values(["k", "i"])
+    got = recursive.band_share(df, "k", "i", "x", 50.0, 4.0, 7.0, 6, 25).toPandas().sort_values(["k", "i"])
     mid = {k: g.iloc[len(g) // 4 : 3 * len(g) // 4] for k, g in got.groupby("k")}
     assert mid[1]["share"].min() > 0.9 and mid[1]["depth"].between(0.29, 0.36).all()
     assert mid[2]["share"].max() < 0.05 and mid[3]["share"].max() == 0 and mid[4]["share"].isna().all()

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -120,47 +118,6 @@ def gaussian(value: Column, keys: list[str], order: str, sigma: float, truncate:
     return out
 
 
-def band_power(x: np.ndarray, rate: float, low: float, high: float, order: int) -> np.ndarray:
-    """x through a Butterworth band-pass run forth and back, so without delay: its squared gain at each frequency.
-
-    The gain is that of the bilinear filter with edges `low` and `high`; the ends are continued by odd reflection, and the rest of the transform is zeros.
-    """
-    pad = min(len(x) - 1, int(round(12 * rate / low)))
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    size = 1 << (2 * len(y) - 1).bit_length()
-    at = np.tan(np.pi * np.fft.rfftfreq(size)[1:-1])
-    a, b = np.tan(np.pi * low / rate), np.tan(np.pi * high / rate)
-    gain = np.zeros(size // 2 + 1)
-    gain[1:-1] = 1 / (1 + ((at**2 - a * b) / (at * (b - a))) ** (2 * order))
-    return np.fft.irfft(np.fft.rfft(y, size) * gain, size)[pad : pad + len(x)]
-
-
-def band_share(df: DataFrame, key: str, order: str, value: str, rate: float, low: float, high: float, poles: int, window: int) -> DataFrame:
-    """(key, order, share, depth) of a series at `rate`: how much of its swing about the local mean is between low and high, 0 to 1, and that part's size over the local mean.
-
-    The local mean and both sizes are boxcars of `window` samples. Null where the series is shorter than the window or than twelve poles.
-    """
-    if not 0 < low < high < rate / 2:
-        raise ValueError("the band must lie between 0 and half the rate")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows[value].to_numpy(np.float64)
-        share = depth = np.full(len(x), np.nan)
-        if len(x) >= max(window, 12 * poles + 1):
-            mean = lambda v: np.convolve(v, np.ones(window) / window, "same")
-            local = mean(x)
-            swing = x - local
-            band, total = np.sqrt(mean(band_power(swing, rate, low, high, poles) ** 2)), np.sqrt(mean(swing**2))
-            share = np.where(total > 1e-12, np.clip(band / np.maximum(total, 1e-12), 0, 1), 0.0)
-            depth = np.where(local > 1e-12, band / np.maximum(local, 1e-12), 0.0)
-        return rows[[key, order]].assign(share=share, depth=depth)
-
-    kinds = dict(df.dtypes)
-    out = df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, share double, depth double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("share", "depth")})
-
-
 def average_rank(value: str, keys: list[str]) -> Column:
     """From 0; equal values share the mean of their ranks."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) - 1 + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import peaks as X
+from ..operators import recursive as R
 from ..operators import selection as Sel
 from ..operators import signals as S
 from ..operators import windows as W
@@ -271,7 +272,7 @@ def x11_counterfactual(spark: Spark, d: str) -> DataFrame:
 def w18_band_share(spark: Spark, d: str) -> DataFrame:
     """How much of each recording's views swings at two to five days, and how deep."""
     s = T.series(spark, d).where("kind = 'view'").select("recording_id", "i", F.coalesce("value", F.lit(0.0)).alias("x"))
-    out = W.band_share(s, "recording_id", "i", "x", 2.0, 0.2, 0.5, 2, 11)
+    out = R.band_share(s, "recording_id", "i", "x", 2.0, 0.2, 0.5, 2, 11)
     return out.select("recording_id", "i", F.round("share", 6).alias("share"), F.round("depth", 6).alias("depth"))
 
 

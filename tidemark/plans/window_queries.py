@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import slices as L
 from ..operators import windows as W
 from ..sources import tables as T
 from .registry import query
@@ -20,19 +21,21 @@ def r6(name: str, as_: str | None = None):
 round((value - avg(value) over w) / greatest(coalesce(stddev_pop(value) over w, 0), 0.5), 6) as z
 from series window w as (partition by recording_id, kind order by i rows between 5 preceding and 5 following)""")
 def w1_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.rolling_zscore(T.series(spark, sf_dir), K, "i", "value", 10, 0.5)
+    out = L.sliced(T.series(spark, sf_dir), K, "i", 5, 5, lambda rows, by: W.rolling_zscore(rows, by, "i", "value", 10, 0.5))
     return out.select(*K, "i", r6("mean"), r6("std"), r6("z"))
 
 
 @query(T.SQL + """select recording_id, kind, i, case when count(value) over w >= 3 then round(stddev_pop(value) over w, 6) end as std
 from series window w as (partition by recording_id, kind order by i rows between 4 preceding and 4 following)""")
 def w2_rolling_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.rolling_std(T.series(spark, sf_dir), K, "i", "value", 8, 3).select(*K, "i", r6("std"))
+    out = L.sliced(T.series(spark, sf_dir), K, "i", 4, 4, lambda rows, by: W.rolling_std(rows, by, "i", "value", 8, 3))
+    return out.select(*K, "i", r6("std"))
 
 
 @query(T.SQL + "select recording_id, kind, i, max(value) over (partition by recording_id, kind order by i rows between 3 preceding and current row) as peak from series")
 def w3_rolling_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.series(spark, sf_dir).select(*K, "i", W.rolling_max(F.col("value"), K, "i", 4).alias("peak"))
+    out = L.sliced(T.series(spark, sf_dir), K, "i", 3, 0, lambda rows, by: rows.withColumn("peak", W.rolling_max(F.col("value"), by, "i", 4)))
+    return out.select(*K, "i", "peak")
 
 
 ACTIVE = T.SQL + ", act as (select recording_id, kind, i, coalesce(value > 40, false) as active from series)"
@@ -45,12 +48,13 @@ def active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ACTIVE + "select recording_id, kind, i, coalesce(bool_or(active) over (partition by recording_id, kind order by i rows between 2 preceding and current row), false) as held from act")
 def w4_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active(spark, sf_dir).select(*K, "i", W.hold(F.col("active"), K, "i", 2).alias("held"))
+    out = L.sliced(active(spark, sf_dir), K, "i", 2, 0, lambda rows, by: rows.withColumn("held", W.hold(F.col("active"), by, "i", 2)))
+    return out.select(*K, "i", "held")
 
 
 @query(ISLE + "select recording_id, kind, i, active and size >= 2 as active from n")
 def w5_drop_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.drop_short_runs(active(spark, sf_dir), K, "i", "active", 2)
+    return L.drop_short_runs(active(spark, sf_dir), K, "i", "active", 2)
 
 
 @query(ISLE + "select recording_id, kind, i, case when active then least(place / 3.0::double, 1.0::double) else 0.0::double end as ramp from n")
@@ -60,17 +64,18 @@ def w6_ramp_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ISLE + "select recording_id, kind, i, case when active and place >= 2 then least((place - 1) / 2.0::double, 1.0::double) else 0.0::double end as level from n")
 def w7_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.sustained(active(spark, sf_dir), K, "i", "active", 2, 2, "level").drop("active")
+    return L.sustained(active(spark, sf_dir), K, "i", "active", 2, 2, "level").drop("active")
 
 
 @query(ACTIVE + "select recording_id, kind, i, active and not lag(active, 1, false) over (partition by recording_id, kind order by i) as onset from act")
 def w8_rising_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active(spark, sf_dir).select(*K, "i", W.rising_edge(F.col("active"), K, "i").alias("onset"))
+    out = L.sliced(active(spark, sf_dir), K, "i", 1, 0, lambda rows, by: rows.withColumn("onset", W.rising_edge(F.col("active"), by, "i")))
+    return out.select(*K, "i", "onset")
 
 
 @query(ISLE + "select recording_id, kind, min(i) as start, max(i) + 1 as \"end\" from n where active group by recording_id, kind, g")
 def w9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.runs(active(spark, sf_dir), K, "i", "active")
+    return L.runs(active(spark, sf_dir), K, "i", "active")
 
 
 @query(T.SQL + """, hits as (select p.recording_id, least(greatest(cast(floor(t / 43200) as bigint), 0), greatest(round_even(duration / 43200, 0)::bigint, 1) - 1) as i, count(*) as n from points p join recordings using (recording_id) where kind = 'click' group by 1, 2),
@@ -82,8 +87,9 @@ def w10_boxcar_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = T.recordings(spark, sf_dir).select("recording_id", n.alias("n"))
     hits = T.points(spark, sf_dir).where("kind = 'click'").join(st, "recording_id").groupBy("recording_id", F.least(F.greatest(F.floor(F.col("t") / T.STEP), F.lit(0)), F.col("n") - 1).alias("i")).agg(F.count("*").alias("hits"))
     g = st.select("recording_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).join(hits, ["recording_id", "i"], "left")
-    rate = W.boxcar_sum(F.coalesce("hits", F.lit(0)), ["recording_id"], "i", 6) / (6.0 * T.STEP)
-    return g.select("recording_id", "i", F.round(rate, 9).alias("rate"))
+    rate = lambda by: W.boxcar_sum(F.coalesce("hits", F.lit(0)), by, "i", 6) / (6.0 * T.STEP)
+    out = L.sliced(g, ["recording_id"], "i", 6, 6, lambda rows, by: rows.withColumn("rate", rate(by)))
+    return out.select("recording_id", "i", F.round("rate", 9).alias("rate"))
 
 
 @query(T.SQL + """, x as (select recording_id, kind, i, coalesce(value, 0) as v, max(i) over (partition by recording_id, kind) as last from series),
@@ -91,7 +97,8 @@ k as (select d, exp(-0.5 * (d / 2.0) * (d / 2.0)) / (select sum(exp(-0.5 * (e /
 select x.recording_id, x.kind, x.i, round(sum(wt * y.v), 6) as smooth from x cross join k join x y on y.recording_id = x.recording_id and y.kind = x.kind and y.i = least(greatest(x.i + d, 0), x.last) group by all""")
 def w11_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.series(spark, sf_dir).withColumn("v", F.coalesce("value", F.lit(0.0)))
-    return s.select(*K, "i", F.round(W.gaussian(F.col("v"), K, "i", 2.0), 6).alias("smooth"))
+    out = L.sliced(s, K, "i", 8, 8, lambda rows, by: rows.withColumn("smooth", W.gaussian(F.col("v"), by, "i", 2.0)))
+    return out.select(*K, "i", F.round("smooth", 6).alias("smooth"))
 
 
 @query("select p_partkey, p_brand, rank() over (partition by p_brand order by p_size) - 1 + (count(*) over (partition by p_brand, p_size) - 1) / 2.0::double as rank from part")
