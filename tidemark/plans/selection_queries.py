@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as C
 from ..functions import text as X
+from ..operators import density as D
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import windows as W
@@ -424,3 +425,9 @@ def z5_coverage(spark: Spark, d: str) -> DataFrame:
     """In what share of a conversation's chapters an idea comes up."""
     c = T.table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("chapter")).agg(F.bool_or(X.contains_words(X.normal(F.col("text")), F.lit("the"))).alias("has"))
     return c.groupBy("conv_id").agg(F.count("*").alias("chapters"), F.round(F.lit(100.0) * F.count_if("has") / F.count("*"), 4).alias("coverage_pct"))
+
+
+@query()
+def z2_density(spark: Spark, d: str) -> DataFrame:
+    """Each vector's cluster by density, and over how many labels the cluster spreads."""
+    return D.density_clusters(T.table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5)
