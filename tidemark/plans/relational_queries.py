@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..sources import logs, store
+from ..sources import ledger, logs, store
 from ..sources import tables as T
+from ..sources.scratch import new_path
 from .registry import query
 
 Spark = SparkSession
@@ -248,3 +249,31 @@ select l_suppkey, round_even(corr(a, b), 4) as spearman, count(*) filter (ta and
 def a16_rank_agreement(spark: Spark, d: str) -> DataFrame:
     x = T.table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     return A.rank_agreement(x, ["l_suppkey"], "l_quantity", "l_extendedprice", 20, "id")
+
+
+@query("select o_custkey, round(sum(o_totalprice + case when o_custkey % 3 = 0 then 1 else 0 end), 2) as total, case when o_custkey % 3 = 0 then 4 else 2 end as seq from orders group by o_custkey")
+def r7_refreshed(spark: Spark, d: str) -> DataFrame:
+    """Totals by customer kept up to date: a third of the customers change, and only theirs are computed a second time."""
+    book = ledger.Ledger(spark, new_path(spark, "ledger"))
+    o = T.table(spark, d, "orders").select("o_custkey", "o_totalprice")
+    refresh = lambda: book.refresh("totals", ["orders"], "o_custkey", {"stage": 1}, lambda rows: rows.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")))
+    book.put("orders", o, "o_custkey")
+    refresh()
+    book.put("orders", o.where("o_custkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), "o_custkey")
+    refresh()
+    return book.read("totals", "o_custkey").join(book.heads("totals", "o_custkey"), "o_custkey").select("o_custkey", F.round("total", 2).alias("total"), "seq")
+
+
+@query(T.SQL + """, w as (select recording_id, count(*) as n, bool_or(id in (select id from ratings where source = 'operator')) as rated from windows group by 1)
+select recording_id, 1 + rated::int + (recording_id % 2 = 0)::int as generation, n as n_current, n * (1 + rated::int + (recording_id % 2 = 0)::int) as n_all from w""")
+def s13_scored(spark: Spark, d: str) -> DataFrame:
+    """Windows scored, rated, scored again under the same settings and, for half of the recordings, under others: what is current and what is kept."""
+    scores = ledger.Scores(spark, new_path(spark, "scores"))
+    w = T.windows(spark, d).withColumnRenamed("id", "moment")
+    scores.score(w, "a", 3600.0)
+    rated = scores.candidates().join(T.ratings(spark, d).where("source = 'operator'").select(F.col("id").alias("moment"), "rating"), "moment")
+    scores.rate(rated.select("id", "rating"))
+    moved = w.withColumn("t_start", F.col("t_start") + 60).withColumn("t_end", F.col("t_end") + 60)
+    scores.score(moved, "a", 3600.0)
+    scores.score(moved.where("recording_id % 2 = 0"), "b", 3600.0)
+    return scores.candidates().groupBy("recording_id").agg(F.max(F.when(F.col("is_current"), F.col("generation"))).alias("generation"), F.count_if("is_current").alias("n_current"), F.count("*").alias("n_all"))

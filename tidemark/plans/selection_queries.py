@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as C
 from ..functions import text as X
 from ..operators import density as D
+from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import windows as W
@@ -273,15 +274,31 @@ def m1_orphans(spark: Spark, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select("doc_id").join(used, "doc_id", "left_anti")
 
 
-# A small graph of stages and what each needs.
-STAGES = [("ingest", []), ("proxy", ["ingest"]), ("audio", ["ingest"]), ("speech", ["audio"]), ("words", ["speech"]), ("vectors", ["words"]), ("markers", ["ingest"]), ("score", ["audio", "markers", "words"]), ("chapters", ["words", "vectors"]), ("export", ["score"])]
-EDGES = ", ".join(f"('{a}', '{b}')" for a, needs in STAGES for b in needs)
+# Of each customer's orders the k-th, by number, needs number k / 2, every third also the one before it; what is dear comes late among those that are ready.
+GRAPH = "with n as (select o_custkey as graph, o_orderkey as node, row_number() over (partition by o_custkey order by o_orderkey) as k, rank() over (partition by o_custkey order by o_totalprice) as rank from orders), e as (select a.graph, a.node, b.node as needs from n a join n b on a.graph = b.graph and a.k > 1 and (b.k = a.k // 2 or (a.k % 3 = 0 and b.k = a.k - 1)))"
 
 
-@query(f"with recursive e(stage, need) as (values {EDGES}), r as (select stage, need from e union select r.stage, e.need from r join e on r.need = e.stage) select stage, need from r")
+def order_graph(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    by = Window.partitionBy("o_custkey")
+    n = T.table(spark, d, "orders").select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("node"), F.row_number().over(by.orderBy("o_orderkey")).alias("k"), F.rank().over(by.orderBy("o_totalprice")).alias("rank"))
+    needs = F.explode(F.array_compact(F.array(F.floor(F.col("k") / 2), F.when(F.col("k") % 3 == 0, (F.col("k") - 1).cast("long")))))
+    e = n.where("k > 1").select("graph", "node", needs.alias("at")).join(n.select("graph", F.col("k").alias("at"), F.col("node").alias("needs")), ["graph", "at"])
+    return n.select("graph", "node", "rank"), e.select("graph", "node", "needs").distinct()
+
+
+@query("with recursive " + GRAPH[5:] + ", r(graph, node, needs) as (select * from e union select r.graph, r.node, e.needs from r join e on r.graph = e.graph and r.needs = e.node) select distinct graph, node, needs from r")
 def m2_ancestors(spark: Spark, d: str) -> DataFrame:
-    """What each stage needs, directly or through others."""
-    return spark.sql(f"with recursive e(stage, need) as (values {EDGES}), r(stage, need) as (select stage, need from e union all select r.stage, e.need from r join e on r.need = e.stage) select distinct stage, need from r")
+    """What each order needs, directly or through others."""
+    return G.closure(order_graph(spark, d)[1])
+
+
+@query("with recursive " + GRAPH[5:] + """, w as (select n.graph, n.node, n.rank, coalesce(list(e.needs) filter (e.needs is not null), []) as needs from n left join e on n.graph = e.graph and n.node = e.node group by all),
+o(graph, place, node, done) as (select graph, -1::bigint, null::bigint, []::bigint[] from (select distinct graph from n)
+union all select graph, place + 1, node, list_append(done, node) from (select o.graph, o.place, o.done, w.node, row_number() over (partition by o.graph order by w.rank, w.node) as first from o join w on w.graph = o.graph and not list_contains(o.done, w.node) and len(list_filter(w.needs, lambda x: not list_contains(o.done, x))) = 0) where first = 1)
+select graph, node, place from o where place >= 0""")
+def m2_order(spark: Spark, d: str) -> DataFrame:
+    """Each customer's orders, every one after those that it needs."""
+    return G.topological_order(*order_graph(spark, d)).select("graph", "node", "place")
 
 
 def number_sql(v: str) -> str:
