@@ -14,6 +14,7 @@ from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import windows as W
+from ..operators.phrases import phrase_hits
 from ..sources import store
 from ..sources import tables as T
 from .registry import query
@@ -177,7 +178,7 @@ WANTED = " union all ".join(f"""select conv_id, turn, '{p}' as phrase from conve
 @query(WANTED)
 def f8_phrase(spark: Spark, d: str) -> DataFrame:
     """One row for each listed phrase that a turn has."""
-    return T.table(spark, d, "conversations").select("conv_id", "turn", F.explode(X.phrases_in(F.col("text"), PHRASES)).alias("phrase"))
+    return phrase_hits(T.table(spark, d, "conversations"), ["conv_id", "turn"], "text", spark.createDataFrame([(p,) for p in PHRASES], "phrase string"))
 
 
 SAID = "select conv_id, turn, '[' || list_aggregate(list_transform(range(1, 3 + turn % 9), lambda i: '{{\"start\": ' || case when i % 4 = 0 then 'null' else (i * 2)::varchar end || ', \"end\": ' || (i * 2 + 1)::varchar || '}}'), 'string_agg', ', ') || ']' as words from conversations".replace("{{", "{").replace("}}", "}")
