@@ -16,6 +16,18 @@ class Boosted:
         self.cut: list[np.ndarray] = []
         self.leaf: list[np.ndarray] = []
 
+    def dump(self) -> dict:
+        """As plain numbers, for a file."""
+        return {"depth": self.depth, "start": self.start, "edges": [e.tolist() for e in self.edges], "feature": [f.tolist() for f in self.feature], "cut": [c.tolist() for c in self.cut], "leaf": [x.round(6).tolist() for x in self.leaf]}
+
+    @classmethod
+    def load(cls, d: dict) -> Boosted:
+        out = cls(d["depth"])
+        out.start, out.edges = d["start"], [np.array(e) for e in d["edges"]]
+        for name in ("feature", "cut", "leaf"):
+            setattr(out, name, [np.array(x) for x in d[name]])
+        return out
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1)
 

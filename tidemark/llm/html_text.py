@@ -1,16 +1,18 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded over the tree.
 
 The trees are fitted to pages that `sample_page` composes with known main text (PAGES of them, from a fixed
-seed). Each node of a page gets log odds of holding main text. Decoding picks for all nodes together the
+seed) by `python -m tidemark.llm.html_text`, which writes them to TREES; nothing is fitted when pages are read. Each node of a page gets log odds of holding main text. Decoding picks for all nodes together the
 likeliest labels under which a node without main text has none below it.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log1p
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, boost
 from .dom import Node, parse
 
-PAGES, SEED = 800, 11
+PAGES, SEED = 2000, 11
+TREES = Path(__file__).with_name("html_trees.json")
 
 # Words of class, id and role attributes, and elements, by what they usually mark.
 WORDS = {
@@ -131,6 +134,7 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
     """A page, and the places of its runs of main text among all of its runs."""
     out: list[str] = []
     runs: list[bool] = []
+    loose, quiet = rnd.choice(((0.0, 1.0), (0.15, 1.0), (0.9, 0.6), (0.7, 0.15))) if rnd.random() < 0.8 else (0.5, 0.0)
     bare, vague = rnd.choice(((0.0, 0.0), (0.1, 0.1), (0.1, 0.9), (0.3, 0.3), (1.0, 0.0)))
 
     def words(a: int, b: int, links: float = 0.0, stop: bool = True) -> str:
@@ -166,10 +170,13 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
     def plain(mark: str, tags: tuple, a: int, b: int, paragraphs: int, links: float = 0.1) -> None:
         tag = rnd.choice(tags)
         out.append(f"<{tag}{box(mark) if tag in ('div', 'section', 'ul') or rnd.random() < 0.3 else ''}>")
-        for _ in range(rnd.randint(1, paragraphs)):
-            run(words(a, b, links), rnd.choice(("p", "p", "div", "", "span")) if paragraphs > 1 else rnd.choice(("", "p")), False)
-            if paragraphs > 1:
-                out.append("<hr>")
+        inline = True
+        for k in range(rnd.randint(1, paragraphs)):
+            part = rnd.choice(("p", "p", "div", "", "span"))
+            if k and inline and part in ("", "span"):
+                part = "p"  # two inline runs would be one
+            inline = part in ("", "span")
+            run(words(a, b, links), part, False)
         out.append(f"</{tag}>")
 
     def comments() -> None:
@@ -186,7 +193,7 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
     def form() -> None:
         out.append(f"<form{box('form') if rnd.random() < 0.5 else ''}>")
         run(words(1, 6), rnd.choice(("label", "p", "div")), False)
-        out.append('<input type="text"><hr>')
+        out.append('<input type="text">')
         if rnd.random() < 0.6:
             run(words(1, 2, stop=False), "button", False)
         out.append("</form>")
@@ -195,7 +202,6 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
         out.append(f"<{(tag := rnd.choice(('div', 'section', 'aside')))}{box(rnd.choice(('share', 'side')))}>")
         if rnd.random() < 0.6:
             run(words(1, 3, stop=False), rnd.choice(("h3", "h4", "strong")), False)
-            out.append("<hr>")
         for _ in range(rnd.randint(2, 6)):
             run(f'<a href="/r">{words(2, 9, stop=False)}</a>', rnd.choice(("li", "div", "p")), False)
         out.append(f"</{tag}>")
@@ -207,23 +213,47 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
 
     def clutter(names: str, chance: float) -> None:
         for name in names.split():
-            if rnd.random() < chance:
+            if rnd.random() < chance * quiet:
                 junk[name]()
 
     def article() -> None:
         style = rnd.random()
-        tag = "article" if style < 0.45 else "main" if style < 0.6 else "section" if style < 0.7 else "div"
-        out.append(f"<{tag}{box('main') if tag in ('div', 'section') and rnd.random() < 0.85 or rnd.random() < 0.25 else ''}>")
-        head = rnd.random() < 0.15
-        out.append("<header>" if head else "")
-        if rnd.random() < 0.9:
-            run(words(2, 14, stop=False), "h1", True)
+        # Some articles have no box of their own: they lie in the body, or in what the whole page lies in.
+        tag = "" if style < loose else rnd.choice(("article", "article", "article", "main", "section", "div", "div"))
+        if tag:
+            out.append(f"<{tag}{box('main') if tag in ('div', 'section') and rnd.random() < 0.85 or rnd.random() < 0.25 else ''}>")
+        if rnd.random() < 0.06:
+            # Text without any element around it, line breaks and all.
+            run("<br><br>".join(words(8, 90, 0.02) for _ in range(rnd.randint(1, 4))), "", True)
+            out.append(f"</{tag}>" if tag else "<div></div>")
+            return
+        head = rnd.random() < (0.2 if tag else 0.03)
+        out.append(f"<header{box('main') if rnd.random() < 0.3 else ''}>" if head else "")
+        if rnd.random() < 0.85:
+            run(words(2, 14, stop=False), rnd.choice(("h1", "h1", "h1", "h2")), True)
+        if head and rnd.random() < 0.3:
+            run(words(4, 25), "p", True)
         out.append("</header>" if head else "")
         inner = rnd.random() < 0.25
         out.append(f"<div{box('main')}>" if inner else "")
-        for _ in range(rnd.choice((1, 1, 2, 3, 4, 6, 9, 14, 25, 50))):
+        for _ in range(rnd.choice((1, 1, 2, 2, 3, 4, 6, 9, 14, 25, 50))):
             kind = rnd.random()
-            if kind < 0.1:
+            if kind < 0.02:
+                out.append(f"<{(t := rnd.choice(('ul', 'ol')))}>")
+                for _ in range(rnd.randint(2, 8)):
+                    run(f'<a href="/t">{words(2, 12, stop=False)}</a>' + (" " + words(3, 20) if rnd.random() < 0.3 else ""), "li", True)
+                out.append(f"</{t}>")
+            elif kind < 0.04:
+                out.append("<dl>")
+                for _ in range(rnd.randint(1, 5)):
+                    run(words(1, 3, stop=False), "dt", True)
+                    run(words(3, 30), "dd", True)
+                out.append("</dl>")
+            elif kind < 0.06:
+                out.append('<figure><img src="/i.png">')
+                run(words(2, 20), "figcaption", True)
+                out.append("</figure>")
+            elif kind < 0.12:
                 run(words(1, 8, stop=False), rnd.choice(("h2", "h3")), True)
             elif kind < 0.18:
                 out.append("<ul>")
@@ -237,10 +267,14 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
             elif kind < 0.27:
                 run(words(3, 30), "pre", True)
             elif kind < 0.31:
-                out.append("<table><tr>")
-                for _ in range(rnd.randint(2, 6)):
-                    run(words(1, 6), "td", True)
-                out.append("</tr></table>")
+                out.append("<table>")
+                columns, titled = rnd.randint(1, 5), rnd.random() < 0.6
+                for row in range(rnd.randint(1, 6)):
+                    out.append("<tr>")
+                    for _ in range(columns):
+                        run(words(1, rnd.choice((1, 2, 6)), stop=rnd.random() < 0.3), "th" if titled and not row else "td", True)
+                    out.append("</tr>")
+                out.append("</table>")
             elif kind < 0.38:
                 run(words(1, 6, stop=rnd.random() < 0.6), "p", True)
             elif kind < 0.41:
@@ -249,12 +283,13 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
             elif kind < 0.45:
                 run(words(10, 80), "div", True)
             else:
-                run(words(8, 150, rnd.choice((0, 0.02, 0.08))), "p", True)
+                run(words(8, 150, rnd.choice((0, 0.02, 0.08, 0.2))), "p", True)
             if rnd.random() < 0.05:
                 junk[rnd.choice(("advert", "share", "form", "notice", "links"))]()
         out.append("</div>" if inner else "")
-        clutter("share links talk form", 0.08)
-        out.append(f"</{tag}>")
+        if tag:
+            clutter("share links talk form", 0.08)
+            out.append(f"</{tag}>")
 
     out.append("<html><head><title>t</title></head><body>")
     wrap = rnd.random() < 0.4
@@ -271,8 +306,7 @@ def sample_page(rnd: random.Random) -> tuple[str, set[int]]:
     return "".join(out), {k for k, main in enumerate(runs) if main}
 
 
-@lru_cache(maxsize=4)
-def model(pages: int = PAGES, seed: int = SEED) -> Boosted:
+def fitted(pages: int = PAGES, seed: int = SEED) -> Boosted:
     """Trees fitted to composed pages; a node's class is whether main text lies in it."""
     rnd, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
@@ -286,7 +320,13 @@ def model(pages: int = PAGES, seed: int = SEED) -> Boosted:
             holds[nodes[i].parent] |= holds[i]
         xs.append(features(nodes))
         ys += holds
-    return boost(np.vstack(xs), np.array(ys, np.float64))
+    return boost(np.vstack(xs), np.array(ys, np.float64), trees=100, depth=5)
+
+
+@lru_cache(maxsize=1)
+def model() -> Boosted:
+    """The trees of the file."""
+    return Boosted.load(json.loads(TREES.read_text()))
 
 
 def main_text(pages: list[str | None], trees: Boosted) -> list[str]:
@@ -314,13 +354,13 @@ def main_text(pages: list[str | None], trees: Boosted) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", pages_fitted: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars (code points).
 
     Null or empty html, and pages without main text, give an empty text; pages of any length and depth take linear time. Page ids
     and urls may be null or repeat; each row stays one. An empty table gives no rows; other columns aren't read.
     """
-    trees = pages.sparkSession.sparkContext.broadcast(model(pages_fitted))
+    trees = pages.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,3 +370,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    TREES.write_text(json.dumps(fitted().dump(), separators=(",", ":")))
