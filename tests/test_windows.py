@@ -61,7 +61,7 @@ def test_debounce_batch(spark):
     assert sorted(r.ms for r in capture.debounced_batch(df, 100).collect()) == debounce(times, 100)
 
 
-def test_debounce_stream(spark, tmp_path):
+def test_debounce_live(spark, tmp_path):
     rnd = random.Random(6)
     times = sorted(rnd.randrange(3000) for _ in range(120))
     for n, part in enumerate((times[:60], times[60:])):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.selection import greedy
@@ -21,7 +21,7 @@ def debounced_batch(presses: DataFrame, gap_ms: int) -> DataFrame:
 
 
 def debounced(presses: DataFrame, gap_ms: int, forget_ms: int) -> DataFrame:
-    """The same over a stream (key, ms, ts), with the last accepted press of each key as state; keys silent for forget_ms of watermark are forgotten.
+    """The same of a live source (key, ms, ts), with the last accepted press of each key as state; keys silent for forget_ms of watermark are forgotten.
 
     Rows of a micro-batch are taken in order of ms; one that is older than its key's last accepted press is suppressed.
     """
@@ -56,12 +56,9 @@ def sliding(events: DataFrame, width: str, step: str, late: str, key: str = "eve
     return out.groupBy(key, F.window(ts, width, step).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset; it is deleted when the application ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/live-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
+def dropped(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark and were left out, over the batches whose progress the session still has."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def settled(updates: DataFrame, keys: list[str]) -> DataFrame:
