@@ -277,3 +277,41 @@ def s13_scored(spark: Spark, d: str) -> DataFrame:
     scores.score(moved, "a", 3600.0)
     scores.score(moved.where("recording_id % 2 = 0"), "b", 3600.0)
     return scores.candidates().groupBy("recording_id").agg(F.max(F.when(F.col("is_current"), F.col("generation"))).alias("generation"), F.count_if("is_current").alias("n_current"), F.count("*").alias("n_all"))
+
+
+DAY = 86_400_000
+
+
+@query(f"""with e as (select user_id % 5 as user_id, event_id, value, epoch_ms(ts) as ms from events), r as (select user_id, min(ms) + {DAY} as anchor, 9 * 86400 as duration from e group by 1),
+l as (select e.*, anchor, duration, (ms - anchor) / 1000.0::double as t from e join r using (user_id) where ms // {DAY} between anchor // {DAY} and (anchor + duration * 1000) // {DAY}),
+s as (select *, case when event_id % 11 = 0 then 'malformed' when t < 0 then 'before' when t > duration then 'after' when event_id % 9 = 0 then 'malformed' else 'kept' end as state from l)
+select user_id as machine, state, count(*) as n, round(sum(case when state = 'kept' then value + 1 end), 6) as rate from s group by all""")
+def s5_daily_files(spark: Spark, d: str) -> DataFrame:
+    """Rates logged by machine and day, read back from the files for a recording of nine days: what is kept, and what falls out and why."""
+    e = T.table(spark, d, "events").select((F.col("user_id") % 5).alias("user_id"), "event_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    n = F.col("event_id")
+    good = F.to_json(F.struct(F.col("ms").alias("epoch_ms"), F.col("value").alias("keys_per_s"), F.lit(1.0).alias("clicks_per_s"), (n % 50).cast("double").alias("mouse_vel_px_s")))
+    bad = F.to_json(F.struct(F.col("ms").alias("epoch_ms"), F.lit("x").alias("keys_per_s"), F.lit(1.0).alias("clicks_per_s"), F.lit(1.0).alias("mouse_vel_px_s")))
+    line = F.when(n % 11 == 0, '{"epoch_ms":').when(n % 9 == 0, bad).otherwise(good)
+    path = new_path(spark, "input-logs")
+    e.select(F.col("user_id").alias("machine"), F.to_date(F.timestamp_millis("ms")).alias("day"), line.alias("value")).repartition("day").sortWithinPartitions("machine").write.partitionBy("day", "machine").text(path)
+    recordings = e.groupBy(F.col("user_id").alias("machine")).agg((F.min("ms") + DAY).alias("anchor")).withColumn("duration", F.lit(9 * 86_400))
+    rows = logs.input_samples(logs.cut(logs.files(spark, path), recordings, "machine", "day", "anchor", "duration"), "line", "anchor", "duration")
+    return rows.groupBy("machine", "state").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("state") == "kept", F.col("rate"))), 6).alias("rate"))
+
+
+@query("""with l as (select conv_id, turn, case turn % 5 when 0 then 'path' when 1 then 'start' when 2 then 'scene' when 3 then 'stop' end as what, turn * 60 + 5.5::double as clock, '/rec/' || role || turn as p from conversations),
+n as (select *, sum(case when what = 'start' then 1 else 0 end) over (partition by conv_id order by turn) as k, coalesce(last_value(case when what in ('start', 'stop') then what end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) = 'start', false) as open from l),
+o as (select *, case when what = 'path' and not open then k + 1 else k end as n from n)
+select conv_id, n, max(clock) filter (what = 'start') as start, min(clock) filter (what = 'stop' and open) as stop, arg_max(p, turn) filter (what = 'path') as path from o group by conv_id, n having max(clock) filter (what = 'start') is not null""")
+def s6_recordings(spark: Spark, d: str) -> DataFrame:
+    """Recordings in text logs, one file for each conversation: when they start and stop, and their path."""
+    t, m = F.col("turn"), F.col("turn") % 5
+    said = F.when(m == 0, F.concat(F.lit("path /rec/"), "role", t.cast("string"))).when(m == 1, "start rec").when(m == 2, "scene main").when(m == 3, "stop rec").otherwise(F.regexp_replace("text", r"\s+", " "))
+    line = F.concat(F.lpad(F.floor(t / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((t % 60).cast("string"), 2, "0"), F.lit(":05.500: "), said)
+    path = new_path(spark, "text-logs")
+    T.table(spark, d, "conversations").select("conv_id", "turn", line.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").drop("turn").write.partitionBy("conv_id").text(path)
+    lines = logs.numbered(logs.files(spark, path))
+    patterns = {"path": r": path (/\S+)$", "start": r": start (\w+)$", "stop": r": stop (\w+)$", "scene": r": scene (\w+)$"}
+    out = logs.recorded(logs.classified(lines.drop("path"), "file", "number", "line", patterns).withColumnRenamed("path", "seen"), "conv_id", "number")
+    return out.select(F.col("conv_id").cast("long").alias("conv_id"), "n", "start", "stop", "path")
