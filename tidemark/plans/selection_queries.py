@@ -14,6 +14,7 @@ from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import windows as W
+from ..operators.framing import constant_rate
 from ..operators.phrases import phrase_hits
 from ..sources import store
 from ..sources import tables as T
@@ -449,3 +450,17 @@ def z5_coverage(spark: Spark, d: str) -> DataFrame:
 def z2_density(spark: Spark, d: str) -> DataFrame:
     """Each vector's cluster by density, and over how many labels the cluster spreads."""
     return D.density_clusters(T.table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5)
+
+
+@query("""with f as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as i from events), p as (select user_id, i, user_id % 3 as m, case user_id % 3 when 0 then 30.0::double when 1 then 30.0::double else 30000 / 1001.0::double end as rate from f),
+t as (select *, round(case when m = 1 then i / 30.0::double + i * i / 20000.0::double else i / rate end, 3) as pts from p), w as (select user_id, m, rate, count(*) as n, max(abs(pts - i / rate)) as worst from t group by all)
+select user_id, round(case when n >= 8 and worst > 0.0015 then 30000 / 1001.0::double else rate end, 6) as rate, n >= 8 and worst > 0.0015 as variable, round(case when n >= 8 then worst / 0.001 end, 3) as ticks from w""")
+def s8_constant_rate(spark: Spark, d: str) -> DataFrame:
+    """Frames as each recording's events number them, two thirds at a constant rate and rounded to milliseconds, the rest drifting."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    m, rate = F.col("user_id") % 3, F.when(F.col("user_id") % 3 < 2, F.lit(30.0)).otherwise(F.lit(30_000.0) / 1001)
+    f = T.table(spark, d, "events").select("user_id", i.cast("double").alias("i"))
+    f = f.select("user_id", F.round(F.when(m == 1, F.col("i") / 30.0 + F.col("i") * F.col("i") / 20_000.0).otherwise(F.col("i") / rate), 3).alias("pts"))
+    declared = T.table(spark, d, "events").select("user_id").distinct().select("user_id", rate.alias("nominal"), F.lit(29.96).alias("average"), F.lit(0.001).alias("tick"))
+    declared = declared.withColumn("average", F.when(m == 1, F.col("average")).otherwise(F.col("nominal")))
+    return constant_rate(f, declared, "user_id").select("user_id", F.round("rate", 6).alias("rate"), "variable", F.round("ticks", 3).alias("ticks"))
