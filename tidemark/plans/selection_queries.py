@@ -14,6 +14,7 @@ from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import windows as W
+from ..operators.boundaries import embedding_boundaries
 from ..operators.framing import constant_rate
 from ..operators.phrases import phrase_hits
 from ..sources import store
@@ -100,6 +101,18 @@ def h2_shift(spark: Spark, d: str) -> DataFrame:
     return S.embedding_shift(T.table(spark, d, "embeddings"), "label", "vec_id", "embedding", 3).select("label", "vec_id", F.round("depth", 6).alias("depth"))
 
 
+@query("""with e as (select label, vec_id, row_number() over (partition by label order by vec_id) as r, embedding from embeddings), u as (select label, r, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as k from e),
+s as (select label, k, r, sum(x) over (partition by label, k order by r rows between 2 preceding and current row) as b, sum(x) over (partition by label, k order by r rows between 1 following and 3 following) as a, count(*) over (partition by label, k order by r rows between 2 preceding and current row) as nb, count(*) over (partition by label, k order by r rows between 1 following and 3 following) as na from u),
+d as (select label, r, 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) as x from s where nb = 3 and na = 3 group by all), v as (select *, lag(x) over w as px, lead(x) over w as nx, stddev_pop(x) over (partition by label) as sd, count(*) over (partition by label) as n from d window w as (partition by label order by r)),
+pk as (select p.*, (select max(r) from v where v.label = p.label and v.r < p.r and v.x > p.x) as lo, (select min(r) from v where v.label = p.label and v.r > p.r and v.x > p.x) as hi from v p where px < x and nx < x and n >= 3),
+pr as (select label, r, sd, x - greatest((select min(x) from v where v.label = pk.label and v.r <= pk.r and v.r > coalesce(lo, -1)), (select min(x) from v where v.label = pk.label and v.r >= pk.r and v.r < coalesce(hi, 1000000000))) as p from pk)
+select pr.label, (a.vec_id * 10 + 7 + b.vec_id * 10) / 2.0::double as t, round(p / sd, 6) as strength from pr join e a on a.label = pr.label and a.r = pr.r join e b on b.label = pr.label and b.r = pr.r + 1 where p >= sd""")
+def h2_boundaries(spark: Spark, d: str) -> DataFrame:
+    """Boundaries between vectors that stand for segments of seven seconds, at peaks of one standard deviation or more."""
+    e = T.table(spark, d, "embeddings").select("label", "vec_id", "embedding", (F.col("vec_id") * 10.0).alias("t_start"), (F.col("vec_id") * 10.0 + 7).alias("t_end"))
+    return embedding_boundaries(e, "label", "vec_id", "embedding", "t_start", "t_end", 3).select("label", "t", F.round("strength", 6).alias("strength"))
+
+
 @query(T.SQL + ", s as (select *, lag(kind) over w as was, t - lag(t) over w as held from points window w as (partition by recording_id order by t, event_id)) select recording_id, event_id, round(t, 6) as t from s where kind <> was and held >= 21600")
 def h3_scene_boundaries(spark: Spark, d: str) -> DataFrame:
     """Where the scene becomes another after it was held for six hours or more."""
@@ -359,11 +372,13 @@ def m7_layers(spark: Spark, d: str) -> DataFrame:
     return store.layered(reduce(DataFrame.unionByName, layers), ["name", "leaf"])
 
 
-@query("select p_partkey, p_name, row_number() over (order by case when p_size < 10 then 0 when p_size < 30 then 1 else 2 end, lower(p_name), p_partkey) as place from part order by place limit 500")
+@query("select p_partkey, p_name, row_number() over (order by case when p_size < 10 then 0 when p_size < 30 then 1 else 2 end, lower(p_name), p_partkey) as place, (select count(*) from part) > 500 as truncated from part order by place limit 500")
 def m9_listing(spark: Spark, d: str) -> DataFrame:
     bucket = F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 30, 1).otherwise(2)
-    top = T.table(spark, d, "part").withColumn("b", bucket).orderBy("b", F.lower("p_name"), "p_partkey").limit(500)
-    return top.select("p_partkey", "p_name", F.row_number().over(Window.orderBy("b", F.lower("p_name"), "p_partkey")).alias("place"))
+    top = T.table(spark, d, "part").withColumn("b", bucket).orderBy("b", F.lower("p_name"), "p_partkey").limit(501)
+    # One row more than is shown tells whether there are more.
+    placed = top.select("p_partkey", "p_name", F.row_number().over(Window.orderBy("b", F.lower("p_name"), "p_partkey")).alias("place"), (F.count("*").over(Window.partitionBy()) > 500).alias("truncated"))
+    return placed.where("place <= 500")
 
 
 @query("select s_nationkey, arg_min(s_suppkey, (case s_nationkey % 3 when 0 then s_suppkey % 5 else s_suppkey % 7 end, s_suppkey)) as first_usable from supplier where s_acctbal > 0 group by 1")
