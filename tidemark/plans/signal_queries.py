@@ -10,8 +10,10 @@ from ..operators import peaks as X
 from ..operators import recursive as R
 from ..operators import selection as Sel
 from ..operators import signals as S
+from ..operators import slices as L
 from ..operators import windows as W
 from ..sources import tables as T
+from ..sources.scratch import written
 from .registry import query
 
 Spark = SparkSession
@@ -317,3 +319,15 @@ def flagship(spark: Spark, d: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("score"), "i"))
     m = m.withColumn("rank", rank).where("rank <= 10")
     return m.select("recording_id", "i", F.greatest((F.col("i") - 1) * STEP, F.lit(0.0)).alias("t_start"), ((F.col("i") + 1) * STEP).alias("t_end"), F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def flagship_chain(spark: Spark, d: str) -> DataFrame:
+    """The whole way from signals to ranked moments: z-scores, weighted composites less penalties, smoothed; windows, merged, snapped to views and clicks, spaced, ranked."""
+    pen = with_penalties(spark, d).select("recording_id", "i", "menu", "afk")
+    scored = S.composite(zscores(spark, d), weights(spark)).join(pen, ["recording_id", "i"])
+    scored = scored.withColumn("composite", S.penalized(F.round("composite", 6), [F.col("menu"), F.col("afk")]))
+    smooth = L.sliced(scored, ["profile", "recording_id"], "i", 8, 8, lambda rows, by: rows.withColumn("composite", W.gaussian(F.col("composite"), by, "i", 2.0)))
+    composites = written(smooth.select("recording_id", "profile", "i", "composite"), "composites")
+    mark = lambda kind: T.points(spark, d).where(F.col("kind") == kind).select("recording_id", F.col("t").alias("m"))
+    return X.ranked_moments(composites, mark("view"), mark("click"), STEP, 3, 12, 2 * STEP, 8 * STEP, 3 * STEP, STEP / 4)
