@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import chapters as Ch
 from ..operators import edits as E
 from ..operators import joins as J
+from ..operators.captions import caption_groups
 from ..sources import tables as T
 from .registry import query
 
@@ -58,6 +59,15 @@ def spoken(spark: Spark, d: str) -> DataFrame:
     return w.select(F.col("conv_id").alias("key"), (F.col("turn") * 1000 + F.col("pos") + 1).alias("id"), "role", F.col("col").alias("text"), start.alias("w_start"), (start + F.lit(0.05) * F.length("col")).alias("w_end"))
 
 
+@query(f"""with {SPOKEN}, a as (select *, lag(w_end) over o as pe, lag(text) over o as pt from l window o as (partition by key order by id)), r as (select *, sum(case when w_start - pe > 1.2 or regexp_matches(pt, '[.!?…][\\s"''”’)\\]]*$') then 1 else 0 end) over (partition by key order by id) as run from a),
+c as (select *, (row_number() over (partition by key, run order by id) - 1) // 4 as chunk from r), g as (select *, dense_rank() over (partition by key order by run, chunk) - 1 as g from c), n as (select *, max(g) over (partition by key) as top, row_number() over (partition by key, g order by id) as n, count(*) over (partition by key, g) as size from g),
+z as (select *, max(case when g = top then size end) over (partition by key) as ls, max(case when g = top - 1 then size end) over (partition by key) as bs from n)
+select key, id, case when top > 0 and ls < 3 and ls + bs < 6 and g = top then g - 1 when top > 0 and ls < 3 and ls + bs >= 6 and g = top - 1 and n > bs - least(3 - ls, bs - 3) then g + 1 else g end as place from z""")
+def f23_balanced(spark: Spark, d: str) -> DataFrame:
+    """Timed words in captions that end at pauses and sentences too, the last one not too short."""
+    return caption_groups(spoken(spark, d), ["key"], "id", "text", "w_start", "w_end").select("key", "id", "place")
+
+
 @query(f"with {SPOKEN}, c as (select key, id, greatest(w_start - 0.08, 1.0) - 1.0 as a, least(w_end + 0.08, 13.0) - 1.0 as b from l where said in ('the', 'of', 'to') and w_end + 0.08 > 1.0 and w_start - 0.08 < 13.0), o as (select *, max(b) over (partition by key order by a, b, id rows between unbounded preceding and 1 preceding) as m from c), n as (select *, sum(case when m is null or a > m then 1 else 0 end) over (partition by key order by a, b, id) as g from o) select key, round(min(a), 6) as m_start, round(max(b), 6) as m_end from n group by key, g")
 def f26_mutes(spark: Spark, d: str) -> DataFrame:
     """What to mute in the part from second 1 to second 13 of each conversation."""
