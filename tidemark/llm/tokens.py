@@ -12,9 +12,8 @@ import numpy as np
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[\t\n\r\x20-\x7e{LETTERS}×÷¡§©«®°·»¿‐-‧‰-⁞₠-₿]*")
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t\n\r0-9{LETTERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-WORD = re.compile(f" [{LETTERS}]+")
 
-MAX_WORDS = 100_000
+MAX_WORDS = 250_000
 
 
 class Encoder:
@@ -22,7 +21,7 @@ class Encoder:
 
     A byte-level BPE encodes each piece of its split pattern by itself, so a piece is encoded once
     and its ids reused. Texts with characters outside PLAIN, or with the text of a special token,
-    go to the tokenizer whole. At most MAX_WORDS pieces are kept, then the memory starts anew.
+    go to the tokenizer whole. Of pieces about MAX_WORDS are kept; beyond them a new memory begins, which takes over from the last one what comes again.
     """
 
     def __init__(self, path: str):
@@ -32,23 +31,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # A byte-level entry has one character for each of its bytes.
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        words = [p for p in pieces if WORD.fullmatch(p)]
-        others = [p for p in pieces if not WORD.fullmatch(p)]
+        words, others = [], []
+        for p in pieces:
+            (words if p[0] == " " and p[1:2].isalpha() else others).append(p)
         if others:
             self.known.update(zip(others, self._whole(others)))
         size = self.dtype.itemsize
-        for k in range(0, len(words), 512):
-            part = words[k : k + 512]
-            got = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, of = np.array(got.ids, self.dtype).tobytes(), np.array(got.word_ids)
-            cuts = [0, *((np.flatnonzero(np.diff(of)) + 1) * size).tolist(), len(ids)]
-            self.known.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            got = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            # Where a word's bytes end, one of its tokens does.
+            ends = np.cumsum([len(p.encode()) for p in part])
+            cuts = [0, *((np.searchsorted(np.cumsum(self.lengths[got]), ends) + 1) * size).tolist()]
+            ids = got.tobytes()
+            self.known.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -58,14 +63,18 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known, split = self.known, PIECE.findall
         plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         pieces = [split(t) if ok else None for t, ok in zip(texts, plain)]
-        new = {p for ps in pieces if ps for p in ps if p not in known}
+        new = set().union(*(ps for ps in pieces if ps)).difference(known)
+        if self.older:
+            again = new & self.older.keys()
+            known.update((p, self.older[p]) for p in again)
+            new -= again
         if new:
             self._learn(new)
-        return [b"".join([known[p] for p in ps]) if ps is not None else self._whole([t])[0] for t, ps in zip(texts, pieces)]
+        return [b"".join(map(known.__getitem__, ps)) if ps is not None else self._whole([t])[0] for t, ps in zip(texts, pieces)]
 
 
 @lru_cache(maxsize=2)
