@@ -493,3 +493,9 @@ def test_one_value_in_all_its_forms():
     assert same(pii.calendar, ["2001-05-13", "13.05.2001", "05/13/2001", "13/5/2001"], day) and same(pii.calendar, ["3/4/2020", "2020-04-03"], day)
     assert same(pii.mail, ["A.b9@X.org", "a.B9@x.ORG"], str.lower)
     assert pii.find("password: required, token: yesterday, Version 1.2.3.4, published 2020-01-02", KEY) == []
+
+
+def test_parts_of_token_files_grow_with_the_corpus():
+    count = token_files.part_count
+    assert count(0) == 1 and count(8 << 20) == 1 and count((8 << 20) + 1) == 2
+    assert count(100 * (1 << 40)) == count(10_000 * (1 << 40)) == token_files.MAX_PARTS

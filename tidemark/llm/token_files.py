@@ -31,8 +31,12 @@ TOKENS = "doc_id long, text_key long, n_tokens int, low binary, high binary"
 BLOCK = "part int, seq long, before long, doc_id array<long>, n_tokens array<int>, payload binary, spans binary"
 MAX_BITS = 16
 BLOCK_IDS = 1 << 18
-# Bytes of ids in a part.
-PART_BYTES = 8 << 20
+# Bytes of ids in a part, as long as that makes no more than MAX_PARTS parts; beyond that parts grow with the corpus.
+PART_BYTES, MAX_PARTS = 8 << 20, 8192
+
+
+def part_count(n_bytes: int, part_bytes: int = PART_BYTES, most: int = MAX_PARTS) -> int:
+    return max(1, min(most, -(-n_bytes // part_bytes)))
 
 
 def planes(ids: bytes, dtype: np.dtype) -> tuple[bytes, bytes]:
@@ -85,7 +89,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
     """Write the ids of all docs to `path`.
 
     Texts are tokenized where they are read; their ids are then sorted by ranges of (doc_id, hash of the text, row), as many as
-    `part_bytes` of ids ask for, so that no id, however often it occurs, makes a part of its own. Null text counts as empty, null
+    `part_bytes` of ids ask for (at most MAX_PARTS, whose sorts then spill), so that no id, however often it occurs, makes a part of its own. Null text counts as empty, null
     doc_id comes first; rows that repeat a doc_id stay next to one another. A document of any length is in one block. An
     empty table gives an empty corpus. Other columns of docs, whatever their names, aren't read.
     """
@@ -94,7 +98,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
     symbols, n = counts(tokens, tokenizer)
     bits = code_lengths(n, max(MAX_BITS, int(len(n)).bit_length()))
     spark.createDataFrame(list(zip(symbols.tolist(), bits.tolist())), "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    parts = max(1, -(-int(n.sum()) * encoder(tokenizer).dtype.itemsize // part_bytes))
+    parts = part_count(int(n.sum()) * encoder(tokenizer).dtype.itemsize, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, dtype, part = Coder(symbols, bits), encoder(tokenizer).dtype, TaskContext.get().partitionId()
