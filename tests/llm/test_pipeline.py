@@ -107,7 +107,8 @@ def test_of_repeated_rows_one_stays(spark):
     got = left(exact_dedup.drop_copies(docs))
     assert len(got) == 6 and {(i, (t or "").replace("  ", " ")) for i, t in got} == {(1, a), (7, "x y"), (8, b), (9, ""), (None, "n o"), (None, b + " more")}
     near = left(near_dup.drop_near_copies(docs))
-    assert [i for i, _ in near].count(1) == 1 and [i for i, _ in near].count(8) == 1 and (None, b + " more") not in near
+    # Rows without an id take part only through an equal text.
+    assert [i for i, _ in near].count(1) == 1 and [i for i, _ in near].count(8) == 1 and near.count((None, b + " more")) == 1
 
 
 def test_stages_of_nothing(spark):
