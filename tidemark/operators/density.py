@@ -347,7 +347,7 @@ def density_clusters(df: DataFrame, id: str, vector: str, group: str, min_cluste
     are a cluster by themselves. ids are unique; rows whose vector is null, or holds null or NaN, take no part; all vectors have one length. An empty table gives no rows.
     """
     samples = min_samples or min_cluster_size
-    ok = F.col(id).isNotNull() & F.coalesce(F.forall(vector, lambda x: F.coalesce(~F.isnan(x), F.lit(False))), F.lit(False))
+    ok = F.col(id).isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
     rows = df.where(ok).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).alias("g"))
     nodes = written(rows.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("m")), "distinct")
     n = nodes.count()
