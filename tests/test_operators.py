@@ -66,3 +66,12 @@ def test_relinked_keeps_long_tails(spark):
     path = "/old/" + "x" * 1_200_000
     got = spark.createDataFrame([(path,), ("/older",)], "p string").select(X.relinked(F.col("p"), "/old/", "/new/")).collect()
     assert [r[0] for r in got] == ["/new/" + "x" * 1_200_000, "/older"]
+
+
+def test_quotes_in_capitals_are_found(spark):
+    from pyspark.sql import functions as F
+
+    said = ["Straße und ŉ, ﬁn, ᾳ", "ΟΔΟΣ", "ΟΔΟΣΣ İx", "plain\U0001f600x", "", None]
+    got = spark.createDataFrame([(s,) for s in said], "s string").select(X.raised(F.col("s")).alias("up"), X.folded(F.col("s")) == X.folded(X.raised(F.col("s"))), X.folded(F.substring("s", 1, 4))).collect()
+    assert [r[0] for r in got] == ["STRAẞE UND ŉ, ﬁN, ᾼ", "ΟΔΟΣ", "ΟΔΟΣΣ İX", "PLAIN\U0001f600X", "", None]
+    assert all(r[1] for r in got if r[0] is not None) and got[1][2] == "οδοσ"

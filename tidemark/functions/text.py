@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Words too common to make a phrase by themselves.
 FILLER = ("a", "an", "and", "i", "in", "is", "it", "like", "of", "oh", "okay", "so", "that", "the", "to", "uh", "um", "was", "you", "yeah")
+_SMALL = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+_CAPITAL = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SMALL)
 
 
 def normal(text: Column) -> Column:
@@ -19,9 +21,20 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(kept, F.lit("'"), F.lit("")), r"\s+", " "))
 
 
+def raised(text: Column) -> Column:
+    """Upper case letter by letter, as SQL has it: a letter whose capital is more than one letter takes its single one (ß: ẞ) or stays, so that lower case leads back."""
+    of = lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, _SMALL, _CAPITAL)).otherwise(F.upper(c))
+    return F.array_join(F.transform(F.split(text, ""), of), "")
+
+
+def lowered(text: Column) -> Column:
+    """Lower case letter by letter: a sigma is the same at the end of a word, a dotted capital I is an i."""
+    return F.lower(F.translate(text, "Σİ", "σi"))
+
+
 def folded(text: Column) -> Column:
     """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(lowered(text), r"\s+", " "))
 
 
 def ngrams(words: Column, low: int, high: int) -> Column:

@@ -78,7 +78,7 @@ def p10_validated(spark: Spark, d: str) -> DataFrame:
     docs = T.table(spark, d, "documents").select("doc_id", "text")
     n = F.col("doc_id")
     raw = F.when(n % 5 == 0, F.concat(F.lit("x"), n.cast("string"))).when(n % 5 == 1, (n + 900_000).cast("string")).otherwise(n.cast("string"))
-    quote = F.when(n % 3 == 0, "").when(n % 3 == 1, F.upper(F.substring("text", 1, 12))).otherwise("no such words")
+    quote = F.when(n % 3 == 0, "").when(n % 3 == 1, X.raised(F.substring("text", 1, 12))).otherwise("no such words")
     claims = docs.select("doc_id", raw.alias("raw"), quote.alias("quote"))
     return X.validated(claims, docs.select(F.col("doc_id").alias("known_id"), F.col("text").alias("body")), "raw", "quote").select("doc_id", "reason")
 
