@@ -83,3 +83,20 @@ def test_band_share_tells_rates_apart(spark):
     mid = {k: g.iloc[len(g) // 4 : 3 * len(g) // 4] for k, g in got.groupby("k")}
     assert mid[1]["share"].min() > 0.9 and mid[1]["depth"].between(0.29, 0.36).all()
     assert mid[2]["share"].max() < 0.05 and mid[3]["share"].max() == 0 and mid[4]["share"].isna().all()
+
+
+def test_short_frames_depend_on_nothing_outside(spark):
+    """Samples just on a threshold: the mean is that of the frame's values added from first to last, whatever stands elsewhere."""
+    rnd = random.Random(8)
+    v = [0.1 * k if k % 60 > 40 else rnd.choice((None, float(rnd.randrange(30)), rnd.randrange(3000) / 100)) for k in range(600)]
+    got = W.rolling_moments(spark.createDataFrame(list(enumerate(v)), "i long, v double").withColumn("k", F.lit(1)), ["k"], "i", "v", 5).collect()
+    for r in got:
+        near = [x for x in v[max(0, r.i - 5) : r.i + 6] if x is not None]
+        assert r.n == (len(near) or None) and r["mean"] == (sum_in_order(near) / len(near) if near else None)
+
+
+def sum_in_order(values):
+    total = 0.0
+    for x in values:
+        total += x
+    return total

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+# Rows of a frame that is summed anew for each row.
+FRAME = 32
+
+
 def ordered(keys: list[str], order: list[str] | str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
 
@@ -15,9 +19,13 @@ def ordered(keys: list[str], order: list[str] | str) -> WindowSpec:
 def rolling_moments(df: DataFrame, keys: list[str], order: str, value: str, half: int) -> DataFrame:
     """Adds n, mean and std (population) of the rows from -half to +half, edges cut off, nulls passed over.
 
-    From running sums, so that the work doesn't grow with the frame; values are first centred on
-    their partition's mean to keep digits.
+    Frames of up to FRAME rows are summed each by itself, from their first row to the last: what is compared with a mean must not depend on what lies
+    outside the frame, since values often lie just on the threshold. Longer frames come from running sums, so that the work doesn't grow
+    with them; values are first centred on their partition's mean to keep digits.
     """
+    if 2 * half + 1 <= FRAME:
+        near = ordered(keys, order).rowsBetween(-half, half)
+        return df.withColumns({"n": F.nullif(F.count(value).over(near), F.lit(0)), "mean": F.avg(value).over(near), "std": F.stddev_pop(value).over(near)})
     w, all_, to_here = ordered(keys, order), Window.partitionBy(*keys), ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_m", F.avg(value).over(all_)).withColumn("_x", F.col(value) - F.col("_m"))
     parts = {"_n": F.when(F.col("_x").isNotNull(), 1).otherwise(0), "_s": F.coalesce("_x", F.lit(0.0)), "_q": F.coalesce(F.col("_x") * F.col("_x"), F.lit(0.0))}
