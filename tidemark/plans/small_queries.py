@@ -126,9 +126,12 @@ def m10_located(spark: Spark, d: str) -> DataFrame:
     """Files found by name in the first directory where the size is right too, and how many had the name only."""
     f = T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("dir"), (F.col("s_suppkey") % 50).alias("name"), F.col("s_suppkey").alias("size"))
     w = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("name"), (F.col("c_custkey") % 100).alias("want"))
-    right = F.col("size") % 100 == F.col("want")
-    both = w.join(f, "name", "left")
-    return both.groupBy("id").agg(F.min_by("dir", F.when(right, F.struct("dir", "size"))).alias("dir"), F.count_if(F.col("dir").isNotNull() & ~right).alias("mismatches"))
+    # Both sides are counted before they meet, so that no file is paired with all of its name.
+    w = w.groupBy("id", "name", "want").agg(F.count("*").alias("times"))
+    by_size = f.where("name is not null").groupBy("name", (F.col("size") % 100).alias("want")).agg(F.min_by("dir", F.when(F.col("dir").isNotNull(), F.struct("dir", "size"))).alias("dir"), F.count("*").alias("right"))
+    by_name = by_size.groupBy("name").agg(F.sum("right").alias("named"))
+    both = w.join(by_name, "name", "left").join(by_size, ["name", "want"], "left")
+    return both.select("id", "dir", ((F.coalesce("named", F.lit(0)) - F.coalesce("right", F.lit(0))) * F.col("times")).alias("mismatches"))
 
 
 @query("select user_id, case when count(distinct event_type) filter (value > 190) = 1 then max(event_type) filter (value > 190) when count(distinct event_type) = 1 then max(event_type) else 'ambiguous' end as pick from events group by 1")
