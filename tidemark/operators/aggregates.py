@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import dealt
 from .windows import average_rank
 
 
@@ -32,6 +33,7 @@ def separation(df: DataFrame, keys: list[str], value: str, positive: str, least:
 
 def rank_agreement(df: DataFrame, keys: list[str], a: str, b: str, top: int, tie: str) -> DataFrame:
     """Spearman's correlation by average ranks (null for fewer than two rows or no variance) and the share of the top rows in common."""
+    df = dealt(df, keys, df.count())
     r = df.withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
     place = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), tie)) <= top
     r = r.withColumn("_ta", place(a)).withColumn("_tb", place(b))
