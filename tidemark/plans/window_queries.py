@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import joins as J
 from ..operators import slices as L
 from ..operators import windows as W
 from ..sources import tables as T
@@ -147,6 +148,7 @@ select recording_id, seq, k, round(coalesce(a, l + (h - l) * (place - 1) / many)
 def w17_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words without times share the gap between their neighbours' times, or the segment's ends, evenly."""
     s = T.segments(spark, sf_dir).where(F.trim("text") != "")
+    s = J.dealt(s, ["recording_id", "seq"], s.agg(F.coalesce(F.sum(F.size(F.split(F.trim("text"), "\\s+"))), F.lit(0))).first()[0])
     w = s.select("recording_id", "seq", "t_start", "t_end", F.posexplode(F.split(F.trim("text"), "\\s+"))).withColumn("k", F.col("pos") + 1)
     w = w.withColumn("a", F.when(F.col("k") % 3 == 1, F.col("t_start") + F.col("k") * F.lit(0.1))).withColumn("b", F.col("a") + F.lit(0.05))
     by = Window.partitionBy("recording_id", "seq").orderBy("k")
@@ -154,7 +156,7 @@ def w17_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = Window.partitionBy("recording_id", "seq", "block")
     null = F.when(F.col("a").isNull(), 1).otherwise(0)
     w = w.withColumn("lo", F.coalesce(F.max("b").over(block), F.col("t_start"))).withColumn("place", F.sum(null).over(block.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).withColumn("many", F.sum(null).over(block))
-    nxt = F.first("a", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    nxt = F.last("a", ignorenulls=True).over(Window.partitionBy("recording_id", "seq").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1))
     w = w.withColumn("hi", F.greatest(F.coalesce(nxt, F.col("t_end")), F.col("lo")))
     part = lambda n: F.col("lo") + (F.col("hi") - F.col("lo")) * n / F.nullif(F.col("many"), F.lit(0))
     return w.select("recording_id", "seq", F.col("k").cast("long").alias("k"), F.round(F.coalesce("a", part(F.col("place") - 1)), 6).alias("start"), F.round(F.coalesce("b", part(F.col("place"))), 6).alias("end"))
