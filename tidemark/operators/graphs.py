@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped, written
+from .groups import each_group
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -47,11 +47,11 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     next depends on all that came before, so a graph is one group; graphs are many, and each is as large as a plan is.
     """
 
-    def run(key: tuple, rows: pd.DataFrame, needs: pd.DataFrame) -> pd.DataFrame:
-        rank = dict(zip(rows["node"], rows["rank"]))
-        own = {(n, d) for n, d in zip(needs["node"], needs["needs"]) if n in rank and d in rank}
+    def run(key: tuple, rows: dict) -> list[tuple]:
+        of = list(zip(rows["node"].tolist(), rows["rank"].tolist(), rows["needs"].tolist(), rows["_edge"].tolist()))
+        rank = {n: r for n, r, _, edge in of if not edge}
         waits, after = dict.fromkeys(rank, 0), {n: [] for n in rank}
-        for n, d in own:
+        for n, d in {(n, d) for n, _, d, edge in of if edge and n in rank and d in rank}:
             waits[n] += 1
             after[d].append(n)
         ready = [(rank[n], n) for n, w in waits.items() if not w]
@@ -64,10 +64,12 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 waits[m] -= 1
                 if not waits[m]:
                     heappush(ready, (rank[m], m))
-        stuck = sorted(set(rank) - set(place))
-        out = pd.DataFrame({"graph": [key[0]] * len(rank), "node": list(rank), "place": [None if stuck else place[n] for n in rank], "cycle": [stuck if stuck else None] * len(rank)})
-        return out.astype({"place": "Int64"})
+        stuck = sorted(set(rank) - set(place)) or None
+        return [(key[0], n, None if stuck else place[n], stuck) for n in rank]
 
     kinds = dict(nodes.dtypes)
     schema = f"graph {kinds['graph']}, node {kinds['node']}, place long, cycle array<{kinds['node']}>"
-    return nodes.select("graph", "node", "rank").groupBy("graph").cogroup(edges.select(F.col("graph").alias("of"), F.col("node").alias("node"), F.col("needs").alias("needs")).groupBy("of")).applyInPandas(run, schema)
+    # Nodes and edges in one table, sorted by graph: graphs are many and most are small.
+    rows = nodes.select("graph", "node", "rank", F.col("node").alias("needs"), F.lit(False).alias("_edge"))
+    edges = edges.select("graph", "node", F.lit(0).cast(kinds["rank"]).alias("rank"), "needs", F.lit(True).alias("_edge"))
+    return each_group(rows.unionByName(edges), ["graph"], ["_edge"], run, schema)
