@@ -10,11 +10,11 @@ import cmath
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped, written
+from .groups import each_group
 from .slices import SIZE, sliced
 from .windows import boxcar_sum
 
@@ -94,35 +94,28 @@ def _pass(df: DataFrame, keys: list[str], order: str, sections: list[tuple[float
     rows = df.withColumn("_slice", F.floor(F.col(order) / size))
     n = 2 * len(sections)
 
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        r = Recurrence(sections)
-        x = rows.sort_values(order, ascending=sign > 0)["x"].to_numpy()
-        return rows[[*keys, "_slice"]].head(1).assign(n=len(x), first=x[0], gives=[r.run(x, np.zeros(n))[1].tolist()])
-
-    def begins(rows: pd.DataFrame) -> pd.DataFrame:
-        r = Recurrence(sections)
-        rows = rows.sort_values("_slice", ascending=sign > 0)
-        s, out = r.at_rest(rows["first"].iloc[0]), []
-        for length, gives in zip(rows["n"], rows["gives"]):
-            out.append(s.tolist())
-            s = np.linalg.matrix_power(r.a, int(length)) @ s + np.asarray(gives)
-        return rows[[*keys, "_slice"]].assign(state=out)
-
-    def filtered(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ascending=sign > 0)
-        return rows[[*keys, order]].assign(x=Recurrence(sections).run(rows["x"].to_numpy(), np.asarray(rows["state"].iloc[0]))[0])
-
-    parts = rows.groupBy(*keys, "_slice").applyInPandas(added, f"{head}, _slice long, n long, first double, gives array<double>")
-    states = parts.groupBy(*keys).applyInPandas(begins, f"{head}, _slice long, state array<double>")
-    # A slice's state goes to its first row alone.
-    lead = F.when(F.col(order) == (F.min(order) if sign > 0 else F.max(order)).over(_by([*keys, "_slice"])), F.col("state"))
-    return rows.join(states, [*keys, "_slice"]).withColumn("state", lead).groupBy(*keys, "_slice").applyInPandas(filtered, f"{head}, `{order}` long, x double")
-
-
-def _by(keys: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
+    def added(key: tuple, c: dict) -> list[tuple]:
+        x = c["x"][::sign]
+        return [(*key, len(x), float(x[0]), r.run(x, np.zeros(n))[1].tolist())]
+
+    def begins(key: tuple, c: dict) -> list[tuple]:
+        s, out = r.at_rest(c["first"][::sign][0]), []
+        for at, length, gives in zip(c["_slice"][::sign].tolist(), c["n"][::sign].tolist(), c["gives"][::sign]):
+            out.append((*key, at, s.tolist()))
+            s = np.linalg.matrix_power(r.a, length) @ s + np.asarray(gives) if len(c["n"]) > 1 else s
+        return out
+
+    def filtered(key: tuple, c: dict) -> list[tuple]:
+        y = r.run(c["x"][1:][::sign], np.asarray(c["state"][0]))[0]
+        return [(*key[:-1], i, v) for i, v in zip(c[order][1:][::sign].tolist(), y.tolist())]
+
+    r = Recurrence(sections)
+    parts = each_group(rows.select(*keys, "_slice", order, "x"), [*keys, "_slice"], [order], added, f"{head}, _slice long, n long, first double, gives array<double>")
+    states = each_group(parts, keys, ["_slice"], begins, f"{head}, _slice long, state array<double>")
+    # A slice's state comes as a row ahead of its own.
+    known = rows.select(*keys, "_slice", F.lit(1).alias("_k"), F.col(order).cast("long").alias(order), "x", F.lit(None).cast("array<double>").alias("state"))
+    led = known.unionByName(states.select(*keys, "_slice", F.lit(0).alias("_k"), F.lit(0).cast("long").alias(order), F.lit(0.0).alias("x"), "state"))
+    return each_group(led, [*keys, "_slice"], ["_k", order], filtered, f"{head}, `{order}` long, x double")
 
 
 def forth_and_back(df: DataFrame, keys: list[str], order: str, value: str, sections: list[tuple[float, ...]], pad: int | None = None, size: int = SIZE) -> DataFrame:
