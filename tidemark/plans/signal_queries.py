@@ -280,7 +280,8 @@ def w18_band_share(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def j12_merged_profiles(spark: Spark, d: str) -> DataFrame:
-    return X.merge_profiles(windows(spark, d), smoothed(spark, d).select("recording_id", "profile", "i", "composite"), STEP, 2 * STEP, 8 * STEP)
+    composites = written(smoothed(spark, d).select("recording_id", "profile", "i", "composite"), "composites")
+    return X.merge_profiles(X.candidates(composites, STEP, 3, 12, 2 * STEP, 8 * STEP, 3 * STEP, kept=True), composites, STEP, 2 * STEP, 8 * STEP)
 
 
 @query(T.SQL + """, s as (select recording_id, i, max(value) filter (kind = 'view') as e, max(value) filter (kind = 'click') as g from series group by 1, 2), m as (select recording_id, i, greatest(coalesce(e, 0), 0) / nullif(max(greatest(coalesce(e, 0), 0)) over w, 0) as en, greatest(coalesce(g, 0), 0) / nullif(max(greatest(coalesce(g, 0), 0)) over w, 0) as gn from s window w as (partition by recording_id))
@@ -330,4 +331,4 @@ def flagship_chain(spark: Spark, d: str) -> DataFrame:
     smooth = L.sliced(scored, ["profile", "recording_id"], "i", 8, 8, lambda rows, by: rows.withColumn("composite", W.gaussian(F.col("composite"), by, "i", 2.0)))
     composites = written(smooth.select("recording_id", "profile", "i", "composite"), "composites")
     mark = lambda kind: T.points(spark, d).where(F.col("kind") == kind).select("recording_id", F.col("t").alias("m"))
-    return X.ranked_moments(composites, mark("view"), mark("click"), STEP, 3, 12, 2 * STEP, 8 * STEP, 3 * STEP, STEP / 4)
+    return X.ranked_moments(composites, mark("view"), mark("click"), STEP, 3, 12, 2 * STEP, 8 * STEP, 3 * STEP, STEP / 4, kept=True)
