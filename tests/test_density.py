@@ -106,3 +106,35 @@ def test_copies_few_rows_and_odd_ones(spark):
     one = density.density_clusters(spark.createDataFrame(rows[:6], SCHEMA), "id", "v", "g").collect()
     assert {r.cluster for r in one} == {None}  # a whole table is never one cluster
     assert density.density_clusters(spark.createDataFrame(rows[17:], SCHEMA), "id", "v", "g").count() == 0
+
+
+def test_who_searches_in_flat_dimensions(spark, monkeypatch):
+    """Where no block can be skipped, each vector looks past all others once; the spanning tree's rounds take their edges from its list of neighbours."""
+    asked, search = [], density.Blocks.search
+
+    def counted(self, seekers, members, *args, **named):
+        asked.append(sum(len(r.node) // 8 if isinstance(r.node, bytearray) else 1 for r in seekers.select("node").collect()))
+        return search(self, seekers, members, *args, **named)
+
+    monkeypatch.setattr(density.Blocks, "search", counted)
+    points = {i: v for i, v in enumerate(np.random.default_rng(3).normal(size=(400, 24)))}
+    points |= {400 + i: points[i] + 0.01 * points[i + 1] for i in range(0, 60, 2)}
+    tree, want = plain(points, 5, 5)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in points.items()], SCHEMA)
+    got = {r.id: r.cluster for r in density.density_clusters(df, "id", "v", "g").collect()}
+    assert {i: c for i, c in got.items() if c is not None} == want
+    assert sum(asked) < 1.5 * len(points)
+
+
+def test_kernels_are_exact_far_from_the_origin_and_with_short_lists(spark, monkeypatch):
+    """Single precision only leaves out what is surely too far; short lists and small chunks make the rounds search."""
+    for name, value in {"LISTED": 6, "CHUNK": (40, 40), "ROWS": 16, "PAIRS": 50, "WAITING": 1, "MEMBERS": 30}.items():
+        monkeypatch.setattr(density, name, value)
+    points = {i: 1e6 + v * 1e-2 for i, v in clouds(5, (70, 30, 9), 4, 15).items()}
+    tree, want = plain(points, 5, 5)
+    kept, whole = [], density.condensed
+    monkeypatch.setattr(density, "condensed", lambda nodes, core, t, least: kept.append(t.collect()) or whole(nodes, core, t, least))
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in points.items()], SCHEMA)
+    got = {r.id: r.cluster for r in density.density_clusters(df, "id", "v", "g").collect()}
+    assert sorted((r.a, r.b) for r in kept[0]) == sorted((a, b) for _, a, b in tree)
+    assert {i: c for i, c in got.items() if c is not None} == want and len(set(want.values())) > 1
