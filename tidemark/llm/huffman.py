@@ -45,12 +45,11 @@ def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
 
 def canonical(symbols: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The codes, by length and then by symbol."""
-    codes, code, last = np.zeros(len(symbols), np.int64), 0, 0
-    for k in np.lexsort((symbols, bits)):
-        code <<= int(bits[k]) - last
-        last = int(bits[k])
-        codes[k] = code
-        code += 1
+    order = np.lexsort((symbols, bits))
+    codes, below = np.zeros(len(symbols), np.int64), int(bits.max(initial=1)) - bits[order]
+    # Each begins where those before it end, all taken as numbers of the longest's length.
+    step = 1 << below
+    codes[order] = (np.cumsum(step) - step) >> below
     return codes
 
 
@@ -63,8 +62,9 @@ class Coder:
         self.code[symbols], self.bits[symbols] = codes, bits
         # Of every `width` bits: the symbol that they begin with, and its length.
         self.table = np.zeros(1 << self.width, np.int64)
-        for s, b, c in zip(symbols.tolist(), bits.tolist(), codes.tolist(), strict=True):
-            self.table[c << (self.width - b) : (c + 1) << (self.width - b)] = s << 5 | b
+        order = np.lexsort((symbols, bits))
+        runs = np.repeat((symbols << 5 | bits)[order], 1 << (self.width - bits[order]))
+        self.table[: len(runs)] = runs
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Payload, and the bits that each STEP ids take (32-bit)."""
