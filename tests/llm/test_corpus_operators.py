@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -534,3 +535,46 @@ def test_huffman_codes_are_made_at_once():
     ids = np.full(100, 7)
     assert (one.decode(*one.encode(ids), 100) == ids).all()
     assert len(huffman.Coder(np.zeros(0, np.int64), np.zeros(0, np.int64)).table) == 2
+
+
+KINDS = "ab Z's'tmdrevl12 \n\t\r!?.é×÷ÿɏ«‐⁞₠"
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list(KINDS)), max_size=40), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_pieces_are_those_of_the_librarys_pattern(texts):
+    data = np.frombuffer("\0".join([*texts, ""]).encode(), np.uint8)
+    at = [*tokens.splits(data).tolist(), len(data)] if texts else []
+    cut = tokens.encoder(PATH).tokenizer.pre_tokenizer.pre_tokenize_str
+    want = [p for t in texts for p in [*(t[a:b].encode() for _, (a, b) in cut(t)), b"\0"]]
+    assert [data[a:b].tobytes() for a, b in zip(at, at[1:])] == want
+
+
+def test_encoder_begins_new_memories_and_cuts_long_texts(monkeypatch):
+    for name, value in (("CHARS", 7), ("MAX_WORDS", 40), ("MAX_IDS", 100)):
+        monkeypatch.setattr(tokens, name, value)
+    rnd, e = random.Random(3), tokens.Encoder(PATH)
+    for _ in range(30):
+        texts = ["".join(rnd.choices(KINDS + "²你", [9] * len(KINDS) + [1, 1], k=rnd.randrange(60))) for _ in range(20)]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.ids(texts)] == [library_ids(t, e.tokenizer) for t in texts]
+    assert len(e.known.number) + len(e.older.number) < 600
+
+
+def test_known_words_cost_less_than_a_pattern():
+    """Pieces are cut, told apart and given their ids in less time than it takes to list them by a pattern."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("etaoinshr", k=rnd.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=400)) + ".\n" for _ in range(600)]
+    pattern = re.compile(f" [{tokens.LETTERS}]++|[{tokens.LETTERS}]++| ?[^ \t\n\r0-9{tokens.LETTERS}]++|[ \t\n\r]+")
+    e = tokens.Encoder(PATH)
+    e.ids(texts)
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            t = time.process_time()
+            f()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert least(lambda: e.ids(texts)) < least(lambda: [pattern.findall(t) for t in texts])

@@ -25,13 +25,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, doc_id: str
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1)
-            for k in range(0, len(texts), 256):
-                rows = []
-                for doc, ids in zip(batch.column(0)[k : k + 256].to_pylist(), enc.ids([t or "" for t in texts[k : k + 256].to_pylist()])):
-                    ids = np.frombuffer(ids + end, enc.dtype).astype("<u4").tobytes()
-                    cuts = [0, *range((len(ids) // 4 - 1) % size + 1, len(ids) // 4 + 1, size)]
-                    rows += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            rows = []
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.ids([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.frombuffer(ids + end, enc.dtype).astype("<u4").tobytes()
+                cuts = [0, *range((len(ids) // 4 - 1) % size + 1, len(ids) // 4 + 1, size)]
+                rows += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, new_path, text_key
+from .common import discard, materialize, new_path, small_batches, text_key
 from .huffman import Coder, code_lengths
 from .tokens import encoder
 
@@ -58,13 +58,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) ->
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                ids = [x + end for x in enc.ids([t or "" for t in batch.column(2)[k : k + 256].to_pylist()])]
-                n = [len(x) // enc.dtype.itemsize for x in ids]
-                low, high = zip(*(planes(x, enc.dtype) for x in ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], batch.column(1)[k : k + 256], pa.array(n, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["doc_id", "text_key", "n_tokens", "low", "high"])
+            ids = [x + end for x in enc.ids([t or "" for t in batch.column(2).to_pylist()])]
+            n = [len(x) // enc.dtype.itemsize for x in ids]
+            low, high = zip(*(planes(x, enc.dtype) for x in ids)) if ids else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["doc_id", "text_key", "n_tokens", "low", "high"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text), F.col(text).alias("text")).mapInArrow(run, TOKENS)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text), F.col(text).alias("text")).mapInArrow(run, TOKENS)
 
 
 def counts(tokens: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:

@@ -4,24 +4,106 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
 
-# The letters, spaces and signs for which the pattern below splits as the tokenizer's own does.
+# The letters, spaces and signs for which splits() cuts as the tokenizer's own pattern does.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[\t\n\r\x20-\x7e{LETTERS}×÷¡§©«®°·»¿‐-‧‰-⁞₠-₿]*")
-# What is most often is tried first; where nothing follows, a run (++) needn't remember where else it could end.
-PIECE = re.compile(f" [{LETTERS}]++|[{LETTERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9]++| ?[^ \t\n\r0-9{LETTERS}]++|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+# A space between two other characters begins a piece, whatever is around.
+CUT = re.compile("(?<=[^ \t\n\r]) (?=[^ \t\n\r])")
 
-MAX_WORDS = 250_000
+# Kinds of characters by their first byte; END ends each text.
+END, LETTER, DIGIT, OTHER, SPACE, BREAK = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[0, *b" \t\n\r"]] = END, SPACE, BREAK, BREAK, BREAK
+KIND[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = LETTER
+KIND[48:58] = DIGIT
+
+
+def _begins(before: int, here: int, after: int) -> bool:
+    """Does a piece begin at a character between these two? Runs of one kind are pieces. The last space before a run is part
+    of it, and the last white space of several is a piece of its own otherwise."""
+    if END in (before, here):
+        return True
+    if here >= SPACE:
+        return before < SPACE or END < after < SPACE
+    return before not in (here, SPACE)
+
+
+BEGINS = np.array([_begins(a, b, c) for a in range(6) for b in range(6) for c in range(6)])
+
+# A byte-level entry has one character for each of its bytes: those that print stand for themselves, the others follow from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SIGNS = np.arange(256, dtype="<u2")
+SIGNS[np.setdiff1d(SIGNS, PRINTED)] = np.arange(256, 512 - len(PRINTED))
+
+# Pieces and ids that are kept, and the characters that are cut into pieces at a time.
+MAX_WORDS, MAX_IDS, CHARS = 250_000, 4_000_000, 1 << 21
+
+
+def splits(data: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the UTF-8 bytes of plain texts, each of which ends with a zero byte, as does the whole.
+
+    As the pattern `'(?:s|t|re|ve|m|ll|d)| ?letters| ?digits| ?others|white(?!other than white)|white` has them.
+    """
+    at = None if data.max() < 128 else np.flatnonzero((data & 0xC0) != 0x80)
+    first = data if at is None else data[at]
+    kind = np.zeros(len(first) + 2, np.uint8)
+    kind[1:-1] = KIND[first]
+    if at is not None:
+        odd = np.flatnonzero(first == 0xC3)
+        kind[1 + odd[np.isin(data[at[odd] + 1], (0x97, 0xB7))]] = OTHER  # × and ÷
+    begins = BEGINS[kind[:-2] * 36 + kind[1:-1] * 6 + kind[2:]]
+    # An apostrophe that begins a piece takes these endings with it and leaves the rest of the word.
+    marks = np.flatnonzero(first == ord("'"))
+    marks = marks[begins[marks]]
+    one, two = first[marks + 1], first[np.minimum(marks + 2, len(first) - 1)]
+    short = np.isin(one, [*b"stmd"])
+    long = np.isin(one * np.uint16(256) + two, [c[0] * 256 + c[1] for c in (b"re", b"ve", b"ll")])
+    begins[marks[short | long] + 1] = False
+    begins[marks[short] + 2] = True
+    begins[marks[long] + 3] = True
+    begins = np.flatnonzero(begins)
+    return begins if at is None else at[begins]
+
+
+class Memory:
+    """Pieces, numbered from 1, and the ids of each. Number 0 is the end of a text, which has none."""
+
+    def __init__(self, code: str):
+        self.number = {b"\0": 0}
+        self.ids, self.ends = array(code), array("q", [0, 0])
+
+    def add(self, pieces: list[bytes], ids: Iterable[int], n: np.ndarray) -> None:
+        """ids: of all pieces, one after another; n: how many each has."""
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.ends.frombytes((len(self.ids) + np.cumsum(n, dtype=np.int64)).tobytes())
+        self.ids.extend(ids)
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """-1 for what isn't there."""
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these pieces, one after another, and how many each has."""
+        ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.dtype(f"<u{self.ids.itemsize}"))
+        begin = ends[numbers]
+        n = ends[numbers + 1] - begin
+        to = np.cumsum(n)
+        return ids[np.repeat(begin - to + n, n) + np.arange(to[-1] if len(to) else 0)], n
 
 
 class Encoder:
     """ids(texts) gives each text's ids as little-endian bytes of `dtype`.
 
-    A byte-level BPE encodes each piece of its split pattern by itself, so a piece is encoded once
-    and its ids reused. Texts with characters outside PLAIN, or with the text of a special token,
+    A byte-level BPE encodes each piece of its split pattern by itself, so the tokenizer's model gets a piece once
+    and its ids are reused. Texts with characters outside PLAIN, or with the text of a special token,
     go to the tokenizer whole. Of pieces about MAX_WORDS are kept; beyond them a new memory begins, which takes over from the last one what comes again.
     """
 
@@ -30,52 +112,76 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        # A byte-level entry has one character for each of its bytes.
-        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        words, others = [], []
-        for p in pieces:
-            (words if p[0] == " " and p[1:2].isalpha() else others).append(p)
-        if others:
-            self.known.update(zip(others, self._whole(others)))
-        size = self.dtype.itemsize
-        for k in range(0, len(words), 512):
-            part = words[k : k + 512]
-            got = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            # Where a word's bytes end, one of its tokens does.
-            ends = np.cumsum([len(p.encode()) for p in part])
-            cuts = [0, *((np.searchsorted(np.cumsum(self.lengths[got]), ends) + 1) * size).tolist()]
-            ids = got.tobytes()
-            self.known.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.known, self.older = Memory(self.code), Memory(self.code)
+
+    def _plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), 256):
-            out += self._some(texts[k : k + 256])
-        return out
+        out: list[bytes | list[bytes]] = []
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            for (k, _), ids in zip(held, self._some([t for _, t in held]), strict=True):
+                out[k].append(ids)
+
+        for k, text in enumerate(texts):
+            if not self._plain(text):
+                out.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes())
+                continue
+            out.append([])
+            for part in _parts(text):
+                held.append((k, part))
+                size += len(part)
+                if size >= CHARS:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return [b"".join(x) if isinstance(x, list) else x for x in out]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_WORDS:
-            self.known, self.older = {}, self.known
-        known, split = self.known, PIECE.findall
-        plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        pieces = [split(t) if ok else None for t, ok in zip(texts, plain)]
-        new = set().union(*(ps for ps in pieces if ps)).difference(known)
-        if self.older:
-            again = new & self.older.keys()
-            known.update((p, self.older[p]) for p in again)
-            new -= again
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ps)) if ps is not None else self._whole([t])[0] for t, ps in zip(texts, pieces)]
+        data = np.frombuffer("\0".join([*texts, ""]).encode(), np.uint8)
+        cuts = np.append(splits(data), len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        numbers = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        ids, n = self.known.of(numbers)
+        stops, got = (np.cumsum(n)[numbers == 0] * self.dtype.itemsize).tolist(), ids.tobytes()
+        return [got[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Each piece's number in the memory, which learns those that are new."""
+        if len(self.known.number) > MAX_WORDS or len(self.known.ids) > MAX_IDS:
+            self.known, self.older = Memory(self.code), self.known
+        numbers = self.known.numbers(pieces)
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            missing = [pieces[k] for k in unknown.tolist()]
+            self._learn(missing)
+            numbers[unknown] = self.known.numbers(missing)
+        return numbers
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        before = self.older.numbers(pieces)
+        self.known.add(list(compress(pieces, (before >= 0).tolist())), *self.older.of(before[before >= 0]))
+        new = list(compress(pieces, (before < 0).tolist()))
+        signs = SIGNS[np.frombuffer(b"\0".join(new), np.uint8)].tobytes().decode("utf-16-le").split(chr(SIGNS[0]))
+        got = [[t.id for t in tokens] for tokens in map(self.model.tokenize, signs[: len(new)])]
+        self.known.add(new, chain.from_iterable(got), np.fromiter(map(len, got), np.int64, len(got)))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts of about CHARS characters, cut where a piece begins whatever is around."""
+    at = 0
+    while len(text) - at > CHARS and (cut := CUT.search(text, at + CHARS)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 @lru_cache(maxsize=2)
