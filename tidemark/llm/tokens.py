@@ -44,7 +44,7 @@ SIGNS = np.arange(256, dtype="<u2")
 SIGNS[np.setdiff1d(SIGNS, PRINTED)] = np.arange(256, 512 - len(PRINTED))
 
 # Pieces and ids that are kept, and the characters that are cut into pieces at a time.
-MAX_WORDS, MAX_IDS, CHARS = 250_000, 4_000_000, 1 << 21
+MAX_WORDS, MAX_IDS, CHARS = 250_000, 4_000_000, 1 << 20
 
 
 def splits(data: np.ndarray) -> np.ndarray:
@@ -170,9 +170,11 @@ class Encoder:
         before = self.older.numbers(pieces)
         self.known.add(list(compress(pieces, (before >= 0).tolist())), *self.older.of(before[before >= 0]))
         new = list(compress(pieces, (before < 0).tolist()))
-        signs = SIGNS[np.frombuffer(b"\0".join(new), np.uint8)].tobytes().decode("utf-16-le").split(chr(SIGNS[0]))
-        got = [[t.id for t in tokens] for tokens in map(self.model.tokenize, signs[: len(new)])]
-        self.known.add(new, chain.from_iterable(got), np.fromiter(map(len, got), np.int64, len(got)))
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            signs = SIGNS[np.frombuffer(b"\0".join(part), np.uint8)].tobytes().decode("utf-16-le").split(chr(SIGNS[0]))
+            got = [[t.id for t in tokens] for tokens in map(self.model.tokenize, signs)]
+            self.known.add(part, chain.from_iterable(got), np.fromiter(map(len, got), np.int64, len(got)))
 
 
 def _parts(text: str) -> Iterator[str]:
