@@ -57,6 +57,15 @@ def test_boxes_against_all_pairs(spark):
     assert len(want) > 500 and got == sorted(want)
 
 
+def test_a_bucket_of_boxes_is_shared_among_tasks(spark):
+    df = spark.createDataFrame([("g", k, 3, 4, 2, 2) for k in range(400)], "g string, id long, x int, y int, w int, h int")
+    got = J.overlapping_boxes(df, "g", "id", "x", "y", "w", "h", 7, block=10, parts=8)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 400 * 399 // 2 and max(tasks) < sum(tasks) / 2
+    assert got.distinct().count() == sum(tasks) and got.where("id < other and area = 4").count() == sum(tasks)
+    assert J.overlapping_boxes(df, "g", "id", "x", "y", "w", "h", 7, parts=8, each=10_000).rdd.getNumPartitions() >= 16
+
+
 def test_parts_grow_with_the_rows(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 50)
     assert J.dealt(df, ["k"], 5_000_001).rdd.getNumPartitions() == 21
